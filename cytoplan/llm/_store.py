@@ -31,7 +31,7 @@ def keep(df: DataFrame) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, as documents can be very long; a user's own setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, "-1") or -1) in (-1, 2**31 - 1, 2**63 - 1):
+    if key not in spark.conf.getAll:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))
 
 

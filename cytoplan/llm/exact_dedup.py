@@ -90,8 +90,8 @@ def drop_copies(docs: DataFrame, **options: int) -> DataFrame:
 
     Rows that repeat the doc_id and the text of the row that stays are dropped too (any one of them stays).
     """
-    lost = exact_dedup(docs, **options).filter("not kept").select(F.col("doc_id").alias("_lost_id"), F.col("text_sha256").alias("_lost_sha"))
-    sha = F.sha2(F.translate(F.coalesce(docs["text"], F.lit("")), UPPER, LOWER).cast("binary"), 256)
-    known = docs.withColumn("_sha", sha)
-    known = known.join(lost, known["doc_id"].eqNullSafe(lost["_lost_id"]) & (known["_sha"] == lost["_lost_sha"]), "left_anti")
-    return known.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    name = lambda sha: F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), sha)
+    lost = exact_dedup(docs, **options).filter("not kept").select(name(F.col("text_sha256")).alias("_lost"))
+    sha = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER).cast("binary"), 256)
+    known = docs.withColumn("_name", name(sha))
+    return known.join(lost, known["_name"] == lost["_lost"], "left_anti").dropDuplicates(["_name"]).drop("_name")

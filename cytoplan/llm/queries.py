@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import url_filter as urls
+from .byte_bpe import decode, encode, read_ranks
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .line_dedup import MIN_WORDS, line_dedup
+from .lm_scoring import score
+from .near_dedup import near_duplicates
 from .sharding import PRIME, ROUNDS, feistel_shards, round_keys
 
 
@@ -24,14 +29,64 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(_table(spark, sf_dir, "pages"))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_table(spark, sf_dir, "documents"))
+
+
+def vocabulary() -> tuple[dict[bytes, int], str]:
+    """The public vocabulary's ranks and pattern; the file stays where it is installed."""
+    import public_tokenizers
+
+    return read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = vocabulary()
+    out = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).drop("text"), ranks)
+    return out.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        (F.size("hits") > 0).alias("contaminated"),
+        F.array_max("hits.coverage").alias("coverage"),
+        F.size("hits").alias("n_items"),
+        F.array_join(F.col("hits.item_id").cast("array<string>"), ",").alias("item_ids"),
+    )
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
-    "op1_line_dedup": op1_line_dedup,
-    "op2_exact_dedup": op2_exact_dedup,
-    "op5_feistel_shards": op5_feistel_shards,
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_exact_dedup,
+        op3_url_filter,
+        op4_near_duplicates,
+        op5_feistel_shards,
+        op6_lm_scoring,
+        op7_byte_bpe,
+        op8_decontaminate,
+    )
 }
 
 _LINE_SQL = f"""
@@ -106,8 +161,31 @@ SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CA
 """
 
 
+def _url_sql() -> str:
+    """The vocabulary as one regular expression for a term."""
+
+    def seen(term: str) -> str:
+        return f"CAST(regexp_matches(u, '(^|[^a-z0-9]){term}([^a-z0-9]|$)') AS INTEGER)"
+
+    cases, says = [], []
+    for text, verdict in sorted(urls.RULES, key=lambda r: -len(r[0])):
+        name, _, rest = text.partition("/")
+        fits = f"(host = '{name}' OR host LIKE '%.{name}') AND starts_with(path, '/{rest}')"
+        cases.append(f"WHEN {fits} THEN '{text}'")
+        says.append(f"WHEN {fits} THEN '{verdict}'")
+    fold = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    return f"""
+WITH r AS (SELECT page_id, translate(coalesce(url, ''), {fold}) AS u, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, u, translate(regexp_extract(rest, '^([^/?#]*)', 1), {fold}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+v AS (SELECT page_id, host, path, {" + ".join(map(seen, urls.STRICT))} AS strict_terms, {" + ".join(map(seen, urls.SOFT))} AS soft_terms FROM p)
+SELECT page_id, host, path, CASE {" ".join(cases)} END AS rule,
+  CASE {" ".join(says)} WHEN strict_terms >= 1 OR soft_terms >= {urls.SOFT_NEEDED} THEN 'block' ELSE 'allow' END AS verdict, strict_terms, soft_terms FROM v
+"""
+
+
 ORACLE_SQL = {
     "op1_line_dedup": _LINE_SQL,
     "op2_exact_dedup": _EXACT_SQL,
+    "op3_url_filter": _url_sql(),
     "op5_feistel_shards": _feistel_sql(),
 }

@@ -74,7 +74,7 @@ def walks_needed(spark: SparkSession, n: int, seed: int) -> int:
     """How often a number must be permuted until all are inside: found on the few cells outside of [0, n)."""
     a, b = grid(n)
     walks = 4
-    while a * b > n:
+    while n and a * b > n:
         outside = spark.range(n, a * b).select(permuted(F.col("id"), n, seed, walks).alias("y"))
         if not outside.filter(F.col("y") >= n).limit(1).count():
             break
