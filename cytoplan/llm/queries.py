@@ -12,7 +12,9 @@ from .exact_dedup import exact_dedup
 from .line_dedup import MIN_WORDS, line_dedup
 from .lm_scoring import score
 from .near_dedup import near_duplicates
+from .quality import classify_quality
 from .sharding import PRIME, ROUNDS, feistel_shards, round_keys
+from .toxicity import classify_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards(_table(spark, sf_dir, "documents"))
 
@@ -86,6 +96,8 @@ QUERIES = {
         op6_lm_scoring,
         op7_byte_bpe,
         op8_decontaminate,
+        op9_quality,
+        op10_toxicity,
     )
 }
 
