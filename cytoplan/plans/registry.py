@@ -5,6 +5,520 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from cytoplan.functions import dna, text
+from cytoplan.operators import alignments as al
+from cytoplan.operators import meth_map as mm
+from cytoplan.operators import pileup as pl
+from cytoplan.operators import raw_reads as rr
+from cytoplan.operators import regions as rg
+from cytoplan.operators import scoring as sc
+from cytoplan.operators import signal as sg
+from cytoplan.operators import variants as va
+
+from . import views as v
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Low enough for the given tables.
+COVERAGE = 3
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _with(*views: str) -> str:
+    return "WITH " + ", ".join(views)
+
+
+# ---- methylation maps
+
+_GOOD = "tid >= 0 AND pos >= 0 AND regexp_matches(seq, '^[ACGTN]{2}') AND n_tags = 7 AND xm IS NOT NULL AND mapq >= 20"
+_OPS = """ops AS (SELECT r.*, unnest(range(1, len(n) + 1)) AS k, n, o FROM (SELECT *, list_transform(regexp_extract_all(cigar, '(\\d+)([MIDNSHP=X])', 1), lambda x: CAST(x AS INT)) AS n, regexp_extract_all(cigar, '(\\d+)([MIDNSHP=X])', 2) AS o FROM good) r),
+placed AS (SELECT *, n[k] AS size, o[k] AS op,
+  coalesce(sum(CASE WHEN o[k] IN ('M', 'D', 'N', '=', 'X') THEN n[k] ELSE 0 END) OVER (PARTITION BY read_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ref_at,
+  coalesce(sum(CASE WHEN o[k] IN ('M', 'I', 'S', '=', 'X') THEN n[k] ELSE 0 END) OVER (PARTITION BY read_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS read_at FROM ops),
+span AS (SELECT read_id, sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN size ELSE 0 END) AS reach FROM placed GROUP BY read_id),
+walked AS (
+  SELECT read_id, ds, tid AS chr, CASE WHEN flag & 16 > 0 THEN 1 ELSE 0 END AS strand, pos AS start, length(seq) AS length, ref_at + i AS off, CASE WHEN op IN ('D', 'N') THEN 'D' ELSE substr(seq, CAST(read_at + i + 1 AS BIGINT), 1) END AS base, CASE WHEN op IN ('D', 'N') THEN '.' ELSE substr(xm, CAST(read_at + i + 1 AS BIGINT), 1) END AS xm
+  FROM (SELECT *, unnest(range(size)) AS i FROM placed WHERE op IN ('M', 'D', 'N', '=', 'X'))
+  UNION ALL
+  SELECT read_id, ds, tid, CASE WHEN flag & 16 > 0 THEN 1 ELSE 0 END, pos, length(seq), unnest(range(CAST(reach AS BIGINT), length(seq))), 'R', '.' FROM good JOIN span USING (read_id)),
+bases AS (SELECT *, CAST(start + off AS BIGINT) AS pos FROM walked)"""
+_BASES = f"{_with(v.DUCK_READS)}, good AS (SELECT * FROM v_reads WHERE {_GOOD}), {_OPS}"
+_SITES = f"""{_BASES}, sites AS (SELECT DISTINCT chr, strand, pos FROM bases WHERE xm <> '.' AND off < length),
+cnt AS (SELECT s.chr, s.strand, s.pos,
+  CAST(sum(CASE WHEN ds = 'mc' AND xm <> '.' AND xm NOT IN ('Z', 'X', 'H', 'M', 'U') THEN 1 ELSE 0 END) AS BIGINT) AS c,
+  CAST(sum(CASE WHEN ds = 'mc' AND xm = '.' AND base <> CASE WHEN s.strand = 0 THEN 'C' ELSE 'G' END THEN 1 ELSE 0 END) AS BIGINT) AS nc,
+  CAST(sum(CASE WHEN ds = 'mc' AND xm IN ('Z', 'X', 'H', 'M', 'U') THEN 1 ELSE 0 END) AS BIGINT) AS mc,
+  CAST(sum(CASE WHEN ds = 'hmc' AND xm <> '.' AND xm NOT IN ('Z', 'X', 'H', 'M', 'U') THEN 1 ELSE 0 END) AS BIGINT) AS ch,
+  CAST(sum(CASE WHEN ds = 'hmc' AND xm = '.' AND base <> CASE WHEN s.strand = 0 THEN 'C' ELSE 'G' END THEN 1 ELSE 0 END) AS BIGINT) AS nch,
+  CAST(sum(CASE WHEN ds = 'hmc' AND xm IN ('Z', 'X', 'H', 'M', 'U') THEN 1 ELSE 0 END) AS BIGINT) AS hmc
+  FROM sites s LEFT JOIN bases b ON b.chr = s.chr AND b.strand = s.strand AND b.pos = s.pos AND b.off <= b.length - 2 GROUP BY s.chr, s.strand, s.pos)"""
+
+
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mm.site_counts(mm.filter_reads(v.reads(spark, sf_dir)))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mm.mixed_map(_sites(spark, sf_dir), COVERAGE)
+
+
+@query(f"{_SITES} SELECT chr, pos, c, nc, mc, ch, nch, hmc FROM cnt WHERE strand = 0 AND (c + mc > {COVERAGE} OR ch + hmc > {COVERAGE})")
+def meth_map_forward(spark, sf_dir):
+    return mm.strand_map(_sites(spark, sf_dir), 0, COVERAGE)
+
+
+@query(f"{_SITES} SELECT chr, pos, c, nc, mc, ch, nch, hmc FROM cnt WHERE strand = 1 AND (c + mc > {COVERAGE} OR ch + hmc > {COVERAGE})")
+def meth_map_reverse(spark, sf_dir):
+    return mm.strand_map(_sites(spark, sf_dir), 1, COVERAGE)
+
+
+@query(f"{_SITES} SELECT chr, pos, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in mm.COUNTERS)} FROM cnt GROUP BY chr, pos HAVING sum(c) + sum(mc) >= {COVERAGE} OR sum(ch) + sum(hmc) >= {COVERAGE}")
+def meth_map_mix(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query(f"{_SITES} SELECT {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in mm.COUNTERS)}, count(*) AS sites FROM cnt")
+def meth_totals(spark, sf_dir):
+    return _sites(spark, sf_dir).agg(*[F.sum(c).alias(c) for c in mm.COUNTERS], F.count(F.lit(1)).alias("sites"))
+
+
+@query(f"{_BASES} SELECT DISTINCT chr, CAST(strand AS INT) AS strand, pos FROM bases WHERE xm <> '.' AND off < length")
+def candidate_sites(spark, sf_dir):
+    return mm.candidate_sites(mm.filter_reads(v.reads(spark, sf_dir)))
+
+
+@query(f"{_BASES} SELECT ds, chr, base, xm, count(*) AS n, CAST(sum(off) AS BIGINT) AS offsets FROM bases GROUP BY ds, chr, base, xm")
+def cigar_lift_bases(spark, sf_dir):
+    return mm.lifted_bases(mm.filter_reads(v.reads(spark, sf_dir))).groupBy("ds", "chr", "base", "xm").agg(F.count(F.lit(1)).alias("n"), F.sum("off").alias("offsets"))
+
+
+@query(f"{_with(v.DUCK_READS)}, good AS (SELECT * FROM v_reads), {_OPS} SELECT read_id, CAST(sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN size ELSE 0 END) AS INT) AS ref_length, CAST(sum(CASE WHEN op IN ('M', 'D', 'N') THEN size ELSE 0 END) AS INT) AS legacy_length, CAST(sum(CASE WHEN op IN ('M', 'I', 'S', '=', 'X') THEN size ELSE 0 END) AS INT) AS query_length FROM placed GROUP BY read_id")
+def cigar_ref_span(spark, sf_dir):
+    c = F.col("cigar")
+    return v.reads(spark, sf_dir).select("read_id", dna.reference_length(c).alias("ref_length"), dna.reference_length(c, legacy=True).alias("legacy_length"), dna.query_length(c).alias("query_length"))
+
+
+_STATUS = f"CASE WHEN tid = -1 THEN 'unmapped' WHEN {_GOOD} THEN 'valid' ELSE 'malformed' END"
+
+
+@query(f"{_with(v.DUCK_READS)}, s AS (SELECT ds, {_STATUS} AS status FROM v_reads) SELECT ds, count(*) AS total, count(*) FILTER (status = 'valid') AS valid, count(*) FILTER (status = 'unmapped') AS unmapped, count(*) FILTER (status = 'malformed') AS malformed, round((count(*) FILTER (status <> 'valid')) * 100 / count(*), 6) AS skipped_pct FROM s GROUP BY ds")
+def read_filter_counts(spark, sf_dir):
+    return mm.run_statistics(v.reads(spark, sf_dir))
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT ds, tid, count(*) AS total, count(*) FILTER ({_GOOD}) AS passed FROM v_reads GROUP BY ds, tid")
+def reads_per_chromosome(spark, sf_dir):
+    return v.reads(spark, sf_dir).groupBy("ds", "tid").agg(F.count(F.lit(1)).alias("total"), F.count_if(mm.acceptable()).alias("passed"))
+
+
+_CAPS = "SELECT ds, tid, CAST(5 + tid * 2 AS BIGINT) AS max_reads FROM (SELECT DISTINCT ds, tid FROM {reads}) WHERE tid >= 0"
+
+
+@query(f"{_with(v.DUCK_READS)}, caps AS ({_CAPS.replace('{reads}', 'v_reads')}), n AS (SELECT *, row_number() OVER (PARTITION BY ds, tid ORDER BY file_ord) AS rn FROM v_reads) SELECT n.read_id, n.ds, n.tid FROM n LEFT JOIN caps USING (ds, tid) WHERE max_reads IS NULL OR rn <= max_reads + 1")
+def read_cap_first_k(spark, sf_dir):
+    reads = v.reads(spark, sf_dir)
+    return mm.first_reads(reads, spark.sql(_CAPS, reads=reads)).select("read_id", "ds", "tid")
+
+
+@query(f"{_with(v.DUCK_CONTIGS)}, r AS (SELECT *, row_number() OVER (ORDER BY length DESC, tid) - 1 AS k FROM v_contigs) SELECT tid, length, CAST(CASE WHEN k % 10 < 5 THEN k % 10 ELSE 9 - k % 10 END AS INT) AS worker FROM r")
+def chromosome_snake_schedule(spark, sf_dir):
+    return mm.snake_schedule(v.contigs(spark, sf_dir), 5)
+
+
+_SAMPLES = 20
+
+
+@query(f"""{_SITES}, one AS (SELECT chr, pos, CAST(sum(c) AS BIGINT) AS c, CAST(sum(nc) AS BIGINT) AS nc, CAST(sum(mc) AS BIGINT) AS mc FROM cnt GROUP BY chr, pos),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY chr) // {_SAMPLES} AS steps FROM one WHERE pos BETWEEN 100 AND 1900)
+SELECT a.chr, a.i * {1800 // _SAMPLES} + 100 AS plot_pos, round(avg(b.c + b.nc + b.mc), 6) AS coverage, round(avg(b.mc) / greatest(max(b.mc), 1), 6) AS signal
+FROM ranked a JOIN ranked b ON a.chr = b.chr AND b.i BETWEEN a.i AND a.i + a.steps - 1 WHERE a.i < {_SAMPLES} AND a.steps > 0 GROUP BY a.chr, a.i""")
+def signal_window(spark, sf_dir):
+    one = mm.mixed_map(_sites(spark, sf_dir), 0)
+    return sg.window_signal(one, 100, 1900, _SAMPLES).select("chr", "plot_pos", F.round("coverage", 6).alias("coverage"), F.round("signal", 6).alias("signal"))
+
+
+# ---- regions and sets
+
+
+@query(f"{_with(v.DUCK_READS, v.DUCK_REGIONS)} SELECT read_id FROM v_reads r WHERE EXISTS (SELECT 1 FROM v_regions g WHERE g.chrom = r.tid AND g.start <= r.pos AND g.\"end\" >= r.pos + length(r.seq))")
+def region_semi_join(spark, sf_dir):
+    reads = v.reads(spark, sf_dir).select("read_id", "tid", "pos", (F.col("pos") + F.length("seq")).alias("stop"))
+    return rg.contained(reads, v.regions(spark, sf_dir), "tid", "pos", "stop", 500).select("read_id")
+
+
+@query(f"{_with(v.DUCK_READS, v.DUCK_REGIONS)} SELECT read_id FROM v_reads r WHERE EXISTS (SELECT 1 FROM v_regions g WHERE g.chrom = r.tid AND g.\"end\" > r.pos AND g.start < r.pos + length(r.seq))")
+def bed_overlap_semi(spark, sf_dir):
+    reads = v.reads(spark, sf_dir).select("read_id", "tid", "pos", (F.col("pos") + F.length("seq")).alias("stop"))
+    return rg.overlapping(reads, v.regions(spark, sf_dir), "tid", "pos", "stop", 500).select("read_id")
+
+
+@query(f"{_with(v.DUCK_READS)}, c AS (SELECT tid, unnest(range((pos + 1) // 100, (pos + 1 + length(seq)) // 100 + 1)) AS k FROM v_reads WHERE tid >= 0) SELECT tid AS chromosome, k AS chunk_id, count(*) AS features_count FROM c GROUP BY tid, k")
+def chunk_counts(spark, sf_dir):
+    return al.chunks(v.reads(spark, sf_dir), 100)
+
+
+@query(f"""{_with(v.DUCK_REGIONS)}, s AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM v_regions),
+n AS (SELECT *, sum(CASE WHEN seen IS NULL OR start - seen > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM s) SELECT chrom, min(start) AS start, max("end") AS "end", count(*) AS members FROM n GROUP BY chrom, island""")
+def merge_close_regions(spark, sf_dir):
+    return rg.merge_close(v.regions(spark, sf_dir), ["chrom"], "start", "end", 20)
+
+
+_LISTS = "SELECT CASE CAST(s_suppkey % 3 AS INT) WHEN 0 THEN CAST(s_suppkey AS STRING) || ':' || CAST(s_suppkey * 10 AS STRING) || '-' || CAST(s_suppkey * 20 AS STRING) || ',X' WHEN 1 THEN 'Y:' || CAST(s_suppkey AS STRING) ELSE 'MT,' END AS text FROM {supplier}"
+
+
+@query(f"WITH t AS ({v.plain(_LISTS)}), r AS (SELECT unnest(string_split(text, ',')) AS r FROM t), p AS (SELECT regexp_extract(r, '^([^:]+)', 1) AS chrom, regexp_extract(r, '^[^:]+:(\\d+)', 1) AS a, regexp_extract(r, '^[^:]+:\\d+-(\\d+)', 1) AS b FROM r WHERE r <> '') SELECT chrom, CASE WHEN a = '' THEN 1 ELSE CAST(a AS BIGINT) END AS start, CASE WHEN b = '' THEN 4294967295 ELSE CAST(b AS BIGINT) END AS \"end\" FROM p")
+def parse_region_lists(spark, sf_dir):
+    return rg.parse_regions(spark.sql(_LISTS, **v.tables(spark, sf_dir, "supplier")))
+
+
+_HALF = "SELECT qname FROM v_reads WHERE lib = 0"
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT DISTINCT qname FROM v_reads")
+def set_unique(spark, sf_dir):
+    return v.reads(spark, sf_dir).select("qname").distinct()
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT read_id, qname FROM v_reads WHERE lib <> 0 AND qname IN ({_HALF})")
+def set_intersect(spark, sf_dir):
+    reads = v.reads(spark, sf_dir).select("read_id", "qname", "lib")
+    return rg.intersect_keep(reads.filter("lib <> 0"), reads.filter("lib = 0"), ["qname"]).select("read_id", "qname")
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT read_id, qname FROM v_reads WHERE lib <> 0 AND qname NOT IN ({_HALF})")
+def set_complement(spark, sf_dir):
+    reads = v.reads(spark, sf_dir).select("read_id", "qname", "lib")
+    return rg.complement(reads.filter("lib <> 0"), reads.filter("lib = 0"), ["qname"]).select("read_id", "qname")
+
+
+# ---- alignments
+
+_CHAIN = "(flag & 1 = 0 OR flag & 2 > 0) AND flag & 256 = 0 AND nm BETWEEN 0 AND 4 AND mapq >= 10 AND length(seq) >= 28"
+
+
+@query(f"{_with(v.DUCK_READS)}, bad AS (SELECT DISTINCT qname FROM v_reads WHERE NOT ({_CHAIN}) AND flag & 1 > 0) SELECT read_id FROM v_reads WHERE {_CHAIN} AND qname NOT IN (SELECT qname FROM bad)")
+def bam_filter_chain(spark, sf_dir):
+    return al.filter_alignments(v.reads(spark, sf_dir), proper_pairs=True, unique=True, errors=(0, 4), quality=(10, -1), length=(28, -1)).select("read_id")
+
+
+@query(f"{_with(v.DUCK_READS, v.DUCK_REGIONS)}, bad AS (SELECT DISTINCT qname FROM v_reads WHERE mapq < 10), inside AS (SELECT * FROM v_reads r WHERE EXISTS (SELECT 1 FROM v_regions g WHERE g.chrom = r.tid AND g.start <= r.pos AND g.\"end\" >= r.pos + length(r.seq))), out AS (SELECT DISTINCT qname FROM v_reads WHERE read_id NOT IN (SELECT read_id FROM inside)) SELECT read_id FROM inside WHERE mapq >= 10 AND qname NOT IN (SELECT qname FROM bad) AND qname NOT IN (SELECT qname FROM out)")
+def mate_purge_anti(spark, sf_dir):
+    return al.filter_alignments(v.reads(spark, sf_dir), quality=(10, -1), regions=v.regions(spark, sf_dir)).select("read_id")
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT read_id FROM v_reads WHERE flag & 4 > 0")
+def bam_filter_unmapped(spark, sf_dir):
+    return al.filter_alignments(v.reads(spark, sf_dir), unmapped=True).select("read_id")
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT read_id FROM v_reads WHERE mapq >= 15 AND flag & 3 = 3 AND flag & 1024 = 0 AND lib IN (0, 2)")
+def samtools_view(spark, sf_dir):
+    return al.view(v.reads(spark, sf_dir), min_mapq=15, need=3, forbid=1024, libraries=[0, 2]).select("read_id")
+
+
+@query(f"""{_with(v.DUCK_READS)} SELECT flag & 512 > 0 AS qc_fail, count(*) AS total, count(*) FILTER (flag & 1024 > 0) AS duplicates, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 1 > 0) AS paired,
+count(*) FILTER (flag & 65 = 65) AS read1, count(*) FILTER (flag & 129 = 129) AS read2, count(*) FILTER (flag & 3 = 3 AND flag & 4 = 0) AS properly_paired, count(*) FILTER (flag & 1 > 0 AND flag & 12 = 0) AS both_mapped,
+count(*) FILTER (flag & 1 > 0 AND flag & 12 = 8) AS singletons, count(*) FILTER (flag & 1 > 0 AND flag & 12 = 0 AND tid <> mtid) AS mate_elsewhere, count(*) FILTER (flag & 1 > 0 AND flag & 12 = 0 AND tid <> mtid AND mapq >= 5) AS mate_elsewhere_q5 FROM v_reads GROUP BY 1""")
+def flagstat(spark, sf_dir):
+    return al.flag_statistics(v.reads(spark, sf_dir))
+
+
+@query(f"{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, k AS (SELECT tid, length FROM v_contigs UNION ALL SELECT -1, 0) SELECT k.tid, k.length, count(read_id) FILTER (flag & 4 = 0) AS mapped, count(read_id) FILTER (flag & 4 > 0) AS unmapped FROM k LEFT JOIN v_reads r ON r.tid = k.tid GROUP BY k.tid, k.length")
+def idxstats(spark, sf_dir):
+    return al.index_statistics(v.reads(spark, sf_dir), v.contigs(spark, sf_dir))
+
+
+_LETTERS = ", ".join(f"CAST(sum(length(seq) - length(replace(seq, '{b}', ''))) AS BIGINT) AS n_{b.lower()}" for b in "ACGTN")
+
+
+@query(f"""{_with(v.DUCK_READS)}, i AS (SELECT read_id, regexp_extract_all(cigar, '(\\d+)[ID]', 1) AS x FROM v_reads), t AS (SELECT sum(len(x)) AS indels, sum(list_sum(list_transform(x, lambda y: CAST(y AS INT)))) AS bases FROM i)
+SELECT count(*) AS reads, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 4 > 0) AS unmapped, count(*) FILTER (flag & 256 = 0) AS unique_reads, count(*) FILTER (flag & 16 > 0) AS reverse_reads, min(isize) AS min_isize, max(isize) AS max_isize, CAST(sum(isize) AS BIGINT) AS sum_isize,
+min(mapq) AS min_mapq, max(mapq) AS max_mapq, CAST(sum(mapq) AS BIGINT) AS sum_mapq, CAST(min(length(seq)) AS INT) AS min_length, CAST(max(length(seq)) AS INT) AS max_length, (SELECT CAST(indels AS BIGINT) FROM t) AS indels, (SELECT CAST(bases AS BIGINT) FROM t) AS indel_bases, {_LETTERS}, count(*) FILTER (flag & 1 > 0) = 0 AS single_end FROM v_reads""")
+def bam_stats_global(spark, sf_dir):
+    return al.summary(v.reads(spark, sf_dir))
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT least(nm, 5) AS errors, count(*) AS reads FROM v_reads GROUP BY 1")
+def nm_histogram(spark, sf_dir):
+    return al.histogram(v.reads(spark, sf_dir), F.col("nm"), "errors", 5)
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT mapq AS quality, count(*) AS reads FROM v_reads GROUP BY 1")
+def quality_histogram(spark, sf_dir):
+    return al.histogram(v.reads(spark, sf_dir), F.col("mapq"), "quality")
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT CAST((length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) * 100 // length(seq) AS INT) AS gc, count(*) AS reads FROM v_reads GROUP BY 1")
+def gc_histogram(spark, sf_dir):
+    return al.histogram(v.reads(spark, sf_dir), dna.gc_percent(F.col("seq")), "gc")
+
+
+_DEPTH = f"""{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, good AS (SELECT * FROM v_reads WHERE flag & 1796 = 0 AND tid >= 0), {_OPS}, d AS (SELECT tid, p AS pos, count(*) AS depth FROM (SELECT tid, unnest(range(CAST(pos + ref_at AS BIGINT), CAST(pos + ref_at + size AS BIGINT))) AS p FROM placed WHERE op IN ('M', '=', 'X')) GROUP BY tid, p)"""
+
+
+@query(f"{_DEPTH} SELECT tid, pos, depth FROM d")
+def depth_per_base(spark, sf_dir):
+    return al.depth(v.reads(spark, sf_dir), span=256)
+
+
+@query(f"""{_DEPTH}, t AS (SELECT CAST(sum(length) AS BIGINT) AS total FROM v_contigs), h AS (SELECT least(depth, 99) AS depth, count(*) AS positions FROM d GROUP BY 1 UNION ALL SELECT 0, total - (SELECT count(*) FROM d) FROM t)
+SELECT depth, positions, round(CAST(sum(positions) OVER (ORDER BY depth DESC) AS BIGINT) / (SELECT total FROM t), 9) AS fraction FROM h""")
+def coverage_histogram(spark, sf_dir):
+    return al.coverage_histogram(al.depth(v.reads(spark, sf_dir)), v.contigs(spark, sf_dir))
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT read_id, tid, pos FROM v_reads ORDER BY CASE WHEN tid < 0 THEN 1 ELSE 0 END, tid, pos, read_id LIMIT 500")
+def coordinate_sort_topk(spark, sf_dir):
+    return al.sort_by_coordinate(v.reads(spark, sf_dir)).select("read_id", "tid", "pos").limit(500)
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT read_id, qname FROM v_reads ORDER BY CAST(substr(qname, 2) AS BIGINT), flag & 192, read_id LIMIT 500")
+def name_sort_topk(spark, sf_dir):
+    return al.sort_by_name(v.reads(spark, sf_dir)).select("read_id", "qname").limit(500)
+
+
+@query(f"{_with(v.DUCK_READS)}, h AS (SELECT *, row_number() OVER (PARTITION BY lib, tid, pos, isize ORDER BY sumq DESC, read_id) AS rn FROM v_reads WHERE flag & 1 > 0 AND flag & 12 = 0 AND mtid = tid AND isize > 0) SELECT read_id FROM v_reads WHERE qname NOT IN (SELECT qname FROM h WHERE rn > 1)")
+def rmdup_pe(spark, sf_dir):
+    return al.drop_pair_duplicates(v.reads(spark, sf_dir)).select("read_id")
+
+
+@query(f"{_with(v.DUCK_READS)}, good AS (SELECT * FROM v_reads), {_OPS}, k AS (SELECT r.read_id, row_number() OVER (PARTITION BY lib, tid, flag & 16, CASE WHEN flag & 16 > 0 THEN pos + reach ELSE pos END ORDER BY sumq DESC, read_id) AS rn FROM v_reads r JOIN span USING (read_id) WHERE flag & 4 = 0) SELECT read_id FROM k WHERE rn = 1 UNION ALL SELECT read_id FROM v_reads WHERE flag & 4 > 0")
+def rmdup_se(spark, sf_dir):
+    return al.drop_single_duplicates(v.reads(spark, sf_dir)).select("read_id")
+
+
+@query(f"""{_with(v.DUCK_READS)}, good AS (SELECT * FROM v_reads), {_OPS}, f AS (SELECT r.*, CAST(CASE WHEN flag & 16 > 0 THEN pos + reach ELSE pos END AS INT) AS five FROM v_reads r JOIN span USING (read_id)),
+p AS (SELECT qname, max(CASE WHEN flag & 64 > 0 THEN tid END) AS t1, max(CASE WHEN flag & 64 > 0 THEN pos END) AS p1, max(CASE WHEN flag & 64 > 0 THEN five END) AS f1, max(CASE WHEN flag & 128 > 0 THEN tid END) AS t2, max(CASE WHEN flag & 128 > 0 THEN pos END) AS p2, max(CASE WHEN flag & 128 > 0 THEN five END) AS f2 FROM f GROUP BY qname),
+j AS (SELECT read_id, qname, tid, five, CASE WHEN flag & 64 > 0 THEN t2 ELSE t1 END AS mate_tid, CASE WHEN flag & 64 > 0 THEN p2 ELSE p1 END AS mate_pos, CASE WHEN flag & 64 > 0 THEN f2 ELSE f1 END AS mate_five FROM f JOIN p USING (qname))
+SELECT read_id, qname, mate_tid, mate_pos, CASE WHEN tid = mate_tid THEN mate_five - five ELSE 0 END AS insert_size FROM j WHERE mate_tid IS NOT NULL""")
+def fixmate_pairs(spark, sf_dir):
+    return al.fix_mates(v.reads(spark, sf_dir))
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT read_id, CASE WHEN ds = 'mc' THEN 0 ELSE 1 END AS rg FROM v_reads")
+def merge_union(spark, sf_dir):
+    reads = v.reads(spark, sf_dir)
+    return al.merge_sorted([reads.filter("ds = 'mc'"), reads.filter("ds = 'hmc'")]).select("read_id", "rg")
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT read_id, qname || CASE WHEN flag & 64 > 0 THEN '/1' ELSE '/2' END AS id, CASE WHEN flag & 16 > 0 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS sequence, CASE WHEN flag & 16 > 0 THEN reverse(qual) ELSE qual END AS quality FROM v_reads")
+def bam2fq(spark, sf_dir):
+    return al.to_fastq(v.reads(spark, sf_dir))
+
+
+# ---- raw reads
+
+
+@query(f"{_with(v.DUCK_RAW)} SELECT id, CAST(length(sequence) AS INT) AS length, {', '.join(f'''CAST(length(sequence) - length(replace(sequence, '{b}', '')) AS INT) AS n_{b.lower()}''' for b in 'ACGTN')}, round(list_sum(list_transform(string_split(quality, ''), lambda c: ascii(c))) / length(quality), 6) AS mean_quality FROM v_raw")
+def fastq_stats(spark, sf_dir):
+    return rr.read_statistics(v.raw_reads(spark, sf_dir))
+
+
+@query(f"{_with(v.DUCK_RAW)} SELECT id, coalesce(length(sequence) BETWEEN 40 AND 80 AND list_sum(list_transform(string_split(quality, ''), lambda c: ascii(c))) / length(quality) BETWEEN 50 AND 65 AND length(sequence) - length(replace(sequence, 'N', '')) < 4, false) AS passed FROM v_raw")
+def fastq_filter(spark, sf_dir):
+    return rr.filter_reads(v.raw_reads(spark, sf_dir), (40, 80), (50, 65), 4).select("id", "passed")
+
+
+@query(f"{_with(v.DUCK_RAW)} SELECT id, substr(sequence, 4, greatest(length(sequence) - 8, 0)) AS sequence, substr(quality, 4, greatest(length(sequence) - 8, 0)) AS quality FROM v_raw")
+def fastq_trim(spark, sf_dir):
+    return rr.trim(v.raw_reads(spark, sf_dir), 3, 5)
+
+
+@query(f"{_with(v.DUCK_RAW)} SELECT id, reverse(translate(sequence, 'ACGT', 'TGCA')) AS rc, regexp_replace(translate(sequence, 'ACGT', '0123'), '[^0-3]', '4', 'g') AS code, replace(sequence, 'C', 'T') AS bs FROM v_raw")
+def sequence_functions(spark, sf_dir):
+    s = F.col("sequence")
+    return v.raw_reads(spark, sf_dir).select("id", dna.reverse_complement(s).alias("rc"), dna.encode_bases(s).alias("code"), dna.bisulfite(s, F.lit(0)).alias("bs"))
+
+
+@query(f"{_with(v.DUCK_RAW)}, k AS (SELECT unnest(list_transform(range(1, length(sequence) - 5), lambda i: substr(sequence, i, 7))) AS kmer FROM v_raw WHERE length(sequence) >= 7) SELECT kmer, count(*) AS n FROM k GROUP BY kmer")
+def kmer_counts(spark, sf_dir):
+    return rr.kmers(v.raw_reads(spark, sf_dir), "id", "sequence", 7).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def simulate_conversion(spark, sf_dir):
+    return rr.convert(v.raw_reads(spark, sf_dir), 0.3).select("id", "sequence", "converted", "total")
+
+
+# ---- variants
+
+_GT = """g AS (SELECT *, CASE WHEN format LIKE 'GT%' THEN list_transform(samples, lambda s: list_transform(string_split(split_part(s, ':', 1), '/'), lambda a: coalesce(TRY_CAST(a AS INT), -1))) END AS gts, string_split(alt, ',') AS alts FROM v_vcf),
+s AS (SELECT *, list_transform(range(0, len(alts) + 1), lambda k: len(list_filter(flatten(gts), lambda a: a = k))) AS counts, len(list_filter(flatten(gts), lambda a: a < 0)) AS missing FROM g)"""
+_VCF = f"{_with(v.DUCK_VARIANTS)}, {_GT}"
+
+
+@query(f"{_VCF} SELECT okey, counts[1] AS n_ref, counts[2] AS n_alt, missing AS missing_alleles, len(list_filter(gts, lambda x: list_contains(x, -1))) AS missing_genotypes, round(list_min(list_transform(counts, lambda c: c / nullif(list_sum(counts), 0))), 6) AS maf, length(ref) <> length(alt) AS is_indel FROM s")
+def vcf_variant_stats(spark, sf_dir):
+    rows = va.with_statistics(v.variants(spark, sf_dir))
+    as_long = lambda c: c.cast("long")
+    got = F.col("gts").isNotNull()
+    counts = lambda i: F.when(got, as_long(F.col("allele_counts")[i]))
+    return rows.select("okey", counts(0).alias("n_ref"), counts(1).alias("n_alt"), F.when(got, as_long(F.col("missing_alleles"))).alias("missing_alleles"), F.when(got, as_long(F.col("missing_genotypes"))).alias("missing_genotypes"), F.when(got, F.round("maf", 6)).alias("maf"), "is_indel")
+
+
+_STEPS = [
+    ("q30", "qual >= 30"),
+    ("snp", "id <> '.'"),
+    ("cov20", "coalesce(TRY_CAST(regexp_extract(info, 'DP=(\\d+)', 1) AS INT) >= 20, false)"),
+    ("maf45", "coalesce(list_min(list_transform(counts, lambda c: c / nullif(list_sum(counts), 0))) <= 0.45, false)"),
+    ("missing10", "coalesce(missing / nullif(missing + list_sum(counts), 0) <= 0.1, false)"),
+    ("alleles2", "len(alts) = 1"),
+]
+_FAIL = "CASE " + " ".join(f"WHEN NOT ({test}) THEN '{name}'" for name, test in _STEPS) + " END"
+
+
+@query(f"{_VCF}, f AS (SELECT *, {_FAIL} AS failed FROM s) SELECT okey, failed IS NULL AS passed, CASE WHEN failed IS NULL THEN CASE WHEN filter = '.' THEN 'PASS' ELSE filter END WHEN filter IN ('.', 'PASS') THEN failed ELSE filter || ';' || failed END AS filter FROM f")
+def vcf_filter_chain(spark, sf_dir):
+    chain = [va.quality_filter(30), va.snp_filter(), va.coverage_filter(20), va.maf_filter(0.45), va.missing_filter(0.1), va.alleles_filter(2)]
+    return va.filter_chain(v.variants(spark, sf_dir), chain).select("okey", "passed", "filter")
+
+
+@query(f"{_VCF}, r AS (SELECT CAST(s_suppkey % 22 + 1 AS STRING) AS chrom, (s_suppkey * 7919) % 900000 AS a, (s_suppkey * 7919) % 900000 + 5000 AS b FROM supplier) SELECT okey FROM s WHERE EXISTS (SELECT 1 FROM r WHERE r.chrom = s.chrom AND s.pos BETWEEN a AND b)")
+def vcf_region_filter(spark, sf_dir):
+    regions = v.tables(spark, sf_dir, "supplier")["supplier"].selectExpr("CAST(s_suppkey % 22 + 1 AS STRING) AS chrom", "(s_suppkey * 7919) % 900000 AS start", "(s_suppkey * 7919) % 900000 + 5000 AS `end`")
+    return va.filter_chain(v.variants(spark, sf_dir), [va.region_filter(regions)], regions).filter("passed").select("okey")
+
+
+_ONE = "length(ref) = 1 AND length(alt) = 1 AND ref <> alt"
+
+
+@query(f"""{_VCF} SELECT count(*) AS variants, 6 AS samples, count(*) FILTER (id <> '.') AS snps, count(*) FILTER (length(ref) <> length(alt)) AS indels, count(*) FILTER ({_ONE} AND ref || alt IN ('AG', 'GA', 'CT', 'TC')) AS transitions, count(*) FILTER ({_ONE} AND ref || alt NOT IN ('AG', 'GA', 'CT', 'TC')) AS transversions,
+count(*) FILTER (len(alts) = 1) AS biallelic, count(*) FILTER (len(alts) > 1) AS multiallelic, count(*) FILTER (filter = 'PASS') AS passes, round(sum(CASE WHEN qual >= 0 THEN qual ELSE 0 END) / count(*), 6) AS mean_quality FROM s""")
+def vcf_file_stats(spark, sf_dir):
+    return va.file_statistics(v.variants(spark, sf_dir))
+
+
+@query(f"{_VCF}, u AS (SELECT unnest(range(6)) AS sample, unnest(gts) AS gt FROM s WHERE gts IS NOT NULL) SELECT CAST(sample AS INT) AS sample, count(*) FILTER (list_contains(gt, -1)) AS missing_genotypes, count(*) AS genotypes FROM u GROUP BY 1")
+def vcf_sample_stats(spark, sf_dir):
+    return va.sample_statistics(v.variants(spark, sf_dir))
+
+
+_TRIOS = "SELECT * FROM VALUES (2, 0, 1, 1), (3, 0, 1, 2), (5, 4, 1, 1) AS t(sample, father, mother, sex)"
+
+
+@query(f"""{_VCF}, p AS (SELECT * FROM (VALUES (2, 0, 1, 1), (3, 0, 1, 2), (5, 4, 1, 1)) t(sample, father, mother, sex)), k AS (SELECT p.sample, chrom, sex, gts[p.sample + 1] AS c, gts[father + 1] AS f, gts[mother + 1] AS m FROM s, p WHERE gts IS NOT NULL)
+SELECT sample, count(*) FILTER (NOT list_contains(c, -1) AND NOT list_contains(f, -1) AND NOT list_contains(m, -1) AND CASE WHEN chrom = 'X' AND sex = 1 THEN NOT (list_contains(m, c[1]) AND list_contains(m, c[2])) ELSE NOT ((list_contains(f, c[1]) AND list_contains(m, c[2])) OR (list_contains(f, c[2]) AND list_contains(m, c[1]))) END) AS mendel_errors FROM k GROUP BY sample""")
+def mendel_errors(spark, sf_dir):
+    return va.mendel_errors(v.variants(spark, sf_dir), spark.sql(_TRIOS))
+
+
+_AFFECTED = [True, False, True, True, False, False]
+_CASE = str(_AFFECTED).lower()
+
+
+def _share(test: str) -> str:
+    return f"round(coalesce(len(list_filter(seen, lambda z: {test})) * 100 / nullif(len(seen), 0), 0), 6)"
+
+
+@query(f"""{_VCF}, z AS (SELECT chrom, pos, list_filter(list_zip(gts, {_CASE}), lambda z: NOT list_contains(z[1], -1)) AS seen FROM s WHERE gts IS NOT NULL)
+SELECT chrom, pos, {_share("z[2] AND list_sum(z[1]) > 0")} AS cases_dominant, {_share("NOT z[2] AND list_sum(z[1]) = 0")} AS controls_dominant, {_share("z[2] AND list_min(z[1]) > 0")} AS cases_recessive, {_share("NOT z[2] AND list_min(z[1]) = 0")} AS controls_recessive FROM z""")
+def inheritance_pct(spark, sf_dir):
+    return va.inheritance(v.variants(spark, sf_dir), _AFFECTED)
+
+
+@query(f"""{_VCF}, x AS (SELECT okey, chrom, pos, list_transform(gts, lambda g: CASE WHEN list_contains(g, -1) THEN NULL ELSE len(list_filter(g, lambda a: a > 0)) END) AS d FROM s WHERE gts IS NOT NULL),
+y AS (SELECT a.chrom, a.pos AS pos1, b.pos AS pos2, unnest(a.d) AS p, unnest(b.d) AS q, a.okey AS k1, b.okey AS k2 FROM x a JOIN x b ON a.chrom = b.chrom AND b.pos > a.pos AND b.pos - a.pos <= 300),
+t AS (SELECT chrom, pos1, pos2, k1, k2, count(*) FILTER (p IS NOT NULL AND q IS NOT NULL) AS n, coalesce(sum(p) FILTER (q IS NOT NULL), 0) AS a, coalesce(sum(q) FILTER (p IS NOT NULL), 0) AS b, coalesce(sum(p * p) FILTER (q IS NOT NULL), 0) AS aa, coalesce(sum(q * q) FILTER (p IS NOT NULL), 0) AS bb, coalesce(sum(p * q), 0) AS ab FROM y GROUP BY ALL)
+SELECT chrom, pos1, pos2, round(coalesce(CAST((n * ab - a * b) * (n * ab - a * b) AS DOUBLE) / nullif(CAST((n * aa - a * a) * (n * bb - b * b) AS DOUBLE), 0), 0), 6) AS r2 FROM t""")
+def ld_pairs(spark, sf_dir):
+    return va.linkage(v.variants(spark, sf_dir), 300)
+
+
+@query(f"{_VCF} SELECT okey, 'AA=1' || CASE WHEN info LIKE '%DP=%' THEN ';' || regexp_extract(info, '(DP=\\d+)', 1) ELSE '' END AS info, samples[3] || ',' || samples[1] AS picked FROM s")
+def vcf_projection(spark, sf_dir):
+    rows = va.subset(va.without_info(v.variants(spark, sf_dir), ["H2"]), [2, 0])
+    return rows.select("okey", "info", F.array_join("samples", ",").alias("picked"))
+
+
+# ---- pileup, tests, alignment
+
+
+@query(f"""{_with(v.DUCK_READS)}, good AS (SELECT * FROM v_reads WHERE flag & 1796 = 0 AND tid >= 0 AND mapq >= 10), {_OPS}, e AS (SELECT *, coalesce(o[k + 1], '') AS next_op, coalesce(n[k + 1], 0) AS next_n FROM placed JOIN span USING (read_id)),
+b AS (SELECT read_id, tid, flag & 16 > 0 AS rev, mapq, CAST(pos + ref_at + i AS BIGINT) AS p0, ref_at + i = 0 AS head, ref_at + i = reach - 1 AS tail, op, i = size - 1 AS ends, next_op, next_n, read_at, i, seq, qual FROM (SELECT *, unnest(range(size)) AS i FROM e WHERE op IN ('M', '=', 'X', 'D', 'N'))),
+t AS (SELECT tid, p0 AS pos, read_id, CASE WHEN head THEN '^' || chr(CAST(least(mapq, 93) + 33 AS INT)) ELSE '' END || CASE WHEN op = 'D' THEN '*' WHEN op = 'N' THEN CASE WHEN rev THEN '<' ELSE '>' END ELSE CASE WHEN rev THEN lower(substr(seq, CAST(read_at + i + 1 AS BIGINT), 1)) ELSE substr(seq, CAST(read_at + i + 1 AS BIGINT), 1) END END
+ || CASE WHEN ends AND op IN ('M', '=', 'X') AND next_op = 'I' THEN '+' || CAST(next_n AS STRING) || CASE WHEN rev THEN lower(substr(seq, CAST(read_at + i + 2 AS BIGINT), next_n)) ELSE substr(seq, CAST(read_at + i + 2 AS BIGINT), next_n) END WHEN ends AND op IN ('M', '=', 'X') AND next_op = 'D' THEN '-' || CAST(next_n AS STRING) || repeat(CASE WHEN rev THEN 'n' ELSE 'N' END, next_n) ELSE '' END || CASE WHEN tail THEN '$' ELSE '' END AS tok,
+ substr(qual, CAST(CASE WHEN op IN ('M', '=', 'X') THEN read_at + i + 1 ELSE greatest(read_at, 1) END AS BIGINT), 1) AS q FROM b)
+SELECT tid, pos, count(*) AS depth, string_agg(tok, '' ORDER BY read_id) AS bases, string_agg(q, '' ORDER BY read_id) AS qualities FROM t GROUP BY tid, pos""")
+def mpileup(spark, sf_dir):
+    return pl.pileup_text(v.reads(spark, sf_dir), min_mapq=10)
+
+
+@query(f"""{_with(v.DUCK_READS)}, c AS (SELECT tid, count(*) FILTER (flag & 16 = 0 AND mapq >= 25) AS a, count(*) FILTER (flag & 16 > 0 AND mapq >= 25) AS b, count(*) FILTER (flag & 16 = 0 AND mapq < 25) AS c, count(*) FILTER (flag & 16 > 0 AND mapq < 25) AS d FROM v_reads GROUP BY tid),
+h AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) AS k, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM c),
+p AS (SELECT *, exp(k - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1)) AS p, exp(k - lgamma(a + 1) - lgamma(b + 1) - lgamma(c + 1) - lgamma(d + 1)) AS seen FROM h)
+SELECT tid, a, b, c, d, round(least(1, sum(CASE WHEN p <= seen * (1 + 1e-7) THEN p ELSE 0 END)), 6) AS p_value FROM p GROUP BY tid, a, b, c, d""")
+def strand_bias(spark, sf_dir):
+    reads = v.reads(spark, sf_dir)
+    forward, high = dna.lacks(F.col("flag"), dna.REVERSE), F.col("mapq") >= 25
+    counts = reads.groupBy("tid").agg(*[F.count_if(t).alias(k) for k, t in (("a", forward & high), ("b", ~forward & high), ("c", forward & ~high), ("d", ~forward & ~high))])
+    return counts.select("*", F.round(sc.fisher_exact("a", "b", "c", "d"), 6).alias("p_value"))
+
+
+@query(f"""{_VCF}, k AS (SELECT okey, len(list_filter(gts, lambda g: list_sum(g) = 0 AND NOT list_contains(g, -1))) AS n0, len(list_filter(gts, lambda g: list_sum(g) = 1 AND NOT list_contains(g, -1))) AS n1, len(list_filter(gts, lambda g: list_sum(g) = 2 AND NOT list_contains(g, -1))) AS n2 FROM s WHERE gts IS NOT NULL AND len(alts) = 1),
+q AS (SELECT *, n0 + n1 + n2 AS n, (2 * n0 + n1) / nullif(CAST(2 * (n0 + n1 + n2) AS DOUBLE), 0) AS p FROM k)
+SELECT okey, n0, n1, n2, round(coalesce((n0 - n * p * p) * (n0 - n * p * p) / nullif(n * p * p, 0), 0) + coalesce((n1 - 2 * n * p * (1 - p)) * (n1 - 2 * n * p * (1 - p)) / nullif(2 * n * p * (1 - p), 0), 0) + coalesce((n2 - n * (1 - p) * (1 - p)) * (n2 - n * (1 - p) * (1 - p)) / nullif(n * (1 - p) * (1 - p), 0), 0), 6) AS chi2 FROM q""")
+def hardy_weinberg(spark, sf_dir):
+    rows = va.with_genotypes(v.variants(spark, sf_dir)).filter("gts IS NOT NULL AND size(alts) = 1")
+    return sc.hardy_weinberg(rows).select("okey", "n0", "n1", "n2", F.round("chi2", 6).alias("chi2"))
+
+
+@query()
+def local_alignment(spark, sf_dir):
+    """Every tenth position of a reference against each raw read."""
+    reads = v.raw_reads(spark, sf_dir).filter("length(sequence) >= 20")
+    return reads.select("id", sc.smith_waterman("sequence", F.lit("ACGTTGCATGCATCGACCGGTTACGATCAGCTA")).alias("a")).select("id", "a.score", "a.start1", "a.end1", "a.start2", "a.end2")
+
+
+@query()
+def allele_frequency_em(spark, sf_dir):
+    rows = va.with_genotypes(v.variants(spark, sf_dir)).filter("gts IS NOT NULL AND size(alts) = 1")
+    return sc.allele_frequency(rows).select("okey", F.round("freq", 6).alias("freq"))
+
+
+_CONTIG_PIECES = "SELECT CAST(item_id AS STRING) AS chrom, CAST(0 AS BIGINT) AS start, translate(lower(text), 'etaoinshrdlucmfwypvbgkjqxz', 'ACGTACGTACGTACGTNCGTACGTAC') AS sequence FROM {benchmark}"
+_SEEDS = "SELECT CAST(doc_id AS STRING) AS id, substr(translate(lower(text), 'etaoinshrdlucmfwypvbgkjqxz', 'ACGTACGTACGTACGTNCGTACGTAC'), 1, 10) AS sequence FROM {documents}"
+
+
+@query(f"WITH c AS ({_CONTIG_PIECES.replace('{benchmark}', 'benchmark')}), r0 AS ({_SEEDS.replace('{documents}', 'documents')}), r AS (SELECT id, sequence, 0 AS strand FROM r0 UNION ALL SELECT id, reverse(translate(sequence, 'ACGT', 'TGCA')), 1 FROM r0), p AS (SELECT *, unnest(range(greatest(length(sequence) - 7, 0))) AS p0 FROM c) SELECT DISTINCT id, chrom, CAST(start + p0 AS BIGINT) AS pos, CAST(strand AS INT) AS strand FROM p JOIN r ON substr(p.sequence, p0 + 1, length(r.sequence)) = r.sequence WHERE length(r.sequence) >= 8")
+def map_exact_reads(spark, sf_dir):
+    t = v.tables(spark, sf_dir, "benchmark", "documents")
+    return rr.map_exact(spark.sql(_SEEDS, documents=t["documents"]), spark.sql(_CONTIG_PIECES, benchmark=t["benchmark"]), 8)
+
+
+@query("""SELECT c_custkey, lower(c_name) AS lowered, len(list_filter(regexp_split_to_array(c_name, '[#0]'), lambda x: x <> '')) AS pieces, coalesce(regexp_matches(substr(c_name, 10), '^[+-]?(\\d+\\.?\\d*|\\.\\d+)$'), false) AS numeric_tail,
+ substr(c_name, 1, 2) || substr(c_name, 4) AS without_third, c_mktsegment LIKE 'B%' AS starts_b, regexp_extract(c_name || ' x', '^([^ \t]*)', 1) AS first_word FROM customer""")
+def string_functions(spark, sf_dir):
+    name = F.col("c_name")
+    rows = v.tables(spark, sf_dir, "customer")["customer"]
+    return rows.select(
+        "c_custkey",
+        F.lower(name).alias("lowered"),
+        F.size(text.tokens(name, "#0")).cast("long").alias("pieces"),
+        text.is_numeric(F.substring(name, 10, 100)).alias("numeric_tail"),
+        text.remove_at(name, 2).alias("without_third"),
+        F.col("c_mktsegment").startswith("B").alias("starts_b"),
+        text.to_first_blank(F.concat(name, F.lit(" x"))).alias("first_word"),
+    )
+
+
+@query("""WITH e AS (SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h, value FROM events) SELECT event_type, h, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY event_type ORDER BY h ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM e GROUP BY event_type, h""")
+def coverage_window(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = v.tables(spark, sf_dir, "events")["events"]
+    hours = rows.groupBy("event_type", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return hours.withColumn("running", F.sum("n").over(Window.partitionBy("event_type").orderBy("h").rowsBetween(-23, 0)))
