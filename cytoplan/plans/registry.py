@@ -12,6 +12,7 @@ from cytoplan.operators import alignments as al
 from cytoplan.operators import meth_map as mm
 from cytoplan.operators import pileup as pl
 from cytoplan.operators import raw_reads as rr
+from cytoplan.operators import reference as rf
 from cytoplan.operators import regions as rg
 from cytoplan.operators import scoring as sc
 from cytoplan.operators import signal as sg
@@ -522,3 +523,29 @@ def coverage_window(spark, sf_dir):
     rows = v.tables(spark, sf_dir, "events")["events"]
     hours = rows.groupBy("event_type", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("h")).agg(F.count(F.lit(1)).alias("n"))
     return hours.withColumn("running", F.sum("n").over(Window.partitionBy("event_type").orderBy("h").rowsBetween(-23, 0)))
+
+
+# ---- reference
+
+_CONTIG_TEXT = "SELECT tid, length, substr(repeat('ACGTTGCAAGCATCGACCGG', 140), tid + 1, CAST(length AS INT)) AS sequence FROM {contigs}"
+
+
+@query(f"""{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, good AS (SELECT * FROM v_reads WHERE flag & 4 = 0 AND tid >= 0), {_OPS}, ref AS ({_CONTIG_TEXT.replace('{contigs}', 'v_contigs')}),
+b AS (SELECT read_id, tid, CAST(pos + ref_at + i AS BIGINT) AS p0, op, substr(seq, CAST(read_at + i + 1 AS BIGINT), 1) AS base FROM (SELECT *, unnest(range(size)) AS i FROM placed WHERE op IN ('M', '=', 'X', 'D')))
+SELECT g.read_id, CAST(coalesce(m.bad, 0) + coalesce(list_sum(list_transform(regexp_extract_all(g.cigar, '(\\d+)I', 1), lambda x: CAST(x AS INT))), 0) AS INT) AS nm FROM good g LEFT JOIN
+(SELECT b.read_id, count(*) FILTER (op = 'D' OR base <> substr(r.sequence, p0 + 1, 1) OR base = 'N') AS bad FROM b JOIN ref r ON r.tid = b.tid GROUP BY b.read_id) m ON m.read_id = g.read_id""")
+def edit_distances(spark, sf_dir):
+    reads = v.reads(spark, sf_dir)
+    contigs = spark.sql(_CONTIG_TEXT, contigs=v.contigs(spark, sf_dir))
+    return rf.mismatch_tags(reads, contigs, 512, 128).select("read_id", "nm")
+
+
+@query(f"{_with(v.DUCK_READS)}, good AS (SELECT * FROM v_reads), {_OPS} SELECT r.read_id FROM v_reads r JOIN span USING (read_id) WHERE tid = 3 AND pos < 900 AND pos + reach > 500")
+def region_fetch(spark, sf_dir):
+    return rf.fetch(v.reads(spark, sf_dir), 3, 500, 900).select("read_id")
+
+
+@query(f"{_with(v.DUCK_READS)}, g AS (SELECT * FROM (VALUES (0, 'blood'), (1, 'liver')) t(grp, sample)) SELECT coalesce(sample, CAST(lib AS STRING)) AS sample, count(*) AS reads, CAST(sum(mapq) AS BIGINT) AS sum_mapq FROM v_reads LEFT JOIN g ON lib = grp GROUP BY 1")
+def reads_by_sample(spark, sf_dir):
+    groups = spark.sql("SELECT * FROM VALUES (0, 'blood'), (1, 'liver') AS t(`group`, sample)")
+    return rf.with_sample(v.reads(spark, sf_dir), groups).groupBy("sample").agg(F.count(F.lit(1)).alias("reads"), F.sum("mapq").alias("sum_mapq"))

@@ -166,3 +166,43 @@ def test_streaming_windows(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.tid, r.reads, r.sum_mapq) for r in spark.sql("SELECT * FROM windows").collect()}
     assert got == {(0, 3, 60), (1, 2, 40)}
+
+
+def md_by_hand(ref, pos, cigar, seq):
+    import re
+
+    md, run, nm, q, r, gap = "", 0, 0, 0, pos, False
+    for k, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
+        for i in range(int(k)):
+            if op in "M=X":
+                if seq[q] == ref[r]:
+                    run += 1
+                else:
+                    md, run, nm = md + f"{run}{ref[r]}", 0, nm + 1
+                gap = False
+            elif op == "D":
+                md, run, nm, gap = (md + ref[r], 0, nm + 1, True) if gap else (md + f"{run}^{ref[r]}", 0, nm + 1, True)
+            elif op == "I":
+                nm += 1
+            q += op in "MIS=X"
+            r += op in "MDN=X"
+    return nm, md + str(run)
+
+
+def test_mismatch_tags(spark):
+    rng = random.Random(4)
+    ref = "".join(rng.choices("ACGT", k=300))
+    rows = []
+    for i in range(60):
+        cigar = rng.choice(["20M", "5S10M2D8M", "6M3I9M", "4M1D1M1D10M", "8=1X8="])
+        import re
+
+        need = sum(int(k) for k, o in re.findall(r"(\d+)(.)", cigar) if o in "MIS=X")
+        pos = rng.randrange(0, 250)
+        seq = "".join(c if rng.random() < 0.8 else rng.choice("ACGT") for c in (ref[pos : pos + need] + "A" * need)[:need])
+        rows.append((i, 0, pos, 0, cigar, seq))
+    from cytoplan.operators.reference import mismatch_tags
+
+    reads = spark.createDataFrame(rows, "read_id int, tid int, pos int, flag int, cigar string, seq string")
+    got = {r.read_id: (r.nm, r.md) for r in mismatch_tags(reads, spark.createDataFrame([(0, ref)], "tid int, sequence string"), 64, 40).collect()}
+    assert got == {i: md_by_hand(ref, pos, cigar, seq) for i, _, pos, _, cigar, seq in rows}
