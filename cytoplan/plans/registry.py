@@ -14,6 +14,7 @@ from cytoplan.operators import pileup as pl
 from cytoplan.operators import raw_reads as rr
 from cytoplan.operators import reference as rf
 from cytoplan.operators import regions as rg
+from cytoplan.operators import reports as rp
 from cytoplan.operators import scoring as sc
 from cytoplan.operators import signal as sg
 from cytoplan.operators import variants as va
@@ -549,3 +550,28 @@ def region_fetch(spark, sf_dir):
 def reads_by_sample(spark, sf_dir):
     groups = spark.sql("SELECT * FROM VALUES (0, 'blood'), (1, 'liver') AS t(`group`, sample)")
     return rf.with_sample(v.reads(spark, sf_dir), groups).groupBy("sample").agg(F.count(F.lit(1)).alias("reads"), F.sum("mapq").alias("sum_mapq"))
+
+
+# ---- reports
+
+
+@query(f"""{_with(v.DUCK_READS)}, s AS (SELECT count(*) AS reads, sum(isize) AS sum_isize, sum(length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) AS gc, sum(length(replace(seq, 'N', ''))) AS letters, max(mapq) AS top FROM v_reads)
+SELECT 'reads' AS name, CAST(reads AS DOUBLE) AS value FROM s UNION ALL SELECT 'max_mapq', CAST(top AS DOUBLE) FROM s UNION ALL SELECT 'mean_isize', round(sum_isize / reads, 6) FROM s UNION ALL SELECT 'gc_percent', round(gc * 100 / letters, 6) FROM s""")
+def alignment_report(spark, sf_dir):
+    return rp.alignment_report(v.reads(spark, sf_dir)).filter(F.col("name").isin("reads", "max_mapq", "mean_isize", "gc_percent"))
+
+
+@query(f"""{_VCF} SELECT 'ti_tv' AS name, round((count(*) FILTER ({_ONE} AND ref || alt IN ('AG', 'GA', 'CT', 'TC'))) / (count(*) FILTER ({_ONE} AND ref || alt NOT IN ('AG', 'GA', 'CT', 'TC'))), 6) AS value FROM s UNION ALL SELECT 'variants', CAST(count(*) AS DOUBLE) FROM s""")
+def variant_report(spark, sf_dir):
+    return rp.variant_report(v.variants(spark, sf_dir)).filter(F.col("name").isin("ti_tv", "variants"))
+
+
+@query(f"{_VCF} SELECT okey FROM s WHERE length(ref) = length(alt) AND regexp_matches(ref, '^[ACGT]+$') AND regexp_matches(alt, '^[ACGT,]+$') AND coalesce(len(gts) - len(list_filter(gts, lambda g: list_contains(g, -1))) >= 0.9 * len(gts), false)")
+def view_sites(spark, sf_dir):
+    return rp.view_sites(v.variants(spark, sf_dir), indels=False, plain_letters=True, variants_only=True, min_present=0.9).select("okey")
+
+
+@query(f"{_with(v.DUCK_READS)}, g AS (SELECT tid, count(*) FILTER (flag & 16 = 0) AS n1, count(*) FILTER (flag & 16 > 0) AS n2, avg(mapq) FILTER (flag & 16 = 0) AS m1, avg(mapq) FILTER (flag & 16 > 0) AS m2, var_samp(mapq) FILTER (flag & 16 = 0) AS v1, var_samp(mapq) FILTER (flag & 16 > 0) AS v2 FROM v_reads GROUP BY tid) SELECT tid, n1, n2, round(m1, 6) AS mean1, round(m2, 6) AS mean2, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t FROM g")
+def quality_bias(spark, sf_dir):
+    out = rp.two_samples(v.reads(spark, sf_dir), ["tid"], "mapq", dna.has(F.col("flag"), dna.REVERSE))
+    return out.select("tid", "n1", "n2", *[F.round(c, 6).alias(c) for c in ("mean1", "mean2", "t")])
