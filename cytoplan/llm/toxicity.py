@@ -7,8 +7,9 @@ binomial test with Bonferroni's correction over all substrings), the most tellin
 whole, their ordinary words fill the dictionary and the two hardly differ; the README has figures.
 
 Every window of a document is compressed with both.  How much shorter the toxic dictionary makes a window is compared
-with thresholds of 3 to 7 bytes; how many windows pass each, the largest gains and the mean give the score by a logistic
-regression that is calibrated on the sample.
+with thresholds of 1 to 7 bytes; how many windows pass each, the largest gains and the mean give the score by a logistic
+regression that is calibrated on the sample. Chance gains are the rarer the fewer letters beyond ASCII a text has, so the
+share of these is known to it too; toxic documents weigh twice, as they are few.
 
 The whole text of every document is read.  Labels are taken from a bounded sample: at most TOXIC_DOCS toxic and
 ORDINARY_DOCS ordinary documents (see `labelled_sample`).
@@ -43,11 +44,14 @@ TOXIC_DOCS, ORDINARY_DOCS = 1024, 4096
 WINDOW, STEP = 48, 32
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
 SHORTEST, LONGEST = 6, 12
-GAINS = (3, 4, 5, 6, 7)
+GAINS = (1, 2, 3, 4, 5, 6, 7)
+#: Weight of a toxic document in the calibration.
+TOXIC_WEIGHT = 2
 THRESHOLD = 0.5
 
 # letters and digits stay, A-Z lower-cased, all else is a space
 _FOLD = bytes((c + 32) if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_BEYOND = bytes(range(128, 256))
 
 
 def normalised(text: str | None) -> bytes:
@@ -146,15 +150,22 @@ class Distance:
         top = np.sort(gain)[::-1]
         passed = [(gain >= g).sum() for g in GAINS]
         n = len(parts)
+        beyond = 1 - len(text.translate(None, _BEYOND)) / max(1, len(text))
+        quiet = exp(-200 * beyond)
         return [
             top[0],
             top[:3].mean(),
             gain.mean(),
             log1p(np.maximum(gain - 2, 0).sum()),
             log(n),
-            log(sum(plain) / max(1, len(text))),
+            log(sum(plain) / (WINDOW * n)),
             *(log1p(k) for k in passed),
-            *(k / n for k in passed[::2]),
+            *(k / n for k in passed[2::2]),
+            beyond,
+            quiet,
+            *(quiet * log1p(k) for k in passed[:4]),
+            quiet * log(n),
+            quiet * top[0],
         ]
 
 
@@ -185,10 +196,10 @@ def fit(toxic_texts: list[str], ordinary_texts: list[str]) -> Model | None:
     y = np.repeat([1.0, 0.0], [len(toxic), len(plain)])
     model.centre, model.scale = rows.mean(axis=0), rows.std(axis=0) + 1e-9
     z = np.hstack([np.ones((len(rows), 1)), (rows - model.centre) / model.scale])
-    w = np.zeros(z.shape[1])
+    w, times = np.zeros(z.shape[1]), np.where(y > 0, TOXIC_WEIGHT, 1)
     for _ in range(50):  # Newton's method, with a small ridge
         p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
-        w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(len(w)), z.T @ (y - p) - w)
+        w += np.linalg.solve((z * (times * p * (1 - p))[:, None]).T @ z + np.eye(len(w)), z.T @ (times * (y - p)) - w)
     model.weights = w
     return model
 
