@@ -21,10 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: its lineage ends there, and any executor can read it."""
+    """Write a table to the shared folder and read it again: its lineage ends there, and any executor can read it.
+
+    The application removes the table when it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cytoplan-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

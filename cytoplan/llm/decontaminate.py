@@ -145,11 +145,11 @@ def find_hits(texts: pa.Array, seeds: Seeds, threshold: float) -> list[list[dict
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with `hits`: item_id, coverage and tiles of every benchmark item that they contain."""
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, block_bytes: int = BLOCK_BYTES, into: str = "hits") -> DataFrame:
+    """The documents with a column `into`: item_id, coverage and tiles of every benchmark item that they contain."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("hits")
+    docs = docs.drop(into)
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
@@ -166,9 +166,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = COVE
 
         out = out.mapInArrow(run, T.StructType([*out.schema, T.StructField(name, HITS)]))
         names.append(name)
-    return out.withColumn("hits", F.array_sort(F.flatten(F.array(*names)))).drop(*names)
+    return out.withColumn(into, F.array_sort(F.flatten(F.array(*names)))).drop(*names)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
     """The documents that contain no benchmark item, with their columns as they were."""
-    return contamination(docs, benchmark, **options).filter(F.size("hits") == 0).select(*docs.columns)
+    return contamination(docs, benchmark, into="_hits", **options).filter(F.size("_hits") == 0).select(*docs.columns)

@@ -64,7 +64,7 @@ def test_against_brute_force(spark, block_bytes):
 
 
 def test_stage(spark):
-    docs = frame(spark, [(1, "nothing to see in this text"), (2, " ".join(prose(30, 1))), (3, None)]).withColumnRenamed("lang", "coverage")
+    docs = frame(spark, [(1, "nothing to see in this text"), (2, " ".join(prose(30, 1))), (3, None)]).withColumnRenamed("lang", "hits")
     left = decontaminate(docs, spark.createDataFrame([(1, " ".join(prose(30, 1)))], "item_id long, text string"))
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {1, 3}
     none = spark.createDataFrame([], "item_id long, text string")
