@@ -3,7 +3,7 @@
 Two zstandard dictionaries are made from a bounded labelled sample.  The ordinary one is trained by zstandard on windows
 of ordinary texts.  The toxic one holds in front of the same content the stretches of toxic texts that set them apart:
 substrings of words, six bytes or more, that are significantly more common in toxic than in ordinary documents (an exact
-binomial test with Bonferroni's correction over all substrings), the most telling ones last.  With toxic texts trained
+binomial test with Bonferroni's correction over all that are counted), the most telling ones last.  With toxic texts trained
 whole, their ordinary words fill the dictionary and the two hardly differ; the README has figures.
 
 Every window of a document is compressed with both.  How much shorter the toxic dictionary makes a window is compared
@@ -68,29 +68,44 @@ def windows(text: bytes) -> list[bytes]:
     return out
 
 
-def _stretches(word: bytes) -> set[bytes]:
+def _stretches(word: bytes, common: set[bytes]) -> set[bytes]:
+    """Parts of the word, of which every SHORTEST bytes are common."""
     x = b" " + word + b" "
-    return {x[k : k + n] for n in range(SHORTEST, LONGEST + 1) for k in range(len(x) - n + 1)}
+    out, reach = set(), 0
+    for k in range(len(x) - SHORTEST, -1, -1):
+        reach = reach + 1 if x[k : k + SHORTEST] in common else 0
+        out.update(x[k : k + n] for n in range(SHORTEST, min(LONGEST, SHORTEST + reach - 1) + 1))
+    return out
 
 
 def telling_stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """Parts of words that mark toxic texts, by how often they stand there, rarest first."""
     n, m = len(toxic), len(ordinary)
-    share = n / (n + m)
-    held: Counter[bytes] = Counter()
+    share, fewest = n / (n + m), max(4, n // 200)
+    short: Counter[bytes] = Counter()
     for text in toxic:
-        held.update(set().union(*map(_stretches, set(text.split()))))
-    tests = max(1, len(held))
-    often = {g for g, c in held.items() if c >= max(4, n // 200)}
-    other: Counter[bytes] = Counter()
-    known: dict[bytes, set[bytes]] = {}
-    for text in ordinary:
-        found: set[bytes] = set()
-        for word in set(text.split()):
-            if word not in known:
-                known[word] = _stretches(word) & often
-            found |= known[word]
-        other.update(found)
+        short.update({x[k : k + SHORTEST] for w in set(text.split()) for x in (b" " + w + b" ",) for k in range(len(x) - SHORTEST + 1)})
+    # a longer stretch can't be commoner than its parts
+    common = {g for g, c in short.items() if c >= fewest}
+    tests = len(short)
+    del short
+
+    def held_by(texts: list[bytes]) -> Counter[bytes]:
+        out: Counter[bytes] = Counter()
+        known: dict[bytes, frozenset[bytes]] = {}
+        none: frozenset[bytes] = frozenset()
+        for text in texts:
+            found: set[bytes] = set()
+            for word in set(text.split()):
+                if word not in known:
+                    known[word] = frozenset(_stretches(word, common)) or none
+                found |= known[word]
+            out.update(found)
+        return out
+
+    held, other = held_by(toxic), held_by(ordinary)
+    often = {g for g, c in held.items() if c >= fewest}
+    tests += len(held)
 
     def chance(k: int, total: int) -> float:
         """Probability of k or more of `total` in toxic texts if the stretch didn't matter."""
