@@ -12,8 +12,12 @@
 5. A pair is a link if the weighted Jaccard similarity of all its shingles is 0.8 or more.  Classes are the connected
    components of the links.
 6. Buckets that still hold several classes are gone through once more: sorted by their further bands, so that the
-   most alike stand together, each member is compared with its next four if they are of other classes (a bucket of
-   five is compared in full).  This finds links whose ends both failed against the central member.
+   most alike stand together, each member is compared with its next four if they are of other classes.  This only
+   joins most of what belongs together before the last step.
+7. All members of the buckets that are of several classes even then are joined by an exact prefix filter: texts of
+   similarity 0.8 share a shingle among those that make up more than the rarer fifth of either's weight, and neither
+   weighs less than 0.8 of the other.  Every such pair of different classes is compared, so no pair of a bucket that
+   is similar enough is left out, however large the bucket is.
 
 Defined cases
 -------------
@@ -45,7 +49,7 @@ BANDS, ROWS = 10, 3
 CLASSES = 1 << 16
 #: How much more the rarest shingle weighs than the most frequent one.
 IDF_RANGE = 0.25
-#: Members that are compared in a bucket of several classes: the next so many, in parts of about so many.
+#: The pass before the exact one: members are compared with the next so many, in parts of about so many.
 NEIGHBOURS, PART = 4, 64
 #: Bits of the table that keeps most texts without a bucket out of the shuffle of profiles (8 MB, whatever the corpus).
 MARK_BITS = 1 << 26
@@ -220,6 +224,56 @@ def cross_pairs(marked: DataFrame, classes: DataFrame) -> DataFrame:
     return met.select(F.least("node", "next").alias("one"), F.greatest("node", "next").alias("two")).distinct()
 
 
+def mixed_members(marked: DataFrame, classes: DataFrame) -> DataFrame:
+    """node and class of everyone in a bucket of several classes."""
+    spread = F.pmod("h", F.lit(1024)).alias("k")
+    known = marked.join(classes, "node", "left").select("node", "bands", F.coalesce("component", "node").alias("class"))
+    single = known.select("node", "class", F.posexplode("bands").alias("f", "h"))
+    mixed = single.groupBy("f", "h").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b")
+    return single.select("*", spread).join(mixed.select("f", "h", spread), ["f", "h", "k"]).select("node", "class").distinct()
+
+
+def prefix(profile: bytes, idf: np.ndarray, similarity: float) -> tuple[np.ndarray, float]:
+    """The shingles of a text, from the rarest on, without which less than `similarity` of its weight is left; and its weight.
+
+    The order is the same for all texts; how well it follows the frequencies decides on time only, not on the result.
+    """
+    a, m = np.unique(np.frombuffer(profile, dtype="<u4"), return_counts=True)
+    each = idf[class_of(a.astype(np.uint64))]
+    order = np.lexsort((a, -each))
+    rest = np.cumsum((each * m)[order][::-1])[::-1]
+    return a[order[rest >= similarity * rest[0] * (1 - 1e-9)]] if len(a) else a, float(rest[0]) if len(a) else 0.0
+
+
+def prefixes(members: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
+    """node, class, weight and token: a row for each shingle of the prefix; members has node, class and shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [prefix(x, idf.value, similarity) for x in batch.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(t) for t, _ in found]), pa.int64())
+            tokens = np.concatenate([np.zeros(0, dtype=np.uint32), *(t for t, _ in found)]).astype(np.int64)
+            weights = pa.array([w for _, w in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), weights.take(at), pa.array(tokens)], names=["node", "class", "weight", "token"])
+
+    return members.select("node", "class", "shingles").mapInArrow(run, "node long, class long, weight double, token long")
+
+
+def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """one and two: all pairs of different classes that share a token of their prefixes and whose weights allow the similarity."""
+    spread = lambda c: F.pmod(c, F.lit(1024)).alias("k")
+    held = keep(rows.groupBy("token", "class").agg(F.min("weight").alias("low"), F.max("weight").alias("high")))
+    # classes meet first, so that the members of a large class never meet each other
+    one, two = (held.select("token", F.col("class").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"), spread(F.col("token"))) for c in ("ca", "cb"))
+    near = (F.col("high_ca") >= similarity * F.col("low_cb") * (1 - 1e-9)) & (F.col("high_cb") >= similarity * F.col("low_ca") * (1 - 1e-9))
+    met = one.join(two, ["token", "k"]).filter((F.col("ca") < F.col("cb")) & near).select("token", "ca", "cb")
+    left, right = (rows.select("token", F.col("class").alias(c), F.col("node").alias(n), F.col("weight").alias(f"w_{n}"), spread(F.col("class"))) for c, n in (("ca", "a"), ("cb", "b")))
+    met = met.withColumn("k", spread(F.col("ca"))).join(left, ["token", "ca", "k"]).drop("k")
+    met = met.withColumn("k", spread(F.col("cb"))).join(right, ["token", "cb", "k"])
+    met = met.filter(F.least("w_a", "w_b") >= similarity * F.greatest("w_a", "w_b") * (1 - 1e-9))
+    return met.select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two")).groupBy("one", "two").agg(F.lit(1).alias("met")).select("one", "two")
+
+
 def marks_of(nodes: DataFrame) -> np.ndarray:
     """A table of MARK_BITS bits with the bits of all nodes set: it says no only for what isn't among them."""
     slot = F.pmod("node", F.lit(MARK_BITS)) + 1  # Spark's bitmaps begin at 1
@@ -268,7 +322,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     marked = keep(marked.join(wanted, "node", "left_semi"))
     links = verified(pairs)
-    more = verified(cross_pairs(marked, connected_components(links, "one", "two")))
+    links = links.union(verified(cross_pairs(marked, connected_components(links, "one", "two"))))
+    classes = connected_components(links, "one", "two")
+    members = keep(mixed_members(marked, classes).hint("merge").join(held_profiles, "node"))
+    more = verified(keep(prefix_pairs(keep(prefixes(members, idf, similarity)), similarity)))
     classes = connected_components(links.union(more), "one", "two")
     classes = classes.withColumnRenamed("node", "rep")
     mapped = copies.select("d1", "d2", "rep").join(classes, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from cytoplan.llm.components import connected_components
-from cytoplan.llm.near_dedup import IDF_RANGE, Sampler, counted_shingles, drop_near_duplicates, near_duplicates
+from cytoplan.llm.near_dedup import IDF_RANGE, Sampler, counted_shingles, drop_near_duplicates, near_duplicates, prefix_pairs, prefixes, weighted_jaccard
 
 from .helpers import ODD, frame, prose
 
@@ -127,3 +127,29 @@ def test_components(spark, seed):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
+
+
+def test_similar_texts_in_large_mixed_buckets_meet(spark):
+    """Pairs of texts that share most words with all others, but not enough: the buckets are large and hold many classes."""
+    base, rng, rows = prose(200, 11), random.Random(4), []
+    for g in range(150):
+        own = prose(18, 9000 + g)
+        for _ in range(2):
+            copy = base + own
+            for _ in range(2):
+                copy[rng.randrange(200)] = f"c{len(rows)}"
+            rows.append((len(rows), " ".join(copy)))
+    want = classes_by_hand(rows)
+    assert sum(len(x) == 2 for x in want) > 100
+    assert classes(spark, rows) == want
+
+
+def test_prefix_pairs_leave_no_similar_pair_out(spark):
+    rng, idf, rows = np.random.default_rng(3), np.ones(1 << 16), []
+    for i in range(60):
+        near = rng.permutation(40)[: 34 + i % 6]
+        rows.append((i, i % 7, np.sort(near.astype("<u4")).tobytes()))
+    members = spark.createDataFrame(rows, "node long, class long, shingles binary")
+    got = {(r.one, r.two) for r in prefix_pairs(prefixes(members, spark.sparkContext.broadcast(idf), 0.8), 0.8).collect()}
+    want = {(i, j) for i, a, x in rows for j, b, y in rows if i < j and a != b and weighted_jaccard(x, y, idf) >= 0.8}
+    assert want and want <= got and all(i % 7 != j % 7 for i, j in got)
