@@ -1,12 +1,12 @@
-"""Line de-duplication by winnowing over line hashes.
+"""Line de-duplication by hashes of windows of lines.
 
 The lines of a document (trimmed, blank ones aside) give a row of hashes with word counts.  A window starts at every
-line and ends where it holds `min_words` words; its smallest hash, the rightmost of equals, is a fingerprint.  A window
-depends on its own lines only, so any run of lines with a full window that stands in two places has the same
-fingerprints in both.  Fingerprints are joined with their first position in (doc_id, line) order, and a match is
-extended line by line both ways over the neighbours that travel with the fingerprint (fewer than `min_words` words
-each way: the next fingerprint of a longer run stands beyond).  A matched run of `min_words` words or more is a repeat
-and its lines go; what stands first stays, as every line that goes has an equal one before it.
+line and ends where it holds `min_words` words, and another ends at every line and starts where it holds as many; the
+hash of all its lines is its key.  Any run of lines of `min_words` words or more is made up of such windows, and a
+window depends on its own lines only, so a run that stands in two places has the same keys in both.  Each key is joined
+with its own first position in (doc_id, line) order: a window that stands before is a repeat and its lines go, whatever
+stands around it and wherever else its lines stand.  What stands first stays, as every line that goes has an equal one
+before it.
 
 Defined cases
 -------------
@@ -19,7 +19,7 @@ Defined cases
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import keep, parts
@@ -39,48 +39,33 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return lines.repartition(parts(spark), "doc_id", "text_key").dropDuplicates(["doc_id", "text_key", "pos"])
 
 
-def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
-    """The chosen line of every window, with the hashes and words of its neighbours both ways."""
+def windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, text_key, first_line, last_line and key (hash of all lines) of every window of `min_words` words."""
     doc = Window.partitionBy("doc_id", "text_key")
-    by_end, by_start = doc.orderBy("after"), doc.orderBy("before")
     lines = lines.withColumn("after", F.sum("w").over(doc.orderBy("pos"))).withColumn("before", F.col("after") - F.col("w"))
-    smallest = F.min(F.struct("h", (-F.col("pos")).alias("p"), "pos")).over(by_start.rangeBetween(0, min_words - 1))
-    step = F.struct("h", "w", "pos")
+    on, back = doc.orderBy("before").rangeBetween(0, min_words - 1), doc.orderBy("after").rangeBetween(-(min_words - 1), 0)
     lines = (
-        lines.withColumn("chosen", smallest["pos"])
-        .withColumn("total", F.max("after").over(doc))
-        .withColumn("back", F.collect_list(step).over(by_start.rangeBetween(-(min_words - 1), -1)))
-        .withColumn("on", F.collect_list(step).over(by_end.rangeBetween(1, min_words - 1)))
+        lines.withColumn("total", F.max("after").over(doc))
+        .withColumn("on", F.struct(F.col("pos").alias("first_line"), F.max("pos").over(on).alias("last_line"), F.collect_list("h").over(on).alias("h")))
+        .withColumn("back", F.struct(F.min("pos").over(back).alias("first_line"), F.col("pos").alias("last_line"), F.collect_list("h").over(back).alias("h")))
+        .withColumn("start", F.min("before").over(back))
     )
-    full = F.when(F.col("total") - F.col("before") >= min_words, F.col("chosen"))
-    # a line is a fingerprint if a full window that reaches it chose it
-    chosen = F.array_contains(F.collect_set(full).over(by_start.rangeBetween(-(min_words - 1), 0)), F.col("pos"))
-    return lines.withColumn("is_chosen", chosen).filter("is_chosen").select("doc_id", "text_key", "pos", "h", "w", F.reverse("back").alias("back"), "on")
+    # a window backwards that is full without its last line is another one than the window on from its first line
+    both = F.array(F.when(F.col("total") - F.col("before") >= min_words, F.col("on")), F.when(F.col("before") - F.col("start") >= min_words, F.col("back")))
+    found = lines.select("doc_id", "text_key", F.explode(F.array_compact(both)).alias("x"))
+    key = F.unhex(F.md5(F.aggregate("x.h", F.lit(b""), lambda s, h: F.concat(s, h))))
+    return found.select("doc_id", "text_key", "x.first_line", "x.last_line", key.alias("key"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_key and the first and last line of every run that stands before."""
-    prints = keep(fingerprints(line_rows(docs), min_words))
-    place = F.struct("doc_id", "text_key", "pos")
-    firsts = prints.groupBy("h").agg(F.min(F.struct(place.alias("place"), "back", "on")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "first")
-    # the second key makes Spark deal both sides anew, so that it can split the rows of a very common line
-    spread = F.substring("h", 1, 1)
-    pairs = prints.withColumn("k", spread).join(firsts.withColumn("k", spread), ["h", "k"]).filter(~place.eqNullSafe(F.col("first.place")))
-
-    def same(side: str) -> Column:
-        """Neighbours of this side up to the first that differs."""
-        n = F.least(F.size(side), F.size(f"first.{side}"))
-        bad = F.array_position(F.transform(F.arrays_zip(F.slice(side, 1, n).alias("x"), F.slice(f"first.{side}", 1, n).alias("y")), lambda z: z["x"]["h"] == z["y"]["h"]), False)
-        return F.slice(side, 1, F.when(n == 0, 0).when(bad > 0, (bad - 1).cast("int")).otherwise(n))
-
-    pairs = pairs.select("doc_id", "text_key", "pos", "w", same("back").alias("b"), same("on").alias("f"))
-    words = F.aggregate(F.concat("b", "f"), F.col("w"), lambda s, z: s + z["w"])
-    return pairs.filter(words >= min_words).select(
-        "doc_id",
-        "text_key",
-        F.when(F.size("b") > 0, F.element_at("b", -1)["pos"]).otherwise(F.col("pos")).alias("first_line"),
-        F.when(F.size("f") > 0, F.element_at("f", -1)["pos"]).otherwise(F.col("pos")).alias("last_line"),
-    )
+    """doc_id, text_key and the first and last line of every window that stands before."""
+    found = keep(windows(line_rows(docs), min_words))
+    place = F.struct("doc_id", "text_key", "first_line")
+    firsts = found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
+    # the second key makes Spark deal both sides anew, so that it can split the rows of a very common window
+    spread = F.substring("key", 1, 1)
+    pairs = found.withColumn("k", spread).join(firsts.withColumn("k", spread), ["key", "k"]).filter(~place.eqNullSafe(F.col("first")))
+    return pairs.select("doc_id", "text_key", "first_line", "last_line")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

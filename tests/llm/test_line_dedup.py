@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from hashlib import md5
+
 from cytoplan.llm.line_dedup import line_dedup
 
 from .helpers import ODD, frame, prose
@@ -54,3 +56,15 @@ def test_odd_cases(spark):
     assert {"doc_id", "text", "n_lines", "n_deleted", "source", "n_chars"} == set(out.columns)
     assert [r.n_deleted for r in got if r.doc_id == 7] == [299]  # of 300 equal lines the first stays
     assert line_dedup(frame(spark, [])).collect() == []
+
+
+def test_runs_whose_lines_stand_earlier_in_other_places(spark):
+    """Every line of the run stands before on its own, so no line's first place is that of the run."""
+    order = lambda line: md5(line.encode()).digest()
+    run = sorted((" ".join(prose(9, s)) for s in range(70, 100)), key=order)[:6]
+    long = [max((" ".join(prose(30, 100 * k + i)) for i in range(20)), key=order) for k in range(1, 13)]
+    rows = [(k, f"{long[k]}\n{line}\n{long[k + 6]}") for k, line in enumerate(run)]
+    rows += [(10, "\n".join(["alpha", *run])), (11, "\n".join(["beta", *run, "omega"]))]
+    got = result(spark, rows)
+    assert all(got[k][2] == 0 for k in range(6)) and got[10][2] == 0
+    assert got[11] == ("beta\nomega", 8, 6)
