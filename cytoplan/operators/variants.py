@@ -152,9 +152,11 @@ def mendel_error(chrom: Column, child: Column, father: Column, mother: Column, m
 def mendel_errors(variants: DataFrame, pedigree: DataFrame) -> DataFrame:
     """Errors by child; pedigree has sample, father and mother (numbers of samples) and sex (1 male)."""
     trios = pedigree.filter("father IS NOT NULL AND mother IS NOT NULL").select("sample", "father", "mother", "sex")
-    rows = with_genotypes(variants).filter("gts IS NOT NULL").crossJoin(F.broadcast(trios.limit(100_000)))
-    bad = mendel_error(F.col("chrom"), F.get("gts", F.col("sample")), F.get("gts", F.col("father")), F.get("gts", F.col("mother")), F.col("sex") == 1)
-    return rows.groupBy("sample").agg(F.count_if(bad).alias("mendel_errors"))
+    rows = with_genotypes(variants).filter("gts IS NOT NULL").select("chrom", "gts", F.posexplode("gts").alias("sample", "child")).join(trios, "sample")
+    bad = mendel_error(F.col("chrom"), F.col("child"), F.get("gts", F.col("father")), F.get("gts", F.col("mother")), F.col("sex") == 1)
+    found = rows.groupBy("sample").agg(F.count_if(bad).alias("mendel_errors"))
+    # children without a genotype have no errors
+    return trios.select("sample").distinct().join(found, "sample", "left").select("sample", F.coalesce("mendel_errors", F.lit(0).cast("long")).alias("mendel_errors"))
 
 
 def inheritance(variants: DataFrame, affected: list[bool]) -> DataFrame:

@@ -206,3 +206,10 @@ def test_mismatch_tags(spark):
     reads = spark.createDataFrame(rows, "read_id int, tid int, pos int, flag int, cigar string, seq string")
     got = {r.read_id: (r.nm, r.md) for r in mismatch_tags(reads, spark.createDataFrame([(0, ref)], "tid int, sequence string"), 64, 40).collect()}
     assert got == {i: md_by_hand(ref, pos, cigar, seq) for i, _, pos, _, cigar, seq in rows}
+
+
+def test_mendel_errors_of_very_many_trios(spark):
+    variants = spark.createDataFrame([("1", "A", "GT", ["0/0", "0/0", "1/1"])], "chrom string, alt string, format string, samples array<string>")
+    pedigree = spark.range(2, 100_004).selectExpr("CAST(id AS INT) AS sample", "0 AS father", "1 AS mother", "1 AS sex")
+    got = va.mendel_errors(variants, pedigree)
+    assert got.count() == 100_002 and [tuple(r) for r in got.filter("mendel_errors > 0").collect()] == [(2, 1)]
