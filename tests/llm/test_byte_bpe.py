@@ -6,7 +6,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from cytoplan.llm.byte_bpe import decode, encode, merge, read_ranks
+from cytoplan.llm import byte_bpe
+from cytoplan.llm.byte_bpe import Encoder, PairTable, decode, encode, merge, merge_forest, read_ranks
 
 from .helpers import ODD, frame
 
@@ -22,6 +23,48 @@ def test_merge_is_the_librarys(alphabet):
         assert merge(text.encode(), RANKS) == REFERENCE._core_bpe.encode_single_piece(text.encode())
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "aeinst", "0123456789", "äöüß€漢😀", " \n\t"])
+@pytest.mark.parametrize("width", [2, 4, 8, 32, 64])
+def test_forest_is_the_librarys(alphabet, width):
+    rng = random.Random(width)
+    table = PairTable(RANKS)
+    pieces = []
+    while len(pieces) < 200:
+        raw = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, width + 1))).encode()
+        if 2 <= len(raw) <= width and raw not in RANKS:
+            pieces.append(raw)
+        elif width < 4:
+            pieces.append(bytes([rng.randrange(256), rng.randrange(256)]))
+            if pieces[-1] in RANKS:
+                pieces.pop()
+    for raw, packed in zip(pieces, merge_forest(pieces, width, table), strict=True):
+        ids = [int.from_bytes(packed[k : k + 4], "little") for k in range(0, len(packed), 4)]
+        assert ids == REFERENCE._core_bpe.encode_single_piece(raw)
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(byte_bpe, "CHARACTERS", 400)
+    monkeypatch.setattr(byte_bpe, "BLOCK", 7)
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choice("aeinstz") for _ in range(rng.randrange(1, 90))) for _ in range(rng.randrange(60))) for _ in range(60)]
+    encoder = Encoder(RANKS, public_tokenizers.PATTERN)
+    for text, packed in zip(texts, encoder.encode_all(texts), strict=True):
+        assert [int.from_bytes(packed[k : k + 4], "little") for k in range(0, len(packed), 4)] == REFERENCE.encode_ordinary(text)
+        assert len(encoder) <= 50
+
+
+def test_very_long_texts(spark):
+    """20 MB of words, and a word of 200,000 letters."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("aeinst") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    rows = [(1, " ".join(rng.choices(words, k=3_200_000))), (2, "".join(rng.choices("abc", k=200_000)))]
+    got = {r.doc_id: r.ids for r in encode(frame(spark, rows), RANKS, public_tokenizers.PATTERN).collect()}
+    for i, text in rows:
+        want = b"".join(x.to_bytes(4, "little") for x in REFERENCE.encode_ordinary(text))
+        assert bytes(got[i]) == want
+
+
 def test_round_trip(spark):
     rows = [*ODD, (30, "It's <|endoftext|>, isn't it?  Two  spaces\r\n\r\nand 12345 ..."), (31, "the " * 3000)]
     out = decode(encode(frame(spark, rows).withColumnRenamed("lang", "decoded"), RANKS, public_tokenizers.PATTERN), RANKS)
