@@ -104,28 +104,18 @@ QUERIES = {
 _LINE_SQL = f"""
 WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS raw FROM parts),
-t AS (SELECT doc_id, pos, trim(translate(raw, chr(9) || chr(13) || chr(11) || chr(12), '    ')) AS line FROM l),
+t AS (SELECT doc_id, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l),
 h AS (SELECT doc_id, pos, md5(line) AS h, length(line) - length(replace(line, ' ', '')) + 1 AS w FROM t WHERE line <> ''),
 a AS (SELECT *, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS ends FROM h),
 b AS (SELECT *, ends - w AS begins FROM a),
-f AS (SELECT *,
-  min({{'h': h, 'p': -pos}}) OVER (PARTITION BY doc_id ORDER BY begins RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING) AS m,
-  max(ends) OVER (PARTITION BY doc_id) AS total,
-  list({{'h': h, 'w': w, 'pos': pos}}) OVER (PARTITION BY doc_id ORDER BY begins RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND 1 PRECEDING) AS back,
-  list({{'h': h, 'w': w, 'pos': pos}}) OVER (PARTITION BY doc_id ORDER BY ends RANGE BETWEEN 1 FOLLOWING AND {MIN_WORDS - 1} FOLLOWING) AS fwd FROM b),
-chosen AS (SELECT DISTINCT doc_id, -(m.p) AS pos FROM f WHERE total - begins >= {MIN_WORDS}),
-p AS (SELECT f.doc_id, f.pos, f.h, f.w, list_reverse(coalesce(back, [])) AS back, coalesce(fwd, []) AS fwd FROM f JOIN chosen USING (doc_id, pos)),
-firsts AS (SELECT h, arg_min({{'doc_id': doc_id, 'pos': pos, 'back': back, 'fwd': fwd}}, {{'doc_id': doc_id, 'pos': pos}}) AS o FROM p GROUP BY h HAVING count(*) > 1),
-j AS (SELECT p.doc_id, p.pos, p.w, p.back, p.fwd, o.back AS oback, o.fwd AS ofwd,
-  coalesce(list_position(list_transform(range(1, least(len(p.back), len(o.back)) + 1), lambda i: p.back[i].h = o.back[i].h), false), 0) AS xb,
-  coalesce(list_position(list_transform(range(1, least(len(p.fwd), len(o.fwd)) + 1), lambda i: p.fwd[i].h = o.fwd[i].h), false), 0) AS xf
-  FROM p JOIN firsts USING (h) WHERE p.doc_id <> o.doc_id OR p.pos <> o.pos),
-k AS (SELECT doc_id, pos, w,
-  back[1:CASE WHEN xb > 0 THEN xb - 1 ELSE least(len(back), len(oback)) END] AS bk,
-  fwd[1:CASE WHEN xf > 0 THEN xf - 1 ELSE least(len(fwd), len(ofwd)) END] AS fw FROM j),
-runs AS (SELECT doc_id, CASE WHEN len(bk) > 0 THEN bk[len(bk)].pos ELSE pos END AS x, CASE WHEN len(fw) > 0 THEN fw[len(fw)].pos ELSE pos END AS y
-  FROM k WHERE w + coalesce(list_sum(list_transform(bk, lambda z: z.w)), 0) + coalesce(list_sum(list_transform(fw, lambda z: z.w)), 0) >= {MIN_WORDS}),
-gone AS (SELECT DISTINCT r.doc_id, t.pos FROM (SELECT doc_id, unnest(range(x, y + 1)) AS pos FROM runs) r JOIN t ON t.doc_id = r.doc_id AND t.pos = r.pos WHERE t.line <> ''),
+f AS (SELECT *, max(ends) OVER (PARTITION BY doc_id) AS total,
+  list(h) OVER ahead AS on_key, max(pos) OVER ahead AS on_last, list(h) OVER behind AS back_key, min(pos) OVER behind AS back_first, min(begins) OVER behind AS back_begins
+  FROM b WINDOW ahead AS (PARTITION BY doc_id ORDER BY begins RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING),
+    behind AS (PARTITION BY doc_id ORDER BY ends RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)),
+runs AS (SELECT doc_id, pos AS x, on_last AS y, on_key AS k FROM f WHERE total - begins >= {MIN_WORDS}
+  UNION ALL SELECT doc_id, back_first, pos, back_key FROM f WHERE begins - back_begins >= {MIN_WORDS}),
+later AS (SELECT doc_id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, x) AS times FROM runs) WHERE times > 1),
+gone AS (SELECT DISTINCT r.doc_id, t.pos FROM (SELECT doc_id, unnest(range(x, y + 1)) AS pos FROM later) r JOIN t ON t.doc_id = r.doc_id AND t.pos = r.pos WHERE t.line <> ''),
 kept AS (SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.pos) AS left_text, count(*) AS n FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos WHERE g.pos IS NULL GROUP BY l.doc_id)
 SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(parts.lines) END AS BIGINT) AS n_lines,
   CAST(len(parts.lines) - coalesce(kept.n, 0) AS BIGINT) AS n_deleted, sha256(coalesce(kept.left_text, '')) AS text_sha256
