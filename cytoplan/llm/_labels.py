@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows whose crc32(doc_id as text) is divisible by this are held out.
 FOLDS = 5
-#: Longer texts aren't taken for the sample (they are scored like all others).
-LONGEST = 16 << 10
+#: Bytes of text in a sample at most, for each class.
+SAMPLE_BYTES = 24 << 20
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> pa.Table:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], most_bytes: int = SAMPLE_BYTES) -> pa.Table:
     """text and label of at most so many training documents of each class, in the order of a hash of doc_id.
 
-    Never more than the stated rows of at most LONGEST bytes each.  Null labels, and those that aren't asked for, are
-    left out; of several labels of one document the largest counts; of several texts of one doc_id the smallest.
+    Of each class never more than the stated rows, and of these the first that stay within `most_bytes` of text (a text
+    that is longer than what is left of it is passed over).  Null labels, and those that aren't asked for, are left out;
+    of several labels of one document the largest counts; of several texts of one doc_id the smallest.
     """
     known = labels.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     order = F.xxhash64("doc_id")
@@ -29,5 +30,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
         part = known.filter(F.col("label") == value).orderBy(order, "doc_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
     text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", text.alias("text")).filter(F.octet_length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id")
-    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy(order, "doc_id").toArrow()
+    # the documents of at most so many ids
+    found = docs.select("doc_id", text.alias("text")).filter(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "doc_id")
+    found = found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    before = Window.partitionBy("label").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return found.withColumn("sum", F.sum(F.octet_length("text")).over(before)).filter(F.col("sum") <= most_bytes).orderBy(order, "doc_id").select("doc_id", "label", "text").toArrow()

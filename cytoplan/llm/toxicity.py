@@ -1,33 +1,37 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from a bounded labelled sample.  The ordinary one is trained by zstandard on windows
-of ordinary texts.  The toxic one holds in front of the same content the stretches of toxic texts that set them apart:
-substrings of words, six bytes or more, that are significantly more common in toxic than in ordinary documents (an exact
-binomial test with Bonferroni's correction over all that are counted), the most telling ones last.  With toxic texts trained
-whole, their ordinary words fill the dictionary and the two hardly differ; the README has figures.
+Two zstandard dictionaries are trained on a bounded labelled sample.  The ordinary one is trained on windows of ordinary
+texts.  The toxic one is trained on the stretches of toxic texts that set them apart: substrings of words, six bytes or
+more, that are significantly more common in toxic than in ordinary documents (an exact binomial test with Bonferroni's
+correction over all that are counted); each toxic document's stretches are one training sample.  The toxic compressor
+has the ordinary dictionary's content behind it, so that ordinary language compresses alike with both.  (With toxic
+texts trained whole, their ordinary words fill the dictionary and the two hardly differ; the README has figures.)
 
 Every window of a document is compressed with both.  How much shorter the toxic dictionary makes a window is compared
 with thresholds of 1 to 7 bytes; how many windows pass each, the largest gains and the mean give the score by a logistic
-regression that is calibrated on the sample. Chance gains are the rarer the fewer letters beyond ASCII a text has, so the
-share of these is known to it too; toxic documents weigh twice, as they are few.
+regression.  It is calibrated on every third document of the sample, which trained neither dictionary; toxic documents
+weigh twice, as they are few.
 
 The whole text of every document is read.  Labels are taken from a bounded sample: at most TOXIC_DOCS toxic and
-ORDINARY_DOCS ordinary documents (see `labelled_sample`).
+ORDINARY_DOCS ordinary documents within SAMPLE_BYTES each (see `labelled_sample`).
 
 Defined cases
 -------------
-* Null counts as empty; an empty text is one empty window.  Without toxic or without ordinary training documents
-  nothing can be told apart: all scores are 0.
+* Null counts as empty; an empty text is one empty window.  Without toxic or without ordinary documents to train and
+  to calibrate with nothing can be told apart: all scores are 0.
+* Very long texts are scored a block of windows at a time.
 * Rows are independent: repeated rows score alike.  Empty tables give empty results.
-* `classify_toxicity` reads doc_id and text only; `drop_toxic` keeps all columns as they are.
+* `classify_toxicity` reads doc_id and text only; `drop_toxic` keeps all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, lgamma, log, log1p
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -37,35 +41,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._labels import held_out, labelled_sample
-from ._store import small_batches
+from ._store import parts, small_batches
 
 #: Labelled documents that are fitted.
 TOXIC_DOCS, ORDINARY_DOCS = 1024, 4096
 WINDOW, STEP = 48, 32
-ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
+#: Content that is taken of each trained dictionary.
+ORDINARY_BYTES, TOXIC_BYTES = 32768, 2048
+#: Windows of ordinary text that the trainer is given at most: evenly spread ones, if the sample has more.
+TRAINED_WINDOWS = 20000
+#: Every so manieth document of the sample calibrates.
+CALIBRATED = 3
 SHORTEST, LONGEST = 6, 12
 GAINS = (1, 2, 3, 4, 5, 6, 7)
 #: Weight of a toxic document in the calibration.
 TOXIC_WEIGHT = 2
 THRESHOLD = 0.5
+#: Windows that are compressed at once.
+BLOCK = 1 << 14
 
 # letters and digits stay, A-Z lower-cased, all else is a space
 _FOLD = bytes((c + 32) if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_BEYOND = bytes(range(128, 256))
 
 
 def normalised(text: str | None) -> bytes:
     return b" " + b" ".join((text or "").encode().translate(_FOLD).split()) + b" "
 
 
-def windows(text: bytes) -> list[bytes]:
+def windows(text: bytes) -> Iterator[bytes]:
     """Windows of WINDOW bytes every STEP bytes; the last one ends with the text."""
-    if len(text) <= WINDOW:
-        return [text]
-    out = [text[i : i + WINDOW] for i in range(0, len(text) - WINDOW + 1, STEP)]
-    if (len(text) - WINDOW) % STEP:
-        out.append(text[-WINDOW:])
-    return out
+    last = max(0, len(text) - WINDOW)
+    for i in range(0, last + 1, STEP):
+        yield text[i : i + WINDOW]
+    if last % STEP:
+        yield text[last:]
 
 
 def _stretches(word: bytes, common: set[bytes]) -> set[bytes]:
@@ -136,12 +145,21 @@ def telling_stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return sorted(spans, key=lambda s: (spans[s], s))
 
 
-def ordinary_dictionary(samples: list[bytes]) -> bytes:
-    """Content that zstandard's trainer finds for ordinary text; of very little text, the text itself."""
+def trained(samples: list[bytes], size: int, **options: int) -> bytes:
+    """Content of a dictionary that zstandard trains on the samples; of very little text, the text itself."""
     try:
-        return zstandard.train_dictionary(2 * ORDINARY_BYTES, samples).as_bytes()[-ORDINARY_BYTES:]
+        return zstandard.train_dictionary(2 * size, samples, **options).as_bytes()[-size:]
     except zstandard.ZstdError:
-        return b"".join(samples)[-ORDINARY_BYTES:]
+        return b"".join(samples)[-size:]
+
+
+def toxic_samples(toxic: list[bytes], marks: list[bytes]) -> list[bytes]:
+    """Of each toxic document the telling stretches as they stand in it."""
+    if not marks:
+        return []
+    # the same space can end one word and begin the next
+    some = re.compile(b"|".join(re.escape(m) for m in sorted(marks, key=len, reverse=True)))
+    return [s for t in toxic if (s := b" ".join(some.findall(t.replace(b" ", b"  "))))]
 
 
 class Distance:
@@ -149,7 +167,7 @@ class Distance:
 
     def __init__(self, ordinary: bytes, toxic: bytes) -> None:
         settings = zstandard.ZstdCompressionParameters(
-            window_log=15, hash_log=16, chain_log=15, search_log=6, min_match=6, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False, write_checksum=False
+            window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=6, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False, write_checksum=False
         )
         self.compressors = []
         for content in (ordinary, toxic):
@@ -159,29 +177,21 @@ class Distance:
 
     def features(self, text: bytes) -> list[float]:
         one, two = self.compressors
-        parts = windows(text)
-        plain = [len(one(w)) for w in parts]
-        gain = np.array(plain) - np.array([len(two(w)) for w in parts])
-        top = np.sort(gain)[::-1]
-        passed = [(gain >= g).sum() for g in GAINS]
-        n = len(parts)
-        beyond = 1 - len(text.translate(None, _BEYOND)) / max(1, len(text))
-        quiet = exp(-200 * beyond)
-        return [
-            top[0],
-            top[:3].mean(),
-            gain.mean(),
-            log1p(np.maximum(gain - 2, 0).sum()),
-            log(n),
-            log(sum(plain) / (WINDOW * n)),
-            *(log1p(k) for k in passed),
-            *(k / n for k in passed[2::2]),
-            beyond,
-            quiet,
-            *(quiet * log1p(k) for k in passed[:4]),
-            quiet * log(n),
-            quiet * top[0],
-        ]
+        counts = np.zeros(2 * WINDOW, dtype=np.int64)  # windows by gain
+        block: list[bytes] = []
+        for w in windows(text):
+            block.append(w)
+            if len(block) == BLOCK:
+                counts += np.bincount([len(one(x)) - len(two(x)) + WINDOW for x in block], minlength=2 * WINDOW)
+                block = []
+        if block:
+            counts += np.bincount([len(one(x)) - len(two(x)) + WINDOW for x in block], minlength=2 * WINDOW)
+        n = counts.sum()
+        gains = np.arange(2 * WINDOW) - WINDOW
+        held = np.flatnonzero(counts)[::-1]
+        top = np.repeat(gains[held], np.minimum(counts[held], 3))[:3]
+        passed = np.array([counts[WINDOW + g :].sum() for g in GAINS])
+        return [top[0], top.mean(), (gains * counts).sum() / n, np.log(n), *np.log1p(passed), *passed[1:5] / n]
 
 
 @dataclass
@@ -197,18 +207,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(toxic_texts: list[str], ordinary_texts: list[str]) -> Model | None:
-    if not toxic_texts or not ordinary_texts:
-        return None
+def dictionaries(toxic_texts: list[str], ordinary_texts: list[str]) -> Model:
+    """Both dictionaries, and no weights yet."""
     toxic, plain = [normalised(t) for t in toxic_texts], [normalised(t) for t in ordinary_texts]
     samples = [t[i : i + 256] for t in plain for i in range(0, max(1, len(t) - 255), 256)]
-    step = max(1, len(samples) // 20000)
-    ordinary = ordinary_dictionary(samples[::step])
-    marks = b"\n".join(telling_stretches(toxic, plain))[-TOXIC_BYTES:]
-    model = Model(ordinary, marks + b"\n" + ordinary, np.zeros(0), np.ones(0), np.zeros(0))
-    distance = Distance(model.ordinary, model.toxic)
-    rows = np.array([distance.features(t) for t in (*toxic, *plain)], dtype=float)
-    y = np.repeat([1.0, 0.0], [len(toxic), len(plain)])
+    ordinary = trained(samples[:: -(-len(samples) // TRAINED_WINDOWS)], ORDINARY_BYTES)
+    marks = trained(toxic_samples(toxic, telling_stretches(toxic, plain)), TOXIC_BYTES, k=16, d=6)
+    return Model(ordinary, marks + b"\n" + ordinary, np.zeros(0), np.ones(0), np.zeros(0))
+
+
+def calibrate(model: Model, rows: np.ndarray, labels: np.ndarray) -> Model:
+    """The model with weights from features of documents that it wasn't trained on."""
+    y = labels.astype(float)
     model.centre, model.scale = rows.mean(axis=0), rows.std(axis=0) + 1e-9
     z = np.hstack([np.ones((len(rows), 1)), (rows - model.centre) / model.scale])
     w, times = np.zeros(z.shape[1]), np.where(y > 0, TOXIC_WEIGHT, 1)
@@ -219,10 +229,35 @@ def fit(toxic_texts: list[str], ordinary_texts: list[str]) -> Model | None:
     return model
 
 
+def split(sample: pa.Table) -> tuple[list[str], list[str], pa.Table]:
+    """Toxic and ordinary texts that train, and the rows that calibrate: every CALIBRATED-th of each class."""
+    marks = sample["label"].to_numpy().astype(np.int64)
+    rank = np.zeros(len(marks), dtype=np.int64)
+    for k in (0, 1):
+        rank[marks == k] = np.arange((marks == k).sum())
+    later = rank % CALIBRATED == CALIBRATED - 1
+    train = [sample["text"].filter(pa.array(~later & (marks == k))).to_pylist() for k in (1, 0)]
+    return train[0], train[1], sample.filter(pa.array(later))
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS) -> Model | None:
-    sample = labelled_sample(docs, labels, "toxic", {0: ordinary_docs, 1: toxic_docs})
-    texts, marks = sample["text"].to_pylist(), sample["label"].to_pylist()
-    return fit([t for t, m in zip(texts, marks, strict=True) if m], [t for t, m in zip(texts, marks, strict=True) if not m])
+    toxic, plain, rest = split(labelled_sample(docs, labels, "toxic", {0: ordinary_docs, 1: toxic_docs}))
+    if not toxic or not plain or len(set(rest["label"].to_pylist())) < 2:
+        return None
+    spark = docs.sparkSession
+    small_batches(spark)
+    model = dictionaries(toxic, plain)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distance = Distance(shared.value.ordinary, shared.value.toxic)
+        for batch in batches:
+            found = [distance.features(normalised(t.as_py())) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["at", "label", "x"])
+
+    held = pa.table({"at": pa.array(range(len(rest)), pa.int64()), "label": rest["label"].cast(pa.int32()), "text": rest["text"]})
+    held = spark.createDataFrame(held).repartition(parts(spark), "at").mapInArrow(run, "at long, label int, x array<double>").toArrow().sort_by("at")
+    return calibrate(model, np.array(held["x"].to_pylist(), dtype=float), held["label"].to_numpy())
 
 
 def with_score(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
@@ -253,5 +288,6 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> Data
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """The documents that aren't predicted toxic, with their columns as they were."""
-    scored = with_score(docs, fit_on(docs, labels, **bounds), "_toxicity_score")
-    return scored.filter(F.col("_toxicity_score") < THRESHOLD).select(*docs.columns)
+    name = f"score_{uuid.uuid4().hex}"  # no column of the caller has it
+    scored = with_score(docs, fit_on(docs, labels, **bounds), name)
+    return scored.filter(F.col(name) < THRESHOLD).drop(name)

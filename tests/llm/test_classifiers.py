@@ -61,7 +61,7 @@ def test_toxicity_held_out(tables):
 
 def test_drop_toxic(tables):
     docs, labels, want = tables
-    named = docs.withColumnRenamed("lang", "score")
+    named = docs.withColumnsRenamed({"lang": "score", "source": "_toxicity_score"})
     left = toxicity.drop_toxic(named, labels)
     assert left.columns == named.columns
     ids = [r.doc_id for r in left.select("doc_id").collect()]
@@ -102,7 +102,7 @@ def test_neighbours_by_hand():
 def test_windows_cover_the_text():
     for n in (0, 1, 47, 48, 49, 80, 81, 500):
         text = bytes(i % 251 for i in range(n))
-        parts = toxicity.windows(text)
+        parts = list(toxicity.windows(text))
         assert parts[0] == text[: toxicity.WINDOW] and parts[-1] == text[-toxicity.WINDOW :]
         assert sum(map(len, parts)) >= n
 
@@ -114,6 +114,45 @@ def test_telling_stretches_are_the_insults():
     assert {m.strip() for m in marks} >= {w.encode() for w in INSULTS} and len(marks) < 30
 
 
+def test_distance_by_hand(monkeypatch):
+    """Window counts against a loop with a compressor of its own for every window."""
+    import zstandard
+
+    rows, labels = corpus()
+    toxic, plain = ([t for (_, t), (_, _, x) in zip(rows, labels, strict=True) if x == k] for k in (1, 0))
+    model = toxicity.dictionaries(toxic[:40], plain[:120])
+    monkeypatch.setattr(toxicity, "BLOCK", 5)
+    distance = toxicity.Distance(model.ordinary, model.toxic)
+    held = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (model.ordinary, model.toxic)]
+    settings = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=6, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False, write_checksum=False)
+    for text in (toxic[45], plain[130], "", "idle nitwit", "漢字 " * 40):
+        gains = []
+        for w in toxicity.windows(toxicity.normalised(text)):
+            one, two = (len(zstandard.ZstdCompressor(dict_data=d, compression_params=settings).compress(w)) for d in held)
+            gains.append(one - two)
+        gains.sort(reverse=True)
+        n = len(gains)
+        passed = [sum(g >= t for g in gains) for t in toxicity.GAINS]
+        want = [gains[0], np.mean(gains[:3]), np.mean(gains), np.log(n), *np.log1p(passed), *(p / n for p in passed[1:5])]
+        assert distance.features(toxicity.normalised(text)) == pytest.approx(want)
+
+
+def test_calibration_rows_train_nothing():
+    sample = pa.table({"label": pa.array([0, 1, 1, 0, 0, 1, 0, 0]), "text": pa.array(list("abcdefgh"))})
+    toxic, plain, rest = toxicity.split(sample)
+    assert toxic == ["b", "c"] and plain == ["a", "d", "g", "h"] and rest["text"].to_pylist() == ["e", "f"]
+
+
+def test_long_texts_train_within_the_bound(spark):
+    """A text of 200,000 letters is taken as long as it fits."""
+    docs = frame(spark, [(i, "x" * (200_000 if i == 3 else 10)) for i in range(20)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], LABELS)
+    every = labelled_sample(docs, labels, "toxic", {0: 20})
+    assert 3 not in every["doc_id"].to_pylist() or max(map(len, every["text"].to_pylist())) == 200_000
+    less = labelled_sample(docs, labels, "toxic", {0: 20}, most_bytes=55)
+    assert len(less) == 5
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="tables aren't here")
 def test_held_out_on_the_given_tables(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")

@@ -31,9 +31,12 @@ def write(spark, folder, rows, labels, items):
 def by_hand(spark, folder):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     rows = {(r.doc_id, r.text) for r in docs.collect()}
-    sample = labelled_sample(docs, labels, "toxic", {0: toxicity.ORDINARY_DOCS, 1: toxicity.TOXIC_DOCS}).to_pylist()
-    model = toxicity.fit([x["text"] for x in sample if x["label"]], [x["text"] for x in sample if not x["label"]])
-    if model:
+    toxic, plain, rest = toxicity.split(labelled_sample(docs, labels, "toxic", {0: toxicity.ORDINARY_DOCS, 1: toxicity.TOXIC_DOCS}))
+    if toxic and plain and len(rest):
+        model = toxicity.dictionaries(toxic, plain)
+        distance = toxicity.Distance(model.ordinary, model.toxic)
+        found = [distance.features(toxicity.normalised(t)) for t in rest["text"].to_pylist()]
+        toxicity.calibrate(model, __import__("numpy").array(found), rest["label"].to_numpy())
         distance = toxicity.Distance(model.ordinary, model.toxic)
         rows = {(i, t) for i, t in rows if model.scores(__import__("numpy").array([distance.features(toxicity.normalised(t))]))[0] < 0.5}
     best = {}
