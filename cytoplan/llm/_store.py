@@ -12,9 +12,11 @@ ARROW_BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set, as in tests."""
+    """The cluster's shared folder; a local one only on a local master, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="cytoplan-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -43,3 +45,8 @@ def small_batches(spark: SparkSession) -> None:
 def parts(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(name: str) -> str:
+    """A column name that no caller's table has."""
+    return f"{name}_{uuid.uuid4().hex}"

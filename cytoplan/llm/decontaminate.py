@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import small_batches
+from ._store import fresh, small_batches
 from ._text import chunks, hash_spans, shingles, texts_of, word_spans
 
 #: Words of a seed, which is also the shortest tile.
@@ -157,7 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = COVE
     for k in range(blocks):
         held = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
         shared = spark.sparkContext.broadcast(index_items(held["item_id"].to_pylist(), held["text"]))
-        name = f"_hits_{k}"
+        name = fresh("hits")
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -171,4 +171,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = COVE
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
     """The documents that contain no benchmark item, with their columns as they were."""
-    return contamination(docs, benchmark, into="_hits", **options).filter(F.size("_hits") == 0).select(*docs.columns)
+    name = fresh("hits")
+    return contamination(docs, benchmark, into=name, **options).filter(F.size(name) == 0).drop(name)

@@ -154,7 +154,7 @@ WITH tab AS (SELECT list(c ORDER BY i) AS tab FROM (
 bytes AS (SELECT doc_id, text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: (strpos('0123456789ABCDEF', x[1]) * 16 + strpos('0123456789ABCDEF', x[2]) - 17)::BIGINT) AS v FROM documents),
 base AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size,
   xor(list_reduce([4294967295::BIGINT] || v, lambda c, x: xor(c >> 8, tab.tab[xor(c & 255, x) + 1])), 4294967295) AS text_crc32 FROM bytes, tab),
-num AS (SELECT *, row_number() OVER (ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id) - 1 AS x, count(*) OVER () AS n FROM base),
+num AS (SELECT *, row_number() OVER (ORDER BY md5(concat(doc_id, ':', size, ':', text_crc32)), doc_id, size, text_crc32) - 1 AS x, count(*) OVER () AS n FROM base),
 g1 AS (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM num),
 g2 AS (SELECT *, CAST((n + a - 1) // a AS BIGINT) AS b FROM g1),
 s AS (SELECT doc_id, size, text_crc32, n, a, b, x // b AS l, x % b AS r, false AS done FROM g2),

@@ -1,17 +1,21 @@
 """Sharding by a Feistel permutation with cycle walking over global row numbers.
 
-Rows get dense global numbers in the order (bucket of doc_id, doc_id): counts of 4,096 buckets give each bucket's
-first number, and a row number inside the bucket gives the rest, so no task sees more than a bucket.  A balanced
-Feistel network on a grid of ceil(sqrt(n)) x ceil(n / ceil(sqrt(n))) cells permutes the numbers; a number that
-leaves the range walks on until it is back.  Shard and slot follow from the permuted number by division, so they
-can be computed for any row number without reading other rows.
+Rows get dense global numbers in the order of a digest of doc_id, size and crc32: rows are dealt over buckets by its
+first digits (so many that a bucket holds about BUCKET_ROWS), the buckets' counts give each its first number, and a row
+number inside the bucket gives the rest, so no task sees more than a bucket.  How many buckets there are changes no
+number.  A balanced Feistel network on a grid of ceil(sqrt(n)) x ceil(n / ceil(sqrt(n))) cells permutes the numbers; a
+number that leaves the range walks on until it is back.  Shard and slot follow from the permuted number by division, so
+they can be computed for any row number without reading other rows.
 
-Law: `rows`; the counts of two shards differ by one at most.
+Law: `rows`; the counts of two shards differ by one at most.  Equal texts are rows like all others and may come into
+different shards.
 
 Defined cases
 -------------
-* A null text has no bytes: size 8, crc32 of no bytes (0).  A null doc_id has the bucket "" and sorts first.
-* Rows with the same doc_id are ordered by size and crc32; rows equal in all of these may swap their places.
+* A null text has no bytes: size 8, crc32 of no bytes (0).  A null doc_id counts as "" in the digest; rows without or
+  with the same doc_id are spread over the buckets by size and crc32.
+* Rows that are equal in doc_id, size and crc32 stand side by side and may swap their places, which nothing tells apart.
+* Very long texts are only measured, where they stand.
 * Empty tables give empty results.  Other columns than doc_id and text are not read.
 """
 
@@ -26,7 +30,8 @@ from ._store import keep
 
 PRIME = 2147483647
 ROUNDS = 6
-BUCKET_DIGITS = 3
+#: Hexadecimal digits of a bucket at least, and about how many rows one should hold.
+BUCKET_DIGITS, BUCKET_ROWS = 3, 1 << 16
 
 
 def round_keys(seed: int) -> list[tuple[int, int, int]]:
@@ -86,19 +91,19 @@ def feistel_shards(docs: DataFrame, shards: int = 24, seed: int = 20240229) -> D
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text).cast("long").alias("text_crc32"),
-        F.coalesce(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, BUCKET_DIGITS), F.lit("")).alias("bucket"),
-    )
-    rows = keep(rows)
+    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.col("text_crc32").cast("string"))
+    rows = keep(rows.withColumn("digest", F.md5(name.cast("binary"))))
+    n = rows.count()
+    digits = BUCKET_DIGITS
+    while n >> (4 * digits) > BUCKET_ROWS:
+        digits += 1
+    rows = rows.withColumn("bucket", F.substring("digest", 1, digits))
     buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"))
-    n = buckets.agg(F.sum("held")).first()[0] or 0
-    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over 4,097 buckets at most
+    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     firsts = buckets.select("bucket", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("first"))
-    order = Window.partitionBy("bucket").orderBy("doc_id", "size", "text_crc32")
-    numbered = rows.withColumn("rank", F.row_number().over(order)).join(F.broadcast(firsts), "bucket")
+    order = Window.partitionBy("bucket").orderBy("digest", "doc_id", "size", "text_crc32")
+    numbered = rows.withColumn("rank", F.row_number().over(order)).join(firsts, "bucket")
     x = F.col("first") + F.col("rank") - 1
     y = permuted(x, n, seed, walks_needed(spark, n, seed))
     return numbered.select("doc_id", "size", "text_crc32", y.alias("y")).select(

@@ -27,7 +27,6 @@ Defined cases
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._labels import held_out, labelled_sample
-from ._store import parts, small_batches
+from ._store import fresh, parts, small_batches
 
 #: Labelled documents that are fitted.
 TOXIC_DOCS, ORDINARY_DOCS = 1024, 4096
@@ -288,6 +287,6 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> Data
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """The documents that aren't predicted toxic, with their columns as they were."""
-    name = f"score_{uuid.uuid4().hex}"  # no column of the caller has it
+    name = fresh("score")
     scored = with_score(docs, fit_on(docs, labels, **bounds), name)
     return scored.filter(F.col(name) < THRESHOLD).drop(name)

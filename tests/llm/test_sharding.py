@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from cytoplan.llm import sharding
 from cytoplan.llm.sharding import feistel_shards, permuted, walks_needed
 
 from .helpers import ODD, frame
@@ -37,5 +38,15 @@ def test_same_places_for_other_partitions(spark):
     assert a == b
 
 
+def test_more_buckets_change_nothing(spark, monkeypatch):
+    """Rows without an id, rows of one id and equal rows among them; a text of 3 MB."""
+    rows = [*((None, f"t{i}") for i in range(60)), *((7, f"s{i}") for i in range(60)), *[(8, "same")] * 20, (9, "x" * 3_000_000)]
+    whole = sorted((str(r.doc_id), r.text_crc32, r.shard, r.slot) for r in feistel_shards(frame(spark, rows, 4)).collect())
+    monkeypatch.setattr(sharding, "BUCKET_DIGITS", 1)
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 1)
+    other = sorted((str(r.doc_id), r.text_crc32, r.shard, r.slot) for r in feistel_shards(frame(spark, rows, 2)).collect())
+    assert whole == other and len({(s, t) for _, _, s, t in whole}) == len(rows)
+
+
 def test_empty(spark):
     assert feistel_shards(frame(spark, [])).collect() == []
