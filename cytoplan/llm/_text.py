@@ -19,6 +19,7 @@ _LOWER[65:91] += 32
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
 _WORD[128:] = True
+_FOLD = bytes(int(_LOWER[c]) if _WORD[c] else 32 for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -94,10 +95,33 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and how many each text has; a long text is read in pieces that end between words."""
+    if len(data) <= 2 * CHUNK_BYTES or len(offsets) != 2:
+        starts, ends, counts = word_spans(data, offsets, table)
+        return hash_spans(data, starts, ends), counts
+    out, start = [], 0
+    while start < len(data):
+        end = min(start + CHUNK_BYTES, len(data))
+        while end < len(data) and table[data[end]]:
+            gap = np.flatnonzero(~table[data[end : end + CHUNK_BYTES]])
+            end = end + int(gap[0]) if len(gap) else min(end + CHUNK_BYTES, len(data))
+        piece = data[start:end]
+        starts, ends, _ = word_spans(piece, np.array([0, len(piece)]), table)
+        out.append(hash_spans(piece, starts, ends))
+        start = end
+    found = np.concatenate(out)
+    return found, np.array([len(found)])
+
+
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens between white space (space, 0x09-0x0D), and how many each text has."""
-    starts, ends, counts = word_spans(data, offsets, ~_SPACE)
-    return hash_spans(data, starts, ends), counts
+    return word_hashes(data, offsets, ~_SPACE)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words themselves."""
+    return (text or "").encode().translate(_FOLD).split()
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

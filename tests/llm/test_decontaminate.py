@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import random
 import re
+import time
 
+import pyarrow as pa
 import pytest
 
-from cytoplan.llm.decontaminate import contamination, decontaminate
+from cytoplan.llm import decontaminate as module
+from cytoplan.llm.decontaminate import _numbers, contamination, decontaminate, index_items, find_hits, tile_running
 
 from .helpers import ODD, frame, prose
 
@@ -70,3 +74,38 @@ def test_stage(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs, none).count() == 3
     assert decontaminate(frame(spark, []), none).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_running_search_by_hand(seed):
+    """Texts of very few words, where matches overlap in every way."""
+    rng = random.Random(seed)
+    doc, item = ([rng.choice("ab" if seed < 3 else "abcdef").encode() for _ in range(n)] for n in (70, 50))
+    for width in (1, 2, 3):
+        assert tile_running(*_numbers(doc, item), width) == tiles_by_hand(doc, item, width)
+
+
+@pytest.mark.parametrize("pairs", [0, 8])
+def test_both_searches_alike(monkeypatch, pairs):
+    rng = random.Random(9)
+    monkeypatch.setattr(module, "PAIRS", pairs)
+    monkeypatch.setattr(module, "LISTED", 20)
+    texts = [" ".join(rng.choices("abcd", k=60)) for _ in range(12)]
+    seeds = index_items(list(range(6)), pa.array([" ".join(rng.choices("abcd", k=20)) for _ in range(6)]), 3)
+    got = find_hits(pa.array(texts), seeds, 0.4)
+    for text, hits in zip(texts, got, strict=True):
+        want = {k: tiles_by_hand(words(text), words(seeds.texts[k]), 3) for k in range(6)}
+        assert {h["item_id"]: (round(h["coverage"] * 20), h["tiles"]) for h in hits} == {k: x for k, x in want.items() if x[0] >= 8}
+
+
+def test_repeated_words_and_long_texts():
+    """200,000 equal words against an item of 800, and 20 MB around a passage."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = " ".join(prose(60, 11, 5000))
+    filler = " ".join(rng.choices(vocabulary, k=2_000_000))
+    seeds = index_items([1, 2], pa.array(["so " * 800, passage]))
+    start = time.perf_counter()
+    got = find_hits(pa.array(["so " * 200_000, f"{filler} {passage} {filler}", None, ""]), seeds, 0.6)
+    assert [[(h["item_id"], h["coverage"]) for h in hits] for hits in got] == [[(1, 1.0)], [(2, 1.0)], [], []]
+    assert time.perf_counter() - start < 60
