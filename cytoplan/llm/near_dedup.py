@@ -1,7 +1,8 @@
 """Near-duplicate detection by weighted min-hashing of TF-IDF shingles.
 
 1. Shingles of five words are counted over all documents: how many documents hold a shingle is counted exactly for
-   each of 65,536 classes of shingle hashes, a table whose size never depends on the corpus.
+   each of 65,536 classes of shingle hashes, a table whose size never depends on the corpus.  A shingle has the
+   frequency of its class: the more a corpus outgrows the classes, the more alike the weights of rare shingles become.
 2. A shingle's weight in a document is its count times a smoothed inverse document frequency between 1 and 1.25.
    The floor is on purpose: without it, the more copies a text has, the less its shared shingles would count against
    the few changed ones, and large groups of copies would fall below the threshold.
@@ -22,7 +23,7 @@
 Defined cases
 -------------
 * Null and empty texts and texts without words are alone in their classes.  Texts of one to four words have one
-  shingle, all their words.
+  shingle, all their words.  Very long texts are hashed in pieces; eight bytes a shingle are held of them.
 * Ties between central members go to the smaller hash of doc_id and text, which names a row.  Rows that repeat a doc_id and a text are in one class.
 * Rows with a null doc_id take part; their class is the smallest doc_id in it, or null if there is none.
 * Empty tables give empty results.  Other columns are not read.
@@ -39,8 +40,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import keep, small_batches
-from ._text import chunks, hash_spans, mix, shingles, texts_of, word_spans
+from ._store import fresh, keep, small_batches
+from ._text import chunks, mix, shingles, texts_of, word_hashes
 from .components import connected_components
 
 WIDTH = 5
@@ -64,8 +65,7 @@ def counted_shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, n
     data, offsets = texts_of(column)
     for a, b in chunks(offsets):
         part, ends = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        starts, stops, counts = word_spans(part, ends)
-        hashes, each = shingles(hash_spans(part, starts, stops), counts, WIDTH)
+        hashes, each = shingles(*word_hashes(part, ends), WIDTH)
         keys = np.sort((hashes & _KEY) | (np.repeat(np.arange(b - a, dtype=np.uint64), each) << np.uint64(48)))
         first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
         yield a, b - a, (keys[first] >> np.uint64(48)).astype(np.int64), keys[first] & _KEY, np.diff(np.append(first, len(keys)))
@@ -158,17 +158,17 @@ def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
 
 
 def profiles(docs: DataFrame, marks: Broadcast) -> DataFrame:
-    """doc_id and shingles (32 bits of each hash, repeated as often as it stands there, sorted) of the marked documents."""
+    """doc_id and shingles (the 48-bit hashes, repeated as often as they stand there, sorted) of the marked documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = batch.column(0).to_numpy() % MARK_BITS
             batch = batch.filter(pa.array((marks.value[slot >> 3] >> (slot & 7)) & 1 == 1))
             for a, n, row, hashes, count in counted_shingles(batch.column(1)):
-                short = np.repeat((hashes & np.uint64(0xFFFFFFFF)).astype("<u4"), count)
+                whole = np.repeat(hashes.astype("<u8"), count)
                 each = np.bincount(row, weights=count, minlength=n).astype(np.int64)
-                cuts = np.concatenate([[0], np.cumsum(each)]) * 4
-                lists = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cuts.astype(np.int64).tobytes()), pa.py_buffer(short.tobytes())])
+                cuts = np.concatenate([[0], np.cumsum(each)]) * 8
+                lists = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cuts.astype(np.int64).tobytes()), pa.py_buffer(whole.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), lists.cast(pa.binary())], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
@@ -176,10 +176,10 @@ def profiles(docs: DataFrame, marks: Broadcast) -> DataFrame:
 
 def weighted_jaccard(one: bytes, two: bytes, idf: np.ndarray) -> float:
     """Similarity of two profiles under the weights of the table."""
-    a, m = np.unique(np.frombuffer(one, dtype="<u4"), return_counts=True)
-    b, n = np.unique(np.frombuffer(two, dtype="<u4"), return_counts=True)
+    a, m = np.unique(np.frombuffer(one, dtype="<u8"), return_counts=True)
+    b, n = np.unique(np.frombuffer(two, dtype="<u8"), return_counts=True)
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    wa, wb = idf[class_of(a.astype(np.uint64))] * m, idf[class_of(b.astype(np.uint64))] * n
+    wa, wb = idf[class_of(a)] * m, idf[class_of(b)] * n
     both = np.minimum(wa[i], wb[j]).sum()
     whole = wa.sum() + wb.sum() - both
     return float(both / whole) if whole else 0.0
@@ -238,8 +238,8 @@ def prefix(profile: bytes, idf: np.ndarray, similarity: float) -> tuple[np.ndarr
 
     The order is the same for all texts; how well it follows the frequencies decides on time only, not on the result.
     """
-    a, m = np.unique(np.frombuffer(profile, dtype="<u4"), return_counts=True)
-    each = idf[class_of(a.astype(np.uint64))]
+    a, m = np.unique(np.frombuffer(profile, dtype="<u8"), return_counts=True)
+    each = idf[class_of(a)]
     order = np.lexsort((a, -each))
     rest = np.cumsum((each * m)[order][::-1])[::-1]
     return a[order[rest >= similarity * rest[0] * (1 - 1e-9)]] if len(a) else a, float(rest[0]) if len(a) else 0.0
@@ -252,7 +252,7 @@ def prefixes(members: DataFrame, idf: Broadcast, similarity: float) -> DataFrame
         for batch in batches:
             found = [prefix(x, idf.value, similarity) for x in batch.column(2).to_pylist()]
             at = pa.array(np.repeat(np.arange(len(found)), [len(t) for t, _ in found]), pa.int64())
-            tokens = np.concatenate([np.zeros(0, dtype=np.uint32), *(t for t, _ in found)]).astype(np.int64)
+            tokens = np.concatenate([np.zeros(0, dtype=np.uint64), *(t for t, _ in found)]).astype(np.int64)
             weights = pa.array([w for _, w in found], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), weights.take(at), pa.array(tokens)], names=["node", "class", "weight", "token"])
 
@@ -351,6 +351,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents with one of each class, the one with the smallest doc_id; all columns stay as they are."""
-    lost = near_duplicates(docs, similarity).filter("not stays").select(F.col("text_key").alias("_lost")).distinct()
-    known = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    return known.join(lost, known["_key"] == lost["_lost"], "left_anti").dropDuplicates(["_key"]).drop("_key")
+    lost, name = fresh("lost"), fresh("key")
+    gone = near_duplicates(docs, similarity).filter("not stays").select(F.col("text_key").alias(lost)).distinct()
+    known = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    return known.join(gone, known[name] == gone[lost], "left_anti").dropDuplicates([name]).drop(name)

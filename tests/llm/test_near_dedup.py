@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -13,6 +14,8 @@ from cytoplan.llm.near_dedup import IDF_RANGE, Sampler, counted_shingles, drop_n
 
 from .helpers import ODD, frame, prose
 
+DATA = "/root/testdata/sf0.01"
+
 
 def shingle_counts(text):
     words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
@@ -103,7 +106,7 @@ def test_shingles_of_batches_with_nulls():
 
 
 def test_odd_cases_and_stage(spark):
-    docs = frame(spark, ODD).withColumnRenamed("lang", "class_id")
+    docs = frame(spark, ODD).withColumnsRenamed({"lang": "class_id", "source": "_key", "n_chars": "_lost"})
     left = drop_near_duplicates(docs)
     assert left.columns == docs.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, 7, None]))
@@ -148,8 +151,42 @@ def test_prefix_pairs_leave_no_similar_pair_out(spark):
     rng, idf, rows = np.random.default_rng(3), np.ones(1 << 16), []
     for i in range(60):
         near = rng.permutation(40)[: 34 + i % 6]
-        rows.append((i, i % 7, np.sort(near.astype("<u4")).tobytes()))
+        rows.append((i, i % 7, np.sort(near.astype("<u8")).tobytes()))
     members = spark.createDataFrame(rows, "node long, class long, shingles binary")
     got = {(r.one, r.two) for r in prefix_pairs(prefixes(members, spark.sparkContext.broadcast(idf), 0.8), 0.8).collect()}
     want = {(i, j) for i, a, x in rows for j, b, y in rows if i < j and a != b and weighted_jaccard(x, y, idf) >= 0.8}
     assert want and want <= got and all(i % 7 != j % 7 for i, j in got)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="tables aren't here")
+def test_recall_on_the_given_table(spark):
+    """Every pair of the table with a plain similarity of 0.8 or more, and none far below it."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    bags = {r.doc_id: shingle_counts(r.text) for r in docs.collect()}
+    where = defaultdict(list)
+    for i, bag in bags.items():
+        for s in bag:
+            where[s].append(i)
+    met = Counter((i, j) for s, ids in where.items() for i in ids for j in ids if i < j)
+
+    def similarity(i, j):
+        both = sum(min(c, bags[j][s]) for s, c in bags[i].items() if s in bags[j])
+        return both / (sum(bags[i].values()) + sum(bags[j].values()) - both)
+
+    alike = {(i, j): x for i, j in met if (x := similarity(i, j)) >= 0.6}
+    near = [p for p, x in alike.items() if x >= 0.8]
+    found = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    assert len(near) > 100 and np.mean([found[i] == found[j] for i, j in near]) >= 0.99
+    classes = defaultdict(list)
+    for i, c in found.items():
+        classes[c].append(i)
+    # whoever is in a class has a partner in it that is about as alike as asked
+    for members in (x for x in classes.values() if len(x) > 1):
+        assert all(any(alike.get((min(i, j), max(i, j)), 0) >= 0.78 for j in members if j != i) for i in members)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    long = " ".join(rng.choices(words, k=2_000_000))
+    assert classes(spark, [(1, long), (2, long + " more"), (3, "a short text of six words")]) == {frozenset([1, 2]), frozenset([3])}
