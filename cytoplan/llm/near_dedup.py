@@ -17,8 +17,12 @@
    joins most of what belongs together before the last step.
 7. All members of the buckets that are of several classes even then are joined by an exact prefix filter: texts of
    similarity 0.8 share a shingle among those that make up more than the rarer fifth of either's weight, and neither
-   weighs less than 0.8 of the other.  Every such pair of different classes is compared, so no pair of a bucket that
-   is similar enough is left out, however large the bucket is.
+   weighs less than 0.8 of the other.  What a text shares with other classes bounds how heavy a partner may be (with
+   weights v and w and a common weight c, c / (v + w - c) >= 0.8 asks for w <= 2.25 c - v): first all other classes
+   together, then a class of several texts at once, whose members are met only if they all together hold enough of the
+   text.  So near copies that have changed too much for their group don't meet each of its members.  Every pair of
+   different classes that passes these bounds is compared, so no pair of a bucket that is similar enough is left out,
+   however large the bucket is.
 
 Defined cases
 -------------
@@ -233,45 +237,75 @@ def mixed_members(marked: DataFrame, classes: DataFrame) -> DataFrame:
     return single.select("*", spread).join(mixed.select("f", "h", spread), ["f", "h", "k"]).select("node", "class").distinct()
 
 
-def prefix(profile: bytes, idf: np.ndarray, similarity: float) -> tuple[np.ndarray, float]:
-    """The shingles of a text, from the rarest on, without which less than `similarity` of its weight is left; and its weight.
+def prefix(profile: bytes, idf: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """A text's different shingles and their weights, from the rarest on, and how many of them are its prefix: those
+    without which less than `similarity` of its weight is left.
 
     The order is the same for all texts; how well it follows the frequencies decides on time only, not on the result.
     """
     a, m = np.unique(np.frombuffer(profile, dtype="<u8"), return_counts=True)
     each = idf[class_of(a)]
     order = np.lexsort((a, -each))
-    rest = np.cumsum((each * m)[order][::-1])[::-1]
-    return a[order[rest >= similarity * rest[0] * (1 - 1e-9)]] if len(a) else a, float(rest[0]) if len(a) else 0.0
+    parts = (each * m)[order]
+    rest = np.cumsum(parts[::-1])[::-1]
+    return a[order], parts, int((rest >= similarity * rest[0] * (1 - 1e-9)).sum()) if len(a) else 0
 
 
-def prefixes(members: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
-    """node, class, weight and token: a row for each shingle of the prefix; members has node, class and shingles."""
+def token_rows(members: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
+    """node, class, weight, token, part and head: a row for each shingle with its weight, and whether it is of the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [prefix(x, idf.value, similarity) for x in batch.column(2).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(t) for t, _ in found]), pa.int64())
-            tokens = np.concatenate([np.zeros(0, dtype=np.uint64), *(t for t, _ in found)]).astype(np.int64)
-            weights = pa.array([w for _, w in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), weights.take(at), pa.array(tokens)], names=["node", "class", "weight", "token"])
+            for start in range(0, batch.num_rows, 256):
+                block = batch.slice(start, 256)
+                found = [prefix(x, idf.value, similarity) for x in block.column(2).to_pylist()]
+                size = [len(t) for t, _, _ in found]
+                at = pa.array(np.repeat(np.arange(len(found)), size), pa.int64())
+                none = np.zeros(0)
+                tokens = np.concatenate([none.astype(np.uint64), *(t for t, _, _ in found)]).astype(np.int64)
+                head = np.concatenate([none.astype(bool), *(np.arange(len(t)) < n for t, _, n in found)])
+                weights = pa.array([p.sum() for _, p, _ in found], pa.float64())
+                columns = [block.column(0).take(at), block.column(1).take(at), weights.take(at), pa.array(tokens), pa.array(np.concatenate([none, *(p for _, p, _ in found)])), pa.array(head)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "class", "weight", "token", "part", "head"])
 
-    return members.select("node", "class", "shingles").mapInArrow(run, "node long, class long, weight double, token long")
+    return members.select("node", "class", "shingles").mapInArrow(run, "node long, class long, weight double, token long, part double, head boolean")
 
 
 def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """one and two: all pairs of different classes that share a token of their prefixes and whose weights allow the similarity."""
+    """one and two: pairs of different classes whose weights and common tokens allow the similarity, all that have it among them.
+
+    `rows` are token_rows.  A member's `most` is the weight of the heaviest partner that its tokens in other classes
+    allow.  Members of the smaller class of two look for the larger one by token and by a step of the weight.
+    """
+    loose, times = 1 + 1e-9, (1 + similarity) / similarity
     spread = lambda c: F.pmod(c, F.lit(1024)).alias("k")
-    held = keep(rows.groupBy("token", "class").agg(F.min("weight").alias("low"), F.max("weight").alias("high")))
-    # classes meet first, so that the members of a large class never meet each other
-    one, two = (held.select("token", F.col("class").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"), spread(F.col("token"))) for c in ("ca", "cb"))
-    near = (F.col("high_ca") >= similarity * F.col("low_cb") * (1 - 1e-9)) & (F.col("high_cb") >= similarity * F.col("low_ca") * (1 - 1e-9))
-    met = one.join(two, ["token", "k"]).filter((F.col("ca") < F.col("cb")) & near).select("token", "ca", "cb")
-    left, right = (rows.select("token", F.col("class").alias(c), F.col("node").alias(n), F.col("weight").alias(f"w_{n}"), spread(F.col("class"))) for c, n in (("ca", "a"), ("cb", "b")))
-    met = met.withColumn("k", spread(F.col("ca"))).join(left, ["token", "ca", "k"]).drop("k")
-    met = met.withColumn("k", spread(F.col("cb"))).join(right, ["token", "cb", "k"])
-    met = met.filter(F.least("w_a", "w_b") >= similarity * F.greatest("w_a", "w_b") * (1 - 1e-9))
-    return met.select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two")).groupBy("one", "two").agg(F.lit(1).alias("met")).select("one", "two")
+    common = rows.groupBy("token").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("token", spread(F.col("token")))
+    shared = rows.select("*", spread(F.col("token"))).join(common.hint("merge"), ["token", "k"], "left_semi").drop("k")
+    bounds = shared.groupBy("node").agg((times * F.sum("part") * loose - F.max("weight")).alias("most"), F.max("weight").alias("w")).filter(F.col("most") * loose >= similarity * F.col("w")).select("node", "most")
+    heads = shared.filter("head").select("node", "class", "weight", "token").hint("merge").join(bounds, "node")
+    sizes = rows.groupBy("class").agg(F.count_distinct("node").alias("n"))
+    heads = keep(heads.withColumn("k", spread(F.col("class"))).hint("merge").join(sizes.withColumn("k", spread(F.col("class"))), ["class", "k"]).drop("k"))
+    step = lambda w: F.floor(F.log(w) * 50).cast("int")
+    whole = heads.select("token", F.col("class").alias("cx"), F.col("n").alias("nx"), "weight", "most", step(F.col("weight")).alias("step"))
+    whole = whole.groupBy("token", "step", "cx", "nx").agg(F.min("weight").alias("wx"), F.max("most").alias("mx"))
+    low, high = similarity * F.col("weight") / loose, F.least(F.col("weight") / similarity, "most") * loose
+    asking = heads.withColumns({"low": low, "high": high}).filter("high >= low")
+    asking = asking.select("token", F.col("node").alias("y"), F.col("class").alias("cy"), F.col("n").alias("ny"), F.col("weight").alias("wy"), "high", F.explode(F.sequence(step(F.col("low")), step(F.col("high")))).alias("step"))
+    smaller = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("cy") < F.col("cx")))
+    met = asking.join(whole.hint("merge"), ["token", "step"]).filter(smaller & (F.col("wy") <= F.col("mx") * loose) & (F.col("wx") <= F.col("high")))
+    met = keep(met.groupBy("y", "cx", "nx", "wy").agg(F.max("high").alias("high")))
+    # all that a class of several texts holds of a text
+    held = rows.groupBy("class", "token").agg(F.max("part").alias("most_part"))
+    several = met.filter("nx > 1")
+    asked = several.select("y", "cx").withColumn("k", spread(F.col("y"))).hint("merge").join(rows.select(F.col("node").alias("y"), "token", "part", spread(F.col("node"))), ["y", "k"]).drop("k")
+    both = asked.withColumn("k", spread(F.col("token"))).hint("merge").join(held.select(F.col("class").alias("cx"), "token", "most_part", spread(F.col("token"))), ["cx", "token", "k"])
+    fits = both.groupBy("y", "cx").agg((times * F.sum(F.least("part", "most_part")) * loose).alias("sum"))
+    several = several.join(fits.hint("merge"), ["y", "cx"]).select("y", "cx", "wy", F.least("high", F.col("sum") - F.col("wy")).alias("high"))
+    left = met.filter("nx = 1").select("y", "cx", "wy", "high").unionByName(several).filter(F.col("high") * loose >= similarity * F.col("wy"))
+    members = heads.groupBy("node", "class", "weight", "most").agg(F.lit(1).alias("one")).select(F.col("node").alias("x"), F.col("class").alias("cx"), F.col("weight").alias("wx"), F.col("most").alias("mx"), spread(F.col("class")))
+    allowed = (F.col("wx") <= F.col("high") * loose) & (F.col("wy") <= F.col("mx") * loose) & (F.least("wx", "wy") >= similarity * F.greatest("wx", "wy") / loose)
+    pairs = left.withColumn("k", spread(F.col("cx"))).hint("merge").join(members, ["cx", "k"]).filter(allowed)
+    return pairs.select(F.least("x", "y").alias("one"), F.greatest("x", "y").alias("two")).groupBy("one", "two").agg(F.lit(1).alias("met")).select("one", "two")
 
 
 def marks_of(nodes: DataFrame) -> np.ndarray:
@@ -325,7 +359,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     links = links.union(verified(cross_pairs(marked, connected_components(links, "one", "two"))))
     classes = connected_components(links, "one", "two")
     members = keep(mixed_members(marked, classes).hint("merge").join(held_profiles, "node"))
-    more = verified(keep(prefix_pairs(keep(prefixes(members, idf, similarity)), similarity)))
+    more = verified(keep(prefix_pairs(keep(token_rows(members, idf, similarity)), similarity)))
     classes = connected_components(links.union(more), "one", "two")
     classes = classes.withColumnRenamed("node", "rep")
     mapped = copies.select("d1", "d2", "rep").join(classes, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from cytoplan.llm.components import connected_components
-from cytoplan.llm.near_dedup import IDF_RANGE, Sampler, counted_shingles, drop_near_duplicates, near_duplicates, prefix_pairs, prefixes, weighted_jaccard
+from cytoplan.llm.near_dedup import IDF_RANGE, Sampler, counted_shingles, drop_near_duplicates, near_duplicates, prefix_pairs, token_rows, weighted_jaccard
 
 from .helpers import ODD, frame, prose
 
@@ -153,7 +153,7 @@ def test_prefix_pairs_leave_no_similar_pair_out(spark):
         near = rng.permutation(40)[: 34 + i % 6]
         rows.append((i, i % 7, np.sort(near.astype("<u8")).tobytes()))
     members = spark.createDataFrame(rows, "node long, class long, shingles binary")
-    got = {(r.one, r.two) for r in prefix_pairs(prefixes(members, spark.sparkContext.broadcast(idf), 0.8), 0.8).collect()}
+    got = {(r.one, r.two) for r in prefix_pairs(token_rows(members, spark.sparkContext.broadcast(idf), 0.8), 0.8).collect()}
     want = {(i, j) for i, a, x in rows for j, b, y in rows if i < j and a != b and weighted_jaccard(x, y, idf) >= 0.8}
     assert want and want <= got and all(i % 7 != j % 7 for i, j in got)
 
