@@ -83,6 +83,11 @@ def lifted(cigar: Column, text: Column, gap: str) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A sort key that compares runs of digits as numbers (up to twenty digits)."""
+    """A sort key that compares runs of digits as numbers, of any length: how many digits, then the digits."""
     runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(r, 20, "0")).otherwise(r))
+
+    def number(r: Column) -> Column:
+        bare = F.regexp_replace(r, "^0+(?=.)", "")
+        return F.concat(F.lpad(F.length(bare).cast("string"), 10, "0"), F.lit(":"), bare)
+
+    return F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), number(r)).otherwise(r))

@@ -29,7 +29,14 @@ def chomp(text: Column) -> Column:
     return F.regexp_replace(text, r"\n\z", "")
 
 
+def last_entries(pairs: Column) -> Column:
+    """A map of an array of structs k, v: of a key's repeats the last one counts."""
+    keys = F.transform(pairs, lambda p: p["k"])
+    # counted from behind, a key's first place is that of its last entry
+    last = F.filter(pairs, lambda p, i: F.array_position(F.reverse(keys), p["k"]) == F.size(keys) - i)
+    return F.map_from_entries(last)
+
+
 def info_map(info: Column) -> Column:
     """key=value;flag as a map; a flag has an empty value, of a key's repeats the last one counts."""
-    pairs = F.transform(tokens(info, ";"), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(F.instr(x, "=") > 0, F.substr(x, F.instr(x, "=") + 1)).otherwise("").alias("v")))
-    return F.map_from_entries(F.filter(pairs, lambda p: F.size(F.filter(pairs, lambda q: q["k"] == p["k"])) == 1))
+    return last_entries(F.transform(tokens(info, ";"), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(F.instr(x, "=") > 0, F.substr(x, F.instr(x, "=") + 1)).otherwise("").alias("v"))))

@@ -7,6 +7,7 @@ dropped there, and one aggregation counts by chromosome, strand and position.  A
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,12 +53,15 @@ def first_reads(reads: DataFrame, caps: DataFrame, order: str = "file_ord") -> D
 
     No task sorts a whole chromosome (see `ordering`).
     """
-    ranked = numbered(reads, ["ds", "tid"], order, "_number").join(F.broadcast(caps), ["ds", "tid"], "left")
+    ranked = numbered(reads, ["ds", "tid"], order, "_number").join(caps, ["ds", "tid"], "left")
     return ranked.filter(F.col("max_reads").isNull() | (F.col("_number") <= F.col("max_reads"))).select(*reads.columns)
 
 
-def lifted_bases(reads: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """ds, chr, strand, pos, off, length, base and xm of every reference position under a read."""
+def lifted_bases(reads: DataFrame, settings: Settings = Settings(), wanted: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """ds, chr, strand, pos, off, length, base and xm of every reference position under a read.
+
+    `wanted` (of a letter's base and xm, and its offset) keeps the others from becoming rows.
+    """
     n = F.length("seq")
     base, call = dna.lifted(F.col("cigar"), F.col("seq"), "D"), dna.lifted(F.col("cigar"), F.col("xm"), ".")
     rows = reads.select(
@@ -72,14 +76,18 @@ def lifted_bases(reads: DataFrame, settings: Settings = Settings()) -> DataFrame
     if settings.pad_short_reads:
         whole = F.greatest(F.length("bases"), F.col("length"))
         rows = rows.withColumn("calls", F.rpad("calls", whole, F.lit("."))).withColumn("bases", F.rpad("bases", whole, F.lit("R")))
-    rows = rows.select("ds", "chr", "strand", "start", "length", F.posexplode(F.arrays_zip(F.filter(F.split("bases", ""), lambda x: x != "").alias("base"), F.filter(F.split("calls", ""), lambda x: x != "").alias("xm"))).alias("off", "b"))
-    return rows.select("ds", "chr", "strand", (F.col("start") + F.col("off")).cast("long").alias("pos"), "off", "length", "b.base", "b.xm")
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    steps = F.transform(F.arrays_zip(letters("bases").alias("base"), letters("calls").alias("xm")), lambda b, i: F.struct(b["base"].alias("base"), b["xm"].alias("xm"), i.alias("off")))
+    if wanted is not None:
+        steps = F.filter(steps, lambda b: wanted(b, b["off"]))
+    rows = rows.select("ds", "chr", "strand", "start", "length", F.explode(steps).alias("b"))
+    return rows.select("ds", "chr", "strand", (F.col("start") + F.col("b.off")).cast("long").alias("pos"), "b.off", "length", "b.base", "b.xm")
 
 
 def site_counts(reads: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """chr, strand, pos and the six counters of every site."""
     own = F.when(F.col("strand") == 0, "C").otherwise("G")
-    bases = lifted_bases(reads, settings).filter((F.col("off") < F.col("length")) & ((F.col("xm") != ".") | (F.col("base") != own)))
+    bases = lifted_bases(reads, settings, lambda b, off: (off < F.col("length")) & ((b["xm"] != ".") | (b["base"] != own)))
     counted = F.lit(True) if settings.include_last_base else F.col("off") <= F.col("length") - 2
     kinds = (("c", (F.col("xm") != ".") & ~F.col("xm").isin(*METHYLATED)), ("nc", F.col("xm") == "."), ("mc", F.col("xm").isin(*METHYLATED)))
     sums = []
@@ -92,7 +100,7 @@ def site_counts(reads: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def candidate_sites(reads: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """chr, strand and pos of every called position."""
-    return lifted_bases(reads, settings).filter("xm <> '.' AND off < length").select("chr", "strand", "pos").distinct()
+    return lifted_bases(reads, settings, lambda b, off: (off < F.col("length")) & (b["xm"] != ".")).select("chr", "strand", "pos").distinct()
 
 
 def strand_map(sites: DataFrame, strand: int, coverage: int = 15) -> DataFrame:
@@ -112,8 +120,13 @@ def run_statistics(reads: DataFrame, settings: Settings = Settings()) -> DataFra
     return marked.withColumn("skipped_pct", F.round((F.col("unmapped") + F.col("malformed")) * 100 / F.col("total"), 6))
 
 
-def snake_schedule(contigs: DataFrame, workers: int) -> DataFrame:
-    """tid and worker: chromosomes by falling length, dealt to and fro over the workers (a table of contigs is small)."""
-    rank = F.row_number().over(Window.orderBy(F.desc("length"), "tid")) - 1
+def snake_schedule(loads: DataFrame, workers: int, load: str = "length") -> DataFrame:
+    """tid and worker: chromosomes by falling load, dealt to and fro over the workers (one row for each chromosome)."""
+    rank = F.row_number().over(Window.orderBy(F.desc(load), "tid")) - 1
     turn = F.pmod(rank, F.lit(2 * workers))
-    return contigs.select("tid", "length", F.when(turn < workers, turn).otherwise(2 * workers - 1 - turn).alias("worker"))
+    return loads.select("tid", load, F.when(turn < workers, turn).otherwise(2 * workers - 1 - turn).alias("worker"))
+
+
+def read_loads(reads: DataFrame) -> DataFrame:
+    """tid and load: the letters of all reads of each chromosome."""
+    return reads.filter("tid >= 0").groupBy("tid").agg(F.sum(F.length("seq")).alias("load"))

@@ -1,18 +1,41 @@
-"""Pileup: what every read shows at every reference position."""
+"""Pileup: what every read shows at every reference position.
+
+Reads, not letters, are shuffled: each goes to the spans of positions that it touches, is taken apart there, and the
+positions of a span are put together in the same stage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytoplan.functions import dna
 
+from .reference import pieces
+
+MASK = dna.UNMAPPED | dna.SECONDARY | dna.QC_FAIL | dna.DUPLICATE
+#: Positions of a span.
+SPAN = 256
+
+
+def pileup(reads: DataFrame, min_mapq: int = 0, mask: int = MASK, contigs: DataFrame | None = None, min_quality: int = 0, keep: tuple[str, ...] = (), span: int = SPAN) -> DataFrame:
+    """tid, span, pos, read_id, token, quality, letter (null where deleted or skipped), ref and the columns of `keep`.
 
-def pileup(reads: DataFrame, min_mapq: int = 0, mask: int = dna.UNMAPPED | dna.SECONDARY | dna.QC_FAIL | dna.DUPLICATE) -> DataFrame:
-    """tid, pos, read_id, token and quality: letters (lower case on the reverse strand), `*` deleted, `<` or `>` skipped,
-    with the marks of a read's head and tail and of insertions and deletions that follow."""
+    Tokens are letters (lower case on the reverse strand; with contigs `.` and `,` where they are the reference's), `*`
+    deleted, `<` or `>` skipped, with the marks of a read's head and tail and of insertions and deletions that follow.
+    Positions whose quality is under `min_quality` are left out.
+    """
     f = F.col("flag")
-    good = reads.filter(dna.lacks(f, mask) & (F.col("tid") >= 0) & (F.col("mapq") >= min_mapq))
+    reach = dna.reference_length(F.col("cigar"))
+    good = reads.filter(dna.lacks(f, mask) & (F.col("tid") >= 0) & (F.col("mapq") >= min_mapq)).withColumn("reach", reach).filter("reach > 0")
+    touched = F.explode(F.sequence(F.floor(F.col("pos") / span), F.floor((F.col("pos") + F.col("reach") - 1) / span))).alias("span")
+    rows = good.select("tid", "pos", "read_id", "mapq", "cigar", "seq", "qual", dna.has(f, dna.REVERSE).alias("rev"), "reach", *keep, touched)
+    # a stated number of partitions: rows multiply behind this shuffle, so its size in bytes says nothing
+    rows = rows.repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tid", "span")
+    if contigs is None:
+        rows = rows.withColumn("letters", F.lit(None).cast("string"))
+    else:  # the letters of the span, and those of a deletion that goes on behind it
+        rows = rows.join(pieces(contigs, span, span).select("tid", F.col("piece").alias("span"), "letters"), ["tid", "span"], "left")
     placed = F.aggregate(
         dna.cigar_ops(F.col("cigar")),
         F.struct(F.array().cast("array<struct<op:string,n:int,r:int,q:int>>").alias("ops"), F.lit(0).alias("r"), F.lit(0).alias("q")),
@@ -23,28 +46,96 @@ def pileup(reads: DataFrame, min_mapq: int = 0, mask: int = dna.UNMAPPED | dna.S
         ),
         lambda s: s["ops"],
     )
-    rows = good.select("tid", "pos", "read_id", "mapq", "seq", "qual", dna.has(f, dna.REVERSE).alias("rev"), dna.reference_length(F.col("cigar")).alias("reach"), placed.alias("ops"))
-    rows = rows.select("*", F.posexplode("ops").alias("k", "o")).withColumn("next", F.get("ops", F.col("k") + 1)).filter(F.col("o.op").isin(*"MDN=X"))
-    rows = rows.drop("ops").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("o.n") - 1)))
+    rows = rows.withColumn("ops", placed).select("*", F.posexplode("ops").alias("k", "o")).withColumn("next", F.get("ops", F.col("k") + 1)).filter(F.col("o.op").isin(*"MDN=X"))
+    begin = F.col("pos") + F.col("o.r")
+    first, last = F.greatest(F.lit(0), F.col("span") * span - begin), F.least(F.col("o.n") - 1, (F.col("span") + 1) * span - 1 - begin)
+    rows = rows.drop("ops", "cigar").withColumns({"first": first.cast("int"), "last": last.cast("int")}).filter("first <= last").withColumn("i", F.explode(F.sequence("first", "last")))
     aligned = F.col("o.op").isin(*"M=X")
+    at, place = F.col("o.q") + F.col("i"), F.col("o.r") + F.col("i")
+    rows = rows.withColumn("letter", F.when(aligned, F.substr("seq", at + 1, F.lit(1))))
+    rows = rows.withColumn("quality", F.substr("qual", F.when(aligned, at + 1).otherwise(F.greatest(F.col("o.q"), F.lit(1))), F.lit(1)))
+    if min_quality:
+        rows = rows.filter(F.ascii("quality") - 33 >= min_quality)
+    inside = (F.col("pos") + place - F.col("span") * span + 1).cast("int")
+    rows = rows.withColumns({"ref": F.substr("letters", inside, F.lit(1)), "inside": inside})
     cased = lambda c: F.when(F.col("rev"), F.lower(c)).otherwise(c)
-    at = F.col("o.q") + F.col("i")
-    letter = F.when(F.col("o.op") == "D", "*").when(F.col("o.op") == "N", F.when(F.col("rev"), "<").otherwise(">")).otherwise(cased(F.substr("seq", at + 1, F.lit(1))))
-    last = aligned & (F.col("i") == F.col("o.n") - 1)
+    own = F.when(F.col("letter") == F.col("ref"), F.when(F.col("rev"), ",").otherwise(".")).otherwise(cased(F.col("letter")))
+    shown = F.when(F.col("o.op") == "D", "*").when(F.col("o.op") == "N", F.when(F.col("rev"), "<").otherwise(">")).otherwise(own)
+    ends = aligned & (F.col("i") == F.col("o.n") - 1)
     size = F.col("next.n")
+    gone = F.rpad(F.coalesce(F.substr("letters", F.col("inside") + 1, size), F.lit("")), size, F.lit("N"))
     indel = (
-        F.when(last & (F.col("next.op") == "I"), F.concat(F.lit("+"), size.cast("string"), cased(F.substr("seq", at + 2, size))))
-        .when(last & (F.col("next.op") == "D"), F.concat(F.lit("-"), size.cast("string"), F.repeat(F.when(F.col("rev"), "n").otherwise("N"), size)))
+        F.when(ends & (F.col("next.op") == "I"), F.concat(F.lit("+"), size.cast("string"), cased(F.substr("seq", at + 2, size))))
+        .when(ends & (F.col("next.op") == "D"), F.concat(F.lit("-"), size.cast("string"), cased(gone)))
         .otherwise("")
     )
-    place = F.col("o.r") + F.col("i")
     head = F.when(place == 0, F.concat(F.lit("^"), F.chr(F.least(F.col("mapq"), F.lit(93)) + 33))).otherwise("")
     tail = F.when(place == F.col("reach") - 1, "$").otherwise("")
-    quality = F.substr("qual", F.when(aligned, at + 1).otherwise(F.greatest(F.col("o.q"), F.lit(1))), F.lit(1))
-    return rows.select("tid", (F.col("pos") + place).cast("long").alias("pos"), "read_id", F.concat(head, letter, indel, tail).alias("token"), quality.alias("quality"))
+    return rows.select("tid", "span", (F.col("pos") + place).cast("long").alias("pos"), "read_id", *keep, F.concat(head, shown, indel, tail).alias("token"), "quality", "letter", "ref")
+
+
+def _texts(found: Column, max_depth: int | None) -> tuple[Column, Column, Column]:
+    rows = F.array_sort(found)
+    if max_depth is not None:
+        rows = F.slice(rows, 1, max_depth)
+    return F.size(rows).cast("long"), F.array_join(F.transform(rows, lambda x: x["token"]), ""), F.array_join(F.transform(rows, lambda x: x["quality"]), "")
+
+
+def pileup_text(reads: DataFrame, min_mapq: int = 0, max_depth: int | None = None, **options) -> DataFrame:  # noqa: ANN003
+    """tid, pos, depth, bases and qualities in the order of read_id; of deeper positions the first `max_depth` reads."""
+    grouped = pileup(reads, min_mapq, **options).groupBy("tid", "span", "pos").agg(F.collect_list(F.struct("read_id", "token", "quality")).alias("x"))
+    depth, bases, qualities = _texts(F.col("x"), max_depth)
+    return grouped.select("tid", "pos", depth.alias("depth"), bases.alias("bases"), qualities.alias("qualities"))
+
+
+def pileup_files(reads: DataFrame, file: str, names: list[str], contigs: DataFrame, min_mapq: int = 0, min_quality: int = 13, max_depth: int = 250) -> DataFrame:
+    """Files side by side: tid, pos, ref and depth, bases and qualities of each (0, `*` and `*` where a file has nothing).
+
+    `file` is the column that says where a read is from; reads of files that aren't named take no part.
+    """
+    rows = pileup(reads.filter(F.col(file).isin(*names)), min_mapq, contigs=contigs, min_quality=min_quality, keep=(file,))
+    one = F.struct("read_id", "token", "quality")
+    grouped = rows.groupBy("tid", "span", "pos").agg(F.max("ref").alias("ref"), *[F.collect_list(F.when(F.col(file) == n, one)).alias(f"_{n}") for n in names])
+    columns = []
+    for n in names:
+        depth, bases, qualities = _texts(F.col(f"_{n}"), max_depth)
+        columns += [depth.alias(f"depth_{n}"), F.when(depth > 0, bases).otherwise("*").alias(f"bases_{n}"), F.when(depth > 0, qualities).otherwise("*").alias(f"qualities_{n}")]
+    return grouped.select("tid", "pos", F.coalesce("ref", F.lit("N")).alias("ref"), *columns)
+
+
+def genotype_likelihoods(reads: DataFrame, contigs: DataFrame, sample: str, min_mapq: int = 0, min_quality: int = 13) -> DataFrame:
+    """tid, pos, sample, ref, alt, n and pl0 to pl2 of every position and sample that shows a letter beside the reference's.
+
+    `alt` is the letter with most quality among the others at that position over all samples (ties: the first).  A letter
+    read with error e has the chance 1 - e under its own allele and e / 3 under another; a heterozygote shows either by
+    half.  Likelihoods are phred-scaled against the best of the three.  Everything is summed, nothing is collected.
+    """
+    rows = pileup(reads, min_mapq, contigs=contigs, min_quality=min_quality, keep=(sample,)).filter("letter IN ('A', 'C', 'G', 'T') AND ref IN ('A', 'C', 'G', 'T')")
+    e = F.pow(F.lit(10.0), -(F.ascii("quality") - 33) / 10)
+    bases = "ACGT"
+    rows = rows.withColumns({"e": e, "q": F.ascii("quality") - 33})
+    same, other = F.log10(1 - F.col("e")), F.log10(F.col("e") / 3)
+    half = F.log10((1 - F.col("e") + F.col("e") / 3) / 2)
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(other).alias("other"), F.max("ref").alias("ref")]
+    for b in bases:
+        mine = F.col("letter") == b
+        sums += [F.coalesce(F.sum(F.when(mine, c)), F.lit(0.0)).alias(f"{k}_{b}") for k, c in (("same", same), ("half", half), ("diff", other))]
+        sums += [F.coalesce(F.sum(F.when(mine, F.col("q"))), F.lit(0)).alias(f"q_{b}")]
+    by_sample = rows.groupBy("tid", "span", "pos", sample).agg(*sums)
+    whole = by_sample.groupBy("tid", "span", "pos").agg(*[F.sum(f"q_{b}").alias(f"t_{b}") for b in bases])
+    both = by_sample.join(whole, ["tid", "span", "pos"])
+    best = F.greatest(*[F.when(F.col("ref") == b, -1).otherwise(F.col(f"t_{b}")) for b in bases])
+    alt = F.coalesce(*[F.when((F.col("ref") != b) & (F.col(f"t_{b}") == best), b) for b in bases])
+    both = both.withColumns({"best": best, "alt": alt}).filter("best > 0")
+    pick = lambda k, c: F.coalesce(*[F.when(F.col(c) == b, F.col(f"{k}_{b}")) for b in bases])
+    rest = F.col("other") - pick("diff", "ref") - pick("diff", "alt")
+    likelihoods = [pick("same", "ref") + pick("diff", "alt") + rest, pick("half", "ref") + pick("half", "alt") + rest, pick("diff", "ref") + pick("same", "alt") + rest]
+    both = both.withColumns({f"l{k}": x for k, x in enumerate(likelihoods)})
+    top = F.greatest("l0", "l1", "l2")
+    return both.select("tid", "pos", sample, "ref", "alt", "n", *[F.round(-10 * (F.col(f"l{k}") - top)).cast("int").alias(f"pl{k}") for k in range(3)])
 
 
-def pileup_text(reads: DataFrame, min_mapq: int = 0) -> DataFrame:
-    """tid, pos, depth, bases and qualities in the order of read_id."""
-    grouped = pileup(reads, min_mapq).groupBy("tid", "pos").agg(F.count(F.lit(1)).alias("depth"), F.array_sort(F.collect_list(F.struct("read_id", "token", "quality"))).alias("x"))
-    return grouped.select("tid", "pos", "depth", F.array_join("x.token", "").alias("bases"), F.array_join("x.quality", "").alias("qualities"))
+def call_genotypes(likelihoods: DataFrame, sample: str) -> DataFrame:
+    """tid, pos, sample, gt (alternate alleles) and gq of the best genotype (ties: fewer), and the second best's distance."""
+    order = F.array_sort(F.array(*[F.struct(F.col(f"pl{k}").alias("pl"), F.lit(k).alias("gt")) for k in range(3)]))
+    return likelihoods.select("tid", "pos", sample, order[0]["gt"].alias("gt"), (order[1]["pl"] - order[0]["pl"]).alias("gq"))

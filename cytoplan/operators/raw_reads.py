@@ -1,4 +1,4 @@
-"""Raw reads: statistics, filter, trimming, simulation and exact mapping.
+"""Raw reads: statistics, filter, trimming, conversion and mapping.
 
 `reads` has id, sequence and quality (Phred + 33).
 """
@@ -33,53 +33,98 @@ def paired(first: DataFrame, second: DataFrame, on: str = "ordinal") -> DataFram
     return first.select(on, *[F.col(c).alias(f"{c}_1") for c in ("id", "sequence", "quality")]).join(second.select(on, *[F.col(c).alias(f"{c}_2") for c in ("id", "sequence", "quality")]), on)
 
 
-def _chance(key: Column, place: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on the read and the place only."""
-    return F.pmod(F.crc32(F.concat_ws(":", key, place.cast("string"), F.lit(str(seed))).cast("binary")), F.lit(1 << 24)) / (1 << 24)
+def converted(reads: DataFrame, from_base: str = "C", to_base: str = "T") -> DataFrame:
+    """Reads with every `from_base` as `to_base`; adds `converted`, how many that were, and `total`, all of both."""
+    changed, same = dna.count_of(F.col("sequence"), from_base), dna.count_of(F.col("sequence"), to_base)
+    return reads.withColumns({"converted": changed, "total": changed + same, "sequence": F.translate("sequence", from_base, to_base)})
 
 
-def convert(reads: DataFrame, rate: float, seed: int = 1, from_base: str = "C", to_base: str = "T") -> DataFrame:
-    """Each `from_base` becomes `to_base` with the given probability; adds `converted` and `total`."""
-    letters = F.filter(F.split("sequence", ""), lambda c: c != "")
-    out = F.transform(letters, lambda c, i: F.when((c == from_base) & (_chance(F.col("id"), i, seed) < rate), to_base).otherwise(c))
-    rows = reads.withColumn("_out", F.array_join(out, ""))
-    total = dna.count_of(F.col("sequence"), from_base)
-    return rows.withColumn("total", total).withColumn("converted", total - dna.count_of(F.col("_out"), from_base)).withColumn("sequence", F.col("_out")).drop("_out")
+def kmers(texts: DataFrame, key: str, text: str, k: int, step: int = 1) -> DataFrame:
+    """key, offset (from 0) and kmer of all k letters in a row."""
+    n = F.length(text) - k
+    at = F.when(n >= 0, F.sequence(F.lit(0), n, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return texts.select(key, F.explode(at).alias("offset"), text).select(key, "offset", F.substr(F.col(text), F.col("offset") + 1, F.lit(k)).alias("kmer"))
 
 
-def simulate_bisulfite(reads: DataFrame, islands: DataFrame, outside: float, inside: float, seed: int = 1) -> DataFrame:
-    """Reads named `chr_start_..._strand` after bisulfite: unmethylated C (or G of the other strand, half of the reads) converts.
+def both_strands(reads: DataFrame) -> DataFrame:
+    """id, sequence and strand of each read and of its reverse complement."""
+    other = reads.select("id", dna.reverse_complement(F.col("sequence")).alias("sequence"), F.lit(1).alias("strand"))
+    return reads.select("id", "sequence", F.lit(0).alias("strand")).unionByName(other)
 
-    The methylation level is `inside` where the read's start or end lies in an island (chrom, start, end), else `outside`.
-    """
-    name = F.split("id", "_")
-    rows = reads.withColumn("_chrom", name[0]).withColumn("_start", name[1].cast("long")).withColumn("_end", name[1].cast("long") + F.length("sequence"))
-    ends = rows.select("id", "_chrom", F.explode(F.array("_start", "_end")).alias("_at"))
-    from .regions import contained
 
-    hit = contained(ends, islands, "_chrom", "_at", "_at").select("id").distinct().withColumn("_island", F.lit(True))
-    rows = rows.join(hit, "id", "left")
-    level = F.when(F.col("_island"), inside).otherwise(outside)
-    forward = _chance(F.col("id"), F.lit(-1), seed) < 0.5
-    source, target = F.when(forward, "C").otherwise("G"), F.when(forward, "T").otherwise("A")
-    letters = F.filter(F.split("sequence", ""), lambda c: c != "")
-    out = F.transform(letters, lambda c, i: F.when((c == source) & (_chance(F.col("id"), i, seed) >= level), target).otherwise(c))
-    return rows.withColumn("sequence", F.array_join(out, "")).select(*reads.columns)
+def contig_windows(contigs: DataFrame, reach: int, size: int = 1 << 12) -> DataFrame:
+    """chrom, start, piece, first and letters: contigs (chrom, start, sequence) in pieces of `size` letters and `reach` more, so that no row is long."""
+    at = F.sequence(F.lit(0), F.floor(F.greatest(F.length("sequence") - 1, F.lit(0)) / size))
+    rows = contigs.select("chrom", "start", "sequence", F.explode(at).alias("piece"))
+    return rows.select("chrom", "start", "piece", (F.col("start") + F.col("piece") * size).alias("first"), F.substr("sequence", (F.col("piece") * size + 1).cast("int"), F.lit(size + reach)).alias("letters"))
 
 
-def kmers(texts: DataFrame, key: str, text: str, k: int, step: int = 1) -> DataFrame:
-    """key, offset (from 0) and kmer of all k letters in a row."""
-    n = F.length(text) - k
-    at = F.when(n >= 0, F.sequence(F.lit(0), n, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return texts.select(key, F.explode(at).alias("offset"), text).select(key, "offset", F.substr(F.col(text), F.col("offset") + 1, F.lit(k)).alias("kmer"))
+def _places(pieces: DataFrame, k: int, size: int) -> DataFrame:
+    """Every k letters of the pieces, each place of a contig once: kmer, chrom, begin (of the contig) and at."""
+    n = F.least(F.length("letters") - k + 1, F.lit(size))
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    rows = pieces.select("chrom", "start", "first", "letters", F.explode(at).alias("offset"))
+    return rows.select("chrom", F.col("start").alias("begin"), (F.col("first") + F.col("offset")).alias("at"), F.substr("letters", F.col("offset") + 1, F.lit(k)).alias("kmer"))
+
+
+def map_exact(reads: DataFrame, contigs: DataFrame, k: int = 16, longest: int = 1 << 12) -> DataFrame:
+    """read id, chrom, pos, strand of every exact occurrence of reads of k to `longest` letters.
+
+    The first k letters are looked up, and only places where they stand fetch the piece of the contig and compare the
+    rest.  Lookups have a second key, so that Spark can split very common letters.
+    """
+    return map_mismatches(reads, contigs, 0, k, longest).select("id", "chrom", "pos", "strand")
 
 
-def map_exact(reads: DataFrame, contigs: DataFrame, k: int = 16) -> DataFrame:
-    """read id, chrom, pos, strand of every exact occurrence: the first k letters are looked up, the rest is compared."""
-    both = reads.select("id", "sequence", F.lit(0).alias("strand")).unionByName(reads.select("id", dna.reverse_complement(F.col("sequence")).alias("sequence"), F.lit(1).alias("strand")))
-    seeds = both.filter(F.length("sequence") >= k).withColumn("kmer", F.substring("sequence", 1, k))
-    # contigs in overlapping pieces would do for whole genomes: (chrom, start, sequence)
-    places = contigs.select("chrom", "start", F.col("sequence").alias("_text"), F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("sequence") - k + 1, F.lit(1))), lambda i: F.substr(F.col("sequence"), i, F.lit(k)))).alias("_at", "kmer"))
-    joined = seeds.join(places.filter(F.length("kmer") == k), "kmer")
-    same = F.substr(F.col("_text"), F.col("_at") + 1, F.length("sequence")) == F.col("sequence")
-    return joined.filter(same).select("id", "chrom", (F.col("start") + F.col("_at")).alias("pos"), "strand").distinct()
+def map_mismatches(reads: DataFrame, contigs: DataFrame, errors: int, k: int = 16, longest: int = 1 << 12, bisulfite: bool = False) -> DataFrame:
+    """id, chrom, pos, strand and mismatches of every place where a read fits with at most `errors` differing letters.
+
+    A read is cut into errors + 1 stretches; where it fits, one of them stands without a difference, so its first k
+    letters are a seed there (reads with a stretch shorter than k aren't mapped).  With bisulfite, letters are compared
+    after C became T on both sides (G became A on the reverse strand of the read, which is the same there).
+    """
+    turn = (lambda c: F.translate(c, "C", "T")) if bisulfite else (lambda c: c)
+    back = (lambda c: F.translate(c, "G", "A")) if bisulfite else (lambda c: c)
+    n = F.length("sequence")
+    step = F.floor(n / (errors + 1)).cast("int")
+    fitting = reads.filter((step >= k) & (n <= longest))
+    found = None
+    for strand, change in ((0, turn), (1, back)):
+        # the reverse strand is looked for by the reverse complement
+        text = change(F.col("sequence") if strand == 0 else dna.reverse_complement(F.col("sequence")))
+        own = fitting.select("id", text.alias("sequence"), step.alias("step"))
+        seeds = own.select("id", "sequence", F.explode(F.transform(F.sequence(F.lit(0), F.lit(errors)), lambda i: i * F.col("step"))).alias("skip"))
+        seeds = seeds.withColumn("kmer", F.substr("sequence", F.col("skip") + 1, F.lit(k)))
+        pieces = contig_windows(contigs.withColumn("sequence", change(F.col("sequence"))), longest)
+        common = F.pmod(F.xxhash64("kmer"), F.lit(1024)).alias("_k")
+        near = seeds.select("*", common).join(_places(pieces, k, 1 << 12).select("*", common), ["kmer", "_k"])
+        near = near.select("id", "sequence", "chrom", "begin", (F.col("at") - F.col("skip")).alias("pos")).distinct()
+        held = pieces.select("chrom", F.col("start").alias("begin"), "piece", "first", "letters")
+        near = near.withColumn("piece", F.floor((F.col("pos") - F.col("begin")) / (1 << 12))).join(held, ["chrom", "begin", "piece"])
+        there = F.substr("letters", (F.col("pos") - F.col("first") + 1).cast("int"), F.length("sequence"))
+        near = near.withColumn("there", there).filter(F.length("there") == F.length("sequence"))
+        if errors:
+            letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+            differ = F.size(F.filter(F.arrays_zip(letters("sequence").alias("a"), letters("there").alias("b")), lambda z: z["a"] != z["b"]))
+        else:
+            differ = F.when(F.col("sequence") == F.col("there"), 0).otherwise(1)
+        part = near.select("id", "chrom", "pos", F.lit(strand).alias("strand"), differ.alias("mismatches")).filter(F.col("mismatches") <= errors)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def hit_tags(hits: DataFrame) -> DataFrame:
+    """Adds the optional fields of a mapping: NH (places of the read), NM (differing letters) and AS (letters that agree less those that differ)."""
+    places = hits.groupBy("id").agg(F.count(F.lit(1)).alias("nh"))
+    return hits.join(places, "id").withColumn("nm", F.col("mismatches"))
+
+
+def candidate_locations(reads: DataFrame, contigs: DataFrame, k: int = 16, step: int = 8, gap: int = 50) -> DataFrame:
+    """id, strand, chrom, start, end and seeds: places of each read's seeds (every `step` letters), joined where at most `gap` apart."""
+    from .regions import merge_close
+
+    seeds = kmers(both_strands(reads).withColumn("key", F.struct("id", "strand")), "key", "sequence", k, step)
+    common = F.pmod(F.xxhash64("kmer"), F.lit(1024)).alias("_k")
+    met = seeds.select("key", "kmer", common).distinct().join(_places(contig_windows(contigs, k), k, 1 << 12).select("kmer", "chrom", F.col("at").alias("start"), common), ["kmer", "_k"])
+    rows = met.select("key.id", "key.strand", "chrom", "start", (F.col("start") + k).alias("end"))
+    return merge_close(rows, ["id", "strand", "chrom"], "start", "end", gap).withColumnRenamed("members", "seeds")

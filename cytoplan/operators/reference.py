@@ -21,15 +21,25 @@ def pieces(contigs: DataFrame, size: int = PIECE, overlap: int = OVERLAP) -> Dat
 def mismatch_tags(reads: DataFrame, contigs: DataFrame, size: int = PIECE, overlap: int = OVERLAP) -> DataFrame:
     """read_id, nm and md of aligned reads: edits, and the string of matches, differing letters and deletions.
 
-    Reads that span more than `overlap` letters of the reference aren't compared.
+    A read that spans no more than `overlap` letters of the reference lies in one piece; longer ones are joined with all
+    pieces that they touch, whose letters are put together again.  Reads beyond the contigs' ends aren't compared.
     """
-    mapped = reads.filter(dna.lacks(F.col("flag"), dna.UNMAPPED) & (F.col("tid") >= 0) & (dna.reference_length(F.col("cigar")) <= overlap))
-    keyed = mapped.select("read_id", "tid", "pos", "cigar", "seq", F.floor(F.col("pos") / size).alias("piece"))
-    joined = keyed.join(pieces(contigs, size, overlap), ["tid", "piece"])
+    reach = dna.reference_length(F.col("cigar"))
+    mapped = reads.filter(dna.lacks(F.col("flag"), dna.UNMAPPED) & (F.col("tid") >= 0)).select("read_id", "tid", "pos", "cigar", "seq", reach.alias("reach"))
+    cut = pieces(contigs, size, overlap)
+    short = mapped.filter(F.col("reach") <= overlap).withColumn("piece", F.floor(F.col("pos") / size)).join(cut, ["tid", "piece"])
+    short = short.select("read_id", "cigar", "seq", F.substr("letters", (F.col("pos") - F.col("piece_start") + 1).cast("int"), F.col("reach")).alias("ref"))
+    touched = F.sequence(F.floor(F.col("pos") / size), F.floor((F.col("pos") + F.col("reach") - 1) / size))
+    long = mapped.filter(F.col("reach") > overlap).withColumn("piece", F.explode(touched)).join(cut, ["tid", "piece"])
+    first = F.greatest(F.col("pos") - F.col("piece_start"), F.lit(0))
+    last = F.least(F.col("pos") + F.col("reach") - F.col("piece_start"), F.lit(size))
+    part = F.struct("piece", F.substr("letters", (first + 1).cast("int"), (last - first).cast("int")).alias("letters"))
+    long = long.groupBy("read_id", "cigar", "seq").agg(F.array_sort(F.collect_list(part)).alias("x"))
+    joined = short.unionByName(long.select("read_id", "cigar", "seq", F.array_join("x.letters", "").alias("ref")))
     # letters in step: the read's without insertions, the reference's, and what kind of place it is
     ops = dna.cigar_ops(F.col("cigar"))
     kinds = F.aggregate(ops, F.lit(""), lambda s, x: F.concat(s, F.when(x["op"].isin(*"M=X"), F.repeat(F.lit("M"), x["n"])).when(x["op"] == "D", F.repeat(F.lit("D"), x["n"])).when(x["op"] == "N", F.repeat(F.lit("N"), x["n"])).otherwise("")))
-    rows = joined.select("read_id", "cigar", kinds.alias("kinds"), dna.lifted(F.col("cigar"), F.col("seq"), "-").alias("bases"), F.substr("letters", (F.col("pos") - F.col("piece_start") + 1).cast("int"), F.length(kinds)).alias("ref"))
+    rows = joined.select("read_id", "cigar", kinds.alias("kinds"), dna.lifted(F.col("cigar"), F.col("seq"), "-").alias("bases"), "ref")
     letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     steps = F.arrays_zip(letters("kinds").alias("k"), letters("bases").alias("b"), letters("ref").alias("r"))
     start = F.struct(F.lit("").alias("md"), F.lit(0).alias("run"), F.lit(0).alias("bad"), F.lit(False).alias("gap"))
@@ -59,5 +69,5 @@ def fetch(reads: DataFrame, tid: int, start: int, end: int) -> DataFrame:
 
 def with_sample(reads: DataFrame, groups: DataFrame, column: str = "lib") -> DataFrame:
     """Adds `sample` by the read group; reads of unknown groups are named after it."""
-    held = F.broadcast(groups.select(F.col("group").alias("_group"), "sample"))
+    held = groups.select(F.col("group").alias("_group"), "sample")
     return reads.join(held, F.col(column) == F.col("_group"), "left").withColumn("sample", F.coalesce("sample", F.col(column).cast("string"))).drop("_group")

@@ -6,7 +6,7 @@ by any point or interval through the bin of its start, so the probing side is ne
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_POSITION = 4294967295
@@ -37,14 +37,17 @@ def contained(rows: DataFrame, regions: DataFrame, chrom: str, start: str, end:
 
 
 def overlapping(rows: DataFrame, beds: DataFrame, chrom: str, start: str, end: str, width: int = 8192) -> DataFrame:
-    """Rows whose half-open interval meets a half-open one of `beds` (chrom, start, end); each row once."""
-    probe = rows.withColumn("_key", F.struct(*rows.columns)).withColumn("_bin", F.explode(_bins(F.col(start), F.greatest(F.col(start), F.col(end) - 1), width)))
+    """Rows whose half-open interval meets a half-open one of `beds` (chrom, start, end); each row once, equal rows each."""
     held = beds.filter("end > start").select(F.col("chrom").alias("_r_chrom"), F.col("start").alias("_r_start"), F.col("end").alias("_r_end"), F.explode(_bins(F.col("start"), F.col("end") - 1, width)).alias("_hbin"))
-    on = (F.col(chrom) == F.col("_r_chrom")) & (F.col("_bin") == F.col("_hbin")) & (F.col("_r_end") > F.col(start)) & (F.col("_r_start") < F.col(end))
-    first = F.floor(F.col(start) / width) == F.col("_bin")
-    # a pair counts in the first bin that both share, so rows aren't repeated by their own bins
-    near = probe.join(held, on & (first | (F.floor(F.col("_r_start") / width) == F.col("_bin"))), "left_semi")
-    return near.select("_key").distinct().select("_key.*")
+    meets = (F.col(chrom) == F.col("_r_chrom")) & (F.col("_r_end") > F.col(start)) & (F.col("_r_start") < F.col(end))
+    first, last = F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end) - 1) / width)
+    near = rows.join(held, meets & (first == F.col("_hbin")), "left_semi")
+    # only rows that reach further bins and met nothing in their first one ask there; equal ones ask as one
+    rest = rows.filter(last > first).join(held, meets & (first == F.col("_hbin")), "left_anti")
+    rest = rest.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_times")).withColumn("_key", F.struct(*rows.columns))
+    probe = rest.withColumn("_bin", F.explode(F.sequence(first + 1, last)))
+    found = probe.join(held, meets & (F.col("_bin") == F.col("_hbin")), "left_semi").select("_key", "_times").distinct()
+    return near.unionByName(found.select("_key", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).select("_key.*"))
 
 
 def chunk_counts(rows: DataFrame, chrom: str, start: str, end: str, size: int) -> DataFrame:
@@ -53,22 +56,77 @@ def chunk_counts(rows: DataFrame, chrom: str, start: str, end: str, size: int) -
     return touched.groupBy("chromosome", "chunk_id").agg(F.count(F.lit(1)).alias("features_count"))
 
 
+def unique_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of rows with the same keys the first one, by `order`."""
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.col(order)).alias("_row"))
+    return best.select("_row.*")
+
+
 def intersect_keep(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the left table, repeats too, that the right one has."""
     return left.join(right.select(*keys), keys, "left_semi")
 
 
+def intersect_smaller(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the table with fewer rows (of the first, if both have as many) that the other one has."""
+    small, large = (one, two) if one.count() <= two.count() else (two, one)
+    return intersect_keep(small, large, keys)
+
+
 def complement(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the left table that the right one hasn't."""
     return left.join(right.select(*keys), keys, "left_anti")
 
 
-def merge_close(rows: DataFrame, by: list[str], start: str, end: str, gap: int) -> DataFrame:
-    """Intervals of a group joined where at most `gap` lies between them (gaps and islands)."""
-    from pyspark.sql import Window
+def insert_regions(regions: DataFrame, more: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Both tables' regions; those on unknown chromosomes (not in contigs, column chrom) aren't taken, equal ones once."""
+    columns = ["chrom", "start", "end"]
+    return regions.select(*columns).unionByName(more.join(contigs.select("chrom"), "chrom", "left_semi").select(*columns)).distinct()
+
+
+def remove_regions(regions: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the regions that are given exactly."""
+    return regions.join(gone.select("chrom", "start", "end"), ["chrom", "start", "end"], "left_anti")
+
+
+def count_regions(regions: DataFrame) -> DataFrame:
+    """Regions of each chromosome."""
+    return regions.groupBy("chrom").agg(F.count(F.lit(1)).alias("regions"))
+
+
+def from_gff(gff: DataFrame) -> DataFrame:
+    """Regions of GFF rows, with coordinates as they are written."""
+    return gff.select(F.col("sequence").alias("chrom"), "start", "end")
+
+
+def from_bed(bed: DataFrame) -> DataFrame:
+    """Regions of BED rows, with coordinates as they are written."""
+    return bed.select("chrom", "start", "end")
+
+
+def ordered_regions(regions: DataFrame, chromosomes: DataFrame) -> DataFrame:
+    """Regions in the order of a list of chromosomes (chrom, ordinal), then start and end; others last, by name."""
+    known = regions.join(chromosomes.select("chrom", "ordinal"), "chrom", "left")
+    return known.orderBy(F.col("ordinal").asc_nulls_last(), "chrom", "start", "end").select(*regions.columns)
+
+
+def merge_close(rows: DataFrame, by: list[str], start: str, end: str, gap: int, width: int = 1 << 20) -> DataFrame:
+    """Intervals of a group joined where at most `gap` lies between them (gaps and islands).
 
-    w = Window.partitionBy(*by).orderBy(start, end)
-    seen = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(seen.isNull() | (F.col(start) - seen > gap), 1).otherwise(0)
-    islands = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("members")).drop("_island")
+    Islands are built inside spans of start positions; a span knows the largest end before it from a row for each span,
+    and islands that go on over a border are joined by their numbers, so no task sorts a whole group.
+    """
+    span = F.floor(F.col(start) / width).alias("_span")
+    rows = rows.select(*by, F.col(start).alias("_s"), F.col(end).alias("_e"), span)
+    ends = rows.groupBy(*by, "_span").agg(F.max("_e").alias("_far"))
+    ahead = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, "_span", F.max("_far").over(ahead).alias("_far"))
+    w = Window.partitionBy(*by, "_span").orderBy("_s", "_e")
+    seen = F.greatest(F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_far")  # nulls are passed over
+    rows = rows.join(ends, [*by, "_span"]).withColumn("_new", F.when(seen.isNull() | (F.col("_s") - seen > gap), 1).otherwise(0))
+    rows = rows.withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rows.groupBy(*by, "_span", "_k").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.count(F.lit(1)).alias("members"), F.max("_new").alias("_new"))
+    # what begins a span without being new belongs to the island before it
+    whole = Window.partitionBy(*by).orderBy("_span", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("_island", F.sum("_new").over(whole))
+    return parts.groupBy(*by, "_island").agg(F.min("_s").alias(start), F.max("_e").alias(end), F.sum("members").alias("members")).drop("_island")

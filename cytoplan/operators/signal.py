@@ -16,7 +16,7 @@ def window_signal(sites: DataFrame, start: int, end: int, samples: int, kind: st
     """
     inside = sites.filter(F.col("pos").between(start, end))
     sizes = inside.groupBy("chr").agg(F.floor(F.count(F.lit(1)) / samples).cast("long").alias("steps")).filter("steps > 0")
-    rows = numbered(inside, ["chr"], "pos", "i").join(F.broadcast(sizes), "chr")
+    rows = numbered(inside, ["chr"], "pos", "i").join(sizes, "chr")
     rows = rows.select("chr", "steps", "i", (F.col("c") + F.col("nc") + F.col(kind)).alias("cover"), F.col(kind).alias("v")).filter(F.col("i") < F.col("steps") + samples - 1)
     shared = (F.col("i") >= samples - 1) & (F.col("i") < F.col("steps"))
     own = F.sequence(F.greatest(F.lit(0), F.col("i") - F.col("steps") + 1), F.least(F.col("i"), F.lit(samples - 1)))

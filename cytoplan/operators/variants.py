@@ -86,6 +86,22 @@ def region_filter(regions: DataFrame) -> VariantFilter:
     return VariantFilter("reg", 2, lambda _: F.col("_in_region"), "Inside the regions") if regions is not None else VariantFilter("reg", 2, lambda _: F.lit(False), "No region")
 
 
+def gene_regions(genes: DataFrame, names: list[str]) -> DataFrame:
+    """Regions (chrom, start, end) of these genes; `genes` has name, chrom, start and end."""
+    return genes.filter(F.col("name").isin(*names)).select("chrom", "start", "end")
+
+
+def gene_filter(genes: DataFrame, names: list[str]) -> VariantFilter:
+    """Positions inside one of the genes; give filter_chain their gene_regions."""
+    return region_filter(gene_regions(genes, names))
+
+
+def inheritance_filter(pattern: str, least: float, affected: list[bool]) -> VariantFilter:
+    """Records where `least` of the samples (0 to 1) are cases that fit the pattern, and as many controls that do."""
+    cases, controls = inheritance_shares(affected)[pattern]
+    return VariantFilter(f"{pattern}{least * 100:.0f}", 3, lambda _: (cases >= 100 * least) & (controls >= 100 * least), f"{pattern.capitalize()} in {least:g} of cases and controls")
+
+
 def filter_chain(variants: DataFrame, filters: list[VariantFilter], regions: DataFrame | None = None) -> DataFrame:
     """Adds `passed`, and writes the first filter that a record fails into `filter` (PASS where it was empty and all pass)."""
     rows = with_statistics(variants)
@@ -159,22 +175,24 @@ def mendel_errors(variants: DataFrame, pedigree: DataFrame) -> DataFrame:
     return trios.select("sample").distinct().join(found, "sample", "left").select("sample", F.coalesce("mendel_errors", F.lit(0).cast("long")).alias("mendel_errors"))
 
 
-def inheritance(variants: DataFrame, affected: list[bool]) -> DataFrame:
-    """Percent of cases and controls that fit a dominant or a recessive pattern, among samples with a genotype."""
-    rows = with_genotypes(variants).filter("gts IS NOT NULL")
+def inheritance_shares(affected: list[bool]) -> dict[str, tuple[Column, Column]]:
+    """Percent of all samples with a genotype that are cases, and controls, that fit each pattern; of a row with `gts`."""
     marks = F.array(*[F.lit(a) for a in affected])
     seen = F.filter(F.arrays_zip(F.col("gts").alias("g"), marks.alias("case")), lambda x: ~F.exists(x["g"], lambda a: a < 0))
     carries = lambda x: F.exists(x["g"], lambda a: a > 0)
     both = lambda x: F.forall(x["g"], lambda a: a > 0)
     share = lambda test: F.round(F.coalesce(F.try_divide(F.size(F.filter(seen, test)) * 100, F.size(seen)), F.lit(0)), 6)
-    return rows.select(
-        "chrom",
-        "pos",
-        share(lambda x: x["case"] & carries(x)).alias("cases_dominant"),
-        share(lambda x: ~x["case"] & ~carries(x)).alias("controls_dominant"),
-        share(lambda x: x["case"] & both(x)).alias("cases_recessive"),
-        share(lambda x: ~x["case"] & ~both(x)).alias("controls_recessive"),
-    )
+    return {
+        "dominant": (share(lambda x: x["case"] & carries(x)), share(lambda x: ~x["case"] & ~carries(x))),
+        "recessive": (share(lambda x: x["case"] & both(x)), share(lambda x: ~x["case"] & ~both(x))),
+    }
+
+
+def inheritance(variants: DataFrame, affected: list[bool]) -> DataFrame:
+    """Percent of cases and controls that fit a dominant or a recessive pattern, among samples with a genotype."""
+    rows = with_genotypes(variants).filter("gts IS NOT NULL")
+    shares = inheritance_shares(affected)
+    return rows.select("chrom", "pos", *[c.alias(f"{who}_{pattern}") for pattern in shares for who, c in zip(("cases", "controls"), shares[pattern], strict=True)])
 
 
 def condition(phenotype: Column) -> Column:
@@ -222,3 +240,40 @@ def linkage(variants: DataFrame, window: int) -> DataFrame:
     rows = near.select("chrom", "pos1", "pos2", sums.alias("s"))
     cov, va, vb = F.col("s.n") * F.col("s.ab") - F.col("s.a") * F.col("s.b"), F.col("s.n") * F.col("s.aa") - F.col("s.a") * F.col("s.a"), F.col("s.n") * F.col("s.bb") - F.col("s.b") * F.col("s.b")
     return rows.select("chrom", "pos1", "pos2", F.round(F.coalesce(F.try_divide(cov * cov * F.lit(1.0), va * vb), F.lit(0.0)), 6).alias("r2"))
+
+
+def haplotype_r2(variants: DataFrame, pairs: DataFrame, rounds: int = 30) -> DataFrame:
+    """chrom1, pos1, chrom2, pos2, n and r2 of given pairs of sites, from haplotype frequencies by expectation maximisation.
+
+    Samples with both genotypes fall into nine cells; only double heterozygotes leave open which alleles stand together,
+    and each round shares them out by the product of the frequencies that it has.
+    """
+    dose = F.transform("gts", lambda g: F.when(F.exists(g, lambda a: a < 0), None).otherwise(F.size(F.filter(g, lambda a: a > 0))))
+    sites = with_genotypes(variants).filter("gts IS NOT NULL").select("chrom", "pos", dose.alias("x"))
+    named = lambda i: sites.select(F.col("chrom").alias(f"chrom{i}"), F.col("pos").alias(f"pos{i}"), F.col("x").alias(f"x{i}"))
+    rows = pairs.select("chrom1", "pos1", "chrom2", "pos2").join(named(1), ["chrom1", "pos1"]).join(named(2), ["chrom2", "pos2"])
+    both = F.filter(F.arrays_zip("x1", "x2"), lambda z: z["x1"].isNotNull() & z["x2"].isNotNull())
+    cell = lambda a, b: F.size(F.filter(both, lambda z: (z["x1"] == a) & (z["x2"] == b)))
+    rows = rows.select("chrom1", "pos1", "chrom2", "pos2", *[cell(a, b).alias(f"c{a}{b}") for a in range(3) for b in range(3)])
+    c = {(a, b): F.col(f"c{a}{b}") for a in range(3) for b in range(3)}
+    n = sum(c.values(), F.lit(0))
+    # haplotypes that are certain: of each kind (allele of the first site, allele of the second)
+    sure = {
+        "f00": 2 * c[0, 0] + c[0, 1] + c[1, 0],
+        "f01": 2 * c[0, 2] + c[0, 1] + c[1, 2],
+        "f10": 2 * c[2, 0] + c[1, 0] + c[2, 1],
+        "f11": 2 * c[2, 2] + c[1, 2] + c[2, 1],
+    }
+    rows = rows.withColumns({"n": n, **{f"s{k}": v for k, v in sure.items()}}).filter("n > 0")
+
+    def step(f: Column, _: Column) -> Column:
+        cis, trans = f["f00"] * f["f11"], f["f01"] * f["f10"]
+        part = F.coalesce(F.try_divide(cis, cis + trans), F.lit(0.5)) * F.col("c11")
+        return F.struct(*[((F.col(f"s{k}") + (part if k in ("f00", "f11") else F.col("c11") - part)) / (2.0 * F.col("n"))).alias(k) for k in sure])
+
+    start = F.struct(*[F.lit(0.25).alias(k) for k in sure])
+    rows = rows.withColumn("f", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step))
+    p, q = F.col("f.f10") + F.col("f.f11"), F.col("f.f01") + F.col("f.f11")
+    d = F.col("f.f11") - p * q
+    r2 = F.coalesce(F.try_divide(d * d, p * (1 - p) * q * (1 - q)), F.lit(0.0))
+    return rows.select("chrom1", "pos1", "chrom2", "pos2", "n", F.round(r2, 6).alias("r2"))

@@ -136,9 +136,10 @@ def read_cap_first_k(spark, sf_dir):
     return mm.first_reads(reads, spark.sql(_CAPS, reads=reads)).select("read_id", "ds", "tid")
 
 
-@query(f"{_with(v.DUCK_CONTIGS)}, r AS (SELECT *, row_number() OVER (ORDER BY length DESC, tid) - 1 AS k FROM v_contigs) SELECT tid, length, CAST(CASE WHEN k % 10 < 5 THEN k % 10 ELSE 9 - k % 10 END AS INT) AS worker FROM r")
+@query(f"{_with(v.DUCK_READS)}, l AS (SELECT tid, CAST(sum(length(seq)) AS BIGINT) AS load FROM v_reads WHERE tid >= 0 GROUP BY tid), r AS (SELECT *, row_number() OVER (ORDER BY load DESC, tid) - 1 AS k FROM l) SELECT tid, load, CAST(CASE WHEN k % 10 < 5 THEN k % 10 ELSE 9 - k % 10 END AS INT) AS worker FROM r")
 def chromosome_snake_schedule(spark, sf_dir):
-    return mm.snake_schedule(v.contigs(spark, sf_dir), 5)
+    """Chromosomes dealt evenly by the letters of their reads, as output files are grouped."""
+    return mm.snake_schedule(mm.read_loads(v.reads(spark, sf_dir)), 5, "load")
 
 
 _SAMPLES = 20
@@ -283,6 +284,18 @@ def coverage_histogram(spark, sf_dir):
     return al.coverage_histogram(al.depth(v.reads(spark, sf_dir)), v.contigs(spark, sf_dir))
 
 
+@query(f"{_with(v.DUCK_READS)} SELECT read_id, row_number() OVER (ORDER BY CASE WHEN tid < 0 THEN 1 ELSE 0 END, tid, pos, read_id) - 1 AS rank FROM v_reads")
+def coordinate_sort(spark, sf_dir):
+    """Every read's place in the sorted file."""
+    return al.coordinate_ranks(v.reads(spark, sf_dir)).select("read_id", "rank")
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT read_id, row_number() OVER (ORDER BY CAST(substr(qname, 2) AS BIGINT), flag & 192, read_id) - 1 AS rank FROM v_reads")
+def name_sort(spark, sf_dir):
+    """Every read's place in the file sorted by name."""
+    return al.name_ranks(v.reads(spark, sf_dir)).select("read_id", "rank")
+
+
 @query(f"{_with(v.DUCK_READS)} SELECT read_id, tid, pos FROM v_reads ORDER BY CASE WHEN tid < 0 THEN 1 ELSE 0 END, tid, pos, read_id LIMIT 500")
 def coordinate_sort_topk(spark, sf_dir):
     return al.sort_by_coordinate(v.reads(spark, sf_dir)).select("read_id", "tid", "pos").limit(500)
@@ -337,7 +350,7 @@ def fastq_filter(spark, sf_dir):
 
 @query(f"{_with(v.DUCK_RAW)} SELECT id, substr(sequence, 4, greatest(length(sequence) - 8, 0)) AS sequence, substr(quality, 4, greatest(length(sequence) - 8, 0)) AS quality FROM v_raw")
 def fastq_trim(spark, sf_dir):
-    return rr.trim(v.raw_reads(spark, sf_dir), 3, 5)
+    return rr.trim(v.raw_reads(spark, sf_dir), 3, 5).select("id", "sequence", "quality")
 
 
 @query(f"{_with(v.DUCK_RAW)} SELECT id, reverse(translate(sequence, 'ACGT', 'TGCA')) AS rc, regexp_replace(translate(sequence, 'ACGT', '0123'), '[^0-3]', '4', 'g') AS code, replace(sequence, 'C', 'T') AS bs FROM v_raw")
@@ -351,9 +364,10 @@ def kmer_counts(spark, sf_dir):
     return rr.kmers(v.raw_reads(spark, sf_dir), "id", "sequence", 7).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"{_with(v.DUCK_RAW)} SELECT id, translate(sequence, 'C', 'T') AS sequence, CAST(length(sequence) - length(replace(sequence, 'C', '')) AS INT) AS converted, CAST(length(sequence) - length(replace(replace(sequence, 'C', ''), 'T', '')) AS INT) AS total FROM v_raw")
 def simulate_conversion(spark, sf_dir):
-    return rr.convert(v.raw_reads(spark, sf_dir), 0.3).select("id", "sequence", "converted", "total")
+    """Complete conversion of every raw read: the letters that change, among those that read as T afterwards."""
+    return rr.converted(v.raw_reads(spark, sf_dir)).select("id", "sequence", "converted", "total")
 
 
 # ---- variants
@@ -395,6 +409,16 @@ def vcf_region_filter(spark, sf_dir):
     return va.filter_chain(v.variants(spark, sf_dir), [va.region_filter(regions)], regions).filter("passed").select("okey")
 
 
+_GENES = "SELECT 'g' || CAST(s_suppkey % 5 AS STRING) AS name, CAST(s_suppkey % 22 + 1 AS STRING) AS chrom, (s_suppkey * 7919) % 900000 AS start, (s_suppkey * 7919) % 900000 + 9000 AS \"end\" FROM {supplier}"
+
+
+@query(f"{_VCF}, genes AS ({v.plain(_GENES)}), f AS (SELECT *, EXISTS (SELECT 1 FROM genes r WHERE r.name IN ('g1', 'g3') AND r.chrom = s.chrom AND s.pos BETWEEN r.start AND r.\"end\") AS hit FROM s) SELECT okey, hit AS passed, CASE WHEN hit THEN CASE WHEN filter = '.' THEN 'PASS' ELSE filter END WHEN filter IN ('.', 'PASS') THEN 'reg' ELSE filter || ';reg' END AS filter FROM f")
+def vcf_gene_filter(spark, sf_dir):
+    genes = v._read(spark, sf_dir, _GENES, "supplier")
+    names = ["g1", "g3"]
+    return va.filter_chain(v.variants(spark, sf_dir), [va.gene_filter(genes, names)], va.gene_regions(genes, names)).select("okey", "passed", "filter")
+
+
 _ONE = "length(ref) = 1 AND length(alt) = 1 AND ref <> alt"
 
 
@@ -432,6 +456,13 @@ def inheritance_pct(spark, sf_dir):
     return va.inheritance(v.variants(spark, sf_dir), _AFFECTED)
 
 
+@query(f"""{_VCF}, z AS (SELECT okey, filter, CASE WHEN gts IS NOT NULL THEN list_filter(list_zip(gts, {_CASE}), lambda z: NOT list_contains(z[1], -1)) END AS seen FROM s),
+f AS (SELECT okey, filter, seen IS NOT NULL AND {_share("z[2] AND list_sum(z[1]) > 0")} >= 30 AND {_share("NOT z[2] AND list_sum(z[1]) = 0")} >= 30 AS ok FROM z)
+SELECT okey, ok AS passed, CASE WHEN ok THEN CASE WHEN filter = '.' THEN 'PASS' ELSE filter END WHEN filter IN ('.', 'PASS') THEN 'dominant30' ELSE filter || ';dominant30' END AS filter FROM f""")
+def vcf_inheritance_filter(spark, sf_dir):
+    return va.filter_chain(v.variants(spark, sf_dir), [va.inheritance_filter("dominant", 0.3, _AFFECTED)]).select("okey", "passed", "filter")
+
+
 @query(f"""{_VCF}, x AS (SELECT okey, chrom, pos, list_transform(gts, lambda g: CASE WHEN list_contains(g, -1) THEN NULL ELSE len(list_filter(g, lambda a: a > 0)) END) AS d FROM s WHERE gts IS NOT NULL),
 y AS (SELECT a.chrom, a.pos AS pos1, b.pos AS pos2, unnest(a.d) AS p, unnest(b.d) AS q, a.okey AS k1, b.okey AS k2 FROM x a JOIN x b ON a.chrom = b.chrom AND b.pos > a.pos AND b.pos - a.pos <= 300),
 t AS (SELECT chrom, pos1, pos2, k1, k2, count(*) FILTER (p IS NOT NULL AND q IS NOT NULL) AS n, coalesce(sum(p) FILTER (q IS NOT NULL), 0) AS a, coalesce(sum(q) FILTER (p IS NOT NULL), 0) AS b, coalesce(sum(p * p) FILTER (q IS NOT NULL), 0) AS aa, coalesce(sum(q * q) FILTER (p IS NOT NULL), 0) AS bb, coalesce(sum(p * q), 0) AS ab FROM y GROUP BY ALL)
@@ -440,6 +471,30 @@ def ld_pairs(spark, sf_dir):
     return va.linkage(v.variants(spark, sf_dir), 300)
 
 
+_LOCI = "SELECT a.chrom AS chrom1, a.pos AS pos1, b.chrom AS chrom2, b.pos AS pos2 FROM {a} a JOIN {a} b ON b.okey = a.okey + 1"
+
+
+def _site_pairs() -> str:
+    sure = {"f00": "2 * c00 + c01 + c10", "f01": "2 * c02 + c01 + c12", "f10": "2 * c20 + c10 + c21", "f11": "2 * c22 + c12 + c21"}
+    part = "coalesce(f.f00 * f.f11 / nullif(f.f00 * f.f11 + f.f01 * f.f10, 0), 0.5) * c11"
+    step = ", ".join(f"'{k}': ({s} + {part if k in ('f00', 'f11') else f'c11 - {part}'}) / (2.0 * n)" for k, s in sure.items())
+    cells = ", ".join(f"len(list_filter(z, lambda q: q[1] = {a} AND q[2] = {b})) AS c{a}{b}" for a in range(3) for b in range(3))
+    start, rest = ("{" + ", ".join(f"'{k}': {x}::DOUBLE" for k in sure) + "}" for x in (0.25, 0))
+    return f"""{_VCF}, d AS (SELECT okey, chrom, pos, list_transform(gts, lambda g: CASE WHEN list_contains(g, -1) THEN -1 ELSE len(list_filter(g, lambda a: a > 0)) END) AS x FROM s WHERE gts IS NOT NULL),
+p AS ({_LOCI.replace('{a}', 'd')}), z AS (SELECT p.*, list_filter(list_zip(a.x, b.x), lambda q: q[1] >= 0 AND q[2] >= 0) AS z FROM p JOIN d a ON a.chrom = chrom1 AND a.pos = pos1 JOIN d b ON b.chrom = chrom2 AND b.pos = pos2),
+c AS (SELECT chrom1, pos1, chrom2, pos2, len(z) AS n, {cells} FROM z), e AS (SELECT *, list_reduce([{start}] || list_transform(range(30), lambda i: {rest}), lambda f, i: {{{step}}}) AS f FROM c WHERE n > 0),
+h AS (SELECT *, f.f10 + f.f11 AS a, f.f01 + f.f11 AS b FROM e)
+SELECT chrom1, pos1, chrom2, pos2, CAST(n AS INT) AS n, round(coalesce((f.f11 - a * b) * (f.f11 - a * b) / nullif(a * (1 - a) * b * (1 - b), 0), 0), 6) AS r2 FROM h"""
+
+
+@query(_site_pairs())
+def ld_given_pairs(spark, sf_dir):
+    """Haplotype r2 of listed pairs of sites."""
+    rows = v.variants(spark, sf_dir)
+    sites = rows.filter("split(format, ':')[0] = 'GT'").select("okey", "chrom", "pos")
+    return va.haplotype_r2(rows, spark.sql(_LOCI, a=sites))
+
+
 @query(f"{_VCF} SELECT okey, 'AA=1' || CASE WHEN info LIKE '%DP=%' THEN ';' || regexp_extract(info, '(DP=\\d+)', 1) ELSE '' END AS info, samples[3] || ',' || samples[1] AS picked FROM s")
 def vcf_projection(spark, sf_dir):
     rows = va.subset(va.without_info(v.variants(spark, sf_dir), ["H2"]), [2, 0])
@@ -449,16 +504,72 @@ def vcf_projection(spark, sf_dir):
 # ---- pileup, tests, alignment
 
 
-@query(f"""{_with(v.DUCK_READS)}, good AS (SELECT * FROM v_reads WHERE flag & 1796 = 0 AND tid >= 0 AND mapq >= 10), {_OPS}, e AS (SELECT *, coalesce(o[k + 1], '') AS next_op, coalesce(n[k + 1], 0) AS next_n FROM placed JOIN span USING (read_id)),
-b AS (SELECT read_id, tid, flag & 16 > 0 AS rev, mapq, CAST(pos + ref_at + i AS BIGINT) AS p0, ref_at + i = 0 AS head, ref_at + i = reach - 1 AS tail, op, i = size - 1 AS ends, next_op, next_n, read_at, i, seq, qual FROM (SELECT *, unnest(range(size)) AS i FROM e WHERE op IN ('M', '=', 'X', 'D', 'N'))),
-t AS (SELECT tid, p0 AS pos, read_id, CASE WHEN head THEN '^' || chr(CAST(least(mapq, 93) + 33 AS INT)) ELSE '' END || CASE WHEN op = 'D' THEN '*' WHEN op = 'N' THEN CASE WHEN rev THEN '<' ELSE '>' END ELSE CASE WHEN rev THEN lower(substr(seq, CAST(read_at + i + 1 AS BIGINT), 1)) ELSE substr(seq, CAST(read_at + i + 1 AS BIGINT), 1) END END
- || CASE WHEN ends AND op IN ('M', '=', 'X') AND next_op = 'I' THEN '+' || CAST(next_n AS STRING) || CASE WHEN rev THEN lower(substr(seq, CAST(read_at + i + 2 AS BIGINT), next_n)) ELSE substr(seq, CAST(read_at + i + 2 AS BIGINT), next_n) END WHEN ends AND op IN ('M', '=', 'X') AND next_op = 'D' THEN '-' || CAST(next_n AS STRING) || repeat(CASE WHEN rev THEN 'n' ELSE 'N' END, next_n) ELSE '' END || CASE WHEN tail THEN '$' ELSE '' END AS tok,
- substr(qual, CAST(CASE WHEN op IN ('M', '=', 'X') THEN read_at + i + 1 ELSE greatest(read_at, 1) END AS BIGINT), 1) AS q FROM b)
+_PILED = """e AS (SELECT *, coalesce(o[k + 1], '') AS next_op, coalesce(n[k + 1], 0) AS next_n FROM placed JOIN span USING (read_id)),
+b AS (SELECT read_id, ds, lib, tid, flag & 16 > 0 AS rev, mapq, CAST(pos + ref_at + i AS BIGINT) AS p0, ref_at + i = 0 AS head, ref_at + i = reach - 1 AS tail, op, i = size - 1 AS ends, next_op, next_n, read_at, i, seq, qual FROM (SELECT *, unnest(range(size)) AS i FROM e WHERE op IN ('M', '=', 'X', 'D', 'N')))"""
+_HEAD = "CASE WHEN head THEN '^' || chr(CAST(least(mapq, 93) + 33 AS INT)) ELSE '' END"
+_LETTER = "substr(seq, CAST(read_at + i + 1 AS BIGINT), 1)"
+_QUAL = "substr(qual, CAST(CASE WHEN op IN ('M', '=', 'X') THEN read_at + i + 1 ELSE greatest(read_at, 1) END AS BIGINT), 1)"
+
+
+def _token(own: str, gone: str) -> str:
+    return f"""{_HEAD} || CASE WHEN op = 'D' THEN '*' WHEN op = 'N' THEN CASE WHEN rev THEN '<' ELSE '>' END ELSE {own} END
+ || CASE WHEN ends AND op IN ('M', '=', 'X') AND next_op = 'I' THEN '+' || CAST(next_n AS STRING) || CASE WHEN rev THEN lower(substr(seq, CAST(read_at + i + 2 AS BIGINT), next_n)) ELSE substr(seq, CAST(read_at + i + 2 AS BIGINT), next_n) END WHEN ends AND op IN ('M', '=', 'X') AND next_op = 'D' THEN '-' || CAST(next_n AS STRING) || CASE WHEN rev THEN lower({gone}) ELSE {gone} END ELSE '' END || CASE WHEN tail THEN '$' ELSE '' END"""
+
+
+_CASED = f"CASE WHEN rev THEN lower({_LETTER}) ELSE {_LETTER} END"
+
+
+@query(f"""{_with(v.DUCK_READS)}, good AS (SELECT * FROM v_reads WHERE flag & 1796 = 0 AND tid >= 0 AND mapq >= 10), {_OPS}, {_PILED},
+t AS (SELECT tid, p0 AS pos, read_id, {_token(_CASED, "repeat('N', next_n)")} AS tok, {_QUAL} AS q FROM b)
 SELECT tid, pos, count(*) AS depth, string_agg(tok, '' ORDER BY read_id) AS bases, string_agg(q, '' ORDER BY read_id) AS qualities FROM t GROUP BY tid, pos""")
 def mpileup(spark, sf_dir):
     return pl.pileup_text(v.reads(spark, sf_dir), min_mapq=10)
 
 
+_CONTIG_TEXT = "SELECT tid, length, substr(repeat('ACGTTGCAAGCATCGACCGG', 140), tid + 1, CAST(length AS INT)) AS sequence FROM {contigs}"
+_REF = f"ref AS ({_CONTIG_TEXT.replace('{contigs}', 'v_contigs')})"
+_AT_REF = "substr(sequence, p0 + 1, 1)"
+_FILES = ("mc", "hmc")
+_SIDE = ", ".join(f"count(*) FILTER (ds = '{n}' AND rn <= 12) AS depth_{n}, coalesce(string_agg(tok, '' ORDER BY read_id) FILTER (ds = '{n}' AND rn <= 12), '*') AS bases_{n}, coalesce(string_agg(q, '' ORDER BY read_id) FILTER (ds = '{n}' AND rn <= 12), '*') AS qualities_{n}" for n in _FILES)
+
+
+@query(f"""{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, good AS (SELECT * FROM v_reads WHERE flag & 1796 = 0 AND tid >= 0 AND mapq >= 10), {_OPS}, {_PILED}, {_REF},
+t0 AS (SELECT b.*, r.sequence, {_QUAL} AS q FROM b LEFT JOIN ref r ON r.tid = b.tid),
+t AS (SELECT tid, p0 AS pos, read_id, ds, q, coalesce(nullif({_AT_REF}, ''), 'N') AS ref, {_token(f"CASE WHEN {_LETTER} = {_AT_REF} THEN CASE WHEN rev THEN ',' ELSE '.' END ELSE {_CASED} END", "rpad(substr(sequence, p0 + 2, next_n), next_n, 'N')")} AS tok FROM t0 WHERE ascii(q) - 33 >= 13),
+u AS (SELECT *, row_number() OVER (PARTITION BY tid, pos, ds ORDER BY read_id) AS rn FROM t)
+SELECT tid, pos, max(ref) AS ref, {_SIDE} FROM u GROUP BY tid, pos""")
+def mpileup_files(spark, sf_dir):
+    """Two files side by side with the reference's letters, a bound of quality and a depth of twelve for each."""
+    contigs = spark.sql(_CONTIG_TEXT, contigs=v.contigs(spark, sf_dir))
+    out = pl.pileup_files(v.reads(spark, sf_dir), "ds", list(_FILES), contigs, min_mapq=10, min_quality=13, max_depth=12)
+    return out.withColumn("ref", F.when(F.col("ref") == "", "N").otherwise(F.col("ref")))
+
+
+_E = "pow(10.0, -(ascii(q) - 33) / 10.0)"
+_LIKELY = f"""{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, good AS (SELECT * FROM v_reads WHERE flag & 1796 = 0 AND tid >= 0 AND mapq >= 10), {_OPS}, {_PILED}, {_REF},
+x0 AS (SELECT b.tid, p0 AS pos, lib, {_AT_REF} AS ref, {_LETTER} AS letter, {_QUAL} AS q FROM b JOIN ref r ON r.tid = b.tid WHERE op IN ('M', '=', 'X')),
+x AS (SELECT *, {_E} AS e, ascii(q) - 33 AS w FROM x0 WHERE ascii(q) - 33 >= 13 AND letter IN ('A', 'C', 'G', 'T') AND ref IN ('A', 'C', 'G', 'T')),
+a0 AS (SELECT tid, pos, letter, sum(w) AS w FROM x WHERE letter <> ref GROUP BY tid, pos, letter),
+a AS (SELECT tid, pos, arg_max(letter, struct_pack(w := w, o := -ascii(letter))) AS alt FROM a0 GROUP BY tid, pos),
+l AS (SELECT x.tid, x.pos, lib, max(ref) AS ref, max(alt) AS alt, count(*) AS n, sum(log10(CASE WHEN letter = ref THEN 1 - e ELSE e / 3 END)) AS l0, sum(log10(CASE WHEN letter IN (ref, alt) THEN (1 - e + e / 3) / 2 ELSE e / 3 END)) AS l1, sum(log10(CASE WHEN letter = alt THEN 1 - e ELSE e / 3 END)) AS l2 FROM x JOIN a ON a.tid = x.tid AND a.pos = x.pos GROUP BY x.tid, x.pos, lib),
+g AS (SELECT tid, pos, lib, ref, alt, n, CAST(round(-10 * (l0 - greatest(l0, l1, l2))) AS INT) AS pl0, CAST(round(-10 * (l1 - greatest(l0, l1, l2))) AS INT) AS pl1, CAST(round(-10 * (l2 - greatest(l0, l1, l2))) AS INT) AS pl2 FROM l)"""
+
+
+def _likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contigs = spark.sql(_CONTIG_TEXT, contigs=v.contigs(spark, sf_dir))
+    return pl.genotype_likelihoods(v.reads(spark, sf_dir), contigs, "lib", min_mapq=10, min_quality=13)
+
+
+@query(f"{_LIKELY} SELECT * FROM g")
+def genotype_likelihoods(spark, sf_dir):
+    return _likelihoods(spark, sf_dir)
+
+
+@query(f"{_LIKELY} SELECT tid, pos, lib, CAST(CASE WHEN pl0 = 0 THEN 0 WHEN pl1 = 0 THEN 1 ELSE 2 END AS INT) AS gt, CAST(list_sort([pl0, pl1, pl2])[2] AS INT) AS gq FROM g")
+def genotype_calls(spark, sf_dir):
+    return pl.call_genotypes(_likelihoods(spark, sf_dir), "lib")
+
+
 @query(f"""{_with(v.DUCK_READS)}, c AS (SELECT tid, count(*) FILTER (flag & 16 = 0 AND mapq >= 25) AS a, count(*) FILTER (flag & 16 > 0 AND mapq >= 25) AS b, count(*) FILTER (flag & 16 = 0 AND mapq < 25) AS c, count(*) FILTER (flag & 16 > 0 AND mapq < 25) AS d FROM v_reads GROUP BY tid),
 h AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) AS k, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM c),
 p AS (SELECT *, exp(k - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1)) AS p, exp(k - lgamma(a + 1) - lgamma(b + 1) - lgamma(c + 1) - lgamma(d + 1)) AS seen FROM h)
@@ -485,20 +596,86 @@ def local_alignment(spark, sf_dir):
     return reads.select("id", sc.smith_waterman("sequence", F.lit("ACGTTGCATGCATCGACCGGTTACGATCAGCTA")).alias("a")).select("id", "a.score", "a.start1", "a.end1", "a.start2", "a.end2")
 
 
-@query()
+_DOSES = f"""{_VCF}, k AS (SELECT okey, len(list_filter(gts, lambda g: list_sum(g) = 0 AND NOT list_contains(g, -1))) AS n0, len(list_filter(gts, lambda g: list_sum(g) = 1 AND NOT list_contains(g, -1))) AS n1, len(list_filter(gts, lambda g: list_sum(g) = 2 AND NOT list_contains(g, -1))) AS n2 FROM s WHERE gts IS NOT NULL AND len(alts) = 1)"""
+
+
+def _posterior(seen: int, prior: list[str], wanted: list[int]) -> str:
+    """Share of the wanted genotypes (alternate alleles times weight) given the one that was read."""
+    post = [f"({p}) * {0.99 if g == seen else 0.005}" for g, p in enumerate(prior)]
+    return f"({' + '.join(f'{w} * ({post[g]})' for g, w in enumerate(wanted))}) / ({' + '.join(post)})"
+
+
+_HWE = ["(1 - f) * (1 - f)", "2 * f * (1 - f)", "f * f"]
+_NEXT = " + ".join(f"n{k} * {_posterior(k, _HWE, [0, 1, 2])}" for k in range(3))
+_EM = f"e AS (SELECT okey, n0, n1, n2, CASE WHEN n0 + n1 + n2 > 0 THEN list_reduce([0.5::DOUBLE] || list_transform(range(50), lambda i: 0::DOUBLE), lambda f, z: ({_NEXT}) / (2.0 * (n0 + n1 + n2))) END AS freq FROM k)"
+
+
+@query(f"{_DOSES}, {_EM} SELECT okey, round(freq, 6) AS freq FROM e")
 def allele_frequency_em(spark, sf_dir):
     rows = va.with_genotypes(v.variants(spark, sf_dir)).filter("gts IS NOT NULL AND size(alts) = 1")
     return sc.allele_frequency(rows).select("okey", F.round("freq", 6).alias("freq"))
 
 
+_G = ["g.a", "g.b", "g.c"]
+_FREE = ", ".join(f"'{c}': ({' + '.join(f'n{k} * {_posterior(k, _G, [int(i == w) for i in range(3)])}' for k in range(3))}) / (n0 + n1 + n2)" for w, c in enumerate("abc"))
+
+
+def _likelihood(prior: list[str]) -> str:
+    return " + ".join(f"n{k} * ln({' + '.join(f'({p}) * {0.99 if g == k else 0.005}' for g, p in enumerate(prior))})" for k in range(3))
+
+
+@query(f"""{_DOSES}, {_EM}, w AS (SELECT *, freq AS f, list_reduce([{{'a': 1/3::DOUBLE, 'b': 1/3::DOUBLE, 'c': 1/3::DOUBLE}}] || list_transform(range(50), lambda i: {{'a': 0::DOUBLE, 'b': 0::DOUBLE, 'c': 0::DOUBLE}}), lambda g, z: {{{_FREE}}}) AS g FROM e WHERE freq IS NOT NULL)
+SELECT okey, round(freq, 6) AS freq, round(g.a, 6) AS g0, round(g.b, 6) AS g1, round(g.c, 6) AS g2, round(greatest(2 * ({_likelihood(_G)} - ({_likelihood(_HWE)})), 0), 5) AS hwe_lrt FROM w""")
+def genotype_frequencies_lrt(spark, sf_dir):
+    rows = va.with_genotypes(v.variants(spark, sf_dir)).filter("gts IS NOT NULL AND size(alts) = 1")
+    return sc.genotype_test(rows).filter("freq IS NOT NULL").select("okey", *[F.round(c, 6).alias(c) for c in ("freq", "g0", "g1", "g2")], F.round("hwe_lrt", 5).alias("hwe_lrt"))
+
+
 _CONTIG_PIECES = "SELECT CAST(item_id AS STRING) AS chrom, CAST(0 AS BIGINT) AS start, translate(lower(text), 'etaoinshrdlucmfwypvbgkjqxz', 'ACGTACGTACGTACGTNCGTACGTAC') AS sequence FROM {benchmark}"
-_SEEDS = "SELECT CAST(doc_id AS STRING) AS id, substr(translate(lower(text), 'etaoinshrdlucmfwypvbgkjqxz', 'ACGTACGTACGTACGTNCGTACGTAC'), 1, 10) AS sequence FROM {documents}"
+_SEED_LETTERS = 12
 
 
-@query(f"WITH c AS ({_CONTIG_PIECES.replace('{benchmark}', 'benchmark')}), r0 AS ({_SEEDS.replace('{documents}', 'documents')}), r AS (SELECT id, sequence, 0 AS strand FROM r0 UNION ALL SELECT id, reverse(translate(sequence, 'ACGT', 'TGCA')), 1 FROM r0), p AS (SELECT *, unnest(range(greatest(length(sequence) - 7, 0))) AS p0 FROM c) SELECT DISTINCT id, chrom, CAST(start + p0 AS BIGINT) AS pos, CAST(strand AS INT) AS strand FROM p JOIN r ON substr(p.sequence, p0 + 1, length(r.sequence)) = r.sequence WHERE length(r.sequence) >= 8")
-def map_exact_reads(spark, sf_dir):
+_DUCK_SEEDS = f"r0 AS (SELECT CAST(doc_id AS STRING) || '_' || CAST(k AS STRING) AS id, s[k + 1] AS sequence FROM (SELECT doc_id, s, unnest(range(len(s))) AS k FROM (SELECT doc_id, {v.cut(v._SEQUENCE, _SEED_LETTERS)} AS s FROM documents)))"
+_DUCK_CONTIGS = f"c AS ({_CONTIG_PIECES.replace('{benchmark}', 'benchmark')})"
+_BOTH_STRANDS = "r AS (SELECT id, sequence, 0 AS strand FROM r0 UNION ALL SELECT id, reverse(translate(sequence, 'ACGT', 'TGCA')), 1 FROM r0)"
+
+
+def _seed_reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All texts in short reads, and the benchmark's as contigs."""
     t = v.tables(spark, sf_dir, "benchmark", "documents")
-    return rr.map_exact(spark.sql(_SEEDS, documents=t["documents"]), spark.sql(_CONTIG_PIECES, benchmark=t["benchmark"]), 8)
+    whole = t["documents"].selectExpr("doc_id", f"posexplode({v.cut(v._SEQUENCE, _SEED_LETTERS)}) AS (k, sequence)")
+    return whole.selectExpr("CAST(doc_id AS STRING) || '_' || CAST(k AS STRING) AS id", "sequence"), spark.sql(_CONTIG_PIECES, benchmark=t["benchmark"])
+
+
+@query(f"WITH {_DUCK_CONTIGS}, {_DUCK_SEEDS}, {_BOTH_STRANDS}, p AS (SELECT chrom, start, unnest(range(greatest(length(sequence) - {_SEED_LETTERS - 1}, 0))) AS p0, sequence FROM c), k AS (SELECT chrom, start + p0 AS pos, substr(sequence, p0 + 1, {_SEED_LETTERS}) AS w FROM p) SELECT DISTINCT id, chrom, CAST(pos AS BIGINT) AS pos, CAST(strand AS INT) AS strand FROM k JOIN r ON w = r.sequence")
+def map_exact_reads(spark, sf_dir):
+    reads, contigs = _seed_reads(spark, sf_dir)
+    return rr.map_exact(reads, contigs, _SEED_LETTERS)
+
+
+_KMERS = f"k AS (SELECT chrom, start + p0 AS pos, substr(sequence, p0 + 1, {_SEED_LETTERS}) AS w FROM (SELECT chrom, start, unnest(range(greatest(length(sequence) - {_SEED_LETTERS - 1}, 0))) AS p0, sequence FROM c))"
+_HALF_SEED = _SEED_LETTERS // 2
+
+
+def _differing(a: str, b: str) -> str:
+    return f"len(list_filter(list_zip(string_split({a}, ''), string_split({b}, '')), lambda z: z[1] <> z[2]))"
+
+
+@query(f"""WITH {_DUCK_CONTIGS}, {_DUCK_SEEDS}, {_BOTH_STRANDS}, {_KMERS}, m AS (SELECT id, chrom, pos, strand, sequence, w FROM k JOIN (SELECT * FROM r WHERE length(sequence) = {_SEED_LETTERS}) ON substr(w, 1, {_HALF_SEED}) = substr(sequence, 1, {_HALF_SEED})
+UNION SELECT id, chrom, pos, strand, sequence, w FROM k JOIN (SELECT * FROM r WHERE length(sequence) = {_SEED_LETTERS}) ON substr(w, {_HALF_SEED + 1}) = substr(sequence, {_HALF_SEED + 1})),
+h AS (SELECT id, chrom, CAST(pos AS BIGINT) AS pos, CAST(strand AS INT) AS strand, CAST({_differing('sequence', 'w')} AS INT) AS mismatches FROM m) SELECT * FROM h WHERE mismatches <= 1""")
+def map_one_mismatch(spark, sf_dir):
+    """Every place of every read with one differing letter at most."""
+    reads, contigs = _seed_reads(spark, sf_dir)
+    return rr.map_mismatches(reads, contigs, 1, _HALF_SEED)
+
+
+@query(f"""WITH {_DUCK_CONTIGS}, {_DUCK_SEEDS}, {_KMERS} SELECT DISTINCT id, chrom, CAST(pos AS BIGINT) AS pos, CAST(0 AS INT) AS strand FROM k JOIN r0 ON translate(w, 'C', 'T') = translate(sequence, 'C', 'T') WHERE length(sequence) = {_SEED_LETTERS}
+UNION SELECT DISTINCT id, chrom, CAST(pos AS BIGINT), CAST(1 AS INT) FROM k JOIN r0 ON translate(w, 'G', 'A') = translate(reverse(translate(sequence, 'ACGT', 'TGCA')), 'G', 'A') WHERE length(sequence) = {_SEED_LETTERS}""")
+def map_bisulfite_reads(spark, sf_dir):
+    """Places of reads whose unmethylated letters may have been converted."""
+    reads, contigs = _seed_reads(spark, sf_dir)
+    return rr.map_mismatches(reads, contigs, 0, _SEED_LETTERS, bisulfite=True).select("id", "chrom", "pos", "strand")
 
 
 @query("""SELECT c_custkey, lower(c_name) AS lowered, len(list_filter(regexp_split_to_array(c_name, '[#0]'), lambda x: x <> '')) AS pieces, coalesce(regexp_matches(substr(c_name, 10), '^[+-]?(\\d+\\.?\\d*|\\.\\d+)$'), false) AS numeric_tail,
@@ -528,9 +705,6 @@ def coverage_window(spark, sf_dir):
 
 # ---- reference
 
-_CONTIG_TEXT = "SELECT tid, length, substr(repeat('ACGTTGCAAGCATCGACCGG', 140), tid + 1, CAST(length AS INT)) AS sequence FROM {contigs}"
-
-
 @query(f"""{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, good AS (SELECT * FROM v_reads WHERE flag & 4 = 0 AND tid >= 0), {_OPS}, ref AS ({_CONTIG_TEXT.replace('{contigs}', 'v_contigs')}),
 b AS (SELECT read_id, tid, CAST(pos + ref_at + i AS BIGINT) AS p0, op, substr(seq, CAST(read_at + i + 1 AS BIGINT), 1) AS base FROM (SELECT *, unnest(range(size)) AS i FROM placed WHERE op IN ('M', '=', 'X', 'D')))
 SELECT g.read_id, CAST(coalesce(m.bad, 0) + coalesce(list_sum(list_transform(regexp_extract_all(g.cigar, '(\\d+)I', 1), lambda x: CAST(x AS INT))), 0) AS INT) AS nm FROM good g LEFT JOIN

@@ -55,10 +55,16 @@ FROM {orders}
 #: The genotype of sample i, as arithmetic; the fifth is missing now and then.
 GENOTYPES = [f"CAST((okey + {i} * ckey) % 2 AS STRING) || '/' || CASE WHEN (okey * {i + 1} + ckey) % 9 = 0 THEN '.' ELSE CAST((ckey + {i}) % 2 AS STRING) END || ':' || CAST(okey % 50 AS STRING)" for i in range(6)]
 
-RAW_READS = """
-SELECT CAST(doc_id AS STRING) AS id, substr(translate(lower(text), 'etaoinshrdlucmfwypvbgkjqxz', 'ACGTACGTACGTACGTNCGTACGTAC'), 1, 80) AS sequence,
-  substr(translate(lower(text), 'etaoinshrdlucmfwypvbgkjqxz', 'IIHGFEDCBA#5IIHGFEDCBA#5II'), 1, 80) AS quality FROM {documents}
-"""
+#: Letters of a raw read: every text is cut into reads of so many, one behind the other.
+READ_LETTERS = 80
+
+_SEQUENCE = "translate(lower(text), 'etaoinshrdlucmfwypvbgkjqxz', 'ACGTACGTACGTACGTNCGTACGTAC')"
+_QUALITY = "translate(lower(text), 'etaoinshrdlucmfwypvbgkjqxz', 'IIHGFEDCBA#5IIHGFEDCBA#5II')"
+
+
+def cut(column: str, letters: int = READ_LETTERS) -> str:
+    """A text in pieces of so many letters, as an array, on both engines."""
+    return f"regexp_extract_all({column}, '(?s).{{1,{letters}}}', 0)"
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
@@ -87,7 +93,10 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, RAW_READS, "documents")
+    """id, ordinal, sequence and quality of the reads that all documents are cut into."""
+    whole = _read(spark, sf_dir, f"SELECT doc_id, {_SEQUENCE} AS s, {_QUALITY} AS q FROM {{documents}}", "documents")
+    rows = whole.selectExpr("doc_id", f"{cut('s')} AS sequence", f"{cut('q')} AS quality").selectExpr("doc_id", "posexplode(arrays_zip(sequence, quality)) AS (ordinal, r)")
+    return rows.selectExpr("CAST(doc_id AS STRING) || '_' || CAST(ordinal AS STRING) AS id", "ordinal", "r.sequence", "r.quality")
 
 
 def plain(sql: str) -> str:
@@ -101,4 +110,5 @@ DUCK_READS = f"v_reads AS ({plain(READS)})"
 DUCK_CONTIGS = f"v_contigs AS ({plain(CONTIGS)})"
 DUCK_REGIONS = f"v_regions AS ({plain(REGIONS)})"
 DUCK_VARIANTS = f"v_vcf AS (SELECT *, [{', '.join(GENOTYPES)}] AS samples FROM ({plain(VARIANTS)}))"
-DUCK_RAW = f"v_raw AS ({plain(RAW_READS)})"
+DUCK_RAW = f"""v_raw AS (SELECT CAST(doc_id AS STRING) || '_' || CAST(ordinal AS STRING) AS id, CAST(ordinal AS INT) AS ordinal, s[ordinal + 1] AS sequence, q[ordinal + 1] AS quality
+FROM (SELECT doc_id, s, q, unnest(range(len(s))) AS ordinal FROM (SELECT doc_id, {cut(_SEQUENCE)} AS s, {cut(_QUALITY)} AS q FROM documents)))"""

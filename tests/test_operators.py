@@ -5,8 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cytoplan.functions import dna
+from cytoplan.functions.text import info_map
 from cytoplan.operators import meth_map as mm
 from cytoplan.operators import raw_reads as rr
+from cytoplan.operators import reference as rf
+from cytoplan.operators import regions as rg
 from cytoplan.operators import scoring as sc
 from cytoplan.operators import variants as va
 from cytoplan.operators.ordering import numbered
@@ -74,14 +78,115 @@ def test_local_alignment(spark):
             assert r.a[r.r.start1] == r.b[r.r.start2] and r.a[r.r.end1 - 1] == r.b[r.r.end2 - 1]
 
 
-def test_conversion_is_reproducible(spark):
-    rows = spark.createDataFrame([("a", "C" * 2000, "I" * 2000), ("b", "ACGT" * 10, "I" * 40)], "id string, sequence string, quality string")
-    one, two = (sorted(map(tuple, rr.convert(rows, 0.3).collect())) for _ in range(2))
-    assert one == two and 480 < one[0][-1] < 720 and one[1][-2] == 10
-    islands = spark.createDataFrame([("1", 0, 100)], "chrom string, start long, end long")
-    reads = spark.createDataFrame([("1_50_x_0", "CG" * 500, "I" * 1000), ("1_5000_x_0", "CG" * 500, "I" * 1000)], "id string, sequence string, quality string")
-    got = {r.id: r.sequence for r in rr.simulate_bisulfite(reads, islands, 0.0, 1.0).collect()}
-    assert got["1_50_x_0"] == "CG" * 500 and ("C" not in got["1_5000_x_0"] or "G" not in got["1_5000_x_0"])
+def test_conversion(spark):
+    rows = spark.createDataFrame([("a", "CCTG"), ("b", "")], "id string, sequence string")
+    got = {r.id: (r.sequence, r.converted, r.total) for r in rr.converted(rows).collect()}
+    assert got == {"a": ("TTTG", 2, 3), "b": ("", 0, 0)}
+
+
+def test_mapping_by_hand(spark):
+    rng = random.Random(8)
+    contigs = [("c1", 0, "".join(rng.choices("ACGT", k=9000))), ("c2", 5, "".join(rng.choices("AC", k=300)))]
+    turn = str.maketrans("ACGT", "TGCA")
+    reads = []
+    for i in range(60):
+        _, _, text = contigs[i % 2]
+        at = 4080 + i % 20 if i % 2 == 0 else rng.randrange(len(text) - 24)  # some across the border of two pieces
+        seq = list(text[at : at + 24])
+        for _ in range(i % 3):
+            seq[rng.randrange(24)] = rng.choice("ACGT")
+        seq = "".join(seq)
+        reads.append((str(i), seq if i % 4 < 2 else seq[::-1].translate(turn)))
+    frame_of = lambda rows: spark.createDataFrame(rows, "id string, sequence string")
+    pieces = spark.createDataFrame(contigs, "chrom string, start long, sequence string")
+    for errors in (0, 1, 2):
+        want = set()
+        for name, seq in reads:
+            for strand, text in ((0, seq), (1, seq[::-1].translate(turn))):
+                for chrom, start, whole in contigs:
+                    for at in range(len(whole) - 23):
+                        n = sum(x != y for x, y in zip(text, whole[at : at + 24], strict=True))
+                        if n <= errors:
+                            want.add((name, chrom, start + at, strand, n))
+        got = {tuple(r) for r in rr.map_mismatches(frame_of(reads), pieces, errors, 6).select("id", "chrom", "pos", "strand", "mismatches").collect()}
+        assert got == want and want
+    hits = rr.hit_tags(rr.map_mismatches(frame_of(reads), pieces, 1, 6)).collect()
+    assert all(r.nh == sum(x.id == r.id for x in hits) and r.nm == r.mismatches for r in hits)
+    near = rr.candidate_locations(frame_of(reads[:2]), pieces, k=12, step=4, gap=5).collect()
+    assert any(r.id == "0" and r.chrom == "c1" and r.seeds >= 4 for r in near)
+
+
+def test_natural_key_of_long_numbers(spark):
+    names = ["r9", "r10", "r010", "s1", "r" + "9" * 30, "r1" + "0" * 30, "r10x2", "r10x10"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(dna.natural_key(F.col("n")), "n").collect()
+    assert [r.n for r in rows] == ["r9", "r010", "r10", "r10x2", "r10x10", "r" + "9" * 30, "r1" + "0" * 30, "s1"]
+
+
+def test_info_of_repeated_keys(spark):
+    row = spark.createDataFrame([("DP=1;H2;DP=30;A=2",)], "info string").select(info_map(F.col("info")).alias("m")).first()
+    assert row.m == {"DP": "30", "A": "2", "H2": ""}
+
+
+def test_overlaps_of_equal_and_long_rows(spark):
+    rng = random.Random(5)
+    rows = [(i // 2, 1, s, s + rng.choice([0, 5, 40, 90])) for i in range(200) for s in (rng.randrange(400),)]
+    rows += rows[:20]
+    beds = [(1, s, s + rng.choice([0, 1, 3, 120])) for s in rng.sample(range(2000), 12)]
+    got = rg.overlapping(spark.createDataFrame(rows, "id int, chrom int, a long, b long"), spark.createDataFrame(beds, "chrom int, start long, end long"), "chrom", "a", "b", 16).collect()
+    want = [r for r in rows if any(s < e and e > r[2] and s < r[3] for _, s, e in beds)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_islands_over_spans(spark):
+    rng = random.Random(6)
+    rows = [(g, s, s + rng.choice([1, 10, 300])) for g in range(2) for s in rng.sample(range(5000), 120)]
+    want = []
+    for g in range(2):
+        held = None
+        for _, s, e in sorted(r for r in rows if r[0] == g):
+            if held and s - held[2] <= 7:
+                held = (g, held[1], max(held[2], e), held[3] + 1)
+            else:
+                want += [held] if held else []
+                held = (g, s, e, 1)
+        want.append(held)
+    got = rg.merge_close(spark.createDataFrame(rows, "g int, start long, end long"), ["g"], "start", "end", 7, 64).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_region_tables(spark):
+    regions = spark.createDataFrame([("1", 5, 9), ("2", 1, 3)], "chrom string, start long, end long")
+    more = spark.createDataFrame([("1", 5, 9), ("3", 4, 6), ("Z", 1, 2)], "chrom string, start long, end long")
+    contigs = spark.createDataFrame([("1",), ("2",), ("3",)], "chrom string")
+    held = rg.insert_regions(regions, more, contigs)
+    assert sorted(map(tuple, held.collect())) == [("1", 5, 9), ("2", 1, 3), ("3", 4, 6)]
+    assert sorted(map(tuple, rg.remove_regions(held, more).collect())) == [("2", 1, 3)]
+    assert {r.chrom: r.regions for r in rg.count_regions(held).collect()} == {"1": 1, "2": 1, "3": 1}
+    order = spark.createDataFrame([("3", 0), ("1", 1)], "chrom string, ordinal int")
+    assert [r.chrom for r in rg.ordered_regions(held, order).collect()] == ["3", "1", "2"]
+    few, many = spark.createDataFrame([(1,), (1,), (4,)], "k int"), spark.createDataFrame([(1,), (2,), (1,), (3,)], "k int")
+    assert [r.k for r in rg.intersect_smaller(many, few, ["k"]).collect()] == [1, 1]
+    rows = spark.createDataFrame([("a", 3), ("b", 2), ("a", 1)], "k string, at int")
+    assert sorted(map(tuple, rg.unique_first(rows, ["k"], "at").collect())) == [("a", 1), ("b", 2)]
+
+
+def test_fisher_of_large_tables(spark):
+    rows = [(8, 2, 1, 5), (0, 0, 0, 0), (3_000_000, 2_999_000, 3_000_500, 3_001_000), (10, 0, 0, 10)]
+    got = [r.p for r in spark.createDataFrame(rows, "a long, b long, c long, d long").select(sc.fisher_exact("a", "b", "c", "d").alias("p")).collect()]
+    assert got[0] == pytest.approx(0.0349650349) and got[1] == 1 and got[3] == pytest.approx(2 / 184756)
+    assert 0 < got[2] < 1
+
+
+def test_long_reads_against_the_reference(spark):
+    """Reads longer than a piece of the contig."""
+    rng = random.Random(4)
+    text = "".join(rng.choices("ACGT", k=700))
+    seq = list(text[100:500])
+    seq[50], seq[350] = ("A" if seq[k] != "A" else "C" for k in (50, 350))
+    reads = spark.createDataFrame([(1, 0, 100, 0, "400M", "".join(seq)), (2, 0, 40, 0, "20M300N20M", text[40:60] + text[360:380])], "read_id int, tid int, pos int, flag int, cigar string, seq string")
+    contigs = spark.createDataFrame([(0, text)], "tid int, sequence string")
+    got = {r.read_id: (r.nm, r.md) for r in rf.mismatch_tags(reads, contigs, 64, 16).collect()}
+    assert got == {1: (2, f"50{text[150]}299{text[450]}49"), 2: (0, "40")}
 
 
 def test_numbering_over_spans(spark):
