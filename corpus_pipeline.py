@@ -1,4 +1,16 @@
-"""A training corpus from raw documents: toxic ones go, copies and near copies go, benchmark passages go, ids stay."""
+"""A training corpus from raw documents: toxic ones go, copies and near copies go, benchmark passages go, ids stay.
+
+Defined cases
+-------------
+* A null text counts as empty in every stage; of all null and empty texts one document stays, which is encoded as no ids.
+* Rows without a doc_id take part in all stages and lose to any doc_id among copies; of rows that repeat a doc_id and a
+  text one stays, rows that share only a doc_id are documents of their own.
+* Ties: the largest doc_id of equal texts stays, the smallest of near copies.
+* Very long texts are read in pieces by every stage.
+* Empty tables (documents, labels or benchmark) give empty results, or stages that drop nothing.
+* Columns beside doc_id and text are carried through all stages, whatever their names; the last one replaces text by
+  n_tokens and ids (columns of these names are replaced, too).
+"""
 
 from __future__ import annotations
 
@@ -35,10 +47,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids (little-endian unsigned 32-bit integers) of every document left."""
+    """The documents left with n_tokens and ids (little-endian unsigned 32-bit integers) in place of their texts."""
     ranks, pattern = vocabulary()
     out = encode(docs, ranks, pattern)
-    return out.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    carried = [out[f"`{c}`"] for c in docs.columns if c not in ("text", "n_tokens", "ids")]
+    return out.select(*carried, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
