@@ -11,8 +11,9 @@ def _text(*columns: Column | str, sep: str = "\t") -> Column:
 
 
 def sam_lines(reads: DataFrame) -> DataFrame:
-    """reads as read_sam gives them."""
-    tags = F.array_join(F.array_sort(F.transform(F.map_entries("tags"), lambda t: F.concat(t["key"], F.lit(":Z:"), t["value"]))), "\t")
+    """reads as read_sam gives them; tags without a type in `tag_types` are text."""
+    kind = (lambda k: F.coalesce(F.element_at("tag_types", k), F.lit("Z"))) if "tag_types" in reads.columns else (lambda _: F.lit("Z"))
+    tags = F.array_join(F.array_sort(F.transform(F.map_entries("tags"), lambda t: F.concat(t["key"], F.lit(":"), kind(t["key"]), F.lit(":"), t["value"]))), "\t")
     line = _text("qname", "flag", "rname", F.col("pos") + 1, "mapq", "cigar", "rnext", F.col("mpos") + 1, "isize", "seq", "qual")
     return reads.select(F.when(tags == "", line).otherwise(F.concat(line, F.lit("\t"), tags)).alias("value"))
 
@@ -51,3 +52,28 @@ def write_map(rows: DataFrame, path: str, strand: str, sep: str = " ") -> None:
 def signal_lines(signal: DataFrame) -> DataFrame:
     """position and value, for plots."""
     return signal.select(F.format_string("%.0f %.3f", F.col("plot_pos").cast("double"), F.col("signal").cast("double")).alias("value"))
+
+
+def vcf_header_lines(header: DataFrame, filters: DataFrame | None = None) -> DataFrame:
+    """Header lines of read rows (key and value), with lines of filters (id and description) in front of the column line."""
+    columns = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"
+    named = header.filter("key <> 'samples'").select(F.when(F.col("key") == "fileformat", 0).otherwise(1).alias("part"), F.concat(F.lit("##"), "key", F.lit("="), "value").alias("value"))
+    last = header.filter("key = 'samples'").select(F.lit(3).alias("part"), F.when(F.col("value") == "", columns).otherwise(F.concat(F.lit(columns + "\tFORMAT\t"), "value")).alias("value"))
+    out = named.unionByName(last)
+    if filters is not None:
+        out = out.unionByName(filters.select(F.lit(2).alias("part"), F.concat(F.lit("##FILTER=<ID="), "id", F.lit(',Description="'), "description", F.lit('">')).alias("value")))
+    return out.orderBy("part", "value").select("value")
+
+
+def statistics_lines(statistics: DataFrame, sep: str = "\t") -> DataFrame:
+    """Run statistics as a line of names and a line for each dataset."""
+    names = statistics.columns
+    lines = statistics.select(F.lit(1).alias("part"), F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]).alias("value"))
+    head = statistics.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(sep.join(names)).alias("value"))
+    return head.unionByName(lines).orderBy("part", "value").select("value")
+
+
+def map_files(rows: DataFrame, contigs: DataFrame) -> DataFrame:
+    """number (tid + 1) and rows of the file of every contig, also of those that have no site."""
+    counts = rows.groupBy(F.col("chr").alias("tid")).agg(F.count(F.lit(1)).alias("rows"))
+    return contigs.select("tid").join(counts, "tid", "left").select((F.col("tid") + 1).alias("number"), F.coalesce("rows", F.lit(0)).alias("rows"))

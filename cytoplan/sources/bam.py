@@ -6,15 +6,18 @@ the first record that begins in it; both are found by checking the headers there
 
 from __future__ import annotations
 
-import glob
-import os
+import json
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-SCHEMA = "qname string, flag int, tid int, pos int, mapq int, cigar string, mtid int, mpos int, isize int, seq string, qual string, tags map<string,string>, n_tags int"
+from .files import listed, located, opened
+
+SCHEMA = "qname string, flag int, tid int, pos int, mapq int, cigar string, mtid int, mpos int, isize int, seq string, qual string, tags map<string,string>, n_tags int, tag_types map<string,string>"
 # Fixed values of the format.
 _BASES = "=ACMGRSVTWYHKDBN"
 _OPS = "MIDNSHP=X"
@@ -37,7 +40,7 @@ def block_at(data: bytes, at: int) -> int:
 
 def blocks(path: str, start: int, end: int | None) -> Iterator[tuple[int, bytes]]:
     """Place and content of the blocks that begin in [start, end)."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         f.seek(start)
         data, at = f.read(1 << 17), 0
         while at < len(data) and not (block_at(data, at) and (start == 0 or _followed(data, at))):
@@ -89,8 +92,9 @@ def header(path: str) -> tuple[list[tuple[str, int]], int]:
     return contigs, at
 
 
-def tags_of(data: bytes) -> tuple[dict[str, str], int]:
-    out, count, k = {}, 0, 0
+def tags_of(data: bytes) -> tuple[dict[str, str], dict[str, str], int]:
+    """Values and types (whole numbers of any width are i) by name, and how many tags there are; of repeats the last counts."""
+    out, kinds, count, k = {}, {}, 0, 0
     while k + 3 <= len(data):
         name, kind = data[k : k + 2].decode(), chr(data[k + 2])
         k += 3
@@ -99,6 +103,7 @@ def tags_of(data: bytes) -> tuple[dict[str, str], int]:
         elif kind in _NUMBERS:
             value = str(struct.unpack_from(_NUMBERS[kind], data, k)[0])
             k += struct.calcsize(_NUMBERS[kind])
+            kind = "f" if kind == "f" else "i"
         elif kind in "ZH":
             end = data.index(b"\0", k)
             value, k = data[k:end].decode(), end + 1
@@ -110,9 +115,81 @@ def tags_of(data: bytes) -> tuple[dict[str, str], int]:
             k += 5 + n * size
         else:
             break
-        out[name] = value
+        out[name], kinds[name] = value, kind
         count += 1
-    return out, count
+    return out, kinds, count
+
+
+def tag_bytes(name: str, kind: str, value: str) -> bytes:
+    """A tag as it stands in a record; whole numbers take as few bytes as they can."""
+    head = name.encode()
+    if kind == "i":
+        number = int(value)
+        code = next(c for c in "cCsSiI" if _fits(c, number))
+        return head + code.encode() + struct.pack(_NUMBERS[code], number)
+    if kind == "f":
+        return head + b"f" + struct.pack("<f", float(value))
+    if kind == "A":
+        return head + b"A" + value[:1].encode()
+    if kind == "B":
+        inner, *numbers = value.split(",")
+        cast = float if inner == "f" else int
+        return head + b"B" + inner.encode() + struct.pack("<i", len(numbers)) + b"".join(struct.pack(_NUMBERS[inner], cast(x)) for x in numbers)
+    return head + (kind if kind == "H" else "Z").encode() + value.encode() + b"\0"
+
+
+def _fits(code: str, number: int) -> bool:
+    bits = 8 * struct.calcsize(_NUMBERS[code])
+    return 0 <= number < 1 << bits if code.isupper() else -(1 << (bits - 1)) <= number < 1 << (bits - 1)
+
+
+def _bin(start: int, end: int) -> int:
+    """The smallest bin of the index that holds [start, end): eight times finer on each of five levels, from 512 M to 16 K."""
+    first, last = max(start, 0), max(start, end - 1, 0)
+    for level in range(5, 0, -1):
+        shift = 14 + 3 * (5 - level)
+        if first >> shift == last >> shift:
+            return ((1 << 3 * level) - 1) // 7 + (first >> shift)
+    return 0
+
+
+def record_bytes(row) -> bytes:  # noqa: ANN001
+    """A row of this source as a record, with its length in front."""
+    cigar = [] if row.cigar in (None, "", "*") else [(int(n), _OPS.index(op)) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", row.cigar)]
+    seq = "" if row.seq in (None, "*") else row.seq
+    name = (row.qname or "*").encode() + b"\0"
+    reach = sum(n for n, op in cigar if op in (0, 2, 3, 7, 8))
+    codes = [_BASES.find(c) if c in _BASES else 15 for c in seq.upper()]
+    codes += [0] * (len(codes) % 2)
+    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+    qual = bytes(ord(c) - 33 for c in row.qual) if row.qual and len(row.qual) == len(seq) else b"\xff" * len(seq)
+    kinds = row.tag_types or {}
+    tags = b"".join(tag_bytes(k, kinds.get(k, "Z"), v) for k, v in (row.tags or {}).items())
+    fixed = struct.pack("<iiBBHHHiiii", row.tid, row.pos, len(name), row.mapq, _bin(row.pos, row.pos + max(reach, 1)), len(cigar), row.flag, len(seq), row.mtid, row.mpos, row.isize)
+    body = fixed + name + b"".join(struct.pack("<I", n << 4 | op) for n, op in cigar) + packed + qual + tags
+    return struct.pack("<i", len(body)) + body
+
+
+def header_bytes(contigs: list[tuple[str, int]], text: str | None = None) -> bytes:
+    """The header of a file over these contigs (name and length in the order of their tid)."""
+    lines = (text if text is not None else "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{x}\n" for n, x in contigs)).encode()
+    out = b"BAM\1" + struct.pack("<i", len(lines)) + lines + struct.pack("<i", len(contigs))
+    for name, length in contigs:
+        raw = name.encode() + b"\0"
+        out += struct.pack("<i", len(raw)) + raw + struct.pack("<i", length)
+    return out
+
+
+#: Bytes of content in a compressed block.
+BLOCK = 65280
+
+
+def compressed(data: bytes) -> bytes:
+    """One block."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
 def record(data: bytes) -> tuple:
@@ -126,8 +203,8 @@ def record(data: bytes) -> tuple:
     seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:l_seq]
     at += len(packed)
     qual = "".join(chr(min(q, 93) + 33) for q in data[at : at + l_seq])
-    tags, n = tags_of(data[at + l_seq :])
-    return (qname, flag, tid, pos, mapq, cigar, mtid, mpos, isize, seq, qual, tags, n)
+    tags, kinds, n = tags_of(data[at + l_seq :])
+    return (qname, flag, tid, pos, mapq, cigar, mtid, mpos, isize, seq, qual, tags, n, kinds)
 
 
 def _plausible(data: bytes, at: int, contigs: int) -> bool:
@@ -188,16 +265,63 @@ class BamReader(DataSourceReader):
         self.path, self.split = options["path"], int(options.get("splitBytes", 64 << 20))
 
     def partitions(self) -> list[InputPartition]:
-        files = sorted(glob.glob(os.path.join(self.path, "*.bam")) if os.path.isdir(self.path) else glob.glob(self.path))
-        return [_Range(f, a, min(a + self.split, os.path.getsize(f))) for f in files for a in range(0, os.path.getsize(f), self.split)]
+        return [_Range(f, a, min(a + self.split, size)) for f, size in listed(self.path, ".bam") for a in range(0, size, self.split)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         contigs, size = header(partition.path)
         yield from records(partition.path, partition.start, partition.end, len(contigs), size)
 
 
+class _Written(WriterCommitMessage):
+    def __init__(self, held: str, name: str) -> None:
+        self.held, self.name = held, name
+
+
+class BamWriter(DataSourceWriter):
+    """Each partition becomes a file of its own, which appears when the whole job is done."""
+
+    def __init__(self, options: dict, overwrite: bool) -> None:
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
+        self.contigs = [(name, int(length)) for name, length in json.loads(options["contigs"])]
+        self.text = options.get("header")
+        self.run = uuid.uuid4().hex
+
+    def write(self, iterator: Iterator) -> _Written:
+        system, folder = located(self.path)
+        held = f"{folder}/_temporary-{self.run}"
+        system.create_dir(held, recursive=True)
+        name = f"part-{uuid.uuid4().hex}.bam"
+        with system.open_output_stream(f"{held}/{name}") as f:
+            data = header_bytes(self.contigs, self.text)
+            for row in iterator:
+                data += record_bytes(row)
+                while len(data) >= BLOCK:
+                    f.write(compressed(data[:BLOCK]))
+                    data = data[BLOCK:]
+            if data:
+                f.write(compressed(data))
+            f.write(compressed(b""))  # the empty block at the end
+        return _Written(held, name)
+
+    def commit(self, messages: list) -> None:
+        system, folder = located(self.path)
+        if self.overwrite:
+            for old, _ in listed(self.path, ".bam"):
+                system.delete_file(located(old)[1])
+        for m in (m for m in messages if m):
+            system.move(f"{m.held}/{m.name}", f"{folder}/{m.name}")
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        system, folder = located(self.path)
+        held = f"{folder}/_temporary-{self.run}"
+        if system.get_file_info(held).type.name == "Directory":
+            system.delete_dir(held)
+
+
 class BamSource(DataSource):
-    """Options: splitBytes, the compressed bytes of a partition."""
+    """Options: splitBytes, the compressed bytes of a partition; for writing contigs, JSON of names and lengths in the
+    order of tid, and header, the header's text if another one is wanted."""
 
     @classmethod
     def name(cls) -> str:
@@ -209,6 +333,9 @@ class BamSource(DataSource):
     def reader(self, schema) -> BamReader:  # noqa: ANN001
         return BamReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> BamWriter:  # noqa: ANN001
+        return BamWriter(self.options, overwrite)
+
 
 def contigs_of(spark, path: str):  # noqa: ANN001, ANN201
     """tid, name and length from the header."""

@@ -6,13 +6,16 @@ follows: the third line begins with `+`, and the second and fourth are equally l
 
 from __future__ import annotations
 
-import glob
 import gzip
-import os
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cytoplan.operators.ordering import numbered
+
+from .files import listed, opened
+
 
 class _Range(InputPartition):
     def __init__(self, path: str, start: int, end: int | None) -> None:
@@ -21,7 +24,7 @@ class _Range(InputPartition):
 
 def records(path: str, start: int, end: int | None) -> Iterator[tuple[str, str, str, int]]:
     """id, sequence, quality and the byte at which the record begins, of the records that begin in [start, end)."""
-    with gzip.open(path, "rb") if path.endswith(".gz") else open(path, "rb") as f:
+    with gzip.open(opened(path), "rb") if path.endswith(".gz") else opened(path) as f:
         if start:
             f.seek(start - 1)
             f.readline()  # the rest of the line before; nothing but its end if a line begins at `start`
@@ -52,8 +55,7 @@ class FastqReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for path in sorted(glob.glob(self.path)):
-            size = os.path.getsize(path)
+        for path, size in listed(self.path, ""):
             out += [_Range(path, 0, None)] if path.endswith(".gz") else [_Range(path, a, min(a + self.split, size)) for a in range(0, size, self.split)]
         return out
 
@@ -73,3 +75,13 @@ class FastqSource(DataSource):
 
     def reader(self, schema) -> FastqReader:  # noqa: ANN001
         return FastqReader(self.options)
+
+
+def with_ordinals(reads: DataFrame) -> DataFrame:
+    """The reads of one file with `ordinal`, their number in it from 0: what two files of pairs are joined by."""
+    return numbered(reads, [], "place", "ordinal", 1 << 24)
+
+
+def at_positions(reads: DataFrame, ordinals: DataFrame) -> DataFrame:
+    """The reads of one file at the given ordinals."""
+    return with_ordinals(reads).join(ordinals.select("ordinal").distinct(), "ordinal", "left_semi")

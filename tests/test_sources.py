@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import gzip
+import json
 import struct
 import zlib
 
@@ -10,8 +11,8 @@ from cytoplan.operators import regions as rg
 from cytoplan.operators.meth_map import filter_reads, site_counts
 from cytoplan.sinks import text_formats as out
 from cytoplan.sources import text_formats as tf
-from cytoplan.sources.bam import BamSource, contigs_of
-from cytoplan.sources.fastq import FastqSource
+from cytoplan.sources.bam import SCHEMA, BamSource, contigs_of
+from cytoplan.sources.fastq import FastqSource, at_positions, with_ordinals
 
 SAM = "\n".join(
     [
@@ -35,9 +36,80 @@ def test_sam(spark, tmp_path):
     rows = tf.read_sam(spark, path).orderBy("qname").collect()
     assert [(r.qname, r.flag, r.pos, r.n_tags) for r in rows] == [("r1", 0, 10, 2), ("r2", 16, 0, 1), ("r3", 4, -1, 0)]
     assert rows[0].tags == {"NM": "1", "XM": "z..Z.x.h"}
-    assert {(r.name, r.length) for r in tf.sam_contigs(spark, path).collect()} == {("chr1", 1000), ("chr2", 500)}
-    lines = [r.value.split("\t")[:11] for r in out.sam_lines(tf.read_sam(spark, path)).collect()]
-    assert sorted(lines) == sorted(x.split("\t")[:11] for x in SAM.split("\n") if x[0] != "@")
+    assert {(r.name, r.length, r.tid) for r in tf.sam_contigs(spark, path).collect()} == {("chr1", 1000, 0), ("chr2", 500, 1)}
+    lines = [r.value for r in out.sam_lines(tf.read_sam(spark, path)).collect()]
+    assert sorted(lines) == sorted(x for x in SAM.split("\n") if x[0] != "@")
+
+
+def test_sam_headers(spark, tmp_path):
+    one = write(tmp_path / "a.sam", "@HD\tVN:1.6\n@SQ\tSN:b\tLN:5\n@SQ\tSN:a\tLN:7\n@RG\tID:g1\tSM:s1\tLB:l\n@CO\tfree text\n")
+    two = write(tmp_path / "b.sam", "@HD\tVN:1.5\n@SQ\tSN:a\tLN:7\n@SQ\tSN:c\tLN:9\n@RG\tID:g2\tSM:s2\n")
+    assert [(r.name, r.tid) for r in tf.sam_contigs(spark, one).orderBy("tid").collect()] == [("b", 0), ("a", 1)]
+    headers = [tf.sam_header(spark, p) for p in (one, two)]
+    assert [tuple(r) for r in tf.read_groups(headers[0]).collect()] == [("g1", "s1", "l")]
+    merged = [r.value for r in tf.merge_headers(headers).collect()]
+    assert merged == ["@HD\tVN:1.6", "@SQ\tSN:b\tLN:5", "@SQ\tSN:a\tLN:7", "@SQ\tSN:c\tLN:9", "@RG\tID:g1\tSM:s1\tLB:l", "@RG\tID:g2\tSM:s2", "@CO\tfree text"]
+    names = spark.createDataFrame([("a", "chrA")], "name string, new_name string")
+    assert "@SQ\tSN:chrA\tLN:7" in {r.value for r in tf.reheadered(headers[0], names).collect()}
+    assert not {r.kind for r in tf.without_groups(headers[0], ["g1"]).collect()} & {"RG"}
+
+
+def test_repeated_tags(spark, tmp_path):
+    path = write(tmp_path / "a.sam", "r\t0\tc\t1\t9\t2M\t*\t0\t0\tAC\tII\tXA:Z:one\tNM:i:4\tXA:i:7\n")
+    row = tf.read_sam(spark, path).first()
+    assert row.tags == {"NM": "4", "XA": "7"} and row.tag_types == {"NM": "i", "XA": "i"} and row.n_tags == 3
+
+
+@pytest.mark.parametrize("split", [1 << 26, 900])
+def test_bam_round_trip(spark, tmp_path, split):
+    """What is written is read again, tags with their types, from several files."""
+    spark.dataSource.register(BamSource)
+    tags = {"NM": ("i", "3"), "XB": ("i", "-70000"), "XU": ("i", "4000000000"), "XM": ("Z", "z.Z"), "XA": ("A", "q"), "XF": ("f", "0.5"), "XI": ("B", "s,1,-2,300")}
+    rows = []
+    for i in range(300):
+        held = dict(list(tags.items())[: i % 8])
+        rows.append((f"r{i}", 16 * (i % 2), i % 2, 10 * i, 30, f"{5 + i % 3}M2D3M" if i % 5 else "*", -1, -1, i - 100, "ACGTNACGTA"[: 5 + i % 6], "IIHGFEDCBA"[: 5 + i % 6], {k: v for k, (_, v) in held.items()}, len(held), {k: t for k, (t, _) in held.items()}))
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    contigs = json.dumps([["chr1", 100000], ["chr2", 5000]])
+    for _ in range(2):
+        frame.write.format("bam").option("contigs", contigs).mode("overwrite").save(str(tmp_path / "out"))
+    back = spark.read.format("bam").option("splitBytes", split).load(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    part = str(next((tmp_path / "out").glob("*.bam")))
+    assert [tuple(r) for r in contigs_of(spark, part).collect()] == [(0, "chr1", 100000), (1, "chr2", 5000)]
+    assert not list((tmp_path / "out").glob("_temp*"))
+
+
+def test_vcf_files_and_header(spark, tmp_path):
+    one = write(tmp_path / "a.vcf", "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\n1\t10\t.\tA\tG\t5\t.\t.\tGT\t0/1\nbad\n1\tx\t.\tA\tG\t5\t.\t.\n")
+    two = write(tmp_path / "b.vcf", "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tb\n1\t10\t.\tA\tG\t7\t.\t.\tGT\t1/1\n1\t12\t.\tC\tT\t7\t.\t.\tGT\t0/0\n")
+    got = {(r.pos): [(f.file, f.samples) for f in r.files] for r in tf.read_vcf_files(spark, [one, two]).collect()}
+    assert got == {10: [(0, ["0/1"]), (1, ["1/1"])], 12: [(1, ["0/0"])]}
+    assert {r.value for r in tf.malformed_vcf(spark.read.text(one)).collect()} == {"bad", "1\tx\t.\tA\tG\t5\t.\t."}
+    filters = spark.createDataFrame([("q30", "Quality of 30 or more")], "id string, description string")
+    lines = [r.value for r in out.vcf_header_lines(tf.vcf_header(spark, one), filters).collect()]
+    assert lines == ["##fileformat=VCFv4.2", '##FILTER=<ID=q30,Description="Quality of 30 or more">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta"]
+
+
+def test_caps_and_reports(spark, tmp_path):
+    (tmp_path / "mc.bin").write_bytes(b"\x02" + struct.pack("<III", 7, 70000, 9))
+    (tmp_path / "hmc.bin").write_bytes(struct.pack("<II", 3, 1 << 31))
+    read = lambda ds: sorted((r.tid, r.max_reads) for r in tf.read_caps(spark, str(tmp_path / f"{ds}.bin"), ds).collect())
+    assert read("mc") == [(0, 7), (1, 70000)] and read("hmc") == [(0, 3), (1, 1 << 31)]
+    rows = spark.createDataFrame([("mc", 5, 2.5)], "ds string, total long, skipped_pct double")
+    assert [r.value for r in out.statistics_lines(rows).collect()] == ["ds\ttotal\tskipped_pct", "mc\t5\t2.5"]
+    sites = spark.createDataFrame([(0,), (0,), (2,)], "chr int")
+    contigs = spark.createDataFrame([(0,), (1,), (2,)], "tid int")
+    assert {(r.number, r.rows) for r in out.map_files(sites, contigs).collect()} == {(1, 2), (2, 0), (3, 1)}
+
+
+def test_fastq_ordinals(spark, tmp_path):
+    spark.dataSource.register(FastqSource)
+    (tmp_path / "a.fq").write_text("".join(f"@r{i}\nAC\n+\nII\n" for i in range(40)))
+    reads = spark.read.format("fastq").option("splitBytes", 50).load(str(tmp_path / "a.fq"))
+    assert sorted((r.ordinal, r.id) for r in with_ordinals(reads).collect()) == [(i, f"r{i}") for i in range(40)]
+    chosen = spark.createDataFrame([(3,), (39,), (99,)], "ordinal long")
+    assert {r.id for r in at_positions(reads, chosen).collect()} == {"r3", "r39"}
 
 
 def test_maps_from_sam(spark, tmp_path):
@@ -96,6 +168,7 @@ def test_map_file(spark, tmp_path):
 
 
 def test_region_goldens(spark):
+    # Regions and questions with known answers.
     table = spark.createDataFrame([("2", 10000, 20000), ("3", 30000, 40000), ("4", 60000, 80000), ("4", 200000, 250000), ("X", 1000000, 1500000), ("X", 1000000, 1800000), ("Y", 2000000, 3000000)], "chrom string, start long, end long")
     asked = [("3", 30000, 40000), ("Y", 2100000, 2200000), ("4", 30000, 70000), ("4", 30000, 90000), ("4", 100000, 190000), ("4", 160000, 210000), ("4", 240000, 270000), ("4", 280000, 300000), ("X", 1000000, 1700000)]
     rows = spark.createDataFrame(asked, "c string, s long, e long")
