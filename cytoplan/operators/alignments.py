@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cytoplan.functions import dna
 
 from .ordering import numbered, numbered_by_spans
-from .regions import chunk_counts, contained
+from .regions import chunk_counts, contained, overlapping
 
 
 def _between(column: str, low: int, high: int) -> Column:
@@ -62,6 +62,40 @@ def view(reads: DataFrame, *, min_mapq: int = 0, need: int = 0, forbid: int = 0,
     return reads.filter(test)
 
 
+def view_regions(reads: DataFrame, regions: DataFrame, **tests) -> DataFrame:  # noqa: ANN003
+    """Reads of `view` whose aligned stretch meets one of the half-open regions (chrom is the tid)."""
+    rows = view(reads, **tests).withColumn("_end", F.col("pos") + dna.reference_length(F.col("cigar")))
+    return overlapping(rows, regions, "tid", "pos", "_end").drop("_end")
+
+
+def mate_statistics(reads: DataFrame) -> DataFrame:
+    """mate (1, 2, or 0 for reads that aren't paired), reverse, and mapped, unmapped and unique reads."""
+    f = F.col("flag")
+    mate = F.when(dna.lacks(f, dna.PAIRED), 0).when(dna.has(f, dna.FIRST), 1).otherwise(2)
+    return reads.groupBy(mate.alias("mate"), dna.has(f, dna.REVERSE).alias("reverse")).agg(F.count_if(dna.lacks(f, dna.UNMAPPED)).alias("mapped"), F.count_if(dna.has(f, dna.UNMAPPED)).alias("unmapped"), F.count_if(dna.lacks(f, dna.SECONDARY)).alias("unique_reads"))
+
+
+def mean_depth(reads: DataFrame, contigs: DataFrame) -> DataFrame:
+    """tid, letters and depth: letters of mapped reads on each contig, and their mean over its length; tid -1: letters of unmapped reads."""
+    mapped = dna.lacks(F.col("flag"), dna.UNMAPPED) & (F.col("tid") >= 0)
+    sums = reads.groupBy(F.when(mapped, F.col("tid")).otherwise(-1).alias("tid")).agg(F.sum(F.length("seq")).alias("letters"))
+    rows = contigs.select("tid", "length").unionByName(contigs.sparkSession.range(1).select(F.lit(-1).alias("tid"), F.lit(None).cast("long").alias("length"))).join(sums, "tid", "left")
+    return rows.select("tid", F.coalesce("letters", F.lit(0)).alias("letters"), F.round(F.coalesce("letters", F.lit(0)) / F.col("length"), 6).alias("depth"))
+
+
+def running_mean(reads: DataFrame, value: Column, by: str, order: str = "file_ord", last: int = 64) -> DataFrame:
+    """by and mean: m = (m + x) / 2 over each group in file order, starting at the first value.
+
+    A value counts half as much as the one behind it, so those more than `last` before the end are below the precision
+    of a number; only the others are summed, and a group of fewer rows gives its first value the rest of the weight.
+    """
+    rows = numbered(reads.select(by, F.col(order), value.cast("double").alias("x")), [by], order, "i")
+    sizes = rows.groupBy(by).agg((F.max("i") + 1).alias("n"))
+    near = rows.join(sizes, by).filter(F.col("n") - F.col("i") <= last)
+    weight = F.pow(F.lit(0.5), F.col("n") - F.col("i")) + F.when(F.col("i") == 0, F.pow(F.lit(0.5), F.col("n"))).otherwise(0)
+    return near.groupBy(by).agg(F.sum(F.col("x") * weight).alias("mean"))
+
+
 def flag_statistics(reads: DataFrame) -> DataFrame:
     """Counters of alignments that passed quality control and that didn't."""
     f = F.col("flag")

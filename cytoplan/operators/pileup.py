@@ -103,6 +103,12 @@ def pileup_files(reads: DataFrame, file: str, names: list[str], contigs: DataFra
     return grouped.select("tid", "pos", F.coalesce("ref", F.lit("N")).alias("ref"), *columns)
 
 
+def depth_of_files(reads: DataFrame, file: str, min_mapq: int = 0, min_quality: int = 0) -> DataFrame:
+    """tid, pos, the file and depth: letters of good enough quality, deleted and skipped positions aside."""
+    rows = pileup(reads, min_mapq, min_quality=min_quality, keep=(file,)).filter("letter IS NOT NULL")
+    return rows.groupBy("tid", "span", "pos", file).agg(F.count(F.lit(1)).alias("depth")).drop("span")
+
+
 def genotype_likelihoods(reads: DataFrame, contigs: DataFrame, sample: str, min_mapq: int = 0, min_quality: int = 13) -> DataFrame:
     """tid, pos, sample, ref, alt, n and pl0 to pl2 of every position and sample that shows a letter beside the reference's.
 
@@ -135,6 +141,18 @@ def genotype_likelihoods(reads: DataFrame, contigs: DataFrame, sample: str, min_
     return both.select("tid", "pos", sample, "ref", "alt", "n", *[F.round(-10 * (F.col(f"l{k}") - top)).cast("int").alias(f"pl{k}") for k in range(3)])
 
 
+def phred_of_logs(logs: list[Column]) -> list[Column]:
+    """Phred-scaled likelihoods (at most 255) of logarithms to base ten, against the best."""
+    top = F.greatest(*logs)
+    return [F.least(F.round(-10 * (x - top)), F.lit(255)).cast("int") for x in logs]
+
+
+def difference_histogram(likelihoods: DataFrame) -> DataFrame:
+    """difference (to 255) and sites: how far the best genotype is ahead of the second."""
+    second = F.array_sort(F.array("pl0", "pl1", "pl2"))[1]
+    return likelihoods.groupBy(F.least(second, F.lit(255)).alias("difference")).agg(F.count(F.lit(1)).alias("sites"))
+
+
 def call_genotypes(likelihoods: DataFrame, sample: str) -> DataFrame:
     """tid, pos, sample, gt (alternate alleles) and gq of the best genotype (ties: fewer), and the second best's distance."""
     order = F.array_sort(F.array(*[F.struct(F.col(f"pl{k}").alias("pl"), F.lit(k).alias("gt")) for k in range(3)]))

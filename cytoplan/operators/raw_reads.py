@@ -16,6 +16,12 @@ def read_statistics(reads: DataFrame) -> DataFrame:
     return reads.select("id", F.length("sequence").alias("length"), *[dna.count_of(F.col("sequence"), b).alias(f"n_{b.lower()}") for b in "ACGTN"], F.round(dna.mean_ascii(F.col("quality")), 6).alias("mean_quality"))
 
 
+def quality_range(reads: DataFrame, low: int = 33, high: int = 126) -> DataFrame:
+    """id and outside: quality letters whose code isn't in [low, high]."""
+    codes = F.transform(F.filter(F.split("quality", ""), lambda c: c != ""), lambda c: F.ascii(c))
+    return reads.select("id", F.size(F.filter(codes, lambda c: ~c.between(low, high))).alias("outside"))
+
+
 def filter_reads(reads: DataFrame, length: tuple[int, int], quality: tuple[float, float], max_n: int) -> DataFrame:
     """Adds `passed`: length and mean quality code inside their bounds, and fewer than max_n unknown letters."""
     ok = F.length("sequence").between(*length) & dna.mean_ascii(F.col("quality")).between(*quality) & (dna.count_of(F.col("sequence"), "N") < max_n)

@@ -165,6 +165,32 @@ def mendel_error(chrom: Column, child: Column, father: Column, mother: Column, m
     return F.when(place.isin("Y", "MT") | missing, None).when((place == "X") & male, ~son).otherwise(~fits)
 
 
+def mendel_type(chrom: Column, child: Column, father: Column, mother: Column, male: Column) -> Column:
+    """The kind of a Mendelian error, by how many alternate alleles child and parents have.
+
+    -1: an allele is missing; -2: Y or MT; 0: no error.  Fixed values of the kinds: a heterozygous child of two parents
+    without (1) or with only alternate alleles (2); a child without any whose mother (3), father (4) or both (5) have
+    nothing else; a child with only alternate ones whose father (6), mother (7) or both (8) have none; on X, sons with
+    only alternate alleles of a mother without any (9), and the other way round (10).
+    """
+    dose = lambda g: F.size(F.filter(g, lambda a: a > 0))
+    c, f, m = dose(child), dose(father), dose(mother)
+    missing = F.exists(child, lambda a: a < 0) | F.exists(father, lambda a: a < 0) | F.exists(mother, lambda a: a < 0)
+    place = F.upper(F.regexp_replace(chrom, "^(?i)chr", ""))
+    either = lambda at, both, by_father, by_mother: F.when((f == at) & (m == at), both).when(f == at, by_father).when(m == at, by_mother).otherwise(0)
+    pair = F.when(c == 1, F.when((f == 0) & (m == 0), 1).when((f == 2) & (m == 2), 2).otherwise(0)).when(c == 0, either(2, 5, 4, 3)).otherwise(either(0, 8, 6, 7))
+    son = F.when((c == 2) & (m == 0), 9).when((c == 0) & (m == 2), 10).otherwise(0)
+    return F.when(missing, -1).when(place.isin("Y", "MT"), -2).when((place == "X") & male, son).otherwise(pair)
+
+
+def mendel_types(variants: DataFrame, pedigree: DataFrame) -> DataFrame:
+    """sample, type and records: how often each kind of error stands at each child."""
+    trios = pedigree.filter("father IS NOT NULL AND mother IS NOT NULL").select("sample", "father", "mother", "sex")
+    rows = with_genotypes(variants).filter("gts IS NOT NULL").select("chrom", "gts", F.posexplode("gts").alias("sample", "child")).join(trios, "sample")
+    kind = mendel_type(F.col("chrom"), F.col("child"), F.get("gts", F.col("father")), F.get("gts", F.col("mother")), F.col("sex") == 1)
+    return rows.groupBy("sample", kind.alias("type")).agg(F.count(F.lit(1)).alias("records"))
+
+
 def mendel_errors(variants: DataFrame, pedigree: DataFrame) -> DataFrame:
     """Errors by child; pedigree has sample, father and mother (numbers of samples) and sex (1 male)."""
     trios = pedigree.filter("father IS NOT NULL AND mother IS NOT NULL").select("sample", "father", "mother", "sex")

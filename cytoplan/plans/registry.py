@@ -335,9 +335,47 @@ def bam2fq(spark, sf_dir):
     return al.to_fastq(v.reads(spark, sf_dir))
 
 
+@query(f"{_with(v.DUCK_READS, v.DUCK_REGIONS)}, good AS (SELECT * FROM v_reads WHERE mapq >= 5 AND flag & 512 = 0), {_OPS} SELECT r.read_id FROM good r JOIN span USING (read_id) WHERE EXISTS (SELECT 1 FROM v_regions g WHERE g.chrom = r.tid AND g.\"end\" > r.pos AND g.start < r.pos + reach)")
+def view_regions(spark, sf_dir):
+    return al.view_regions(v.reads(spark, sf_dir), v.regions(spark, sf_dir), min_mapq=5, forbid=512).select("read_id")
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT CAST(CASE WHEN flag & 1 = 0 THEN 0 WHEN flag & 64 > 0 THEN 1 ELSE 2 END AS INT) AS mate, flag & 16 > 0 AS reverse, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 4 > 0) AS unmapped, count(*) FILTER (flag & 256 = 0) AS unique_reads FROM v_reads GROUP BY 1, 2")
+def mate_statistics(spark, sf_dir):
+    return al.mate_statistics(v.reads(spark, sf_dir))
+
+
+@query(f"{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, s AS (SELECT CASE WHEN flag & 4 = 0 AND tid >= 0 THEN tid ELSE -1 END AS tid, CAST(sum(length(seq)) AS BIGINT) AS letters FROM v_reads GROUP BY 1), k AS (SELECT tid, length FROM v_contigs UNION ALL SELECT -1, NULL) SELECT k.tid, coalesce(letters, 0) AS letters, round(coalesce(letters, 0) / length, 6) AS depth FROM k LEFT JOIN s USING (tid)")
+def mean_depth(spark, sf_dir):
+    return al.mean_depth(v.reads(spark, sf_dir), v.contigs(spark, sf_dir))
+
+
+@query(f"{_with(v.DUCK_READS)}, o AS (SELECT ds, list(CAST(length(seq) AS DOUBLE) ORDER BY file_ord) AS x FROM v_reads GROUP BY ds) SELECT ds, round(list_reduce([x[1]] || x, lambda m, y: (m + y) / 2), 6) AS mean FROM o")
+def running_mean_length(spark, sf_dir):
+    return al.running_mean(v.reads(spark, sf_dir), F.length("seq"), "ds").select("ds", F.round("mean", 6).alias("mean"))
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT qname, read_id FROM (SELECT *, row_number() OVER (PARTITION BY qname ORDER BY file_ord, read_id) AS rn FROM v_reads) WHERE rn = 1")
+def set_unique_first(spark, sf_dir):
+    """The first read of every name in file order."""
+    rows = v.reads(spark, sf_dir).select("qname", "read_id", F.struct("file_ord", "read_id").alias("at"))
+    return rg.unique_first(rows, ["qname"], "at").select("qname", "read_id")
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT read_id, qname FROM v_reads WHERE lib = 0 AND qname IN (SELECT qname FROM v_reads WHERE lib <> 0)")
+def set_intersect_smaller(spark, sf_dir):
+    reads = v.reads(spark, sf_dir).select("read_id", "qname", "lib")
+    return rg.intersect_smaller(reads.filter("lib <> 0"), reads.filter("lib = 0"), ["qname"]).select("read_id", "qname")
+
+
 # ---- raw reads
 
 
+@query(f"{_with(v.DUCK_RAW)} SELECT id, CAST(len(list_filter(string_split(quality, ''), lambda c: NOT ascii(c) BETWEEN 35 AND 80)) AS INT) AS outside FROM v_raw")
+def fastq_quality_range(spark, sf_dir):
+    return rr.quality_range(v.raw_reads(spark, sf_dir), 35, 80)
+
+
 @query(f"{_with(v.DUCK_RAW)} SELECT id, CAST(length(sequence) AS INT) AS length, {', '.join(f'''CAST(length(sequence) - length(replace(sequence, '{b}', '')) AS INT) AS n_{b.lower()}''' for b in 'ACGTN')}, round(list_sum(list_transform(string_split(quality, ''), lambda c: ascii(c))) / length(quality), 6) AS mean_quality FROM v_raw")
 def fastq_stats(spark, sf_dir):
     return rr.read_statistics(v.raw_reads(spark, sf_dir))
@@ -442,6 +480,21 @@ def mendel_errors(spark, sf_dir):
     return va.mendel_errors(v.variants(spark, sf_dir), spark.sql(_TRIOS))
 
 
+@query(f"""{_VCF}, p AS (SELECT * FROM (VALUES (2, 0, 1, 1), (3, 0, 1, 2), (5, 4, 1, 1)) t(sample, father, mother, sex)), k AS (SELECT p.sample, chrom, sex, gts[p.sample + 1] AS c, gts[father + 1] AS f, gts[mother + 1] AS m FROM s, p WHERE gts IS NOT NULL),
+d AS (SELECT sample, chrom, sex, list_contains(c, -1) OR list_contains(f, -1) OR list_contains(m, -1) AS missing, len(list_filter(c, lambda a: a > 0)) AS c, len(list_filter(f, lambda a: a > 0)) AS f, len(list_filter(m, lambda a: a > 0)) AS m FROM k),
+t AS (SELECT sample, CASE WHEN missing THEN -1 WHEN chrom IN ('Y', 'MT') THEN -2 WHEN chrom = 'X' AND sex = 1 THEN CASE WHEN c = 2 AND m = 0 THEN 9 WHEN c = 0 AND m = 2 THEN 10 ELSE 0 END
+  WHEN c = 1 THEN CASE WHEN f = 0 AND m = 0 THEN 1 WHEN f = 2 AND m = 2 THEN 2 ELSE 0 END WHEN c = 0 THEN CASE WHEN f = 2 AND m = 2 THEN 5 WHEN f = 2 THEN 4 WHEN m = 2 THEN 3 ELSE 0 END
+  ELSE CASE WHEN f = 0 AND m = 0 THEN 8 WHEN f = 0 THEN 6 WHEN m = 0 THEN 7 ELSE 0 END END AS type FROM d) SELECT sample, CAST(type AS INT) AS type, count(*) AS records FROM t GROUP BY sample, type""")
+def mendel_types(spark, sf_dir):
+    return va.mendel_types(v.variants(spark, sf_dir), spark.sql(_TRIOS))
+
+
+@query(f"{_VCF} SELECT okey, array_to_string(list_transform(range(0, (len(alts) + 1) * (len(alts) + 1)), lambda k: len(list_filter(gts, lambda g: NOT list_contains(g, -1) AND g[1] * (len(alts) + 1) + g[2] = k))), ',') AS counts FROM s WHERE gts IS NOT NULL")
+def vcf_genotype_counts(spark, sf_dir):
+    """How often every pair of alleles stands there."""
+    return va.with_statistics(v.variants(spark, sf_dir)).filter("gts IS NOT NULL").select("okey", F.array_join(F.col("genotype_counts").cast("array<string>"), ",").alias("counts"))
+
+
 _AFFECTED = [True, False, True, True, False, False]
 _CASE = str(_AFFECTED).lower()
 
@@ -703,6 +756,17 @@ def coverage_window(spark, sf_dir):
     return hours.withColumn("running", F.sum("n").over(Window.partitionBy("event_type").orderBy("h").rowsBetween(-23, 0)))
 
 
+@query(f"{_LIKELY} SELECT CAST(least(list_sort([pl0, pl1, pl2])[2], 255) AS INT) AS difference, count(*) AS sites FROM g GROUP BY 1")
+def likelihood_differences(spark, sf_dir):
+    return pl.difference_histogram(_likelihoods(spark, sf_dir))
+
+
+@query(f"""{_with(v.DUCK_READS)}, good AS (SELECT * FROM v_reads WHERE flag & 1796 = 0 AND tid >= 0 AND mapq >= 5), {_OPS}, {_PILED}
+SELECT tid, p0 AS pos, ds, count(*) AS depth FROM b WHERE op IN ('M', '=', 'X') AND ascii({_QUAL}) - 33 >= 20 GROUP BY tid, p0, ds""")
+def depth_by_file(spark, sf_dir):
+    return pl.depth_of_files(v.reads(spark, sf_dir), "ds", min_mapq=5, min_quality=20)
+
+
 # ---- reference
 
 @query(f"""{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, good AS (SELECT * FROM v_reads WHERE flag & 4 = 0 AND tid >= 0), {_OPS}, ref AS ({_CONTIG_TEXT.replace('{contigs}', 'v_contigs')}),
