@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Parts of a table that its reader wants about: enough for a task to hold a part in memory.
+#: Bytes of an Arrow batch that a task is handed.
 ARROW_BATCH_BYTES = 8 << 20
 
 
@@ -50,3 +50,8 @@ def parts(spark: SparkSession) -> int:
 def fresh(name: str) -> str:
     """A column name that no caller's table has."""
     return f"{name}_{uuid.uuid4().hex}"
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """The table with columns c0, c1 and so on: Arrow maps take no names with dots, and callers' names may hold any."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

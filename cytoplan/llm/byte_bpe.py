@@ -26,16 +26,16 @@ import base64
 import itertools
 import uuid
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._store import small_batches
+from ._store import plain, small_batches
 
 #: Pieces that a worker remembers, and the bytes of the longest of them.
 REMEMBERED, LONGEST = 1 << 18, 64
@@ -287,42 +287,40 @@ def _encoder(name: str, shared: Broadcast, pattern: str) -> Encoder:
     return _KEPT[name]
 
 
-def _with_column(batch: pa.RecordBatch, name: str, values: list[bytes]) -> pa.RecordBatch:
-    keep = [i for i, c in enumerate(batch.schema.names) if c != name]
-    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(values, pa.binary())], names=[*(batch.schema.names[i] for i in keep), name])
+def _mapped(df: DataFrame, read: str, name: str, convert: Callable[[], Callable[[pa.Array], list[bytes]]]) -> DataFrame:
+    """The table with a binary column `name` (in place of one of that name), made of the column `read` batch by batch."""
+    small_batches(df.sparkSession)
+    rows, at = plain(df), df.columns.index(read)
+    left = [i for i, c in enumerate(df.columns) if c != name]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = convert()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in left), pa.array(call(batch.column(at)), pa.binary())], names=[*(f"c{i}" for i in left), "made"])
 
-def _schema(df: DataFrame, name: str) -> T.StructType:
-    return T.StructType([*(f for f in df.schema if f.name != name), T.StructField(name, T.BinaryType())])
+    schema = T.StructType([*(rows.schema[i] for i in left), T.StructField("made", T.BinaryType())])
+    return rows.mapInArrow(run, schema).toDF(*(df.columns[i] for i in left), name)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Adds `ids` to the documents."""
-    spark: SparkSession = docs.sparkSession
-    small_batches(spark)
-    shared, name = spark.sparkContext.broadcast(ranks), uuid.uuid4().hex
+    shared, name = docs.sparkSession.sparkContext.broadcast(ranks), uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def convert() -> Callable[[pa.Array], list[bytes]]:
         encoder = _encoder(name, shared, pattern)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            yield _with_column(batch, "ids", encoder.encode_all(t.as_py() or "" for t in texts))
+        return lambda texts: encoder.encode_all(t.as_py() or "" for t in texts)
 
-    return docs.mapInArrow(run, _schema(docs, "ids"))
+    return _mapped(docs, "text", "ids", convert)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Adds `decoded`, the bytes that the ids stand for."""
-    spark: SparkSession = encoded.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(ranks)
+    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def convert() -> Callable[[pa.Array], list[bytes]]:
         tokens = [b""] * (max(shared.value.values(), default=-1) + 1)
         for token, rank in shared.value.items():
             tokens[rank] = token
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            yield _with_column(batch, "decoded", [b"".join(map(tokens.__getitem__, np.frombuffer(x.as_py() or b"", dtype="<u4").tolist())) for x in ids])
+        return lambda ids: [b"".join(map(tokens.__getitem__, np.frombuffer(x.as_py() or b"", dtype="<u4").tolist())) for x in ids]
 
-    return encoded.mapInArrow(run, _schema(encoded, "decoded"))
+    return _mapped(encoded, "ids", "decoded", convert)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import fresh, small_batches
+from ._store import fresh, plain, small_batches
 from ._text import _power_tables, chunks, mix, shingles, texts_of, word_hashes, words_of
 
 #: Words of a seed, which is also the shortest tile.
@@ -239,7 +239,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = COVE
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    out, names = docs, []
+    out, names, at = plain(docs), [], docs.columns.index("text")
+    own = out.columns
     for k in range(blocks):
         held = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
         shared = spark.sparkContext.broadcast(index_items(held["item_id"].to_pylist(), held["text"]))
@@ -247,12 +248,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = COVE
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = find_hits(batch.column(batch.schema.get_field_index("text")), shared.value, threshold)
+                found = find_hits(batch.column(at), shared.value, threshold)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW_HITS)], names=[*batch.schema.names, name])
 
         out = out.mapInArrow(run, T.StructType([*out.schema, T.StructField(name, HITS)]))
         names.append(name)
-    return out.withColumn(into, F.array_sort(F.flatten(F.array(*names)))).drop(*names)
+    return out.select(*own, F.array_sort(F.flatten(F.array(*names)))).toDF(*docs.columns, into)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:

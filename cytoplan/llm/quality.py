@@ -13,7 +13,9 @@ Defined cases
 -------------
 * Null counts as empty.  An empty text has no trigrams and is placed by its measures alone.
 * Without positive votes, and without any training label, the score is 0.5; a sample of one class gives that class.
-* Ties between neighbours go to the earlier in the sample.  Rows are independent: repeated rows score alike.
+* Very long texts are counted piece by piece; a text is split into words and lines once for the measures.
+* Ties between neighbours go to the earlier in the sample.  Rows are independent: repeated rows score alike, and a null
+  doc_id counts as "" when rows are held out.  Of several labels of one doc_id the largest counts.
 * Empty tables give empty results.  Other columns than doc_id and text are not read.
 """
 

@@ -20,7 +20,8 @@ Defined cases
 * Null counts as empty; an empty text is one empty window.  Without toxic or without ordinary documents to train and
   to calibrate with nothing can be told apart: all scores are 0.
 * Very long texts are scored a block of windows at a time.
-* Rows are independent: repeated rows score alike.  Empty tables give empty results.
+* Rows are independent: repeated rows score alike, and a null doc_id counts as "" when rows are held out.  Of several
+  labels of one doc_id the largest counts.  Empty tables give empty results.
 * `classify_toxicity` reads doc_id and text only; `drop_toxic` keeps all columns as they are, whatever their names.
 """
 
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._labels import held_out, labelled_sample
-from ._store import fresh, parts, small_batches
+from ._store import fresh, parts, plain, small_batches
 
 #: Labelled documents that are fitted.
 TOXIC_DOCS, ORDINARY_DOCS = 1024, 4096
@@ -264,6 +265,7 @@ def with_score(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    rows, at = plain(docs), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Model | None = shared.value
@@ -271,11 +273,10 @@ def with_score(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             if distance and batch.num_rows:
-                texts = batch.column(batch.schema.get_field_index("text"))
-                scores = held.scores(np.array([distance.features(normalised(t.as_py())) for t in texts], dtype=float))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
+                scores = held.scores(np.array([distance.features(normalised(t.as_py())) for t in batch.column(at)], dtype=float))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("score", T.DoubleType())])).toDF(*docs.columns, name)
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:

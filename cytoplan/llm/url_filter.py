@@ -8,7 +8,9 @@ Defined cases
 -------------
 * Null URLs and URLs without `://` have an empty host and path; the vocabulary still reads what there is.
 * A rule (host, path) fits its host and all subdomains, if the path begins with the rule's path.
-* Rows are independent; empty tables give empty results; all other columns stay out of the way.
+* A rule without anything behind its host's slash asks for a path that begins with a slash, so it doesn't fit a bare host.
+* A URL may be of any length; it is read once.  Rows are independent: repeated rows, ties and null page_ids change
+  nothing.  Empty tables give empty results.  Other columns than page_id and url are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -69,6 +69,18 @@ def test_drop_toxic(tables):
     assert len(set(ids) & set(clean)) >= 0.97 * len(clean) and sum(i in ids for i, x in want.items() if x[1]) <= 3
 
 
+def test_repeated_ids_and_long_texts(spark, tables):
+    """Labels that contradict each other, an id that stands twice, and a text of 6 MB."""
+    _, labels, _ = tables
+    rows, _ = corpus(60)
+    docs = frame(spark, [*rows, (3, "another text"), (None, rows[0][1]), (None, rows[0][1]), (900, rows[5][1] * 8000)])
+    more = labels.unionByName(spark.createDataFrame([(4, 0, 0), (4, 1, 1), (7, 0, None)], LABELS))
+    for out in (quality.classify_quality(docs, more), toxicity.classify_toxicity(docs, more)):
+        got = out.collect()
+        assert len(got) == 64 and all(0 <= r.score <= 1 for r in got)
+        assert len({r.score for r in got if r.doc_id is None}) == 1
+
+
 def test_without_labels(spark, tables):
     docs, labels, _ = tables
     none = labels.limit(0)

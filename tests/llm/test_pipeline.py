@@ -79,6 +79,21 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert sorted(stage(spark, docs, folder).columns) == sorted(docs.columns)
 
 
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Null ids and texts, repeated rows and ids, a long text, and columns named like those of the stages."""
+    from pyspark.sql import functions as F
+
+    long = " ".join(prose(400_000, 3, 9000))
+    rows = [(None, None), (None, ""), (None, "a text whose id is missing"), (1, "one two three"), (1, "one two three"), (1, "something else"), (2, "One Two Three"), (3, long), (4, long + " end")]
+    docs = frame(spark, rows).withColumns({n: F.lit(7) for n in ("n_tokens", "ids", "hits", "_key", "_lost", "_name", "score", "class_id", "a.b")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of the kind stands there at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(map(str, [None, None, 1, 2, 3]))
+    assert all(r["hits"] == r["a.b"] == r["score"] == 7 and r.lang == "en" and r.n_tokens == len(r.ids) // 4 for r in got)
+
+
 def test_empty(spark, tmp_path):
     folder = write(spark, tmp_path, [], [(1, 1, 1)], [(1, "x")])
     assert corpus_pipeline.run(spark, folder).collect() == []

@@ -44,5 +44,13 @@ def test_rules_and_vocabulary(spark):
     assert got[13][3:] == ("block", 0, 2)
 
 
+def test_long_repeated_and_nameless_pages(spark):
+    long = "https://good.info/" + "a-" * 500_000 + "casino/" + "b" * 1_000_000
+    rows = [(None, long), (None, long), (1, "http://x.org/fr/"), (1, "http://x.org/fr/"), (1, None)]
+    pages = spark.createDataFrame([(i, u, "x", 1) for i, u in rows], "page_id long, url string, host string, hits int")
+    got = sorted((str(r.page_id), r.verdict, str(r.rule), r.strict_terms) for r in url_filter(pages).collect())
+    assert got == [("1", "allow", "None", 0), ("1", "allow", "org/fr/", 0), ("1", "allow", "org/fr/", 0), ("None", "block", "None", 1), ("None", "block", "None", 1)]
+
+
 def test_empty(spark):
     assert judged(spark, []) == {}
