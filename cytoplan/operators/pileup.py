@@ -157,3 +157,40 @@ def call_genotypes(likelihoods: DataFrame, sample: str) -> DataFrame:
     """tid, pos, sample, gt (alternate alleles) and gq of the best genotype (ties: fewer), and the second best's distance."""
     order = F.array_sort(F.array(*[F.struct(F.col(f"pl{k}").alias("pl"), F.lit(k).alias("gt")) for k in range(3)]))
     return likelihoods.select("tid", "pos", sample, order[0]["gt"].alias("gt"), (order[1]["pl"] - order[0]["pl"]).alias("gq"))
+
+
+def trio_differences(likelihoods: DataFrame, sample: str, father, mother, child) -> DataFrame:  # noqa: ANN001
+    """tid, pos, and `difference`: by how much the best genotypes of a trio that a child can have from its parents are
+    less likely (phred-scaled) than the best of all; `same`: the same for father and mother of one genotype."""
+    role = {"f": father, "m": mother, "c": child}
+    sums = [F.max(F.when(F.col(sample) == who, F.col(f"pl{g}"))).alias(f"{r}{g}") for r, who in role.items() for g in range(3)]
+    rows = likelihoods.filter(F.col(sample).isin(father, mother, child)).groupBy("tid", "pos").agg(*sums).dropna()
+    given = {0: (0,), 1: (0, 1), 2: (1,)}  # alternate alleles that a parent of so many can hand on
+    fits = sorted({(f, m, a + b) for f in range(3) for m in range(3) for a in given[f] for b in given[m]})
+    together = F.least(*[F.col(f"f{f}") + F.col(f"m{m}") + F.col(f"c{c}") for f, m, c in fits])
+    return rows.select("tid", "pos", together.alias("difference"), F.least(*[F.col(f"f{g}") + F.col(f"m{g}") for g in range(3)]).alias("same"))
+
+
+def allele_counts(likelihoods: DataFrame, sample: str, theta: float = 0.001) -> DataFrame:
+    """tid, pos, samples, alleles (the likeliest number of alternate alleles) and variant (chance that there is one).
+
+    The chance of the data given so many alternate alleles is built up sample by sample; the prior is that of a neutral
+    population, theta / k for k alleles.  A site's samples are few and stand in one row.
+    """
+    one = F.struct(sample, F.array(*[F.pow(F.lit(10.0), -F.col(f"pl{g}") / 10) for g in range(3)]).alias("l"))
+    rows = likelihoods.groupBy("tid", "pos").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["l"]).alias("l"))
+    at = lambda z, j: F.when((j >= 0) & (j < F.size(z)), F.get(z, j)).otherwise(0.0)
+
+    def grow(z: Column, l: Column) -> Column:  # noqa: E741
+        return F.transform(F.sequence(F.lit(0), F.size(z) + 1), lambda j: at(z, j) * l[0] + 2 * at(z, j - 1) * l[1] + at(z, j - 2) * l[2])
+
+    start = F.array(F.lit(1.0))
+    rows = rows.withColumn("z", F.aggregate("l", start, grow)).withColumn("ways", F.aggregate("l", start, lambda z, _: grow(z, F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0)))))
+    n = 2 * F.size("l")
+    harmonic = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, k: s + 1 / k)
+    prior = lambda j: F.when(j == 0, 1 - theta * harmonic).otherwise(theta / j)
+    post = F.transform("z", lambda z, j: z / F.get("ways", j) * prior(j))
+    rows = rows.withColumn("post", post)
+    total = F.aggregate("post", F.lit(0.0), lambda s, x: s + x)
+    best = F.array_position("post", F.array_max("post")) - 1
+    return rows.select("tid", "pos", F.size("l").alias("samples"), best.cast("int").alias("alleles"), F.round(1 - F.col("post")[0] / total, 6).alias("variant"))

@@ -599,8 +599,9 @@ def mpileup_files(spark, sf_dir):
 
 
 _E = "pow(10.0, -(ascii(q) - 33) / 10.0)"
-_LIKELY = f"""{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, good AS (SELECT * FROM v_reads WHERE flag & 1796 = 0 AND tid >= 0 AND mapq >= 10), {_OPS}, {_PILED}, {_REF},
-x0 AS (SELECT b.tid, p0 AS pos, lib, {_AT_REF} AS ref, {_LETTER} AS letter, {_QUAL} AS q FROM b JOIN ref r ON r.tid = b.tid WHERE op IN ('M', '=', 'X')),
+def _likely(sample: str = "lib") -> str:
+    return f"""{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, good AS (SELECT * FROM v_reads WHERE flag & 1796 = 0 AND tid >= 0 AND mapq >= 10), {_OPS}, {_PILED}, {_REF},
+x0 AS (SELECT b.tid, p0 AS pos, {sample} AS lib, {_AT_REF} AS ref, {_LETTER} AS letter, {_QUAL} AS q FROM b JOIN ref r ON r.tid = b.tid WHERE op IN ('M', '=', 'X')),
 x AS (SELECT *, {_E} AS e, ascii(q) - 33 AS w FROM x0 WHERE ascii(q) - 33 >= 13 AND letter IN ('A', 'C', 'G', 'T') AND ref IN ('A', 'C', 'G', 'T')),
 a0 AS (SELECT tid, pos, letter, sum(w) AS w FROM x WHERE letter <> ref GROUP BY tid, pos, letter),
 a AS (SELECT tid, pos, arg_max(letter, struct_pack(w := w, o := -ascii(letter))) AS alt FROM a0 GROUP BY tid, pos),
@@ -608,9 +609,17 @@ l AS (SELECT x.tid, x.pos, lib, max(ref) AS ref, max(alt) AS alt, count(*) AS n,
 g AS (SELECT tid, pos, lib, ref, alt, n, CAST(round(-10 * (l0 - greatest(l0, l1, l2))) AS INT) AS pl0, CAST(round(-10 * (l1 - greatest(l0, l1, l2))) AS INT) AS pl1, CAST(round(-10 * (l2 - greatest(l0, l1, l2))) AS INT) AS pl2 FROM l)"""
 
 
-def _likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+_LIKELY = _likely()
+#: Every third read is of another sample.
+_THIRDS = _likely("CAST(b.read_id % 3 AS INT)")
+
+
+def _likelihoods(spark: SparkSession, sf_dir: str, thirds: bool = False) -> DataFrame:
     contigs = spark.sql(_CONTIG_TEXT, contigs=v.contigs(spark, sf_dir))
-    return pl.genotype_likelihoods(v.reads(spark, sf_dir), contigs, "lib", min_mapq=10, min_quality=13)
+    reads = v.reads(spark, sf_dir)
+    if thirds:
+        reads = reads.withColumn("lib", (F.col("read_id") % 3).cast("int"))
+    return pl.genotype_likelihoods(reads, contigs, "lib", min_mapq=10, min_quality=13)
 
 
 @query(f"{_LIKELY} SELECT * FROM g")
@@ -767,6 +776,27 @@ def depth_by_file(spark, sf_dir):
     return pl.depth_of_files(v.reads(spark, sf_dir), "ds", min_mapq=5, min_quality=20)
 
 
+_FITS = [(f, m, a + b) for f in range(3) for m in range(3) for a in ((0,), (0, 1), (1,))[f] for b in ((0,), (0, 1), (1,))[m]]
+
+
+@query(f"""{_THIRDS}, t AS (SELECT f.tid, f.pos, f.pl0 AS f0, f.pl1 AS f1, f.pl2 AS f2, m.pl0 AS m0, m.pl1 AS m1, m.pl2 AS m2, c.pl0 AS c0, c.pl1 AS c1, c.pl2 AS c2 FROM g f JOIN g m ON m.tid = f.tid AND m.pos = f.pos JOIN g c ON c.tid = f.tid AND c.pos = f.pos WHERE f.lib = 0 AND m.lib = 1 AND c.lib = 2)
+SELECT tid, pos, least({', '.join(f'f{f} + m{m} + c{c}' for f, m, c in _FITS)}) AS difference, least(f0 + m0, f1 + m1, f2 + m2) AS same FROM t""")
+def trio_differences(spark, sf_dir):
+    """The samples as father, mother and child."""
+    return pl.trio_differences(_likelihoods(spark, sf_dir, True), "lib", 0, 1, 2)
+
+
+_GROWN = "list_transform(range(0, len(z) + 2), lambda j: coalesce(z[j + 1], 0) * l[1] + 2 * CASE WHEN j >= 1 THEN coalesce(z[j], 0) ELSE 0 END * l[2] + CASE WHEN j >= 2 THEN coalesce(z[j - 1], 0) ELSE 0 END * l[3])"
+
+
+@query(f"""{_THIRDS}, a1 AS (SELECT tid, pos, list([pow(10.0, -pl0 / 10.0), pow(10.0, -pl1 / 10.0), pow(10.0, -pl2 / 10.0)]::DOUBLE[] ORDER BY lib) AS ls FROM g GROUP BY tid, pos),
+a2 AS (SELECT tid, pos, len(ls) AS m, list_reduce([[1.0]::DOUBLE[]] || ls, lambda z, l: {_GROWN}) AS z, [[1, 2, 1], [1, 4, 6, 4, 1], [1, 6, 15, 20, 15, 6, 1]][len(ls)] AS ways, [1.5, 25 / 12.0, 2.45][len(ls)] AS harmonic FROM a1),
+a3 AS (SELECT tid, pos, m, list_transform(range(len(z)), lambda j: z[j + 1] / ways[j + 1] * CASE WHEN j = 0 THEN 1 - 0.001 * harmonic ELSE 0.001 / j END) AS p FROM a2)
+SELECT tid, pos, CAST(m AS INT) AS samples, CAST(list_position(p, list_max(p)) - 1 AS INT) AS alleles, round(1 - p[1] / list_sum(p), 6) AS variant FROM a3""")
+def allele_count_posteriors(spark, sf_dir):
+    return pl.allele_counts(_likelihoods(spark, sf_dir, True), "lib")
+
+
 # ---- reference
 
 @query(f"""{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, good AS (SELECT * FROM v_reads WHERE flag & 4 = 0 AND tid >= 0), {_OPS}, ref AS ({_CONTIG_TEXT.replace('{contigs}', 'v_contigs')}),
