@@ -57,6 +57,8 @@ GAINS = (1, 2, 3, 4, 5, 6, 7)
 #: Weight of a toxic document in the calibration.
 TOXIC_WEIGHT = 2
 THRESHOLD = 0.5
+#: Words that are remembered with their stretches.
+REMEMBERED = 1 << 16
 #: Windows that are compressed at once.
 BLOCK = 1 << 14
 
@@ -107,6 +109,8 @@ def telling_stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
             found: set[bytes] = set()
             for word in set(text.split()):
                 if word not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
                     known[word] = frozenset(_stretches(word, common)) or none
                 found |= known[word]
             out.update(found)
