@@ -73,6 +73,18 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         start = end
 
 
+def cut_between(data: np.ndarray, inside: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Begin and end of pieces of a long text of about so many bytes, none of which ends inside a word."""
+    begin = 0
+    while begin < len(data):
+        end = min(begin + size, len(data))
+        while end < len(data) and inside[data[end]]:
+            gap = np.flatnonzero(~inside[data[end : end + size]])
+            end = end + int(gap[0]) if len(gap) else min(end + size, len(data))
+        yield begin, end
+        begin = end
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and how many words each text has."""
     inside = np.zeros(len(data) + 2, dtype=np.int8)

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from . import url_filter as urls
 from .byte_bpe import decode, encode, read_ranks
+from .centroids import CLUSTERS, COMPONENTS, SCALE, SEED, cluster_vectors
+from .centroids import ROUNDS as LLOYD_ROUNDS
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .lexical import TOP, ranked_search
 from .line_dedup import MIN_WORDS, line_dedup
 from .lm_scoring import score
 from .near_dedup import near_duplicates
 from .quality import classify_quality
 from .sharding import PRIME, ROUNDS, feistel_shards, round_keys
+from .simhash import simhash_components
 from .toxicity import classify_toxicity
 
 
@@ -85,6 +89,18 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -98,6 +114,9 @@ QUERIES = {
         op8_decontaminate,
         op9_quality,
         op10_toxicity,
+        op11_centroid_clusters,
+        op12_ranked_search,
+        op13_simhash,
     )
 }
 
@@ -185,9 +204,50 @@ SELECT page_id, host, path, CASE {" ".join(cases)} END AS rule,
 """
 
 
+def _lloyd_sql() -> str:
+    """Each round as two tables: the nearest centroid of every vector, and the floors of the means."""
+    n = COMPONENTS
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = {n} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {n})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || vec_id), q) - 1 AS k, q FROM kept ORDER BY k LIMIT {CLUSTERS})",
+    ]
+    for i in range(LLOYD_ROUNDS + 1):
+        apart = "CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+        parts.append(f"a{i} AS MATERIALIZED (SELECT row, vec_id, any_value(v.q) AS q, min([{apart}, c.k]) AS near FROM kept v, c{i} c GROUP BY row, vec_id)")
+        if i < LLOYD_ROUNDS:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT k, list(m ORDER BY j) AS q FROM (SELECT k, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m
+  FROM (SELECT near[2] AS k, j, sum(q[j]) AS s, count(*) AS n FROM a{i}, range(1, {n + 1}) t(j) GROUP BY 1, 2)) GROUP BY k
+  UNION ALL SELECT k, q FROM c{i} WHERE k NOT IN (SELECT near[2] FROM a{i}))""")
+    last = f"a{LLOYD_ROUNDS}"
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, CAST(near[2] AS INTEGER) AS cluster, near[1] AS distance, CAST(sum(near[1]) OVER (PARTITION BY near[2]) AS BIGINT) AS cluster_inertia,
+  CAST(sum(near[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM {last} JOIN c{LLOYD_ROUNDS} c ON c.k = near[2]
+"""
+
+
+_TERMS = f"regexp_extract_all({_NORM}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+_RANKED_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS t FROM documents),
+b AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS t FROM benchmark),
+total AS (SELECT count(*) FILTER (len(t) > 0) AS n, CAST(coalesce(sum(len(t)), 0) AS BIGINT) AS l FROM d),
+asked AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(t) AS term FROM b) GROUP BY ALL),
+held AS (SELECT row, doc_id, size, term, count(*) AS tf FROM (SELECT row, doc_id, len(t) AS size, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM held GROUP BY term), total),
+score AS (SELECT item, item_id, row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * size * n) // l)))) AS BIGINT) AS score
+  FROM held JOIN asked USING (term) JOIN weight USING (term), total GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM score WHERE score > 0) WHERE rank <= {TOP}
+"""
+
+
 ORACLE_SQL = {
     "op1_line_dedup": _LINE_SQL,
     "op2_exact_dedup": _EXACT_SQL,
     "op3_url_filter": _url_sql(),
     "op5_feistel_shards": _feistel_sql(),
+    "op11_centroid_clusters": _lloyd_sql(),
+    "op12_ranked_search": _RANKED_SQL,
 }
