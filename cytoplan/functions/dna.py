@@ -91,3 +91,21 @@ def natural_key(name: Column) -> Column:
         return F.concat(F.lpad(F.length(bare).cast("string"), 10, "0"), F.lit(":"), bare)
 
     return F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), number(r)).otherwise(r))
+
+
+def places(cigar: Column) -> Column:
+    """For each letter of a read its distance from the alignment's start on the reference, -1 where it isn't aligned."""
+    many = lambda n, f: F.when(n > 0, f).otherwise(F.array().cast("array<int>"))
+
+    def step(s: Column, x: Column) -> Column:
+        aligned = many(x["n"], F.sequence(s["at"], s["at"] + x["n"] - 1))
+        more = F.when(x["op"].isin(*"M=X"), aligned).when(x["op"].isin(*"IS"), F.array_repeat(F.lit(-1), x["n"])).otherwise(F.array().cast("array<int>"))
+        return F.struct(F.concat(s["out"], more).alias("out"), (s["at"] + F.when(x["op"].isin(*"MDN=X"), x["n"]).otherwise(0)).alias("at"))
+
+    return F.aggregate(cigar_ops(cigar), F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at")), step, lambda s: s["out"])
+
+
+def op_numbers(cigar: Column) -> Column:
+    """For each letter of a read the number of its operation among those that hold letters."""
+    held = F.filter(cigar_ops(cigar), lambda x: x["op"].isin(*"MIS=X"))
+    return F.flatten(F.transform(held, lambda x, i: F.array_repeat(i, x["n"])))

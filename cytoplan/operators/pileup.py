@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cytoplan.functions import dna
 
+from .realign import with_baq
 from .reference import pieces
 
 MASK = dna.UNMAPPED | dna.SECONDARY | dna.QC_FAIL | dna.DUPLICATE
@@ -18,13 +19,17 @@ MASK = dna.UNMAPPED | dna.SECONDARY | dna.QC_FAIL | dna.DUPLICATE
 SPAN = 256
 
 
-def pileup(reads: DataFrame, min_mapq: int = 0, mask: int = MASK, contigs: DataFrame | None = None, min_quality: int = 0, keep: tuple[str, ...] = (), span: int = SPAN) -> DataFrame:
-    """tid, span, pos, read_id, token, quality, letter (null where deleted or skipped), ref and the columns of `keep`.
+def pileup(reads: DataFrame, min_mapq: int = 0, mask: int = MASK, contigs: DataFrame | None = None, min_quality: int = 0, keep: tuple[str, ...] = (), span: int = SPAN, baq: str | None = None) -> DataFrame:
+    """tid, span, pos, read_id, token, quality, letter (null where deleted or skipped), ref, rev (on the reverse strand),
+    offset (of the letter in its read) and the columns of `keep`.
 
     Tokens are letters (lower case on the reverse strand; with contigs `.` and `,` where they are the reference's), `*`
     deleted, `<` or `>` skipped, with the marks of a read's head and tail and of insertions and deletions that follow.
-    Positions whose quality is under `min_quality` are left out.
+    Positions whose quality is under `min_quality` are left out.  With `baq` ("plain" or "extended", which asks for
+    contigs) qualities are base alignment qualities.
     """
+    if baq:
+        reads = with_baq(reads, contigs, baq == "extended")
     f = F.col("flag")
     reach = dna.reference_length(F.col("cigar"))
     good = reads.filter(dna.lacks(f, mask) & (F.col("tid") >= 0) & (F.col("mapq") >= min_mapq)).withColumn("reach", reach).filter("reach > 0")
@@ -71,7 +76,7 @@ def pileup(reads: DataFrame, min_mapq: int = 0, mask: int = MASK, contigs: DataF
     )
     head = F.when(place == 0, F.concat(F.lit("^"), F.chr(F.least(F.col("mapq"), F.lit(93)) + 33))).otherwise("")
     tail = F.when(place == F.col("reach") - 1, "$").otherwise("")
-    return rows.select("tid", "span", (F.col("pos") + place).cast("long").alias("pos"), "read_id", *keep, F.concat(head, shown, indel, tail).alias("token"), "quality", "letter", "ref")
+    return rows.select("tid", "span", (F.col("pos") + place).cast("long").alias("pos"), "read_id", *keep, F.concat(head, shown, indel, tail).alias("token"), "quality", "letter", "ref", "rev", F.when(aligned, at).alias("offset"))
 
 
 def _texts(found: Column, max_depth: int | None) -> tuple[Column, Column, Column]:
@@ -141,12 +146,6 @@ def genotype_likelihoods(reads: DataFrame, contigs: DataFrame, sample: str, min_
     return both.select("tid", "pos", sample, "ref", "alt", "n", *[F.round(-10 * (F.col(f"l{k}") - top)).cast("int").alias(f"pl{k}") for k in range(3)])
 
 
-def phred_of_logs(logs: list[Column]) -> list[Column]:
-    """Phred-scaled likelihoods (at most 255) of logarithms to base ten, against the best."""
-    top = F.greatest(*logs)
-    return [F.least(F.round(-10 * (x - top)), F.lit(255)).cast("int") for x in logs]
-
-
 def difference_histogram(likelihoods: DataFrame) -> DataFrame:
     """difference (to 255) and sites: how far the best genotype is ahead of the second."""
     second = F.array_sort(F.array("pl0", "pl1", "pl2"))[1]

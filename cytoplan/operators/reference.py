@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytoplan.functions import dna
@@ -18,6 +18,27 @@ def pieces(contigs: DataFrame, size: int = PIECE, overlap: int = OVERLAP) -> Dat
     return rows.select("tid", "piece", (F.col("piece") * size).alias("piece_start"), F.substr("sequence", (F.col("piece") * size + 1).cast("int"), F.lit(size + overlap)).alias("letters"))
 
 
+def with_letters(reads: DataFrame, contigs: DataFrame, first: Column, letters: Column, into: str, size: int = PIECE, overlap: int = OVERLAP) -> DataFrame:
+    """Adds `into`: so many letters of the reference from `first` on (fewer at the end of a contig, null without one).
+
+    Windows of up to `overlap` letters lie in one piece; of longer ones only read_id goes to all pieces that they touch,
+    and the letters come back to the read (so read_id must be unique among them).
+    """
+    rows = reads.withColumns({"_first": first.cast("long"), "_letters": letters.cast("long")})
+    cut = pieces(contigs, size, overlap)
+    short = rows.filter(F.coalesce(F.col("_letters") <= overlap, F.lit(True))).withColumn("piece", F.floor(F.col("_first") / size)).join(cut, ["tid", "piece"], "left")
+    text = F.substr("letters", (F.col("_first") - F.col("piece_start") + 1).cast("int"), F.col("_letters").cast("int"))
+    short = short.select(*reads.columns, text.alias(into))
+    long = rows.filter(F.col("_letters") > overlap)
+    touched = F.sequence(F.floor(F.col("_first") / size), F.floor((F.col("_first") + F.col("_letters") - 1) / size))
+    parts = long.select("read_id", "tid", "_first", "_letters", F.explode(touched).alias("piece")).join(cut, ["tid", "piece"])
+    begin = F.greatest(F.col("_first") - F.col("piece_start"), F.lit(0))
+    end = F.least(F.col("_first") + F.col("_letters") - F.col("piece_start"), F.lit(size))
+    part = F.struct("piece", F.substr("letters", (begin + 1).cast("int"), (end - begin).cast("int")).alias("letters"))
+    whole = parts.groupBy("read_id").agg(F.array_join(F.array_sort(F.collect_list(part))["letters"], "").alias(into))
+    return short.unionByName(long.join(whole, "read_id", "left").select(*reads.columns, into))
+
+
 def mismatch_tags(reads: DataFrame, contigs: DataFrame, size: int = PIECE, overlap: int = OVERLAP) -> DataFrame:
     """read_id, nm and md of aligned reads: edits, and the string of matches, differing letters and deletions.
 
