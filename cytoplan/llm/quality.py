@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._labels import held_out, labelled_sample
+from ._labels import SAMPLE_BYTES, held_out, labelled_sample
 from ._store import small_batches
 from ._text import texts_of
 
@@ -89,7 +89,10 @@ class Model:
             return np.full(len(counts), 0.5)
         cosine = self.latent(counts, measures) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
-        nearest = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1, None]
+        above, level = cosine > least, cosine == least
+        level &= np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)  # of equal ones the earlier
+        nearest = np.nonzero(above | level)[1].reshape(len(cosine), k)
         votes = np.maximum(np.take_along_axis(cosine, nearest, 1), 0).astype(np.float64) ** POWER * self.class_weight[nearest]
         total = votes.sum(axis=1)
         return np.where(total > 0, (votes * self.labels[nearest]).sum(axis=1) / np.maximum(total, 1e-300), 0.5)
@@ -117,11 +120,12 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     return model
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+def classify_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; the fit takes at most so many labelled documents and bytes
+    of their texts of each class."""
     spark = docs.sparkSession
     small_batches(spark)
-    sample = labelled_sample(docs, labels, "quality", {0: per_class, 1: per_class})
+    sample = labelled_sample(docs, labels, "quality", {0: per_class, 1: per_class}, most_bytes)
     model = fit(sample["text"], sample["label"].to_numpy().astype(np.int64))
     shared = spark.sparkContext.broadcast(model)
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._labels import held_out, labelled_sample
+from ._labels import SAMPLE_BYTES, held_out, labelled_sample
 from ._store import fresh, parts, plain, small_batches
 
 #: Labelled documents that are fitted.
@@ -211,11 +211,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def dictionaries(toxic_texts: list[str], ordinary_texts: list[str]) -> Model:
-    """Both dictionaries, and no weights yet."""
+def dictionaries(toxic_texts: list[str], ordinary_texts: list[str], trained_windows: int = TRAINED_WINDOWS) -> Model:
+    """Both dictionaries, and no weights yet; the ordinary one is trained on so many windows at most."""
     toxic, plain = [normalised(t) for t in toxic_texts], [normalised(t) for t in ordinary_texts]
     samples = [t[i : i + 256] for t in plain for i in range(0, max(1, len(t) - 255), 256)]
-    ordinary = trained(samples[:: -(-len(samples) // TRAINED_WINDOWS)], ORDINARY_BYTES)
+    ordinary = trained(samples[:: -(-len(samples) // trained_windows)], ORDINARY_BYTES)
     marks = trained(toxic_samples(toxic, telling_stretches(toxic, plain)), TOXIC_BYTES, k=16, d=6)
     return Model(ordinary, marks + b"\n" + ordinary, np.zeros(0), np.ones(0), np.zeros(0))
 
@@ -244,13 +244,14 @@ def split(sample: pa.Table) -> tuple[list[str], list[str], pa.Table]:
     return train[0], train[1], sample.filter(pa.array(later))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS) -> Model | None:
-    toxic, plain, rest = split(labelled_sample(docs, labels, "toxic", {0: ordinary_docs, 1: toxic_docs}))
+def fit_on(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS, most_bytes: int = SAMPLE_BYTES, trained_windows: int = TRAINED_WINDOWS) -> Model | None:
+    """The model of a bounded sample: documents and bytes of each class, and windows that the ordinary dictionary is trained on."""
+    toxic, plain, rest = split(labelled_sample(docs, labels, "toxic", {0: ordinary_docs, 1: toxic_docs}, most_bytes))
     if not toxic or not plain or len(set(rest["label"].to_pylist())) < 2:
         return None
     spark = docs.sparkSession
     small_batches(spark)
-    model = dictionaries(toxic, plain)
+    model = dictionaries(toxic, plain, trained_windows)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,14 +285,14 @@ def with_score(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+    """doc_id, held_out, score and predicted of every document; `bounds` are those of `fit_on`."""
     model = fit_on(docs, labels, **bounds)
     scored = with_score(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model, "score")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
-    """The documents that aren't predicted toxic, with their columns as they were."""
+    """The documents that aren't predicted toxic, with their columns as they were; `bounds` are those of `fit_on`."""
     name = fresh("score")
     scored = with_score(docs, fit_on(docs, labels, **bounds), name)
     return scored.filter(F.col(name) < THRESHOLD).drop(name)

@@ -155,14 +155,44 @@ def test_calibration_rows_train_nothing():
     assert toxic == ["b", "c"] and plain == ["a", "d", "g", "h"] and rest["text"].to_pylist() == ["e", "f"]
 
 
-def test_long_texts_train_within_the_bound(spark):
-    """A text of 200,000 letters is taken as long as it fits."""
-    docs = frame(spark, [(i, "x" * (200_000 if i == 3 else 10)) for i in range(20)])
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], LABELS)
-    every = labelled_sample(docs, labels, "toxic", {0: 20})
-    assert 3 not in every["doc_id"].to_pylist() or max(map(len, every["text"].to_pylist())) == 200_000
-    less = labelled_sample(docs, labels, "toxic", {0: 20}, most_bytes=55)
-    assert len(less) == 5
+def test_one_long_text_costs_no_other_row(spark):
+    """Wherever it stands in the order, a text that doesn't fit is passed over alone."""
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], LABELS)
+    plain = labelled_sample(frame(spark, [(i, "x" * 10) for i in range(60)]), labels, "toxic", {0: 60}, most_bytes=1000)
+    ids = plain["doc_id"].to_pylist()
+    assert 40 < len(ids) < 60
+    for place in (0, 2, len(ids) // 2, len(ids) - 1):
+        docs = frame(spark, [(i, "x" * (995 if i == ids[place] else 10)) for i in range(60)])
+        got = labelled_sample(docs, labels, "toxic", {0: 60}, most_bytes=1000)
+        if place == 0:  # it comes first and fits: nothing else does
+            assert got["doc_id"].to_pylist() == [ids[0]]
+        else:
+            assert got["doc_id"].to_pylist() == [i for i in ids if i != ids[place]]
+    all_fit = labelled_sample(docs, labels, "toxic", {0: 60})
+    assert all_fit["doc_id"].to_pylist() == ids and max(map(len, all_fit["text"].to_pylist())) == 995
+    assert len(labelled_sample(docs, labels, "toxic", {0: 60}, most_bytes=55)) == 5
+
+
+def test_bounds_are_handed_through(spark):
+    rows, marks = corpus(60)
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame(marks, LABELS)
+    assert {r.score for r in quality.classify_quality(docs, labels, most_bytes=0).collect()} == {0.5}
+    assert toxicity.fit_on(docs, labels, most_bytes=0) is None
+    assert toxicity.drop_toxic(docs, labels, most_bytes=0).count() == docs.count()
+
+
+def test_equal_neighbours_go_to_the_earlier(monkeypatch):
+    vectors = np.tile(np.eye(6, quality.DIMENSIONS, dtype=np.float32), (50, 1))
+    labels = np.arange(300) % 7 % 2
+    model = quality.Model(np.ones(quality.TERMS), np.zeros(1), np.zeros((1, 1)), vectors, labels, np.ones(300))
+    asked = np.abs(np.random.default_rng(0).normal(size=(200, quality.DIMENSIONS))).astype(np.float32)
+    monkeypatch.setattr(quality.Model, "latent", lambda self, counts, measures: counts)
+    got = model.score(asked, asked)
+    for row, score in zip(asked @ vectors.T, got, strict=True):
+        near = sorted(range(300), key=lambda i: (-row[i], i))[: quality.NEIGHBOURS]
+        votes = [float(row[i]) ** quality.POWER for i in near]
+        assert score == pytest.approx(sum(v for i, v in zip(near, votes, strict=True) if labels[i]) / sum(votes), abs=1e-6)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="tables aren't here")
