@@ -25,16 +25,16 @@ def with_letters(reads: DataFrame, contigs: DataFrame, first: Column, letters: C
     and the letters come back to the read (so read_id must be unique among them).
     """
     rows = reads.withColumns({"_first": first.cast("long"), "_letters": letters.cast("long")})
-    cut = pieces(contigs, size, overlap)
-    short = rows.filter(F.coalesce(F.col("_letters") <= overlap, F.lit(True))).withColumn("piece", F.floor(F.col("_first") / size)).join(cut, ["tid", "piece"], "left")
-    text = F.substr("letters", (F.col("_first") - F.col("piece_start") + 1).cast("int"), F.col("_letters").cast("int"))
+    cut = pieces(contigs, size, overlap).select("tid", F.col("piece").alias("_piece"), F.col("piece_start").alias("_piece_start"), F.col("letters").alias("_held"))
+    short = rows.filter(F.coalesce(F.col("_letters") <= overlap, F.lit(True))).withColumn("_piece", F.floor(F.col("_first") / size)).join(cut, ["tid", "_piece"], "left")
+    text = F.substr("_held", (F.col("_first") - F.col("_piece_start") + 1).cast("int"), F.col("_letters").cast("int"))
     short = short.select(*reads.columns, text.alias(into))
     long = rows.filter(F.col("_letters") > overlap)
     touched = F.sequence(F.floor(F.col("_first") / size), F.floor((F.col("_first") + F.col("_letters") - 1) / size))
-    parts = long.select("read_id", "tid", "_first", "_letters", F.explode(touched).alias("piece")).join(cut, ["tid", "piece"])
-    begin = F.greatest(F.col("_first") - F.col("piece_start"), F.lit(0))
-    end = F.least(F.col("_first") + F.col("_letters") - F.col("piece_start"), F.lit(size))
-    part = F.struct("piece", F.substr("letters", (begin + 1).cast("int"), (end - begin).cast("int")).alias("letters"))
+    parts = long.select("read_id", "tid", "_first", "_letters", F.explode(touched).alias("_piece")).join(cut, ["tid", "_piece"])
+    begin = F.greatest(F.col("_first") - F.col("_piece_start"), F.lit(0))
+    end = F.least(F.col("_first") + F.col("_letters") - F.col("_piece_start"), F.lit(size))
+    part = F.struct("_piece", F.substr("_held", (begin + 1).cast("int"), (end - begin).cast("int")).alias("letters"))
     whole = parts.groupBy("read_id").agg(F.array_join(F.array_sort(F.collect_list(part))["letters"], "").alias(into))
     return short.unionByName(long.join(whole, "read_id", "left").select(*reads.columns, into))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cytoplan.functions import dna, text
 from cytoplan.operators import alignments as al
 from cytoplan.operators import calling as ca
+from cytoplan.operators import indels as ind
 from cytoplan.operators import meth_map as mm
 from cytoplan.operators import pileup as pl
 from cytoplan.operators import raw_reads as rr
@@ -19,6 +20,7 @@ from cytoplan.operators import regions as rg
 from cytoplan.operators import reports as rp
 from cytoplan.operators import scoring as sc
 from cytoplan.operators import signal as sg
+from cytoplan.operators import target_cut as tc
 from cytoplan.operators import variants as va
 
 from . import views as v
@@ -1176,6 +1178,21 @@ def site_annotations(spark, sf_dir):
     return ca.site_annotations(reads, contigs, "lib", min_mapq=10).withColumn("vdb", F.round("vdb", 6))
 
 
+@query()
+def indel_likelihoods(spark, sf_dir):
+    """Likelihoods of insertions and deletions at every gap of the reads (tests/test_indels.py works sites out by hand)."""
+    out = ind.indel_likelihoods(v.genome_reads(spark, sf_dir), v.genome_contigs(spark, sf_dir), "lib", min_mapq=10)
+    return out.withColumn("pl", F.array_join(F.col("pl").cast("array<string>"), ","))
+
+
+@query()
+def target_cut(spark, sf_dir):
+    """Regions that are covered on purpose, with consensus letters after extended base alignment quality
+    (tests/test_target_cut.py walks from position to position)."""
+    reads, contigs = v.genome_reads(spark, sf_dir).filter("mapq >= 25"), v.genome_contigs(spark, sf_dir)
+    return tc.target_cut(ca.consensus(reads, contigs=contigs, baq="extended"), contigs, enter=-60)
+
+
 @query(f"{_LIKELY} SELECT tid, pos, lib, CAST(CASE WHEN pl0 = 0 THEN 0 WHEN pl1 = 0 THEN 1 ELSE 2 END AS INT) AS gt, CAST(list_sort([pl0, pl1, pl2])[2] AS INT) AS gq FROM g")
 def genotype_calls(spark, sf_dir):
     return pl.call_genotypes(_likelihoods(spark, sf_dir), "lib")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cytoplan.functions import dna
 
 READS = """
 SELECT (((l_orderkey * 10 + l_linenumber) * 30000 + l_partkey) * 2000 + l_suppkey) * 60 + CAST(l_quantity AS BIGINT) AS read_id,
@@ -92,6 +95,41 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", f"array({', '.join(GENOTYPES)}) AS samples", "okey")
 
 
+#: Places of a diploid genome: every so manieth differs between the two copies; and letters that are read wrongly.
+HET_EVERY, WRONG_EVERY = 17, 60
+
+
+def _letter(tid: Column, at: Column, copy: Column | None = None) -> Column:
+    """The letter of a genome without repeats, in either of its two copies."""
+    n = F.pmod(F.xxhash64(tid, at), F.lit(4))
+    if copy is not None:
+        n = (n + F.when((copy == 1) & (F.pmod(F.xxhash64(tid, at), F.lit(HET_EVERY)) == 0), 1).otherwise(0)) % 4
+    return F.substr(F.lit("ACGT"), (n + 1).cast("int"), F.lit(1))
+
+
+def genome_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of both copies of a genome that grows with the table, so that depth doesn't; an order's reads start at one
+    place, come from one copy and have the same gaps."""
+    base = reads(spark, sf_dir).select("read_id", "qname", "lib", "mapq", "cigar", "qual", F.floor(F.col("file_ord") / 240000).alias("okey"), (F.col("read_id") % 3).cast("int").alias("tid"))
+    rows = base.select("read_id", "qname", "lib", "mapq", "cigar", "qual", "tid", "okey", (F.col("okey") * 3).cast("int").alias("pos"), F.when(F.col("read_id") % 2 == 1, dna.REVERSE).otherwise(0).alias("flag"))
+    shown = F.transform(
+        dna.places(F.col("cigar")),
+        lambda p, i: F.when((p >= 0) & (F.pmod(F.xxhash64("read_id", i), F.lit(WRONG_EVERY)) > 0), _letter(F.col("tid"), (F.col("pos") + p).cast("long"), F.col("okey") % 2)).otherwise(
+            F.substr(F.lit("ACGT"), (F.pmod(F.xxhash64("okey", i), F.lit(4)) + 1).cast("int"), F.lit(1))
+        ),
+    )
+    rows = rows.withColumn("seq", F.array_join(shown, ""))
+    return rows.withColumn("qual", F.rpad(F.substr("qual", F.lit(1), F.length("seq")), F.length("seq"), F.lit("F"))).drop("okey")
+
+
+def genome_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tid, length and sequence of the genome's first copy."""
+    last = _read(spark, sf_dir, "SELECT max(l_orderkey) AS okey FROM {lineitem}", "lineitem")
+    rows = last.select((F.coalesce("okey", F.lit(0)) * 3 + 300).cast("long").alias("length"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("tid"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("length") - 1), lambda i: _letter(F.col("tid"), i)), "")
+    return rows.select("tid", "length", text.alias("sequence"))
+
+
 def raw_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, ordinal, sequence and quality of the reads that all documents are cut into."""
     whole = _read(spark, sf_dir, f"SELECT doc_id, {_SEQUENCE} AS s, {_QUALITY} AS q FROM {{documents}}", "documents")
