@@ -12,6 +12,7 @@ from cytoplan.operators import alignments as al
 from cytoplan.operators import calling as ca
 from cytoplan.operators import indels as ind
 from cytoplan.operators import meth_map as mm
+from cytoplan.operators import phasing as ph
 from cytoplan.operators import pileup as pl
 from cytoplan.operators import raw_reads as rr
 from cytoplan.operators import realign as ra
@@ -1185,6 +1186,13 @@ def indel_likelihoods(spark, sf_dir):
     return out.withColumn("pl", F.array_join(F.col("pl").cast("array<string>"), ","))
 
 
+@query()
+def phased_blocks(spark, sf_dir):
+    """Heterozygous sites with their letters on either copy (tests/test_phasing.py tries all assignments)."""
+    sites, _ = ph.phase(v.genome_reads(spark, sf_dir).filter("mapq >= 1"), least_lod=10)
+    return sites
+
+
 @query()
 def target_cut(spark, sf_dir):
     """Regions that are covered on purpose, with consensus letters after extended base alignment quality
