@@ -21,6 +21,7 @@ from cytoplan.operators import regions as rg
 from cytoplan.operators import reports as rp
 from cytoplan.operators import scoring as sc
 from cytoplan.operators import signal as sg
+from cytoplan.operators import spectrum as sp
 from cytoplan.operators import target_cut as tc
 from cytoplan.operators import variants as va
 
@@ -1227,8 +1228,8 @@ def hardy_weinberg(spark, sf_dir):
 
 @query()
 def local_alignment(spark, sf_dir):
-    """Every tenth position of a reference against each raw read."""
-    reads = v.raw_reads(spark, sf_dir).filter("length(sequence) >= 20")
+    """Every raw read against one reference (tests/test_operators.py aligns by hand)."""
+    reads = v.raw_reads(spark, sf_dir)
     return reads.select("id", sc.smith_waterman("sequence", F.lit("ACGTTGCATGCATCGACCGGTTACGATCAGCTA")).alias("a")).select("id", "a.score", "a.start1", "a.end1", "a.start2", "a.end2")
 
 
@@ -1353,13 +1354,48 @@ def depth_by_file(spark, sf_dir):
 _FITS = [(f, m, a + b) for f in range(3) for m in range(3) for a in ((0,), (0, 1), (1,))[f] for b in ((0,), (0, 1), (1,))[m]]
 
 
-@query(f"""{_THIRDS}, t AS (SELECT f.tid, f.pos, f.pl0 AS f0, f.pl1 AS f1, f.pl2 AS f2, m.pl0 AS m0, m.pl1 AS m1, m.pl2 AS m2, c.pl0 AS c0, c.pl1 AS c1, c.pl2 AS c2 FROM g f JOIN g m ON m.tid = f.tid AND m.pos = f.pos JOIN g c ON c.tid = f.tid AND c.pos = f.pos WHERE f.lib = 0 AND m.lib = 1 AND c.lib = 2)
+_TRIO = ", ".join(f"max(pl{g}) FILTER (lib = {s}) AS {r}{g}" for s, r in enumerate("fmc") for g in range(3))
+
+
+@query(f"""{_THIRDS}, t AS (SELECT tid, pos, {_TRIO} FROM g GROUP BY tid, pos HAVING count(DISTINCT lib) = 3)
 SELECT tid, pos, least({', '.join(f'f{f} + m{m} + c{c}' for f, m, c in _FITS)}) AS difference, least(f0 + m0, f1 + m1, f2 + m2) AS same FROM t""")
 def trio_differences(spark, sf_dir):
     """The samples as father, mother and child."""
     return pl.trio_differences(_likelihoods(spark, sf_dir, True), "lib", 0, 1, 2)
 
 
+_SHARES = ", ".join("avg(phi[{0}] * z[{0}] / list_dot_product(phi, z))".format(k) for k in range(1, 8))
+_SPECTRUM = f"""{_THIRDS}, w AS (SELECT tid, pos, {", ".join(f"[{', '.join(f'pow(10::DOUBLE, -coalesce(max(pl{g}) FILTER (lib = {s}), 0) / 10)' for g in range(3))}]" + f" AS l{s}" for s in range(3))} FROM g GROUP BY tid, pos),
+y AS (SELECT tid, pos, list_reduce([[1]::DOUBLE[], l0, l1, l2], lambda z, l: list_transform(range(0, len(z) + 2), lambda j: coalesce(z[j + 1], 0) * l[1] + 2 * CASE WHEN j >= 1 THEN coalesce(z[j], 0) ELSE 0 END * l[2] + CASE WHEN j >= 2 THEN coalesce(z[j - 1], 0) ELSE 0 END * l[3])) AS y FROM w),
+zs AS (SELECT tid, pos, list_transform(y, lambda v, i: v / [1, 6, 15, 20, 15, 6, 1][i]) AS z FROM y),
+f0 AS (SELECT [1 - 0.001::DOUBLE * 2.45::DOUBLE, {", ".join(f"0.001::DOUBLE / {k}" for k in range(1, 7))}] AS phi),
+{", ".join(f"f{r + 1} AS MATERIALIZED (SELECT [{_SHARES}] AS phi FROM zs, f{r})" for r in range(3))}"""
+
+
+@query(f"{_SPECTRUM} SELECT CAST(k AS INT) AS alleles, round(phi[k + 1], 6) AS share FROM f3, range(7) t(k)")
+def afs_spectrum(spark, sf_dir):
+    """Shares of sites by alternate alleles after three rounds over all sites."""
+    return sp.afs_spectrum(_likelihoods(spark, sf_dir, True), "lib", [0, 1, 2]).withColumn("share", F.round("share", 6))
+
+
+@query(f"""{_SPECTRUM}, p AS (SELECT tid, pos, z, list_transform(z, lambda x, i: x * phi[i] / list_dot_product(phi, z)) AS p, list_transform(z, lambda x, i: x * (phi[i] + phi[8 - i]) / 2) AS q FROM zs, f3)
+SELECT tid, pos, CAST(list_position(z, list_max(z)) - 1 AS INT) AS alleles, round(1 - p[1], 6) AS variant, round(1 - (q[1] + q[7]) / list_sum(q), 6) AS folded, round(list_dot_product(p, [0, 1, 2, 3, 4, 5, 6]::DOUBLE[]) / 6, 6) AS frequency,
+ len(list_filter(range(1, 8), lambda i: list_sum(p[1:i]) <= 0.025)) / 6 AS low, 1 - len(list_filter(range(1, 8), lambda i: list_sum(p[i:7]) <= 0.025)) / 6 AS high FROM p""")
+def spectrum_calls(spark, sf_dir):
+    """Every site's alternate alleles under the spectrum of all sites."""
+    out = sp.spectrum_calls(_likelihoods(spark, sf_dir, True), "lib", [0, 1, 2])
+    return out.select("tid", "pos", "alleles", *[F.round(c, 6).alias(c) for c in ("variant", "folded", "frequency")], "low", "high")
+
+
+@query()
+def afs_contrast(spark, sf_dir):
+    """Two groups of samples compared at every variant, with permutations (tests/test_spectrum.py has the sums by hand)."""
+    likely = pl.genotype_likelihoods(*_with_contigs(spark, sf_dir), "ds", min_mapq=10)
+    mixed = likely.unionByName(_likelihoods(spark, sf_dir, True).withColumn("ds", F.concat(F.lit("s"), F.col("lib").cast("string"))).drop("lib"))
+    out = sp.afs_contrast(mixed, "ds", ["s0", "s1"], ["s2", "mc", "hmc"], permutations=9)
+    return out.select("tid", "pos", *[F.round(c, 6).alias(c) for c in ("p_contrast", "equal", "lower", "higher", "p_ratio")], "as_uneven")
+
+
 _GROWN = "list_transform(range(0, len(z) + 2), lambda j: coalesce(z[j + 1], 0) * l[1] + 2 * CASE WHEN j >= 1 THEN coalesce(z[j], 0) ELSE 0 END * l[2] + CASE WHEN j >= 2 THEN coalesce(z[j - 1], 0) ELSE 0 END * l[3])"
 
 
