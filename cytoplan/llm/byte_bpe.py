@@ -35,7 +35,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._store import plain, small_batches
+from ._store import plain, small_batches, tidied
 
 #: Pieces that a worker remembers, and the bytes of the longest of them.
 REMEMBERED, LONGEST = 1 << 18, 64
@@ -299,7 +299,7 @@ def _mapped(df: DataFrame, read: str, name: str, convert: Callable[[], Callable[
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in left), pa.array(call(batch.column(at)), pa.binary())], names=[*(f"c{i}" for i in left), "made"])
 
     schema = T.StructType([*(rows.schema[i] for i in left), T.StructField("made", T.BinaryType())])
-    return rows.mapInArrow(run, schema).toDF(*(df.columns[i] for i in left), name)
+    return rows.mapInArrow(tidied(run), schema).toDF(*(df.columns[i] for i in left), name)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import fresh, plain, small_batches
+from ._store import fresh, plain, small_batches, tidied
 from ._text import _power_tables, chunks, mix, shingles, texts_of, word_hashes, words_of
 
 #: Words of a seed, which is also the shortest tile.
@@ -251,7 +251,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = COVE
                 found = find_hits(batch.column(at), shared.value, threshold)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW_HITS)], names=[*batch.schema.names, name])
 
-        out = out.mapInArrow(run, T.StructType([*out.schema, T.StructField(name, HITS)]))
+        out = out.mapInArrow(tidied(run), T.StructType([*out.schema, T.StructField(name, HITS)]))
         names.append(name)
     return out.select(*own, F.array_sort(F.flatten(F.array(*names)))).toDF(*docs.columns, into)
 

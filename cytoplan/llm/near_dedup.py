@@ -44,7 +44,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import fresh, keep, small_batches
+from ._store import fresh, keep, small_batches, tidied
 from ._text import chunks, mix, shingles, texts_of, word_hashes
 from .components import connected_components
 
@@ -91,7 +91,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(held[used], rows), pa.int64())], names=["class", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    sums = docs.select("text").mapInArrow(tidied(run), "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
     held = np.zeros(CLASSES + 1, dtype=np.int64)
     held[sums["class"].to_numpy()] = sums["n"].to_numpy()  # class -1, all rows, goes last
     return held[:-1], int(held[-1])
@@ -158,7 +158,7 @@ def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *digest, lists, none], names=["doc_id", "d1", "d2", "bands", "bare"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, bands array<long>, bare boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, d1 long, d2 long, bands array<long>, bare boolean")
 
 
 def profiles(docs: DataFrame, marks: Broadcast) -> DataFrame:
@@ -175,7 +175,7 @@ def profiles(docs: DataFrame, marks: Broadcast) -> DataFrame:
                 lists = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cuts.astype(np.int64).tobytes()), pa.py_buffer(whole.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), lists.cast(pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, shingles binary")
 
 
 def weighted_jaccard(one: bytes, two: bytes, idf: np.ndarray) -> float:
@@ -268,7 +268,7 @@ def token_rows(members: DataFrame, idf: Broadcast, similarity: float) -> DataFra
                 columns = [block.column(0).take(at), block.column(1).take(at), weights.take(at), pa.array(tokens), pa.array(np.concatenate([none, *(p for _, p, _ in found)])), pa.array(head)]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "class", "weight", "token", "part", "head"])
 
-    return members.select("node", "class", "shingles").mapInArrow(run, "node long, class long, weight double, token long, part double, head boolean")
+    return members.select("node", "class", "shingles").mapInArrow(tidied(run), "node long, class long, weight double, token long, part double, head boolean")
 
 
 def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:

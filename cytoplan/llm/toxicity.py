@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._labels import SAMPLE_BYTES, held_out, labelled_sample
-from ._store import fresh, parts, plain, small_batches
+from ._store import fresh, parts, plain, small_batches, tidied
 
 #: Labelled documents that are fitted.
 TOXIC_DOCS, ORDINARY_DOCS = 1024, 4096
@@ -261,7 +261,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, ord
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["at", "label", "x"])
 
     held = pa.table({"at": pa.array(range(len(rest)), pa.int64()), "label": rest["label"].cast(pa.int32()), "text": rest["text"]})
-    held = spark.createDataFrame(held).repartition(parts(spark), "at").mapInArrow(run, "at long, label int, x array<double>").toArrow().sort_by("at")
+    held = spark.createDataFrame(held).repartition(parts(spark), "at").mapInArrow(tidied(run), "at long, label int, x array<double>").toArrow().sort_by("at")
     return calibrate(model, np.array(held["x"].to_pylist(), dtype=float), held["label"].to_numpy())
 
 
@@ -281,7 +281,7 @@ def with_score(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
                 scores = held.scores(np.array([distance.features(normalised(t.as_py())) for t in batch.column(at)], dtype=float))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("score", T.DoubleType())])).toDF(*docs.columns, name)
+    return rows.mapInArrow(tidied(run), T.StructType([*rows.schema, T.StructField("score", T.DoubleType())])).toDF(*docs.columns, name)
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
