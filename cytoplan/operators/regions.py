@@ -94,6 +94,16 @@ def count_regions(regions: DataFrame) -> DataFrame:
     return regions.groupBy("chrom").agg(F.count(F.lit(1)).alias("regions"))
 
 
+def same_place(one: str, two: str, soft: bool = False) -> Column:
+    """Whether two mapped regions (structs of chrom, start, end and strand) are one: on one strand the same start and end,
+    on different strands start and end crossed.  With `soft` one border is enough: the start, or either of the crossed ones.
+    """
+    a, b = F.col(one), F.col(two)
+    crossed = [a["start"] == b["end"], b["start"] == a["end"]]
+    along = (a["start"] == b["start"]) if soft else (a["start"] == b["start"]) & (a["end"] == b["end"])
+    return (a["chrom"] == b["chrom"]) & F.when(a["strand"] != b["strand"], crossed[0] | crossed[1] if soft else crossed[0] & crossed[1]).otherwise(along)
+
+
 def from_gff(gff: DataFrame) -> DataFrame:
     """Regions of GFF rows, with coordinates as they are written."""
     return gff.select(F.col("sequence").alias("chrom"), "start", "end")

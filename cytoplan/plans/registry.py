@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cytoplan.functions import dna, text
 from cytoplan.operators import alignments as al
 from cytoplan.operators import calling as ca
+from cytoplan.operators import genotypes as ge
 from cytoplan.operators import indels as ind
 from cytoplan.operators import meth_map as mm
 from cytoplan.operators import phasing as ph
@@ -1364,6 +1365,43 @@ def trio_differences(spark, sf_dir):
     return pl.trio_differences(_likelihoods(spark, sf_dir, True), "lib", 0, 1, 2)
 
 
+_GENOTYPES = [(i, j) for i in range(4) for j in range(i, 4)]
+_TEN = ", ".join(f"CASE WHEN p{i} < 0 OR p{j} < 0 THEN 255 ELSE pl[CAST(greatest(p{i}, p{j}) * (greatest(p{i}, p{j}) + 1) // 2 + least(p{i}, p{j}) + 1 AS BIGINT)] END" for i, j in _GENOTYPES)
+_PLACES = ", ".join(f"coalesce(nullif(list_position(al, '{b}'), 0), list_position(al, 'X'), 0) - 1 AS p{i}" for i, b in enumerate("ACGT"))
+
+
+@query(f"""WITH d AS ({ORACLE_SQL["genotype_likelihoods_dependent"]}),
+e AS (SELECT tid, pos, lib, string_split(alleles, ',') AS al, list_transform(string_split(pl, ','), lambda x: CAST(x AS INT)) AS pl FROM d), f AS (SELECT *, {_PLACES} FROM e)
+SELECT tid, pos, lib, array_to_string([{_TEN}], ',') AS ten, array_to_string(al[1:2], ',') AS two, array_to_string(pl[1:3], ',') AS two_pl, CAST(list_sort(pl)[2] - list_sort(pl)[1] AS INT) AS apart,
+ array_to_string(list_transform(pl, lambda x: least(255, greatest(0, CAST(trunc(x * 1.25::DOUBLE + 0.499::DOUBLE) AS INT)))), ',') AS scaled FROM f""")
+def genotype_conversions(spark, sf_dir):
+    """Likelihoods of the ten pairs of letters, of the first two alleles alone, and from logarithms."""
+    reads, contigs = _with_contigs(spark, sf_dir)
+    rows = ca.dependent_likelihoods(reads, contigs, "lib", min_mapq=10).withColumn("al", F.split("alleles", ","))
+    two, two_pl = ge.fewer_alleles(F.col("al"), F.col("pl"), 2)
+    text_of = lambda c: F.array_join(c.cast("array<string>"), ",")
+    gl = F.transform("pl", lambda x: x * -0.125)
+    return rows.select("tid", "pos", "lib", text_of(ge.ten_genotypes(F.col("al"), F.col("pl"))).alias("ten"), text_of(two).alias("two"), text_of(two_pl).alias("two_pl"), ge.best_apart(F.col("pl")).alias("apart"), text_of(ge.pl_of_gl(gl)).alias("scaled"))
+
+
+_SECOND = "least(" + ", ".join(f"list_sort([{r}0, {r}1, {r}2])[2] - list_sort([{r}0, {r}1, {r}2])[1]" for r in "ab") + ")"
+
+
+@query(f"""{_THIRDS}, t AS (SELECT tid, pos, {", ".join(f"max(pl{g}) FILTER (lib = {s}) AS {r}{g}" for s, r in enumerate("ab") for g in range(3))} FROM g WHERE lib < 2 GROUP BY tid, pos HAVING count(DISTINCT lib) = 2)
+SELECT tid, pos, CAST(CASE WHEN a0 = 0 AND b0 = 0 THEN 0 ELSE least(a0 + b0, a1 + b1, a2 + b2) - least(a0, a1, a2) - least(b0, b1, b2) END AS INT) AS difference, CAST({_SECOND} AS INT) AS apart FROM t""")
+def pair_differences(spark, sf_dir):
+    """Two samples: how much less likely it is that they share a genotype."""
+    return ge.pair_differences(_likelihoods(spark, sf_dir, True), "lib", 0, 1)
+
+
+@query()
+def site_biases(spark, sf_dir):
+    """Strand, quality and end biases of every site (tests/test_genotypes.py integrates the t distribution)."""
+    reads, contigs = _with_contigs(spark, sf_dir)
+    out = ge.site_biases(ca.site_annotations(reads, contigs, "lib", min_mapq=10))
+    return out.select("tid", "pos", "mapq", *[F.round(c, 6).alias(c) for c in ("p_strand", "p_base", "p_mapq", "p_edge")])
+
+
 _SHARES = ", ".join("avg(phi[{0}] * z[{0}] / list_dot_product(phi, z))".format(k) for k in range(1, 8))
 _SPECTRUM = f"""{_THIRDS}, w AS (SELECT tid, pos, {", ".join(f"[{', '.join(f'pow(10::DOUBLE, -coalesce(max(pl{g}) FILTER (lib = {s}), 0) / 10)' for g in range(3))}]" + f" AS l{s}" for s in range(3))} FROM g GROUP BY tid, pos),
 y AS (SELECT tid, pos, list_reduce([[1]::DOUBLE[], l0, l1, l2], lambda z, l: list_transform(range(0, len(z) + 2), lambda j: coalesce(z[j + 1], 0) * l[1] + 2 * CASE WHEN j >= 1 THEN coalesce(z[j], 0) ELSE 0 END * l[2] + CASE WHEN j >= 2 THEN coalesce(z[j - 1], 0) ELSE 0 END * l[3])) AS y FROM w),
