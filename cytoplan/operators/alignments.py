@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cytoplan.functions import dna
 
-from .ordering import numbered, numbered_by_spans
+from .ordering import numbered, numbered_by_spans, ranked
 from .regions import chunk_counts, contained, overlapping
 
 
@@ -205,19 +205,15 @@ def sort_by_name(reads: DataFrame) -> DataFrame:
     return reads.orderBy(dna.natural_key(F.col("qname")), F.col("flag").bitwiseAND(dna.FIRST | dna.SECOND), "read_id")
 
 
-def coordinate_ranks(reads: DataFrame, span: int = 1 << 20) -> DataFrame:
-    """Adds `rank`: each read's place in coordinate order, from 0, put together from counts of spans of the genome."""
-    contig = F.when(F.col("tid") < 0, F.lit((1 << 31) - 1)).otherwise(F.col("tid")).cast("long")
-    keyed = reads.withColumn("_at", F.shiftleft(contig, 32) + F.col("pos"))
-    return numbered(keyed, [], "_at", "rank", span, ("read_id",)).drop("_at")
+def coordinate_ranks(reads: DataFrame) -> DataFrame:
+    """Adds `rank`: each read's place in coordinate order, from 0; reads without a contig stand last, by read_id."""
+    contig = F.when(F.col("tid") < 0, F.lit((1 << 31) - 1)).otherwise(F.col("tid"))
+    return ranked(reads, [contig, F.col("pos"), F.col("read_id")], "rank")
 
 
-def name_ranks(reads: DataFrame, digits: int = 13) -> DataFrame:
-    """Adds `rank`: each read's place in the natural order of names; spans are a name's first run and the head of its second."""
-    keyed = reads.withColumn("_name", dna.natural_key(F.col("qname")))
-    part = lambda i, n: F.coalesce(F.substring(F.get("_name", F.lit(i)), 1, n), F.lit(""))
-    order = ["_name", F.col("flag").bitwiseAND(dna.FIRST | dna.SECOND), "read_id"]
-    return numbered_by_spans(keyed, [], [part(0, 64), part(1, digits)], order, "rank").drop("_name")
+def name_ranks(reads: DataFrame) -> DataFrame:
+    """Adds `rank`: each read's place in the natural order of names, then first and second of a pair, then read_id."""
+    return ranked(reads, [dna.natural_key(F.col("qname")), F.col("flag").bitwiseAND(dna.FIRST | dna.SECOND), F.col("read_id")], "rank")
 
 
 def drop_pair_duplicates(reads: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def _places(pieces: DataFrame, k: int, size: int) -> DataFrame:
 
 
 def map_exact(reads: DataFrame, contigs: DataFrame, k: int = 16, longest: int = 1 << 12) -> DataFrame:
-    """read id, chrom, pos, strand of every exact occurrence of reads of k to `longest` letters.
+    """read id, chrom, pos, strand of every exact occurrence of reads of k letters or more.
 
     The first k letters are looked up, and only places where they stand fetch the piece of the contig and compare the
     rest.  Lookups have a second key, so that Spark can split very common letters.
@@ -82,47 +82,62 @@ def map_exact(reads: DataFrame, contigs: DataFrame, k: int = 16, longest: int =
     return map_mismatches(reads, contigs, 0, k, longest).select("id", "chrom", "pos", "strand")
 
 
+def _differing(one: str, two: str) -> Column:
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    return F.size(F.filter(F.arrays_zip(letters(one).alias("a"), letters(two).alias("b")), lambda z: z["a"] != z["b"]))
+
+
 def map_mismatches(reads: DataFrame, contigs: DataFrame, errors: int, k: int = 16, longest: int = 1 << 12, bisulfite: bool = False) -> DataFrame:
     """id, chrom, pos, strand and mismatches of every place where a read fits with at most `errors` differing letters.
 
     A read is cut into errors + 1 stretches; where it fits, one of them stands without a difference, so its first k
     letters are a seed there (reads with a stretch shorter than k aren't mapped).  With bisulfite, letters are compared
-    after C became T on both sides (G became A on the reverse strand of the read, which is the same there).
+    after C became T on both sides (G became A on the reverse strand of the read, which is the same there).  Reads of up
+    to `longest` letters are compared in one piece of the contig, longer ones in all pieces that they touch.
     """
     turn = (lambda c: F.translate(c, "C", "T")) if bisulfite else (lambda c: c)
     back = (lambda c: F.translate(c, "G", "A")) if bisulfite else (lambda c: c)
-    n = F.length("sequence")
-    step = F.floor(n / (errors + 1)).cast("int")
-    fitting = reads.filter((step >= k) & (n <= longest))
+    step = F.floor(F.length("sequence") / (errors + 1)).cast("int")
+    size = 1 << 12
     found = None
     for strand, change in ((0, turn), (1, back)):
         # the reverse strand is looked for by the reverse complement
         text = change(F.col("sequence") if strand == 0 else dna.reverse_complement(F.col("sequence")))
-        own = fitting.select("id", text.alias("sequence"), step.alias("step"))
+        own = reads.filter(step >= k).select("id", text.alias("sequence"), step.alias("step"))
         seeds = own.select("id", "sequence", F.explode(F.transform(F.sequence(F.lit(0), F.lit(errors)), lambda i: i * F.col("step"))).alias("skip"))
         seeds = seeds.withColumn("kmer", F.substr("sequence", F.col("skip") + 1, F.lit(k)))
-        pieces = contig_windows(contigs.withColumn("sequence", change(F.col("sequence"))), longest)
+        pieces = contig_windows(contigs.withColumn("sequence", change(F.col("sequence"))), max(longest, k), size)
         common = F.pmod(F.xxhash64("kmer"), F.lit(1024)).alias("_k")
-        near = seeds.select("*", common).join(_places(pieces, k, 1 << 12).select("*", common), ["kmer", "_k"])
+        near = seeds.select("*", common).join(_places(pieces, k, size).select("*", common), ["kmer", "_k"])
         near = near.select("id", "sequence", "chrom", "begin", (F.col("at") - F.col("skip")).alias("pos")).distinct()
         held = pieces.select("chrom", F.col("start").alias("begin"), "piece", "first", "letters")
-        near = near.withColumn("piece", F.floor((F.col("pos") - F.col("begin")) / (1 << 12))).join(held, ["chrom", "begin", "piece"])
+        first = F.floor((F.col("pos") - F.col("begin")) / size)
+        short = near.filter(F.length("sequence") <= longest).withColumn("piece", first).join(held, ["chrom", "begin", "piece"])
         there = F.substr("letters", (F.col("pos") - F.col("first") + 1).cast("int"), F.length("sequence"))
-        near = near.withColumn("there", there).filter(F.length("there") == F.length("sequence"))
-        if errors:
-            letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-            differ = F.size(F.filter(F.arrays_zip(letters("sequence").alias("a"), letters("there").alias("b")), lambda z: z["a"] != z["b"]))
-        else:
-            differ = F.when(F.col("sequence") == F.col("there"), 0).otherwise(1)
-        part = near.select("id", "chrom", "pos", F.lit(strand).alias("strand"), differ.alias("mismatches")).filter(F.col("mismatches") <= errors)
+        short = short.withColumn("there", there).filter(F.length("there") == F.length("sequence"))
+        differ = _differing("sequence", "there") if errors else F.when(F.col("sequence") == F.col("there"), 0).otherwise(1)
+        part = short.select("id", "chrom", "pos", differ.alias("mismatches"))
+        # of a long read every piece compares its own letters
+        touched = F.explode(F.sequence(first, F.floor((F.col("pos") - F.col("begin") + F.length("sequence") - 1) / size)))
+        long = near.filter(F.length("sequence") > longest).withColumn("piece", touched).join(held, ["chrom", "begin", "piece"])
+        a, b = F.greatest(F.col("pos"), F.col("first")), F.least(F.col("pos") + F.length("sequence"), F.col("first") + size)
+        long = long.withColumns({"there": F.substr("letters", (a - F.col("first") + 1).cast("int"), (b - a).cast("int")), "own": F.substr("sequence", (a - F.col("pos") + 1).cast("int"), (b - a).cast("int"))})
+        seen = long.select("id", F.xxhash64("sequence").alias("text"), "chrom", "begin", "pos", F.length("sequence").alias("n"), F.length("there").alias("seen"), _differing("own", "there").alias("differ"))
+        whole = seen.groupBy("id", "text", "chrom", "begin", "pos", "n").agg(F.sum("seen").alias("seen"), F.sum("differ").cast("int").alias("mismatches")).filter(F.col("seen") == F.col("n"))
+        part = part.unionByName(whole.select("id", "chrom", "pos", "mismatches"))
+        part = part.filter(F.col("mismatches") <= errors).select("id", "chrom", "pos", F.lit(strand).alias("strand"), "mismatches")
         found = part if found is None else found.unionByName(part)
     return found
 
 
+# Fixed value: the score of a mapping, whatever its letters.
+MAPPING_SCORE = 254
+
+
 def hit_tags(hits: DataFrame) -> DataFrame:
-    """Adds the optional fields of a mapping: NH (places of the read), NM (differing letters) and AS (letters that agree less those that differ)."""
+    """Adds the optional fields of a mapping: `as` (its score, the same for all), `nh` (places of the read) and `nm` (differing letters)."""
     places = hits.groupBy("id").agg(F.count(F.lit(1)).alias("nh"))
-    return hits.join(places, "id").withColumn("nm", F.col("mismatches"))
+    return hits.join(places, "id").withColumns({"as": F.lit(MAPPING_SCORE), "nm": F.col("mismatches")})
 
 
 def candidate_locations(reads: DataFrame, contigs: DataFrame, k: int = 16, step: int = 8, gap: int = 50) -> DataFrame:

@@ -135,8 +135,10 @@ def merge_close(rows: DataFrame, by: list[str], start: str, end: str, gap: int,
     seen = F.greatest(F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_far")  # nulls are passed over
     rows = rows.join(ends, [*by, "_span"]).withColumn("_new", F.when(seen.isNull() | (F.col("_s") - seen > gap), 1).otherwise(0))
     rows = rows.withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = rows.groupBy(*by, "_span", "_k").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.count(F.lit(1)).alias("members"), F.max("_new").alias("_new"))
-    # what begins a span without being new belongs to the island before it
-    whole = Window.partitionBy(*by).orderBy("_span", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("_island", F.sum("_new").over(whole))
+    parts = rows.groupBy(*by, "_span", "_k").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.count(F.lit(1)).alias("members"))
+    # islands are numbered through: those that begin in spans before, and those of the span; what begins a span without
+    # being new has the number of the last island before it
+    begun = parts.groupBy(*by, "_span").agg(F.max("_k").alias("_n"))
+    begun = begun.select(*by, "_span", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    parts = parts.join(begun, [*by, "_span"]).withColumn("_island", F.col("_before") + F.col("_k"))
     return parts.groupBy(*by, "_island").agg(F.min("_s").alias(start), F.max("_e").alias(end), F.sum("members").alias("members")).drop("_island")

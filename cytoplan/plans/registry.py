@@ -670,475 +670,8 @@ def _log_tail(k: str) -> str:
     return f"({first} + ln(list_sum(list_transform(range({k}, n + 1), lambda j: exp({_TERM.format(j='j')} - {first})))))"
 
 
-_HALF = "SELECT qname FROM v_reads WHERE lib = 0"
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT DISTINCT qname FROM v_reads")
-def set_unique(spark, sf_dir):
-    return v.reads(spark, sf_dir).select("qname").distinct()
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT read_id, qname FROM v_reads WHERE lib <> 0 AND qname IN ({_HALF})")
-def set_intersect(spark, sf_dir):
-    reads = v.reads(spark, sf_dir).select("read_id", "qname", "lib")
-    return rg.intersect_keep(reads.filter("lib <> 0"), reads.filter("lib = 0"), ["qname"]).select("read_id", "qname")
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT read_id, qname FROM v_reads WHERE lib <> 0 AND qname NOT IN ({_HALF})")
-def set_complement(spark, sf_dir):
-    reads = v.reads(spark, sf_dir).select("read_id", "qname", "lib")
-    return rg.complement(reads.filter("lib <> 0"), reads.filter("lib = 0"), ["qname"]).select("read_id", "qname")
-
-
-# ---- alignments
-
-_CHAIN = "(flag & 1 = 0 OR flag & 2 > 0) AND flag & 256 = 0 AND nm BETWEEN 0 AND 4 AND mapq >= 10 AND length(seq) >= 28"
-
-
-@query(f"{_with(v.DUCK_READS)}, bad AS (SELECT DISTINCT qname FROM v_reads WHERE NOT ({_CHAIN}) AND flag & 1 > 0) SELECT read_id FROM v_reads WHERE {_CHAIN} AND qname NOT IN (SELECT qname FROM bad)")
-def bam_filter_chain(spark, sf_dir):
-    return al.filter_alignments(v.reads(spark, sf_dir), proper_pairs=True, unique=True, errors=(0, 4), quality=(10, -1), length=(28, -1)).select("read_id")
-
-
-@query(f"{_with(v.DUCK_READS, v.DUCK_REGIONS)}, bad AS (SELECT DISTINCT qname FROM v_reads WHERE mapq < 10), inside AS (SELECT * FROM v_reads r WHERE EXISTS (SELECT 1 FROM v_regions g WHERE g.chrom = r.tid AND g.start <= r.pos AND g.\"end\" >= r.pos + length(r.seq))), out AS (SELECT DISTINCT qname FROM v_reads WHERE read_id NOT IN (SELECT read_id FROM inside)) SELECT read_id FROM inside WHERE mapq >= 10 AND qname NOT IN (SELECT qname FROM bad) AND qname NOT IN (SELECT qname FROM out)")
-def mate_purge_anti(spark, sf_dir):
-    return al.filter_alignments(v.reads(spark, sf_dir), quality=(10, -1), regions=v.regions(spark, sf_dir)).select("read_id")
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT read_id FROM v_reads WHERE flag & 4 > 0")
-def bam_filter_unmapped(spark, sf_dir):
-    return al.filter_alignments(v.reads(spark, sf_dir), unmapped=True).select("read_id")
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT read_id FROM v_reads WHERE mapq >= 15 AND flag & 3 = 3 AND flag & 1024 = 0 AND lib IN (0, 2)")
-def samtools_view(spark, sf_dir):
-    return al.view(v.reads(spark, sf_dir), min_mapq=15, need=3, forbid=1024, libraries=[0, 2]).select("read_id")
-
-
-@query(f"""{_with(v.DUCK_READS)} SELECT flag & 512 > 0 AS qc_fail, count(*) AS total, count(*) FILTER (flag & 1024 > 0) AS duplicates, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 1 > 0) AS paired,
-count(*) FILTER (flag & 65 = 65) AS read1, count(*) FILTER (flag & 129 = 129) AS read2, count(*) FILTER (flag & 3 = 3 AND flag & 4 = 0) AS properly_paired, count(*) FILTER (flag & 1 > 0 AND flag & 12 = 0) AS both_mapped,
-count(*) FILTER (flag & 1 > 0 AND flag & 12 = 8) AS singletons, count(*) FILTER (flag & 1 > 0 AND flag & 12 = 0 AND tid <> mtid) AS mate_elsewhere, count(*) FILTER (flag & 1 > 0 AND flag & 12 = 0 AND tid <> mtid AND mapq >= 5) AS mate_elsewhere_q5 FROM v_reads GROUP BY 1""")
-def flagstat(spark, sf_dir):
-    return al.flag_statistics(v.reads(spark, sf_dir))
-
-
-@query(f"{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, k AS (SELECT tid, length FROM v_contigs UNION ALL SELECT -1, 0) SELECT k.tid, k.length, count(read_id) FILTER (flag & 4 = 0) AS mapped, count(read_id) FILTER (flag & 4 > 0) AS unmapped FROM k LEFT JOIN v_reads r ON r.tid = k.tid GROUP BY k.tid, k.length")
-def idxstats(spark, sf_dir):
-    return al.index_statistics(v.reads(spark, sf_dir), v.contigs(spark, sf_dir))
-
-
-_LETTERS = ", ".join(f"CAST(sum(length(seq) - length(replace(seq, '{b}', ''))) AS BIGINT) AS n_{b.lower()}" for b in "ACGTN")
-
-
-@query(f"""{_with(v.DUCK_READS)}, i AS (SELECT read_id, regexp_extract_all(cigar, '(\\d+)[ID]', 1) AS x FROM v_reads), t AS (SELECT sum(len(x)) AS indels, sum(list_sum(list_transform(x, lambda y: CAST(y AS INT)))) AS bases FROM i)
-SELECT count(*) AS reads, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 4 > 0) AS unmapped, count(*) FILTER (flag & 256 = 0) AS unique_reads, count(*) FILTER (flag & 16 > 0) AS reverse_reads, min(isize) AS min_isize, max(isize) AS max_isize, CAST(sum(isize) AS BIGINT) AS sum_isize,
-min(mapq) AS min_mapq, max(mapq) AS max_mapq, CAST(sum(mapq) AS BIGINT) AS sum_mapq, CAST(min(length(seq)) AS INT) AS min_length, CAST(max(length(seq)) AS INT) AS max_length, (SELECT CAST(indels AS BIGINT) FROM t) AS indels, (SELECT CAST(bases AS BIGINT) FROM t) AS indel_bases, {_LETTERS}, count(*) FILTER (flag & 1 > 0) = 0 AS single_end FROM v_reads""")
-def bam_stats_global(spark, sf_dir):
-    return al.summary(v.reads(spark, sf_dir))
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT least(nm, 5) AS errors, count(*) AS reads FROM v_reads GROUP BY 1")
-def nm_histogram(spark, sf_dir):
-    return al.histogram(v.reads(spark, sf_dir), F.col("nm"), "errors", 5)
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT mapq AS quality, count(*) AS reads FROM v_reads GROUP BY 1")
-def quality_histogram(spark, sf_dir):
-    return al.histogram(v.reads(spark, sf_dir), F.col("mapq"), "quality")
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT CAST((length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) * 100 // length(seq) AS INT) AS gc, count(*) AS reads FROM v_reads GROUP BY 1")
-def gc_histogram(spark, sf_dir):
-    return al.histogram(v.reads(spark, sf_dir), dna.gc_percent(F.col("seq")), "gc")
-
-
-_DEPTH = f"""{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, good AS (SELECT * FROM v_reads WHERE flag & 1796 = 0 AND tid >= 0), {_OPS}, d AS (SELECT tid, p AS pos, count(*) AS depth FROM (SELECT tid, unnest(range(CAST(pos + ref_at AS BIGINT), CAST(pos + ref_at + size AS BIGINT))) AS p FROM placed WHERE op IN ('M', '=', 'X')) GROUP BY tid, p)"""
-
-
-@query(f"{_DEPTH} SELECT tid, pos, depth FROM d")
-def depth_per_base(spark, sf_dir):
-    return al.depth(v.reads(spark, sf_dir), span=256)
-
-
-@query(f"""{_DEPTH}, t AS (SELECT CAST(sum(length) AS BIGINT) AS total FROM v_contigs), h AS (SELECT least(depth, 99) AS depth, count(*) AS positions FROM d GROUP BY 1 UNION ALL SELECT 0, total - (SELECT count(*) FROM d) FROM t)
-SELECT depth, positions, round(CAST(sum(positions) OVER (ORDER BY depth DESC) AS BIGINT) / (SELECT total FROM t), 9) AS fraction FROM h""")
-def coverage_histogram(spark, sf_dir):
-    return al.coverage_histogram(al.depth(v.reads(spark, sf_dir)), v.contigs(spark, sf_dir))
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT read_id, row_number() OVER (ORDER BY CASE WHEN tid < 0 THEN 1 ELSE 0 END, tid, pos, read_id) - 1 AS rank FROM v_reads")
-def coordinate_sort(spark, sf_dir):
-    """Every read's place in the sorted file."""
-    return al.coordinate_ranks(v.reads(spark, sf_dir)).select("read_id", "rank")
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT read_id, row_number() OVER (ORDER BY CAST(substr(qname, 2) AS BIGINT), flag & 192, read_id) - 1 AS rank FROM v_reads")
-def name_sort(spark, sf_dir):
-    """Every read's place in the file sorted by name."""
-    return al.name_ranks(v.reads(spark, sf_dir)).select("read_id", "rank")
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT read_id, tid, pos FROM v_reads ORDER BY CASE WHEN tid < 0 THEN 1 ELSE 0 END, tid, pos, read_id LIMIT 500")
-def coordinate_sort_topk(spark, sf_dir):
-    return al.sort_by_coordinate(v.reads(spark, sf_dir)).select("read_id", "tid", "pos").limit(500)
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT read_id, qname FROM v_reads ORDER BY CAST(substr(qname, 2) AS BIGINT), flag & 192, read_id LIMIT 500")
-def name_sort_topk(spark, sf_dir):
-    return al.sort_by_name(v.reads(spark, sf_dir)).select("read_id", "qname").limit(500)
-
-
-@query(f"{_with(v.DUCK_READS)}, h AS (SELECT *, row_number() OVER (PARTITION BY lib, tid, pos, isize ORDER BY sumq DESC, read_id) AS rn FROM v_reads WHERE flag & 1 > 0 AND flag & 12 = 0 AND mtid = tid AND isize > 0) SELECT read_id FROM v_reads WHERE qname NOT IN (SELECT qname FROM h WHERE rn > 1)")
-def rmdup_pe(spark, sf_dir):
-    return al.drop_pair_duplicates(v.reads(spark, sf_dir)).select("read_id")
-
-
-@query(f"{_with(v.DUCK_READS)}, good AS (SELECT * FROM v_reads), {_OPS}, k AS (SELECT r.read_id, row_number() OVER (PARTITION BY lib, tid, flag & 16, CASE WHEN flag & 16 > 0 THEN pos + reach ELSE pos END ORDER BY sumq DESC, read_id) AS rn FROM v_reads r JOIN span USING (read_id) WHERE flag & 4 = 0) SELECT read_id FROM k WHERE rn = 1 UNION ALL SELECT read_id FROM v_reads WHERE flag & 4 > 0")
-def rmdup_se(spark, sf_dir):
-    return al.drop_single_duplicates(v.reads(spark, sf_dir)).select("read_id")
-
-
-@query(f"""{_with(v.DUCK_READS)}, good AS (SELECT * FROM v_reads), {_OPS}, f AS (SELECT r.*, CAST(CASE WHEN flag & 16 > 0 THEN pos + reach ELSE pos END AS INT) AS five FROM v_reads r JOIN span USING (read_id)),
-p AS (SELECT qname, max(CASE WHEN flag & 64 > 0 THEN tid END) AS t1, max(CASE WHEN flag & 64 > 0 THEN pos END) AS p1, max(CASE WHEN flag & 64 > 0 THEN five END) AS f1, max(CASE WHEN flag & 128 > 0 THEN tid END) AS t2, max(CASE WHEN flag & 128 > 0 THEN pos END) AS p2, max(CASE WHEN flag & 128 > 0 THEN five END) AS f2 FROM f GROUP BY qname),
-j AS (SELECT read_id, qname, tid, five, CASE WHEN flag & 64 > 0 THEN t2 ELSE t1 END AS mate_tid, CASE WHEN flag & 64 > 0 THEN p2 ELSE p1 END AS mate_pos, CASE WHEN flag & 64 > 0 THEN f2 ELSE f1 END AS mate_five FROM f JOIN p USING (qname))
-SELECT read_id, qname, mate_tid, mate_pos, CASE WHEN tid = mate_tid THEN mate_five - five ELSE 0 END AS insert_size FROM j WHERE mate_tid IS NOT NULL""")
-def fixmate_pairs(spark, sf_dir):
-    return al.fix_mates(v.reads(spark, sf_dir))
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT read_id, CASE WHEN ds = 'mc' THEN 0 ELSE 1 END AS rg FROM v_reads")
-def merge_union(spark, sf_dir):
-    reads = v.reads(spark, sf_dir)
-    return al.merge_sorted([reads.filter("ds = 'mc'"), reads.filter("ds = 'hmc'")]).select("read_id", "rg")
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT read_id, qname || CASE WHEN flag & 64 > 0 THEN '/1' ELSE '/2' END AS id, CASE WHEN flag & 16 > 0 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS sequence, CASE WHEN flag & 16 > 0 THEN reverse(qual) ELSE qual END AS quality FROM v_reads")
-def bam2fq(spark, sf_dir):
-    return al.to_fastq(v.reads(spark, sf_dir))
-
-
-@query(f"{_with(v.DUCK_READS, v.DUCK_REGIONS)}, good AS (SELECT * FROM v_reads WHERE mapq >= 5 AND flag & 512 = 0), {_OPS} SELECT r.read_id FROM good r JOIN span USING (read_id) WHERE EXISTS (SELECT 1 FROM v_regions g WHERE g.chrom = r.tid AND g.\"end\" > r.pos AND g.start < r.pos + reach)")
-def view_regions(spark, sf_dir):
-    return al.view_regions(v.reads(spark, sf_dir), v.regions(spark, sf_dir), min_mapq=5, forbid=512).select("read_id")
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT CAST(CASE WHEN flag & 1 = 0 THEN 0 WHEN flag & 64 > 0 THEN 1 ELSE 2 END AS INT) AS mate, flag & 16 > 0 AS reverse, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 4 > 0) AS unmapped, count(*) FILTER (flag & 256 = 0) AS unique_reads FROM v_reads GROUP BY 1, 2")
-def mate_statistics(spark, sf_dir):
-    return al.mate_statistics(v.reads(spark, sf_dir))
-
-
-@query(f"{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, s AS (SELECT CASE WHEN flag & 4 = 0 AND tid >= 0 THEN tid ELSE -1 END AS tid, CAST(sum(length(seq)) AS BIGINT) AS letters FROM v_reads GROUP BY 1), k AS (SELECT tid, length FROM v_contigs UNION ALL SELECT -1, NULL) SELECT k.tid, coalesce(letters, 0) AS letters, round(coalesce(letters, 0) / length, 6) AS depth FROM k LEFT JOIN s USING (tid)")
-def mean_depth(spark, sf_dir):
-    return al.mean_depth(v.reads(spark, sf_dir), v.contigs(spark, sf_dir))
-
-
-@query(f"{_with(v.DUCK_READS)}, o AS (SELECT ds, list(CAST(length(seq) AS DOUBLE) ORDER BY file_ord) AS x FROM v_reads GROUP BY ds) SELECT ds, round(list_reduce([x[1]] || x, lambda m, y: (m + y) / 2), 6) AS mean FROM o")
-def running_mean_length(spark, sf_dir):
-    return al.running_mean(v.reads(spark, sf_dir), F.length("seq"), "ds").select("ds", F.round("mean", 6).alias("mean"))
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT qname, read_id FROM (SELECT *, row_number() OVER (PARTITION BY qname ORDER BY file_ord, read_id) AS rn FROM v_reads) WHERE rn = 1")
-def set_unique_first(spark, sf_dir):
-    """The first read of every name in file order."""
-    rows = v.reads(spark, sf_dir).select("qname", "read_id", F.struct("file_ord", "read_id").alias("at"))
-    return rg.unique_first(rows, ["qname"], "at").select("qname", "read_id")
-
-
-@query(f"{_with(v.DUCK_READS)} SELECT read_id, qname FROM v_reads WHERE lib = 0 AND qname IN (SELECT qname FROM v_reads WHERE lib <> 0)")
-def set_intersect_smaller(spark, sf_dir):
-    reads = v.reads(spark, sf_dir).select("read_id", "qname", "lib")
-    return rg.intersect_smaller(reads.filter("lib <> 0"), reads.filter("lib = 0"), ["qname"]).select("read_id", "qname")
-
-
-# ---- raw reads
-
-
-@query(f"{_with(v.DUCK_RAW)} SELECT id, CAST(len(list_filter(string_split(quality, ''), lambda c: NOT ascii(c) BETWEEN 35 AND 80)) AS INT) AS outside FROM v_raw")
-def fastq_quality_range(spark, sf_dir):
-    return rr.quality_range(v.raw_reads(spark, sf_dir), 35, 80)
-
-
-@query(f"{_with(v.DUCK_RAW)} SELECT id, CAST(length(sequence) AS INT) AS length, {', '.join(f'''CAST(length(sequence) - length(replace(sequence, '{b}', '')) AS INT) AS n_{b.lower()}''' for b in 'ACGTN')}, round(list_sum(list_transform(string_split(quality, ''), lambda c: ascii(c))) / length(quality), 6) AS mean_quality FROM v_raw")
-def fastq_stats(spark, sf_dir):
-    return rr.read_statistics(v.raw_reads(spark, sf_dir))
-
-
-@query(f"{_with(v.DUCK_RAW)} SELECT id, coalesce(length(sequence) BETWEEN 40 AND 80 AND list_sum(list_transform(string_split(quality, ''), lambda c: ascii(c))) / length(quality) BETWEEN 50 AND 65 AND length(sequence) - length(replace(sequence, 'N', '')) < 4, false) AS passed FROM v_raw")
-def fastq_filter(spark, sf_dir):
-    return rr.filter_reads(v.raw_reads(spark, sf_dir), (40, 80), (50, 65), 4).select("id", "passed")
-
-
-@query(f"{_with(v.DUCK_RAW)} SELECT id, substr(sequence, 4, greatest(length(sequence) - 8, 0)) AS sequence, substr(quality, 4, greatest(length(sequence) - 8, 0)) AS quality FROM v_raw")
-def fastq_trim(spark, sf_dir):
-    return rr.trim(v.raw_reads(spark, sf_dir), 3, 5).select("id", "sequence", "quality")
-
-
-@query(f"{_with(v.DUCK_RAW)} SELECT id, reverse(translate(sequence, 'ACGT', 'TGCA')) AS rc, regexp_replace(translate(sequence, 'ACGT', '0123'), '[^0-3]', '4', 'g') AS code, replace(sequence, 'C', 'T') AS bs FROM v_raw")
-def sequence_functions(spark, sf_dir):
-    s = F.col("sequence")
-    return v.raw_reads(spark, sf_dir).select("id", dna.reverse_complement(s).alias("rc"), dna.encode_bases(s).alias("code"), dna.bisulfite(s, F.lit(0)).alias("bs"))
-
-
-@query(f"{_with(v.DUCK_RAW)}, k AS (SELECT unnest(list_transform(range(1, length(sequence) - 5), lambda i: substr(sequence, i, 7))) AS kmer FROM v_raw WHERE length(sequence) >= 7) SELECT kmer, count(*) AS n FROM k GROUP BY kmer")
-def kmer_counts(spark, sf_dir):
-    return rr.kmers(v.raw_reads(spark, sf_dir), "id", "sequence", 7).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"{_with(v.DUCK_RAW)} SELECT id, translate(sequence, 'C', 'T') AS sequence, CAST(length(sequence) - length(replace(sequence, 'C', '')) AS INT) AS converted, CAST(length(sequence) - length(replace(replace(sequence, 'C', ''), 'T', '')) AS INT) AS total FROM v_raw")
-def simulate_conversion(spark, sf_dir):
-    """Complete conversion of every raw read: the letters that change, among those that read as T afterwards."""
-    return rr.converted(v.raw_reads(spark, sf_dir)).select("id", "sequence", "converted", "total")
-
-
-# ---- variants
-
-_GT = """g AS (SELECT *, CASE WHEN format LIKE 'GT%' THEN list_transform(samples, lambda s: list_transform(string_split(split_part(s, ':', 1), '/'), lambda a: coalesce(TRY_CAST(a AS INT), -1))) END AS gts, string_split(alt, ',') AS alts FROM v_vcf),
-s AS (SELECT *, list_transform(range(0, len(alts) + 1), lambda k: len(list_filter(flatten(gts), lambda a: a = k))) AS counts, len(list_filter(flatten(gts), lambda a: a < 0)) AS missing FROM g)"""
-_VCF = f"{_with(v.DUCK_VARIANTS)}, {_GT}"
-
-
-@query(f"{_VCF} SELECT okey, counts[1] AS n_ref, counts[2] AS n_alt, missing AS missing_alleles, len(list_filter(gts, lambda x: list_contains(x, -1))) AS missing_genotypes, round(list_min(list_transform(counts, lambda c: c / nullif(list_sum(counts), 0))), 6) AS maf, length(ref) <> length(alt) AS is_indel FROM s")
-def vcf_variant_stats(spark, sf_dir):
-    rows = va.with_statistics(v.variants(spark, sf_dir))
-    as_long = lambda c: c.cast("long")
-    got = F.col("gts").isNotNull()
-    counts = lambda i: F.when(got, as_long(F.col("allele_counts")[i]))
-    return rows.select("okey", counts(0).alias("n_ref"), counts(1).alias("n_alt"), F.when(got, as_long(F.col("missing_alleles"))).alias("missing_alleles"), F.when(got, as_long(F.col("missing_genotypes"))).alias("missing_genotypes"), F.when(got, F.round("maf", 6)).alias("maf"), "is_indel")
-
-
-_STEPS = [
-    ("q30", "qual >= 30"),
-    ("snp", "id <> '.'"),
-    ("cov20", "coalesce(TRY_CAST(regexp_extract(info, 'DP=(\\d+)', 1) AS INT) >= 20, false)"),
-    ("maf45", "coalesce(list_min(list_transform(counts, lambda c: c / nullif(list_sum(counts), 0))) <= 0.45, false)"),
-    ("missing10", "coalesce(missing / nullif(missing + list_sum(counts), 0) <= 0.1, false)"),
-    ("alleles2", "len(alts) = 1"),
-]
-_FAIL = "CASE " + " ".join(f"WHEN NOT ({test}) THEN '{name}'" for name, test in _STEPS) + " END"
-
-
-@query(f"{_VCF}, f AS (SELECT *, {_FAIL} AS failed FROM s) SELECT okey, failed IS NULL AS passed, CASE WHEN failed IS NULL THEN CASE WHEN filter = '.' THEN 'PASS' ELSE filter END WHEN filter IN ('.', 'PASS') THEN failed ELSE filter || ';' || failed END AS filter FROM f")
-def vcf_filter_chain(spark, sf_dir):
-    chain = [va.quality_filter(30), va.snp_filter(), va.coverage_filter(20), va.maf_filter(0.45), va.missing_filter(0.1), va.alleles_filter(2)]
-    return va.filter_chain(v.variants(spark, sf_dir), chain).select("okey", "passed", "filter")
-
-
-@query(f"{_VCF}, r AS (SELECT CAST(s_suppkey % 22 + 1 AS STRING) AS chrom, (s_suppkey * 7919) % 900000 AS a, (s_suppkey * 7919) % 900000 + 5000 AS b FROM supplier) SELECT okey FROM s WHERE EXISTS (SELECT 1 FROM r WHERE r.chrom = s.chrom AND s.pos BETWEEN a AND b)")
-def vcf_region_filter(spark, sf_dir):
-    regions = v.tables(spark, sf_dir, "supplier")["supplier"].selectExpr("CAST(s_suppkey % 22 + 1 AS STRING) AS chrom", "(s_suppkey * 7919) % 900000 AS start", "(s_suppkey * 7919) % 900000 + 5000 AS `end`")
-    return va.filter_chain(v.variants(spark, sf_dir), [va.region_filter(regions)], regions).filter("passed").select("okey")
-
-
-_GENES = "SELECT 'g' || CAST(s_suppkey % 5 AS STRING) AS name, CAST(s_suppkey % 22 + 1 AS STRING) AS chrom, (s_suppkey * 7919) % 900000 AS start, (s_suppkey * 7919) % 900000 + 9000 AS \"end\" FROM {supplier}"
-
-
-@query(f"{_VCF}, genes AS ({v.plain(_GENES)}), f AS (SELECT *, EXISTS (SELECT 1 FROM genes r WHERE r.name IN ('g1', 'g3') AND r.chrom = s.chrom AND s.pos BETWEEN r.start AND r.\"end\") AS hit FROM s) SELECT okey, hit AS passed, CASE WHEN hit THEN CASE WHEN filter = '.' THEN 'PASS' ELSE filter END WHEN filter IN ('.', 'PASS') THEN 'reg' ELSE filter || ';reg' END AS filter FROM f")
-def vcf_gene_filter(spark, sf_dir):
-    genes = v._read(spark, sf_dir, _GENES, "supplier")
-    names = ["g1", "g3"]
-    return va.filter_chain(v.variants(spark, sf_dir), [va.gene_filter(genes, names)], va.gene_regions(genes, names)).select("okey", "passed", "filter")
-
-
-_ONE = "length(ref) = 1 AND length(alt) = 1 AND ref <> alt"
-
-
-@query(f"""{_VCF} SELECT count(*) AS variants, 6 AS samples, count(*) FILTER (id <> '.') AS snps, count(*) FILTER (length(ref) <> length(alt)) AS indels, count(*) FILTER ({_ONE} AND ref || alt IN ('AG', 'GA', 'CT', 'TC')) AS transitions, count(*) FILTER ({_ONE} AND ref || alt NOT IN ('AG', 'GA', 'CT', 'TC')) AS transversions,
-count(*) FILTER (len(alts) = 1) AS biallelic, count(*) FILTER (len(alts) > 1) AS multiallelic, count(*) FILTER (filter = 'PASS') AS passes, round(sum(CASE WHEN qual >= 0 THEN qual ELSE 0 END) / count(*), 6) AS mean_quality FROM s""")
-def vcf_file_stats(spark, sf_dir):
-    return va.file_statistics(v.variants(spark, sf_dir))
-
-
-@query(f"{_VCF}, u AS (SELECT unnest(range(6)) AS sample, unnest(gts) AS gt FROM s WHERE gts IS NOT NULL) SELECT CAST(sample AS INT) AS sample, count(*) FILTER (list_contains(gt, -1)) AS missing_genotypes, count(*) AS genotypes FROM u GROUP BY 1")
-def vcf_sample_stats(spark, sf_dir):
-    return va.sample_statistics(v.variants(spark, sf_dir))
-
-
-_TRIOS = "SELECT * FROM VALUES (2, 0, 1, 1), (3, 0, 1, 2), (5, 4, 1, 1) AS t(sample, father, mother, sex)"
-
-
-@query(f"""{_VCF}, p AS (SELECT * FROM (VALUES (2, 0, 1, 1), (3, 0, 1, 2), (5, 4, 1, 1)) t(sample, father, mother, sex)), k AS (SELECT p.sample, chrom, sex, gts[p.sample + 1] AS c, gts[father + 1] AS f, gts[mother + 1] AS m FROM s, p WHERE gts IS NOT NULL)
-SELECT sample, count(*) FILTER (NOT list_contains(c, -1) AND NOT list_contains(f, -1) AND NOT list_contains(m, -1) AND CASE WHEN chrom = 'X' AND sex = 1 THEN NOT (list_contains(m, c[1]) AND list_contains(m, c[2])) ELSE NOT ((list_contains(f, c[1]) AND list_contains(m, c[2])) OR (list_contains(f, c[2]) AND list_contains(m, c[1]))) END) AS mendel_errors FROM k GROUP BY sample""")
-def mendel_errors(spark, sf_dir):
-    return va.mendel_errors(v.variants(spark, sf_dir), spark.sql(_TRIOS))
-
-
-@query(f"""{_VCF}, p AS (SELECT * FROM (VALUES (2, 0, 1, 1), (3, 0, 1, 2), (5, 4, 1, 1)) t(sample, father, mother, sex)), k AS (SELECT p.sample, chrom, sex, gts[p.sample + 1] AS c, gts[father + 1] AS f, gts[mother + 1] AS m FROM s, p WHERE gts IS NOT NULL),
-d AS (SELECT sample, chrom, sex, list_contains(c, -1) OR list_contains(f, -1) OR list_contains(m, -1) AS missing, len(list_filter(c, lambda a: a > 0)) AS c, len(list_filter(f, lambda a: a > 0)) AS f, len(list_filter(m, lambda a: a > 0)) AS m FROM k),
-t AS (SELECT sample, CASE WHEN missing THEN -1 WHEN chrom IN ('Y', 'MT') THEN -2 WHEN chrom = 'X' AND sex = 1 THEN CASE WHEN c = 2 AND m = 0 THEN 9 WHEN c = 0 AND m = 2 THEN 10 ELSE 0 END
-  WHEN c = 1 THEN CASE WHEN f = 0 AND m = 0 THEN 1 WHEN f = 2 AND m = 2 THEN 2 ELSE 0 END WHEN c = 0 THEN CASE WHEN f = 2 AND m = 2 THEN 5 WHEN f = 2 THEN 4 WHEN m = 2 THEN 3 ELSE 0 END
-  ELSE CASE WHEN f = 0 AND m = 0 THEN 8 WHEN f = 0 THEN 6 WHEN m = 0 THEN 7 ELSE 0 END END AS type FROM d) SELECT sample, CAST(type AS INT) AS type, count(*) AS records FROM t GROUP BY sample, type""")
-def mendel_types(spark, sf_dir):
-    return va.mendel_types(v.variants(spark, sf_dir), spark.sql(_TRIOS))
-
-
-@query(f"{_VCF} SELECT okey, array_to_string(list_transform(range(0, (len(alts) + 1) * (len(alts) + 1)), lambda k: len(list_filter(gts, lambda g: NOT list_contains(g, -1) AND g[1] * (len(alts) + 1) + g[2] = k))), ',') AS counts FROM s WHERE gts IS NOT NULL")
-def vcf_genotype_counts(spark, sf_dir):
-    """How often every pair of alleles stands there."""
-    return va.with_statistics(v.variants(spark, sf_dir)).filter("gts IS NOT NULL").select("okey", F.array_join(F.col("genotype_counts").cast("array<string>"), ",").alias("counts"))
-
-
-_AFFECTED = [True, False, True, True, False, False]
-_CASE = str(_AFFECTED).lower()
-
-
-def _share(test: str) -> str:
-    return f"round(coalesce(len(list_filter(seen, lambda z: {test})) * 100 / nullif(len(seen), 0), 0), 6)"
-
-
-@query(f"""{_VCF}, z AS (SELECT chrom, pos, list_filter(list_zip(gts, {_CASE}), lambda z: NOT list_contains(z[1], -1)) AS seen FROM s WHERE gts IS NOT NULL)
-SELECT chrom, pos, {_share("z[2] AND list_sum(z[1]) > 0")} AS cases_dominant, {_share("NOT z[2] AND list_sum(z[1]) = 0")} AS controls_dominant, {_share("z[2] AND list_min(z[1]) > 0")} AS cases_recessive, {_share("NOT z[2] AND list_min(z[1]) = 0")} AS controls_recessive FROM z""")
-def inheritance_pct(spark, sf_dir):
-    return va.inheritance(v.variants(spark, sf_dir), _AFFECTED)
-
-
-@query(f"""{_VCF}, z AS (SELECT okey, filter, CASE WHEN gts IS NOT NULL THEN list_filter(list_zip(gts, {_CASE}), lambda z: NOT list_contains(z[1], -1)) END AS seen FROM s),
-f AS (SELECT okey, filter, seen IS NOT NULL AND {_share("z[2] AND list_sum(z[1]) > 0")} >= 30 AND {_share("NOT z[2] AND list_sum(z[1]) = 0")} >= 30 AS ok FROM z)
-SELECT okey, ok AS passed, CASE WHEN ok THEN CASE WHEN filter = '.' THEN 'PASS' ELSE filter END WHEN filter IN ('.', 'PASS') THEN 'dominant30' ELSE filter || ';dominant30' END AS filter FROM f""")
-def vcf_inheritance_filter(spark, sf_dir):
-    return va.filter_chain(v.variants(spark, sf_dir), [va.inheritance_filter("dominant", 0.3, _AFFECTED)]).select("okey", "passed", "filter")
-
-
-@query(f"""{_VCF}, x AS (SELECT okey, chrom, pos, list_transform(gts, lambda g: CASE WHEN list_contains(g, -1) THEN NULL ELSE len(list_filter(g, lambda a: a > 0)) END) AS d FROM s WHERE gts IS NOT NULL),
-y AS (SELECT a.chrom, a.pos AS pos1, b.pos AS pos2, unnest(a.d) AS p, unnest(b.d) AS q, a.okey AS k1, b.okey AS k2 FROM x a JOIN x b ON a.chrom = b.chrom AND b.pos > a.pos AND b.pos - a.pos <= 300),
-t AS (SELECT chrom, pos1, pos2, k1, k2, count(*) FILTER (p IS NOT NULL AND q IS NOT NULL) AS n, coalesce(sum(p) FILTER (q IS NOT NULL), 0) AS a, coalesce(sum(q) FILTER (p IS NOT NULL), 0) AS b, coalesce(sum(p * p) FILTER (q IS NOT NULL), 0) AS aa, coalesce(sum(q * q) FILTER (p IS NOT NULL), 0) AS bb, coalesce(sum(p * q), 0) AS ab FROM y GROUP BY ALL)
-SELECT chrom, pos1, pos2, round(coalesce(CAST((n * ab - a * b) * (n * ab - a * b) AS DOUBLE) / nullif(CAST((n * aa - a * a) * (n * bb - b * b) AS DOUBLE), 0), 0), 6) AS r2 FROM t""")
-def ld_pairs(spark, sf_dir):
-    return va.linkage(v.variants(spark, sf_dir), 300)
-
-
-_LOCI = "SELECT a.chrom AS chrom1, a.pos AS pos1, b.chrom AS chrom2, b.pos AS pos2 FROM {a} a JOIN {a} b ON b.okey = a.okey + 1"
-
-
-def _site_pairs() -> str:
-    sure = {"f00": "2 * c00 + c01 + c10", "f01": "2 * c02 + c01 + c12", "f10": "2 * c20 + c10 + c21", "f11": "2 * c22 + c12 + c21"}
-    part = "coalesce(f.f00 * f.f11 / nullif(f.f00 * f.f11 + f.f01 * f.f10, 0), 0.5) * c11"
-    step = ", ".join(f"'{k}': ({s} + {part if k in ('f00', 'f11') else f'c11 - {part}'}) / (2.0 * n)" for k, s in sure.items())
-    cells = ", ".join(f"len(list_filter(z, lambda q: q[1] = {a} AND q[2] = {b})) AS c{a}{b}" for a in range(3) for b in range(3))
-    start, rest = ("{" + ", ".join(f"'{k}': {x}::DOUBLE" for k in sure) + "}" for x in (0.25, 0))
-    return f"""{_VCF}, d AS (SELECT okey, chrom, pos, list_transform(gts, lambda g: CASE WHEN list_contains(g, -1) THEN -1 ELSE len(list_filter(g, lambda a: a > 0)) END) AS x FROM s WHERE gts IS NOT NULL),
-p AS ({_LOCI.replace('{a}', 'd')}), z AS (SELECT p.*, list_filter(list_zip(a.x, b.x), lambda q: q[1] >= 0 AND q[2] >= 0) AS z FROM p JOIN d a ON a.chrom = chrom1 AND a.pos = pos1 JOIN d b ON b.chrom = chrom2 AND b.pos = pos2),
-c AS (SELECT chrom1, pos1, chrom2, pos2, len(z) AS n, {cells} FROM z), e AS (SELECT *, list_reduce([{start}] || list_transform(range(30), lambda i: {rest}), lambda f, i: {{{step}}}) AS f FROM c WHERE n > 0),
-h AS (SELECT *, f.f10 + f.f11 AS a, f.f01 + f.f11 AS b FROM e)
-SELECT chrom1, pos1, chrom2, pos2, CAST(n AS INT) AS n, round(coalesce((f.f11 - a * b) * (f.f11 - a * b) / nullif(a * (1 - a) * b * (1 - b), 0), 0), 6) AS r2 FROM h"""
-
-
-@query(_site_pairs())
-def ld_given_pairs(spark, sf_dir):
-    """Haplotype r2 of listed pairs of sites."""
-    rows = v.variants(spark, sf_dir)
-    sites = rows.filter("split(format, ':')[0] = 'GT'").select("okey", "chrom", "pos")
-    return va.haplotype_r2(rows, spark.sql(_LOCI, a=sites))
-
-
-@query(f"{_VCF} SELECT okey, 'AA=1' || CASE WHEN info LIKE '%DP=%' THEN ';' || regexp_extract(info, '(DP=\\d+)', 1) ELSE '' END AS info, samples[3] || ',' || samples[1] AS picked FROM s")
-def vcf_projection(spark, sf_dir):
-    rows = va.subset(va.without_info(v.variants(spark, sf_dir), ["H2"]), [2, 0])
-    return rows.select("okey", "info", F.array_join("samples", ",").alias("picked"))
-
-
-# ---- pileup, tests, alignment
-
-
-_PILED = """e AS (SELECT *, coalesce(o[k + 1], '') AS next_op, coalesce(n[k + 1], 0) AS next_n FROM placed JOIN span USING (read_id)),
-b AS (SELECT read_id, ds, lib, tid, flag & 16 > 0 AS rev, mapq, CAST(pos + ref_at + i AS BIGINT) AS p0, ref_at + i = 0 AS head, ref_at + i = reach - 1 AS tail, op, i = size - 1 AS ends, next_op, next_n, read_at, i, seq, qual FROM (SELECT *, unnest(range(size)) AS i FROM e WHERE op IN ('M', '=', 'X', 'D', 'N')))"""
-_HEAD = "CASE WHEN head THEN '^' || chr(CAST(least(mapq, 93) + 33 AS INT)) ELSE '' END"
-_LETTER = "substr(seq, CAST(read_at + i + 1 AS BIGINT), 1)"
-_QUAL = "substr(qual, CAST(CASE WHEN op IN ('M', '=', 'X') THEN read_at + i + 1 ELSE greatest(read_at, 1) END AS BIGINT), 1)"
-
-
-def _token(own: str, gone: str) -> str:
-    return f"""{_HEAD} || CASE WHEN op = 'D' THEN '*' WHEN op = 'N' THEN CASE WHEN rev THEN '<' ELSE '>' END ELSE {own} END
- || CASE WHEN ends AND op IN ('M', '=', 'X') AND next_op = 'I' THEN '+' || CAST(next_n AS STRING) || CASE WHEN rev THEN lower(substr(seq, CAST(read_at + i + 2 AS BIGINT), next_n)) ELSE substr(seq, CAST(read_at + i + 2 AS BIGINT), next_n) END WHEN ends AND op IN ('M', '=', 'X') AND next_op = 'D' THEN '-' || CAST(next_n AS STRING) || CASE WHEN rev THEN lower({gone}) ELSE {gone} END ELSE '' END || CASE WHEN tail THEN '$' ELSE '' END"""
-
-
-_CASED = f"CASE WHEN rev THEN lower({_LETTER}) ELSE {_LETTER} END"
-
-
-@query(f"""{_with(v.DUCK_READS)}, good AS (SELECT * FROM v_reads WHERE flag & 1796 = 0 AND tid >= 0 AND mapq >= 10), {_OPS}, {_PILED},
-t AS (SELECT tid, p0 AS pos, read_id, {_token(_CASED, "repeat('N', next_n)")} AS tok, {_QUAL} AS q FROM b)
-SELECT tid, pos, count(*) AS depth, string_agg(tok, '' ORDER BY read_id) AS bases, string_agg(q, '' ORDER BY read_id) AS qualities FROM t GROUP BY tid, pos""")
-def mpileup(spark, sf_dir):
-    return pl.pileup_text(v.reads(spark, sf_dir), min_mapq=10)
-
-
-_CONTIG_TEXT = "SELECT tid, length, substr(repeat('ACGTTGCAAGCATCGACCGG', 140), tid + 1, CAST(length AS INT)) AS sequence FROM {contigs}"
-_REF = f"ref AS ({_CONTIG_TEXT.replace('{contigs}', 'v_contigs')})"
-_AT_REF = "substr(sequence, p0 + 1, 1)"
-_FILES = ("mc", "hmc")
-_SIDE = ", ".join(f"count(*) FILTER (ds = '{n}' AND rn <= 12) AS depth_{n}, coalesce(string_agg(tok, '' ORDER BY read_id) FILTER (ds = '{n}' AND rn <= 12), '*') AS bases_{n}, coalesce(string_agg(q, '' ORDER BY read_id) FILTER (ds = '{n}' AND rn <= 12), '*') AS qualities_{n}" for n in _FILES)
-
-
-@query(f"""{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, good AS (SELECT * FROM v_reads WHERE flag & 1796 = 0 AND tid >= 0 AND mapq >= 10), {_OPS}, {_PILED}, {_REF},
-t0 AS (SELECT b.*, r.sequence, {_QUAL} AS q FROM b LEFT JOIN ref r ON r.tid = b.tid),
-t AS (SELECT tid, p0 AS pos, read_id, ds, q, coalesce(nullif({_AT_REF}, ''), 'N') AS ref, {_token(f"CASE WHEN {_LETTER} = {_AT_REF} THEN CASE WHEN rev THEN ',' ELSE '.' END ELSE {_CASED} END", "rpad(substr(sequence, p0 + 2, next_n), next_n, 'N')")} AS tok FROM t0 WHERE ascii(q) - 33 >= 13),
-u AS (SELECT *, row_number() OVER (PARTITION BY tid, pos, ds ORDER BY read_id) AS rn FROM t)
-SELECT tid, pos, max(ref) AS ref, {_SIDE} FROM u GROUP BY tid, pos""")
-def mpileup_files(spark, sf_dir):
-    """Two files side by side with the reference's letters, a bound of quality and a depth of twelve for each."""
-    contigs = spark.sql(_CONTIG_TEXT, contigs=v.contigs(spark, sf_dir))
-    out = pl.pileup_files(v.reads(spark, sf_dir), "ds", list(_FILES), contigs, min_mapq=10, min_quality=13, max_depth=12)
-    return out.withColumn("ref", F.when(F.col("ref") == "", "N").otherwise(F.col("ref")))
-
-
-_E = "pow(10.0, -(ascii(q) - 33) / 10.0)"
-def _likely(sample: str = "lib") -> str:
-    return f"""{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, good AS (SELECT * FROM v_reads WHERE flag & 1796 = 0 AND tid >= 0 AND mapq >= 10), {_OPS}, {_PILED}, {_REF},
-x0 AS (SELECT b.tid, p0 AS pos, {sample} AS lib, {_AT_REF} AS ref, {_LETTER} AS letter, {_QUAL} AS q FROM b JOIN ref r ON r.tid = b.tid WHERE op IN ('M', '=', 'X')),
-x AS (SELECT *, {_E} AS e, ascii(q) - 33 AS w FROM x0 WHERE ascii(q) - 33 >= 13 AND letter IN ('A', 'C', 'G', 'T') AND ref IN ('A', 'C', 'G', 'T')),
-a0 AS (SELECT tid, pos, letter, sum(w) AS w FROM x WHERE letter <> ref GROUP BY tid, pos, letter),
-a AS (SELECT tid, pos, arg_max(letter, struct_pack(w := w, o := -ascii(letter))) AS alt FROM a0 GROUP BY tid, pos),
-l AS (SELECT x.tid, x.pos, lib, max(ref) AS ref, max(alt) AS alt, count(*) AS n, sum(log10(CASE WHEN letter = ref THEN 1 - e ELSE e / 3 END)) AS l0, sum(log10(CASE WHEN letter IN (ref, alt) THEN (1 - e + e / 3) / 2 ELSE e / 3 END)) AS l1, sum(log10(CASE WHEN letter = alt THEN 1 - e ELSE e / 3 END)) AS l2 FROM x JOIN a ON a.tid = x.tid AND a.pos = x.pos GROUP BY x.tid, x.pos, lib),
-g AS (SELECT tid, pos, lib, ref, alt, n, CAST(round(-10 * (l0 - greatest(l0, l1, l2))) AS INT) AS pl0, CAST(round(-10 * (l1 - greatest(l0, l1, l2))) AS INT) AS pl1, CAST(round(-10 * (l2 - greatest(l0, l1, l2))) AS INT) AS pl2 FROM l)"""
-
-
-_LIKELY = _likely()
-#: Every third read is of another sample.
-_THIRDS = _likely("CAST(b.read_id % 3 AS INT)")
-
-
-def _likelihoods(spark: SparkSession, sf_dir: str, thirds: bool = False) -> DataFrame:
-    contigs = spark.sql(_CONTIG_TEXT, contigs=v.contigs(spark, sf_dir))
-    reads = v.reads(spark, sf_dir)
-    if thirds:
-        reads = reads.withColumn("lib", (F.col("read_id") % 3).cast("int"))
-    return pl.genotype_likelihoods(reads, contigs, "lib", min_mapq=10, min_quality=13)
-
-
-def _with_contigs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return v.reads(spark, sf_dir), spark.sql(_CONTIG_TEXT, contigs=v.contigs(spark, sf_dir))
-
-
-@query()
-def baq_qualities(spark, sf_dir):
-    """Every read with its base alignment qualities, the plain and the extended ones (tests/test_realign.py has the model by hand)."""
-    reads, contigs = _with_contigs(spark, sf_dir)
-    plain = ra.with_baq(reads.select("read_id", "flag", "tid", "pos", "cigar", "seq", "qual"), contigs, into="baq")
-    return ra.with_baq(plain, contigs, extended=True, into="extended").select("read_id", "baq", "extended")
-
-
-@query(f"""{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, good AS (SELECT * FROM v_reads WHERE flag & 4 = 0 AND tid >= 0), {_OPS}, {_REF},
-l AS (SELECT read_id, substr(seq, CAST(read_at + i + 1 AS BIGINT), 1) AS b, substr(sequence, CAST(pos + ref_at + i + 1 AS BIGINT), 1) AS r, ascii(substr(qual, CAST(read_at + i + 1 AS BIGINT), 1)) - 33 AS q FROM (SELECT *, unnest(range(size)) AS i FROM placed WHERE op IN ('M', '=', 'X')) JOIN ref USING (tid)),
-s AS (SELECT read_id, count(*) + count(*) FILTER (r <> 'N' AND b <> 'N' AND q >= 13) AS n, count(*) FILTER (r <> 'N' AND b <> 'N' AND q >= 13 AND b <> r) AS mm, coalesce(sum(least(q, 33)) FILTER (r <> 'N' AND b <> 'N' AND q >= 13 AND b <> r), 0) AS sq FROM l GROUP BY read_id),
-cl AS (SELECT read_id, sum(ascii(substr(qual, CAST(read_at + i + 1 AS BIGINT), 1)) - 33) AS c FROM (SELECT *, unnest(range(size)) AS i FROM placed WHERE op = 'S') GROUP BY read_id),
-t AS (SELECT s.read_id, sq - 4.343::DOUBLE * (mm * ln(n) - lgamma(mm + 1)) + coalesce(c, 0) / 5 AS t FROM s LEFT JOIN cl USING (read_id))
-SELECT read_id, CAST(CASE WHEN t > 40 THEN -1 ELSE floor(sqrt((40 - greatest(t, 0)) / 40) * 40 + 0.499::DOUBLE) END AS INT) AS cap FROM t""")
-def capped_mapq(spark, sf_dir):
-    """What the mismatches of every mapped read allow as its mapping quality."""
-    return ra.capped_mapq(*_with_contigs(spark, sf_dir))
-
-
-@query(f"{_LIKELY} SELECT * FROM g")
-def genotype_likelihoods(spark, sf_dir):
-    return _likelihoods(spark, sf_dir)
-
-
-_SEEN = f"""{_with(v.DUCK_READS, v.DUCK_CONTIGS)}, good AS (SELECT * FROM v_reads WHERE flag & 1796 = 0 AND tid >= 0 AND mapq >= 10), {_OPS}, {_PILED}, {_REF},
-x0 AS (SELECT b.tid, p0 AS pos, lib, {_AT_REF} AS ref, strpos('ACGTN', {_LETTER}) - 1 AS l, CAST(rev AS INT) AS r, ascii({_QUAL}) - 33 AS q, least(mapq, 60) AS m, read_at + i AS offs, length(seq) AS size, CASE WHEN regexp_matches(cigar, '^\\d+S') THEN CAST(regexp_extract(cigar, '^(\\d+)S', 1) AS INT) ELSE 0 END AS clip
- FROM (SELECT b.*, g.cigar FROM b JOIN good g USING (read_id)) b JOIN ref r ON r.tid = b.tid WHERE op IN ('M', '=', 'X')),
-x AS (SELECT *, strpos('ACGT', ref) - 1 AS k, greatest(4, least(q, m, 63)) AS eff FROM x0 WHERE ref IN ('A', 'C', 'G', 'T'))"""
-_TAIL = "list_sum(list_transform(range({}, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(e) + (n - j) * ln(1 - e))))"
-_HALF = "CASE WHEN {k} = 0 THEN 0 ELSE lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1) END - ln(2) * ({n})"
-_PAIR = f"greatest(0, CASE WHEN a = b THEN CASE WHEN list_sum(cs) > cs[a + 1] THEN list_sum(bs) - bs[a + 1] ELSE 0 END ELSE list_sum(bs) - bs[a + 1] - bs[b + 1] - 4.343::DOUBLE * ({_HALF.format(k='cs[b + 1]', n='cs[a + 1] + cs[b + 1]')}) END)"
+_HET = "CASE WHEN {k} = 0 THEN 0 ELSE lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1) END - ln(2) * ({n})"
+_PAIR = f"greatest(0, CASE WHEN a = b THEN CASE WHEN list_sum(cs) > cs[a + 1] THEN list_sum(bs) - bs[a + 1] ELSE 0 END ELSE list_sum(bs) - bs[a + 1] - bs[b + 1] - 4.343::DOUBLE * ({_HET.format(k='cs[b + 1]', n='cs[a + 1] + cs[b + 1]')}) END)"
 
 
 @query(f"""{_SEEN}, all_u AS (SELECT *, count(*) OVER (PARTITION BY tid, pos, lib) AS total, row_number() OVER (PARTITION BY tid, pos, lib ORDER BY eff, r, l) AS place FROM x WHERE q >= 13),

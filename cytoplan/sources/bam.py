@@ -13,6 +13,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from .files import listed, located, opened
@@ -213,35 +214,60 @@ def _plausible(data: bytes, at: int, contigs: int) -> bool:
     size, tid, pos, l_name = struct.unpack_from("<iiiB", data, at)
     n_cigar, _, l_seq, mtid, mpos = struct.unpack_from("<HHiii", data, at + 16)
     least = 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq
-    if not (32 <= size < 1 << 24 and -1 <= tid < contigs and -1 <= mtid < contigs and pos >= -1 and mpos >= -1 and l_name >= 2 and l_seq >= 0 and least <= size):
+    if not (32 <= size and -1 <= tid < contigs and -1 <= mtid < contigs and pos >= -1 and mpos >= -1 and l_name >= 2 and l_seq >= 0 and least <= size):
         return False
     name = data[at + 36 : at + 36 + l_name]
     return len(name) < l_name or (name[-1] == 0 and all(33 <= c <= 126 for c in name[:-1]))
 
 
+def _start(data: bytes, begin: int, end: int, contigs: int) -> int:
+    """The first place in [begin, end) where a record may begin, -1 if there is none; all fixed fields must be known there."""
+    end = min(end, len(data) - 35)
+    if begin >= end:
+        return -1
+    field = lambda at: np.ndarray((end - begin,), dtype="<i4", buffer=data, offset=begin + at, strides=(1,))
+    fits = field(0) >= 32
+    for at in (4, 24):  # the contigs of the read and of its mate
+        fits &= (field(at) >= -1) & (field(at) < contigs)
+    for at in (8, 28, 20):  # both positions, and the number of letters
+        fits &= field(at) >= (-1 if at != 20 else 0)
+    return next((k for k in (np.flatnonzero(fits) + begin).tolist() if _plausible(data, k, contigs) and _chain(data, k, contigs)), -1)
+
+
 def records(path: str, start: int, end: int, contigs: int, skip: int) -> Iterator[tuple]:
-    """Alignments that begin in the blocks of [start, end)."""
-    data, at, inside = b"", skip if start == 0 else -1, True
+    """Alignments that begin in the blocks of [start, end).
+
+    The first one is searched for, each byte once; a range that lies inside one long record ends with its last block.
+    """
+    data, at, inside, tried, own = bytearray(), skip if start == 0 else -1, True, 0, 0
     for place, block in blocks(path, start, None):
         if place >= end:
             if inside and at >= 0 and at >= len(data):
                 return  # the last record ended with its block
             inside = False
-        limit = len(data) + len(block) if inside else len(data)
-        data += block
         if at < 0:
-            at = next((k for k in range(len(data)) if _plausible(data, k, contigs) and _chain(data, k, contigs)), -1)
+            data += block
+            own = len(data) if inside else own
+            at = _start(bytes(data), tried, own, contigs)
+            tried = max(tried, min(own, len(data) - 35))
+            if at < 0 and not inside and tried >= own:
+                return  # no record begins in this range
             if at < 0:
                 continue
+            limit = own
+        else:
+            limit = len(data) + len(block) if inside else len(data)
+            data += block
         while at + 4 <= len(data) and at < limit:
             size = struct.unpack_from("<i", data, at)[0]
             if at + 4 + size > len(data):
                 break
-            yield record(data[at + 4 : at + 4 + size])
+            yield record(bytes(data[at + 4 : at + 4 + size]))
             at += 4 + size
         if not inside and at >= limit:
             return
-        data, at = data[at:], 0
+        del data[:at]
+        at = 0
 
 
 def _chain(data: bytes, at: int, contigs: int, depth: int = 3) -> bool:

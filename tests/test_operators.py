@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cytoplan.functions import dna
 from cytoplan.functions.text import info_map
+from cytoplan.operators import alignments as al
 from cytoplan.operators import meth_map as mm
 from cytoplan.operators import raw_reads as rr
 from cytoplan.operators import reference as rf
@@ -111,7 +112,7 @@ def test_mapping_by_hand(spark):
         got = {tuple(r) for r in rr.map_mismatches(frame_of(reads), pieces, errors, 6).select("id", "chrom", "pos", "strand", "mismatches").collect()}
         assert got == want and want
     hits = rr.hit_tags(rr.map_mismatches(frame_of(reads), pieces, 1, 6)).collect()
-    assert all(r.nh == sum(x.id == r.id for x in hits) and r.nm == r.mismatches for r in hits)
+    assert all(r.nh == sum(x.id == r.id for x in hits) and r.nm == r.mismatches and r["as"] == 254 for r in hits)
     near = rr.candidate_locations(frame_of(reads[:2]), pieces, k=12, step=4, gap=5).collect()
     assert any(r.id == "0" and r.chrom == "c1" and r.seeds >= 4 for r in near)
 
@@ -318,3 +319,54 @@ def test_mendel_errors_of_very_many_trios(spark):
     pedigree = spark.range(2, 100_004).selectExpr("CAST(id AS INT) AS sample", "0 AS father", "1 AS mother", "1 AS sex")
     got = va.mendel_errors(variants, pedigree)
     assert got.count() == 100_002 and [tuple(r) for r in got.filter("mendel_errors > 0").collect()] == [(2, 1)]
+
+
+def test_reads_longer_than_a_piece_are_mapped(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice("ACGT") for _ in range(30_000))
+    wrong = text[6_000:16_000][:7_000] + ("A" if text[13_000] != "A" else "C") + text[13_001:16_000]
+    reads = spark.createDataFrame([("long", text[5_000:15_000]), ("wrong", wrong), ("back", text[100:9_100].translate(str.maketrans("ACGT", "TGCA"))[::-1]), ("over", text[25_000:] + "ACGTACGTAC")], "id string, sequence string")
+    contigs = spark.createDataFrame([("c", 40, text)], "chrom string, start long, sequence string")
+    exact = sorted(tuple(r) for r in rr.map_exact(reads, contigs).collect())
+    assert exact == [("back", "c", 140, 1), ("long", "c", 5_040, 0)]
+    near = sorted(tuple(r) for r in rr.map_mismatches(reads, contigs, 1).collect())
+    assert near == [("back", "c", 140, 1, 0), ("long", "c", 5_040, 0, 0), ("wrong", "c", 6_040, 0, 1)]
+
+
+def test_ranks_of_alike_names_and_unmapped_reads(spark):
+    """Ranges hold about as many rows, however alike names are; the ranks are those of a sort."""
+    rows = spark.range(60_000).select(F.col("id").alias("read_id"), F.concat(F.lit("HWI-ST1234:56:C0A:1:1101:"), (F.pmod(F.xxhash64("id"), F.lit(25_000))).cast("string")).alias("qname"), F.lit(64).alias("flag"), F.lit(-1).alias("tid"), F.lit(-1).alias("pos"))
+    got = {r.read_id: r["rank"] for r in al.name_ranks(rows).select("read_id", "rank").collect()}
+    held = [(int(r.qname.rsplit(":", 1)[1]), r.read_id) for r in rows.collect()]
+    assert [i for _, i in sorted(held)] == sorted(got, key=got.get) and sorted(got.values()) == list(range(60_000))
+    places = {r.read_id: r["rank"] for r in al.coordinate_ranks(rows).select("read_id", "rank").collect()}
+    assert places == {i: i for i in range(60_000)}
+    spread = rows.repartitionByRange(8, "tid", "pos", "read_id").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in spread) < 2 * 60_000 / 8
+
+
+def test_islands_over_spans_without_a_window_over_all(spark):
+    rows = [(0, 10 * i, 10 * i + 9) for i in range(3000)] + [(0, 40_000 + 50 * i, 40_010 + 50 * i) for i in range(500)] + [(1, 5, 100_000)] + [(1, 7 * i, 7 * i + 1) for i in range(900)]
+    got = rg.merge_close(spark.createDataFrame(rows, "g int, start long, end long"), ["g"], "start", "end", 5, 64)
+    found = sorted(tuple(r) for r in got.collect())
+    want, seen = [], None
+    for g, a, b in sorted(rows):
+        if seen and seen[0] == g and a - seen[2] <= 5:
+            seen[2], seen[3] = max(seen[2], b), seen[3] + 1
+        else:
+            seen = [g, a, b, 1]
+            want.append(seen)
+    assert found == sorted(map(tuple, want))
+
+
+def test_statistics_are_stored_by_chromosome(spark, tmp_path):
+    from cytoplan.operators import reports as rp
+    from cytoplan.plans import views
+
+    reads = views.reads(spark, "/root/testdata/sf0.001")
+    rp.store_statistics(reads, str(tmp_path), 500)
+    stored = spark.read.parquet(f"{tmp_path}/global_stats")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, rp.alignment_report(reads).collect()))
+    chunks = spark.read.parquet(f"{tmp_path}/chunk")
+    want = {(r.chromosome, r.chunk_id): r.features_count for r in al.chunks(reads, 500).collect()}
+    assert {(r.chromosome, r.chunk_id): r.features_count for r in chunks.collect()} == want

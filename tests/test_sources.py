@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import random
 import struct
 import zlib
 
@@ -80,6 +81,21 @@ def test_bam_round_trip(spark, tmp_path, split):
     assert not list((tmp_path / "out").glob("_temp*"))
 
 
+@pytest.mark.parametrize("split", [1 << 26, 300_000])
+def test_bam_record_longer_than_ranges(spark, tmp_path, split):
+    """A record of 20 MB is read once, and ranges inside it are empty."""
+    spark.dataSource.register(BamSource)
+    noise = random.Random(1).randbytes(15_000_000).hex()[:20_000_000]
+    row = lambda i, tags: (f"r{i}", 0, 0, i, 30, "5M", -1, -1, 0, "ACGTA", "IIIII", tags, len(tags), {k: "Z" for k in tags})
+    rows = [row(i, {"XX": noise} if i == 50 else {}) for i in range(100)]
+    frame = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    frame.write.format("bam").option("contigs", json.dumps([["chr1", 100000]])).mode("overwrite").save(str(tmp_path / "out"))
+    back = spark.read.format("bam").option("splitBytes", split).load(str(tmp_path / "out"))
+    assert back.rdd.getNumPartitions() > (1 if split < 1 << 20 else 0)
+    got = back.select("qname", "pos", "tags").collect()
+    assert sorted(r.pos for r in got) == list(range(100)) and next(r.tags["XX"] for r in got if r.pos == 50) == noise
+
+
 def test_vcf_files_and_header(spark, tmp_path):
     one = write(tmp_path / "a.vcf", "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\n1\t10\t.\tA\tG\t5\t.\t.\tGT\t0/1\nbad\n1\tx\t.\tA\tG\t5\t.\t.\n")
     two = write(tmp_path / "b.vcf", "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tb\n1\t10\t.\tA\tG\t7\t.\t.\tGT\t1/1\n1\t12\t.\tC\tT\t7\t.\t.\tGT\t0/0\n")
