@@ -5,10 +5,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoplan.functions import dna
+from cytoplan.functions.edits import fits
 
 
 def read_statistics(reads: DataFrame) -> DataFrame:
@@ -130,6 +134,55 @@ def map_mismatches(reads: DataFrame, contigs: DataFrame, errors: int, k: int = 1
     return found
 
 
+def map_edits(reads: DataFrame, contigs: DataFrame, errors: int, k: int = 16, bisulfite: bool = False) -> DataFrame:
+    """id, chrom, pos, strand, mismatches (edits) and cigar of every place where a read fits with at most `errors` letters
+    changed, inserted or deleted.
+
+    A read fits at a place with so many edits as it needs against the contig from there on.  Of places at most `errors`
+    apart the one with fewest edits stays, and the first of equal ones.  A read is cut into errors + 1 stretches, one of
+    which stands unchanged wherever it fits, at most `errors` letters beside its place; its first k letters are the seed
+    (reads with a stretch shorter than k aren't mapped).  Every place near a seed is measured, whole batches at once.
+    """
+    turn = (lambda c: F.translate(c, "C", "T")) if bisulfite else (lambda c: c)
+    back = (lambda c: F.translate(c, "G", "A")) if bisulfite else (lambda c: c)
+    step = F.floor(F.length("sequence") / (errors + 1)).cast("int")
+    size = 1 << 12
+    found = None
+    for strand, change in ((0, turn), (1, back)):
+        text = change(F.col("sequence") if strand == 0 else dna.reverse_complement(F.col("sequence")))
+        own = reads.filter(step >= k).select("id", text.alias("sequence"), step.alias("step"))
+        seeds = own.select("id", "sequence", F.explode(F.transform(F.sequence(F.lit(0), F.lit(errors)), lambda i: i * F.col("step"))).alias("skip"))
+        seeds = seeds.withColumn("kmer", F.substr("sequence", F.col("skip") + 1, F.lit(k)))
+        pieces = contig_windows(contigs.withColumn("sequence", change(F.col("sequence"))), k, size)
+        common = F.pmod(F.xxhash64("kmer"), F.lit(1024)).alias("_k")
+        near = seeds.select("*", common).join(_places(pieces, k, size).select("*", common), ["kmer", "_k"])
+        place = F.explode(F.sequence(F.col("at") - F.col("skip") - errors, F.col("at") - F.col("skip") + errors)).alias("pos")
+        near = near.select("id", "sequence", "chrom", "begin", place).filter("pos >= begin").distinct()
+        # the letters of the contig from each place on, from all pieces that they touch
+        first = F.floor((F.col("pos") - F.col("begin")) / size)
+        last = F.floor((F.col("pos") - F.col("begin") + F.length("sequence") + errors - 1) / size)
+        parts = near.select("*", F.explode(F.sequence(first, last)).alias("piece")).join(pieces.select("chrom", F.col("start").alias("begin"), "piece", "first", "letters"), ["chrom", "begin", "piece"])
+        a, b = F.greatest(F.col("pos"), F.col("first")), F.least(F.col("pos") + F.length("sequence") + errors, F.col("first") + size)
+        parts = parts.withColumn("part", F.struct("piece", F.substr("letters", (a - F.col("first") + 1).cast("int"), (b - a).cast("int")).alias("text")))
+        whole = parts.groupBy("id", "sequence", "chrom", "begin", "pos").agg(F.array_join(F.array_sort(F.collect_list("part"))["text"], "").alias("stretch"))
+        rows = whole.select("id", "chrom", "pos", F.lit(strand).alias("strand"), "sequence", "stretch")
+        found = rows if found is None else found.unionByName(rows)
+    kinds = dict(found.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [[x or b"" for x in batch.column(i).cast(pa.binary()).to_pylist()] for i in (4, 5)]
+            edits, cigars = fits(*texts, errors)
+            good = pa.array(edits <= errors)
+            columns = [*(batch.column(i) for i in range(4)), pa.array(edits, pa.int32()), pa.array(cigars)]
+            yield pa.RecordBatch.from_arrays([c.filter(good) for c in columns], names=["id", "chrom", "pos", "strand", "mismatches", "cigar"])
+
+    hits = found.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in ("id", "chrom", "pos", "strand")) + ", mismatches int, cigar string")
+    beside = Window.partitionBy("id", "chrom", "strand").orderBy("pos").rangeBetween(-errors, errors)
+    best = F.min(F.struct("mismatches", "pos")).over(beside)
+    return hits.withColumn("_best", best).filter((F.col("_best.pos") == F.col("pos"))).drop("_best")
+
+
 # Fixed value: the score of a mapping, whatever its letters.
 MAPPING_SCORE = 254
 
