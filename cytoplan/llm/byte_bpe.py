@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from ._store import plain, small_batches, tidied
 
 #: Pieces that a worker remembers, and the bytes of the longest of them.
-REMEMBERED, LONGEST = 1 << 18, 64
+REMEMBERED, LONGEST = 1 << 16, 64
 #: Pieces that are held at once of a text, and characters of texts that are cut together.
 BLOCK, CHARACTERS = 1 << 18, 1 << 21
 #: Pieces of a forest at most, and at least; the widest tree in a forest.
