@@ -851,7 +851,7 @@ def map_bisulfite_reads(spark, sf_dir):
 
 @query(f"""WITH {_DUCK_CONTIGS}, {_DUCK_SEEDS}, {_BOTH_STRANDS}, h AS (SELECT chrom, start + p0 AS at, start, sequence AS whole, substr(sequence, p0 + 1, {_HALF_SEED}) AS w FROM (SELECT chrom, start, sequence, unnest(range(greatest(length(sequence) - {_HALF_SEED - 1}, 0))) AS p0 FROM c)),
 full_reads AS (SELECT * FROM r WHERE length(sequence) = {_SEED_LETTERS}),
-m AS (SELECT id, chrom, start, whole, strand, sequence, at AS near FROM h JOIN full_reads ON w = substr(sequence, 1, {_HALF_SEED}) UNION ALL SELECT id, chrom, start, whole, strand, sequence, at - {_HALF_SEED} FROM h JOIN full_reads ON w = substr(sequence, {_HALF_SEED + 1})),
+m AS (SELECT id, chrom, start, whole, strand, sequence, h.at AS near FROM h JOIN full_reads ON w = substr(sequence, 1, {_HALF_SEED}) UNION ALL SELECT id, chrom, start, whole, strand, sequence, h.at - {_HALF_SEED} FROM h JOIN full_reads ON w = substr(sequence, {_HALF_SEED + 1})),
 q AS (SELECT DISTINCT id, chrom, start, whole, strand, sequence, near + s AS pos FROM m, (VALUES (-1), (0), (1)) t(s) WHERE near + s >= start),
 d AS (SELECT id, chrom, pos, strand, least({", ".join(f"levenshtein(sequence, substr(whole, CAST(pos - start + 1 AS BIGINT), {_SEED_LETTERS + x}))" for x in (-1, 0, 1))}) AS edits FROM q),
 e AS (SELECT *, first_value(pos) OVER (PARTITION BY id, chrom, strand ORDER BY pos RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS one, min(edits * 10000000 + pos) OVER (PARTITION BY id, chrom, strand ORDER BY pos RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS best FROM d WHERE edits <= 1)
