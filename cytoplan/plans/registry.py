@@ -1018,15 +1018,21 @@ def reads_by_sample(spark, sf_dir):
 # ---- reports
 
 
-@query(f"""{_with(v.DUCK_READS)}, s AS (SELECT count(*) AS reads, sum(isize) AS sum_isize, sum(length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) AS gc, sum(length(replace(seq, 'N', ''))) AS letters, max(mapq) AS top FROM v_reads)
-SELECT 'reads' AS name, CAST(reads AS DOUBLE) AS value FROM s UNION ALL SELECT 'max_mapq', CAST(top AS DOUBLE) FROM s UNION ALL SELECT 'mean_isize', round(sum_isize / reads, 6) FROM s UNION ALL SELECT 'gc_percent', round(gc * 100 / letters, 6) FROM s""")
+def _unpivoted(sql: str, columns: str) -> str:
+    """A row as name and value."""
+    return f"WITH one AS (SELECT {columns} FROM ({sql})), two AS (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM one) SELECT name, value FROM (UNPIVOT two ON COLUMNS(*) INTO NAME name VALUE value)"
+
+
+@query(_unpivoted(ORACLE_SQL["bam_stats_global"], "* EXCLUDE (single_end), round(sum_isize / reads, 6) AS mean_isize, round((n_g + n_c) * 100 / (n_a + n_c + n_g + n_t), 6) AS gc_percent"))
 def alignment_report(spark, sf_dir):
-    return rp.alignment_report(v.reads(spark, sf_dir)).filter(F.col("name").isin("reads", "max_mapq", "mean_isize", "gc_percent"))
+    """Every row of the report."""
+    return rp.alignment_report(v.reads(spark, sf_dir))
 
 
-@query(f"""{_VCF} SELECT 'ti_tv' AS name, round((count(*) FILTER ({_ONE} AND ref || alt IN ('AG', 'GA', 'CT', 'TC'))) / (count(*) FILTER ({_ONE} AND ref || alt NOT IN ('AG', 'GA', 'CT', 'TC'))), 6) AS value FROM s UNION ALL SELECT 'variants', CAST(count(*) AS DOUBLE) FROM s""")
+@query(_unpivoted(ORACLE_SQL["vcf_file_stats"], "*, round(transitions / nullif(transversions, 0), 6) AS ti_tv"))
 def variant_report(spark, sf_dir):
-    return rp.variant_report(v.variants(spark, sf_dir)).filter(F.col("name").isin("ti_tv", "variants"))
+    """Every row of the report."""
+    return rp.variant_report(v.variants(spark, sf_dir))
 
 
 @query(f"{_VCF} SELECT okey FROM s WHERE length(ref) = length(alt) AND regexp_matches(ref, '^[ACGT]+$') AND regexp_matches(alt, '^[ACGT,]+$') AND coalesce(len(gts) - len(list_filter(gts, lambda g: list_contains(g, -1))) >= 0.9 * len(gts), false)")
