@@ -179,6 +179,12 @@ def depth(reads: DataFrame, mask: int = dna.UNMAPPED | dna.SECONDARY | dna.QC_FA
     return runs.filter("depth > 0").select("tid", F.explode(F.sequence(F.col("at"), F.col("next") - 1)).alias("pos"), "depth")
 
 
+def plain_depth(reads: DataFrame, span: int = 4096) -> DataFrame:
+    """tid, pos and depth of all positions under reads, each taken as long as its letters, whatever its CIGAR and flags."""
+    whole = reads.filter(F.length("seq") > 0).select("tid", "pos", F.lit(0).alias("flag"), F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"))
+    return depth(whole, 0, span)
+
+
 def coverage_histogram(depths: DataFrame, contigs: DataFrame, top: int = 99) -> DataFrame:
     """Positions of the genome at each depth (to `top`), and the share of the genome at that depth or more."""
     seen = depths.groupBy(F.least("depth", F.lit(top)).alias("depth")).agg(F.count(F.lit(1)).alias("positions"))

@@ -13,21 +13,25 @@ from cytoplan.functions import dna
 
 from .realign import with_baq
 from .reference import pieces
+from .regions import contained
 
 MASK = dna.UNMAPPED | dna.SECONDARY | dna.QC_FAIL | dna.DUPLICATE
 #: Positions of a span.
 SPAN = 256
 
 
-def pileup(reads: DataFrame, min_mapq: int = 0, mask: int = MASK, contigs: DataFrame | None = None, min_quality: int = 0, keep: tuple[str, ...] = (), span: int = SPAN, baq: str | None = None) -> DataFrame:
+def pileup(reads: DataFrame, min_mapq: int = 0, mask: int = MASK, contigs: DataFrame | None = None, min_quality: int = 0, keep: tuple[str, ...] = (), span: int = SPAN, baq: str | None = None, beds: DataFrame | None = None, without: tuple[str, list] | None = None) -> DataFrame:
     """tid, span, pos, read_id, token, quality, letter (null where deleted or skipped), ref, rev (on the reverse strand),
     offset (of the letter in its read) and the columns of `keep`.
 
     Tokens are letters (lower case on the reverse strand; with contigs `.` and `,` where they are the reference's), `*`
     deleted, `<` or `>` skipped, with the marks of a read's head and tail and of insertions and deletions that follow.
     Positions whose quality is under `min_quality` are left out.  With `baq` ("plain" or "extended", which asks for
-    contigs) qualities are base alignment qualities.
+    contigs) qualities are base alignment qualities.  With `beds` (chrom, start, end, half-open) only positions inside
+    them are given; `without` is a column of read groups and those that take no part.
     """
+    if without:
+        reads = reads.filter(F.coalesce(~F.col(without[0]).isin(*without[1]), F.lit(True)))
     if baq:
         reads = with_baq(reads, contigs, baq == "extended")
     f = F.col("flag")
@@ -35,6 +39,9 @@ def pileup(reads: DataFrame, min_mapq: int = 0, mask: int = MASK, contigs: DataF
     good = reads.filter(dna.lacks(f, mask) & (F.col("tid") >= 0) & (F.col("mapq") >= min_mapq)).withColumn("reach", reach).filter("reach > 0")
     touched = F.explode(F.sequence(F.floor(F.col("pos") / span), F.floor((F.col("pos") + F.col("reach") - 1) / span))).alias("span")
     rows = good.select("tid", "pos", "read_id", "mapq", "cigar", "seq", "qual", dna.has(f, dna.REVERSE).alias("rev"), "reach", *keep, touched)
+    if beds is not None:  # spans without a region don't go further
+        held = beds.filter("end > start").select(F.col("chrom").alias("tid"), F.explode(F.sequence(F.floor(F.col("start") / span), F.floor((F.col("end") - 1) / span))).alias("span"))
+        rows = rows.join(held.distinct(), ["tid", "span"], "left_semi")
     # a stated number of partitions: rows multiply behind this shuffle, so its size in bytes says nothing
     rows = rows.repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tid", "span")
     if contigs is None:
@@ -76,7 +83,10 @@ def pileup(reads: DataFrame, min_mapq: int = 0, mask: int = MASK, contigs: DataF
     )
     head = F.when(place == 0, F.concat(F.lit("^"), F.chr(F.least(F.col("mapq"), F.lit(93)) + 33))).otherwise("")
     tail = F.when(place == F.col("reach") - 1, "$").otherwise("")
-    return rows.select("tid", "span", (F.col("pos") + place).cast("long").alias("pos"), "read_id", *keep, F.concat(head, shown, indel, tail).alias("token"), "quality", "letter", "ref", "rev", F.when(aligned, at).alias("offset"))
+    rows = rows.select("tid", "span", (F.col("pos") + place).cast("long").alias("pos"), "read_id", *keep, F.concat(head, shown, indel, tail).alias("token"), "quality", "letter", "ref", "rev", F.when(aligned, at).alias("offset"))
+    if beds is not None:
+        rows = contained(rows, beds.filter("end > start").withColumn("end", F.col("end") - 1), "tid", "pos", "pos")
+    return rows
 
 
 def _texts(found: Column, max_depth: int | None) -> tuple[Column, Column, Column]:

@@ -586,6 +586,20 @@ def mpileup(spark, sf_dir):
     return pl.pileup_text(v.reads(spark, sf_dir), min_mapq=10)
 
 
+@query(f"""{_with(v.DUCK_READS, v.DUCK_REGIONS)}, good AS (SELECT * FROM v_reads WHERE flag & 1796 = 0 AND tid >= 0 AND mapq >= 10 AND lib <> 1), {_OPS}, {_PILED},
+t AS (SELECT tid, p0 AS pos, read_id, {_token(_CASED, "repeat('N', next_n)")} AS tok, {_QUAL} AS q FROM b WHERE EXISTS (SELECT 1 FROM v_regions g WHERE g.chrom = tid AND g.start <= p0 AND g."end" > p0))
+SELECT tid, pos, count(*) AS depth, string_agg(tok, '' ORDER BY read_id) AS bases, string_agg(q, '' ORDER BY read_id) AS qualities FROM t GROUP BY tid, pos""")
+def mpileup_regions(spark, sf_dir):
+    """Positions inside regions, without one group of reads."""
+    return pl.pileup_text(v.reads(spark, sf_dir), min_mapq=10, beds=v.regions(spark, sf_dir), without=("lib", [1]))
+
+
+@query(f"{_with(v.DUCK_READS)} SELECT tid, p AS pos, count(*) AS depth FROM (SELECT tid, unnest(range(CAST(pos AS BIGINT), CAST(pos + length(seq) AS BIGINT))) AS p FROM v_reads WHERE tid >= 0) GROUP BY tid, p")
+def depth_plain(spark, sf_dir):
+    """Depth under whole reads, whatever their CIGAR."""
+    return al.plain_depth(v.reads(spark, sf_dir))
+
+
 _CONTIG_TEXT = "SELECT tid, length, substr(repeat('ACGTTGCAAGCATCGACCGG', 140), tid + 1, CAST(length AS INT)) AS sequence FROM {contigs}"
 _REF = f"ref AS ({_CONTIG_TEXT.replace('{contigs}', 'v_contigs')})"
 _AT_REF = "substr(sequence, p0 + 1, 1)"
