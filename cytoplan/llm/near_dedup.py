@@ -20,9 +20,15 @@
    weighs less than 0.8 of the other.  What a text shares with other classes bounds how heavy a partner may be (with
    weights v and w and a common weight c, c / (v + w - c) >= 0.8 asks for w <= 2.25 c - v): first all other classes
    together, then a class of several texts at once, whose members are met only if they all together hold enough of the
-   text.  So near copies that have changed too much for their group don't meet each of its members.  Every pair of
-   different classes that passes these bounds is compared, so no pair of a bucket that is similar enough is left out,
-   however large the bucket is.
+   text.  So near copies that have changed too much for their group don't meet each of its members.
+   What is crowded (rarer-fifth shingles that CROWD texts or more hold) is told apart by its changes: each of the texts
+   is compared with one centre, and two texts of one centre must share a change (a shingle that both have more or less
+   often than the centre), unless both are links of the centre.  For with distances D to the centre and weights v, w and
+   u (the centre's), a link asks for a distance of (v + w) / 9 at most, and D > (v + u) / 9 for who isn't a link of
+   the centre; the common changes then weigh (D1 + D2 - (v + w) / 9) / 2 or more, which is above zero.  So near
+   misses with changes of their own don't meet each other; how many others do depends on the centre.  Every pair of different classes that
+   passes these bounds is compared, so no pair of a bucket that is similar enough is left out, however large the bucket
+   is.
 
 Defined cases
 -------------
@@ -56,6 +62,8 @@ CLASSES = 1 << 16
 IDF_RANGE = 0.25
 #: The pass before the exact one: members are compared with the next so many, in parts of about so many.
 NEIGHBOURS, PART = 4, 64
+#: Texts that hold a shingle of the exact pass from which on they are told apart by their changes against a centre.
+CROWD = 16
 #: Bits of the table that keeps most texts without a bucket out of the shuffle of profiles (8 MB, whatever the corpus).
 MARK_BITS = 1 << 26
 #: Draws of the sampler are taken from tables of so many entries, one for each sample.
@@ -271,11 +279,71 @@ def token_rows(members: DataFrame, idf: Broadcast, similarity: float) -> DataFra
     return members.select("node", "class", "shingles").mapInArrow(tidied(run), "node long, class long, weight double, token long, part double, head boolean")
 
 
-def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+def changes(profile: bytes, centre: bytes, idf: np.ndarray, similarity: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray] | None:
+    """What a text has to share with others of its centre: its distance less what its own weight allows, the signed
+    changes of which one must be the first common one, the weights of all changes from there on, and whether it can be
+    the first with a text that isn't a link of the centre.  None far from the centre.
+    """
+    a, m = np.unique(np.frombuffer(profile, dtype="<u8"), return_counts=True)
+    b, n = np.unique(np.frombuffer(centre, dtype="<u8"), return_counts=True)
+    own, other = (idf[class_of(a)] * m).sum(), (idf[class_of(b)] * n).sum()
+    tokens = np.union1d(a, b)
+    more = np.zeros(len(tokens), dtype=np.int64)
+    more[np.searchsorted(tokens, a)] += m
+    more[np.searchsorted(tokens, b)] -= n
+    tokens, more = tokens[more != 0], more[more != 0]
+    parts = idf[class_of(tokens)] * np.abs(more)
+    apart = parts.sum()
+    if 3 * apart > own + other:  # a similarity below a half
+        return None
+    allowed = (1 - similarity) / (1 + similarity)
+    excess, near = apart - allowed * own, allowed * other
+    # least common weight with a text that isn't a link of the centre, and with any: two links aren't looked for
+    strong = (excess + near) / 2
+    least = strong if excess <= near else (excess - near) / (1 + allowed)
+    order = np.lexsort((tokens, more < 0))  # gained ones are mostly the rarer ones
+    rest = np.cumsum(parts[order][::-1])[::-1]
+    first = rest >= least - 1e-9 * own
+    signed = (tokens << np.uint64(1) | (more < 0))[order]
+    return float(excess), signed[first].astype(np.int64), rest[first], rest[first] >= strong - 1e-9 * own
+
+
+def crowd_changes(heads: DataFrame, members: DataFrame, idf: Broadcast, similarity: float, crowd: int) -> DataFrame:
+    """node, centre, excess, change, rest and strong of all texts near a centre; one row of each text has no change."""
+    spread = lambda c: F.pmod(c, F.lit(1024)).alias("k")
+    middle = heads.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), F.percentile_approx("weight", 0.5).alias("middle")).filter(F.col("texts") >= crowd).withColumn("k", spread(F.col("token")))
+    held = heads.withColumn("k", spread(F.col("token"))).hint("merge").join(middle, ["token", "k"])
+    # of those with about the usual weight the one of which others hold the most
+    usual = F.col("weight").between(0.9 * F.col("middle"), F.col("middle") / 0.9)
+    lead = held.groupBy("token", "k").agg(F.max(F.when(usual, F.struct((F.col("most") / F.col("weight")).alias("share"), "node"))).alias("lead"))
+    led = held.select("node", "token", "k").hint("merge").join(lead, ["token", "k"]).groupBy("node").agg(F.max("lead").alias("lead")).select("node", F.col("lead.node").alias("centre"))
+    pairs = led.hint("merge").join(members.select("node", "shingles"), "node").withColumn("k", F.pmod("node", F.lit(16)).cast("int"))
+    whole = members.select(F.col("node").alias("centre"), F.col("shingles").alias("whole")).hint("merge").join(led.select("centre").distinct(), "centre", "left_semi")
+    copies = whole.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(15))))  # a centre can have very many texts
+    pairs = pairs.hint("merge").join(copies, ["centre", "k"]).select("node", "centre", "shingles", "whole")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for node, centre, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if found := changes(one, two, idf.value, similarity):
+                    excess, *lists = found
+                    rows.append((node, centre, excess, None, 0.0, False))
+                    rows += [(node, centre, excess, *x) for x in zip(*(x.tolist() for x in lists), strict=True)]
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_()]
+            columns = zip(*rows, strict=True) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["node", "centre", "excess", "change", "rest", "strong"])
+
+    return pairs.mapInArrow(tidied(run), "node long, centre long, excess double, change long, rest double, strong boolean")
+
+
+def prefix_pairs(rows: DataFrame, similarity: float, members: DataFrame | None = None, idf: Broadcast | None = None, crowd: int = CROWD) -> DataFrame:
     """one and two: pairs of different classes whose weights and common tokens allow the similarity, all that have it among them.
 
     `rows` are token_rows.  A member's `most` is the weight of the heaviest partner that its tokens in other classes
-    allow.  Members of the smaller class of two look for the larger one by token and by a step of the weight.
+    allow.  Members of the smaller class of two look for the larger one by token and by a step of the weight.  With
+    `members` and their weights, what is crowded is looked for by changes against centres; of two links of a centre only
+    the pairs with the centre are then sure to be there.
     """
     loose, times = 1 + 1e-9, (1 + similarity) / similarity
     spread = lambda c: F.pmod(c, F.lit(1024)).alias("k")
@@ -285,14 +353,23 @@ def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     heads = shared.filter("head").select("node", "class", "weight", "token").hint("merge").join(bounds, "node")
     sizes = rows.groupBy("class").agg(F.count_distinct("node").alias("n"))
     heads = keep(heads.withColumn("k", spread(F.col("class"))).hint("merge").join(sizes.withColumn("k", spread(F.col("class"))), ["class", "k"]).drop("k"))
+    changed = None
+    if members is not None:
+        changed = keep(crowd_changes(heads, members, idf, similarity, crowd))
+        centred = changed.filter("change is null").select("node", "centre")
+        heads = keep(heads.hint("merge").join(centred, "node", "left"))
+    else:
+        heads = heads.withColumn("centre", F.lit(None).cast("long"))
     step = lambda w: F.floor(F.log(w) * 50).cast("int")
-    whole = heads.select("token", F.col("class").alias("cx"), F.col("n").alias("nx"), "weight", "most", step(F.col("weight")).alias("step"))
-    whole = whole.groupBy("token", "step", "cx", "nx").agg(F.min("weight").alias("wx"), F.max("most").alias("mx"))
+    whole = heads.select("token", F.col("class").alias("cx"), F.col("n").alias("nx"), F.col("centre").alias("ox"), "weight", "most", step(F.col("weight")).alias("step"))
+    whole = whole.groupBy("token", "step", "cx", "nx", "ox").agg(F.min("weight").alias("wx"), F.max("most").alias("mx"))
     low, high = similarity * F.col("weight") / loose, F.least(F.col("weight") / similarity, "most") * loose
     asking = heads.withColumns({"low": low, "high": high}).filter("high >= low")
-    asking = asking.select("token", F.col("node").alias("y"), F.col("class").alias("cy"), F.col("n").alias("ny"), F.col("weight").alias("wy"), "high", F.explode(F.sequence(step(F.col("low")), step(F.col("high")))).alias("step"))
+    asking = asking.select("token", F.col("node").alias("y"), F.col("class").alias("cy"), F.col("n").alias("ny"), F.col("centre").alias("oy"), F.col("weight").alias("wy"), "high", F.explode(F.sequence(step(F.col("low")), step(F.col("high")))).alias("step"))
     smaller = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("cy") < F.col("cx")))
-    met = asking.join(whole.hint("merge"), ["token", "step"]).filter(smaller & (F.col("wy") <= F.col("mx") * loose) & (F.col("wx") <= F.col("high")))
+    fitting = smaller & (F.col("wy") <= F.col("mx") * loose) & (F.col("wx") <= F.col("high"))
+    other = F.coalesce(F.col("oy") != F.col("ox"), F.lit(True))  # those of one centre are looked for by changes
+    met = asking.join(whole.hint("merge"), ["token", "step"]).filter(fitting & other).select("y", "cx", "nx", "wy", "high")
     met = keep(met.groupBy("y", "cx", "nx", "wy").agg(F.max("high").alias("high")))
     # all that a class of several texts holds of a text
     held = rows.groupBy("class", "token").agg(F.max("part").alias("most_part"))
@@ -302,9 +379,22 @@ def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     fits = both.groupBy("y", "cx").agg((times * F.sum(F.least("part", "most_part")) * loose).alias("sum"))
     several = several.join(fits.hint("merge"), ["y", "cx"]).select("y", "cx", "wy", F.least("high", F.col("sum") - F.col("wy")).alias("high"))
     left = met.filter("nx = 1").select("y", "cx", "wy", "high").unionByName(several).filter(F.col("high") * loose >= similarity * F.col("wy"))
-    members = heads.groupBy("node", "class", "weight", "most").agg(F.lit(1).alias("one")).select(F.col("node").alias("x"), F.col("class").alias("cx"), F.col("weight").alias("wx"), F.col("most").alias("mx"), spread(F.col("class")))
+    inside = heads.groupBy("node", "class", "weight", "most").agg(F.lit(1).alias("one")).select(F.col("node").alias("x"), F.col("class").alias("cx"), F.col("weight").alias("wx"), F.col("most").alias("mx"), spread(F.col("class")))
     allowed = (F.col("wx") <= F.col("high") * loose) & (F.col("wy") <= F.col("mx") * loose) & (F.least("wx", "wy") >= similarity * F.greatest("wx", "wy") / loose)
-    pairs = left.withColumn("k", spread(F.col("cx"))).hint("merge").join(members, ["cx", "k"]).filter(allowed)
+    pairs = left.withColumn("k", spread(F.col("cx"))).hint("merge").join(inside, ["cx", "k"]).filter(allowed).select("x", "y")
+    if changed is not None:
+        texts = keep(heads.groupBy("node", "class", "weight", "most").agg(F.lit(1).alias("one")).drop("one"))
+        found = keep(changed.filter("change is not null").hint("merge").join(texts, "node").withColumn("k", spread(F.col("change"))))
+        named = lambda c: [F.col(old).alias(f"{new}{c}") for old, new in (("node", ""), ("class", "c"), ("weight", "w"), ("most", "m"), ("excess", "e"), ("rest", "r"))]
+        both = found.filter("strong").select("centre", "change", "k", *named("x")).hint("merge").join(found.select("centre", "change", "k", *named("y")), ["centre", "change", "k"])
+        enough = F.least("rx", "ry") >= (F.col("ex") + F.col("ey")) / 2 - 1e-9 * F.greatest("wx", "wy")
+        allowed = (F.col("wx") <= F.col("my") * loose) & (F.col("wy") <= F.col("mx") * loose) & (F.least("wx", "wy") >= similarity * F.greatest("wx", "wy") / loose)
+        both = both.filter((F.col("cx") != F.col("cy")) & enough & allowed).select("x", "y")
+        own = centred.hint("merge").join(texts.select("node", "class"), "node").withColumn("k", F.pmod("node", F.lit(16)).cast("int"))
+        whose = texts.select(F.col("node").alias("centre"), F.col("class").alias("other")).hint("merge").join(centred.select("centre").distinct(), "centre", "left_semi")
+        whose = whose.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        own = own.hint("merge").join(whose, ["centre", "k"]).filter("class <> other").select(F.col("node").alias("x"), F.col("centre").alias("y"))
+        pairs = pairs.unionByName(both).unionByName(own)
     return pairs.select(F.least("x", "y").alias("one"), F.greatest("x", "y").alias("two")).groupBy("one", "two").agg(F.lit(1).alias("met")).select("one", "two")
 
 
@@ -359,7 +449,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     links = links.union(verified(cross_pairs(marked, connected_components(links, "one", "two"))))
     classes = connected_components(links, "one", "two")
     members = keep(mixed_members(marked, classes).hint("merge").join(held_profiles, "node"))
-    more = verified(keep(prefix_pairs(keep(token_rows(members, idf, similarity)), similarity)))
+    more = verified(keep(prefix_pairs(keep(token_rows(members, idf, similarity)), similarity, members, idf)))
     classes = connected_components(links.union(more), "one", "two")
     classes = classes.withColumnRenamed("node", "rep")
     mapped = copies.select("d1", "d2", "rep").join(classes, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class"))

@@ -190,3 +190,41 @@ def test_a_very_long_text(spark):
     words = [f"w{i}" for i in range(4000)]
     long = " ".join(rng.choices(words, k=2_000_000))
     assert classes(spark, [(1, long), (2, long + " more"), (3, "a short text of six words")]) == {frozenset([1, 2]), frozenset([3])}
+
+
+def test_a_crowd_by_changes_against_a_centre_loses_no_link(spark):
+    """A base, near copies of it, texts that have changed too much, and a near copy of every fifth of those."""
+    rng, idf, bags = np.random.default_rng(8), np.ones(1 << 16), []
+    others = np.arange(1 << 30, (1 << 30) + 400)  # so many that most are in several texts
+    single = iter(range(1 << 31, 1 << 32))
+    base = np.arange(1000, 1200)
+
+    def changed(bag, n):
+        return np.concatenate([np.delete(bag, rng.permutation(len(bag))[:n]), rng.permutation(others)[: n - n // 2], [next(single) for _ in range(n // 2)]])
+
+    bags = [base, *(changed(base, n) for n in (3, 8, 15, 18) for _ in range(5))]
+    for i in range(150):
+        bags.append(changed(base, 23 + i % 9))
+        if i % 5 == 0:
+            bags.append(changed(bags[-1], 6))
+    rows = [(i, i, np.sort(x.astype("<u8")).tobytes()) for i, x in enumerate(bags)]
+    members = spark.createDataFrame(rows, "node long, class long, shingles binary")
+    shared = spark.sparkContext.broadcast(idf)
+    tokens = token_rows(members, shared, 0.8)
+    alike = {(i, j) for i, _, x in rows for j, _, y in rows if i < j and weighted_jaccard(x, y, idf) >= 0.8}
+    got = {(r.one, r.two) for r in prefix_pairs(tokens, 0.8, members, shared).collect()}
+
+    def joined(pairs):
+        parent = list(range(len(rows)))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i, j in pairs:
+            parent[find(i)] = find(j)
+        first = {}
+        return [first.setdefault(find(i), i) for i in range(len(rows))]
+
+    assert sum(i > 20 for i, _ in alike) >= 30 and joined(got & alike) == joined(alike)
