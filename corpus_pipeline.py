@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoplan.llm._store import keep
+from cytoplan.llm._store import keep, small_batches
 from cytoplan.llm.byte_bpe import encode
 from cytoplan.llm.decontaminate import decontaminate as drop_contaminated
 from cytoplan.llm.exact_dedup import drop_copies
@@ -26,8 +26,13 @@ from cytoplan.llm.queries import vocabulary
 from cytoplan.llm.toxicity import drop_toxic
 
 
+#: Bytes of an Arrow batch in the pipeline, whose stages share their executors' memory.
+BATCH_BYTES = 2 << 20
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic; the classifier learns from the labels."""
+    small_batches(spark, BATCH_BYTES)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -35,12 +35,12 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._store import plain, small_batches, tidied
+from ._store import in_worker, plain, small_batches, tidied
 
 #: Pieces that a worker remembers, and the bytes of the longest of them.
 REMEMBERED, LONGEST = 1 << 16, 64
 #: Pieces that are held at once of a text, and characters of texts that are cut together.
-BLOCK, CHARACTERS = 1 << 18, 1 << 21
+BLOCK, CHARACTERS = 1 << 16, 1 << 18
 #: Pieces of a forest at most, and at least; the widest tree in a forest.
 FOREST, GROVE, WIDEST = 1 << 15, 24, 64
 
@@ -276,15 +276,9 @@ class Encoder(dict):
         return out + self.pack(held)
 
 
-#: The encoder of this worker, by the name of the call that made it: tasks of one call share what it remembers.
-_KEPT: dict[str, Encoder] = {}
-
-
 def _encoder(name: str, shared: Broadcast, pattern: str) -> Encoder:
-    if name not in _KEPT:
-        _KEPT.clear()
-        _KEPT[name] = Encoder(shared.value, pattern)
-    return _KEPT[name]
+    """The encoder of this worker: tasks of one call share what it remembers."""
+    return in_worker(name, lambda: Encoder(shared.value, pattern))
 
 
 def _mapped(df: DataFrame, read: str, name: str, convert: Callable[[], Callable[[pa.Array], list[bytes]]]) -> DataFrame:
@@ -299,7 +293,7 @@ def _mapped(df: DataFrame, read: str, name: str, convert: Callable[[], Callable[
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in left), pa.array(call(batch.column(at)), pa.binary())], names=[*(f"c{i}" for i in left), "made"])
 
     schema = T.StructType([*(rows.schema[i] for i in left), T.StructField("made", T.BinaryType())])
-    return rows.mapInArrow(tidied(run), schema).toDF(*(df.columns[i] for i in left), name)
+    return rows.mapInArrow(tidied(run, shares=True), schema).toDF(*(df.columns[i] for i in left), name)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

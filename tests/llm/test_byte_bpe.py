@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
 from cytoplan.llm import byte_bpe
+from cytoplan.llm._store import tidied
 from cytoplan.llm.byte_bpe import Encoder, PairTable, decode, encode, merge, merge_forest, read_ranks
 
 from .helpers import ODD, frame
@@ -54,6 +57,31 @@ def test_what_is_remembered_is_bounded(monkeypatch):
         assert len(encoder) <= 50
 
 
+def test_memory_follows_a_block_of_texts():
+    """4 MB of words that are mostly new: only about a block of their pieces is held at once."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("aeinstz", k=rng.randrange(2, 9))) for _ in range(700)) for _ in range(1000)]
+    encoder = Encoder(RANKS, public_tokenizers.PATTERN)
+    tracemalloc.start()
+    try:
+        packed = encoder.encode_all(texts)
+        peak = tracemalloc.get_traced_memory()[1] - sum(map(len, packed))
+    finally:
+        tracemalloc.stop()
+    for text, ids in zip(texts[::50], packed[::50], strict=True):
+        assert [int.from_bytes(ids[k : k + 4], "little") for k in range(0, len(ids), 4)] == REFERENCE.encode_ordinary(text)
+    assert peak < 40 << 20
+
+
+def test_other_maps_drop_the_encoder():
+    docs = pa.RecordBatch.from_pydict({"text": ["one"]})
+    made = byte_bpe.in_worker("a call", lambda: Encoder({}, public_tokenizers.PATTERN))
+    assert list(tidied(lambda batches: batches, shares=True)(iter([docs]))) == [docs]
+    assert byte_bpe.in_worker("a call", dict) is made
+    assert list(tidied(lambda batches: batches)(iter([docs]))) == [docs]
+    assert byte_bpe.in_worker("a call", dict) == {}
+
+
 def test_very_long_texts(spark):
     """20 MB of words, and a word of 200,000 letters."""
     rng = random.Random(2)
