@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._labels import SAMPLE_BYTES, held_out, labelled_sample
-from ._store import fresh, parts, plain, small_batches, tidied
+from ._store import fresh, parts, plain, small_batches, tidied, trim
 
 #: Labelled documents that are fitted.
 TOXIC_DOCS, ORDINARY_DOCS = 1024, 4096
@@ -267,6 +267,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, ord
 
 def with_score(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
     """The documents with their score in a column of that name."""
+    trim()  # the sample that the model was fitted on is gone, but not from the driver's memory
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)

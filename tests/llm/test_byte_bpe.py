@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import random
+import re
 import tracemalloc
+from pathlib import Path
 
 import public_tokenizers
 import pyarrow as pa
@@ -9,7 +11,7 @@ import pytest
 import tiktoken
 
 from cytoplan.llm import byte_bpe
-from cytoplan.llm._store import tidied
+from cytoplan.llm._store import tidied, trim
 from cytoplan.llm.byte_bpe import Encoder, PairTable, decode, encode, merge, merge_forest, read_ranks
 
 from .helpers import ODD, frame
@@ -82,6 +84,17 @@ def test_other_maps_drop_the_encoder():
     assert byte_bpe.in_worker("a call", dict) == {}
 
 
+def test_trim_hands_memory_back():
+    def own() -> float:
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    held = [bytes(1000) for _ in range(100_000)]
+    del held[:-1]  # the last one keeps the heap's top
+    before = own()
+    trim()
+    assert before - own() > 50
+
+
 def test_very_long_texts(spark):
     """20 MB of words, and a word of 200,000 letters."""
     rng = random.Random(2)

@@ -111,6 +111,14 @@ def test_neighbours_by_hand():
         assert got == pytest.approx(want, abs=1e-4)
 
 
+def test_driver_gives_memory_back_after_the_fit(tables, monkeypatch):
+    order = []
+    monkeypatch.setattr(toxicity, "fit_on", lambda *_, **__: order.append("fit"))
+    monkeypatch.setattr(toxicity, "trim", lambda: order.append("trim"))
+    toxicity.drop_toxic(tables[0], tables[1])
+    assert order == ["fit", "trim"]
+
+
 def test_windows_cover_the_text():
     for n in (0, 1, 47, 48, 49, 80, 81, 500):
         text = bytes(i % 251 for i in range(n))
