@@ -7,13 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytoplan.functions import dna
+from cytoplan.functions import dna, seeds
 from cytoplan.functions.edits import fits
 
+#: Letters of contigs that go to all tasks at once, and in all; where there are more, seeds and places are joined.
+BLOCK, HELD = 1 << 19, 1 << 22
+
 
 def read_statistics(reads: DataFrame) -> DataFrame:
     """Length, letters and mean quality of each read."""
@@ -91,14 +95,93 @@ def _differing(one: str, two: str) -> Column:
     return F.size(F.filter(F.arrays_zip(letters(one).alias("a"), letters(two).alias("b")), lambda z: z["a"] != z["b"]))
 
 
-def map_mismatches(reads: DataFrame, contigs: DataFrame, errors: int, k: int = 16, longest: int = 1 << 12, bisulfite: bool = False) -> DataFrame:
+def _blocks(contigs: DataFrame, held: int) -> list[list[tuple]] | None:
+    """Few and short contigs in blocks of BLOCK letters; None if there are more than `held` letters, or one is longer than a block."""
+    n = F.length("sequence")
+    letters, longest = contigs.agg(F.sum(n), F.max(n)).first()
+    if (letters or 0) > held or (longest or 0) > BLOCK:
+        return None
+    out, room = [], 0
+    for row in contigs.filter(n > 0).select("chrom", "start", "sequence").toLocalIterator():
+        if len(row.sequence) > room:
+            out.append([])
+            room = BLOCK
+        out[-1].append(tuple(row))
+        room -= len(row.sequence)
+    return out
+
+
+def _map_held(reads: DataFrame, kinds: dict[str, str], block: list[tuple], errors: int, bisulfite: bool, gaps: bool) -> DataFrame:
+    """Places of reads (id, sequence) in a block of contigs: one Arrow map, nothing is shuffled but hits."""
+    names = ["id", "sequence", "chrom", "begin", "pos", "strand", "mismatches"] + ["cigar"] * gaps
+    schema = f"id {kinds['id']}, sequence string, chrom {kinds['chrom']}, begin long, pos long, strand int, mismatches int" + ", cigar string" * gaps
+    changes = (("C", "T"), ("G", "A")) if bisulfite else (None, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = []
+        for change in changes:
+            if sides and not bisulfite:
+                sides.append(sides[0])
+            else:
+                sides.append(seeds.Contigs([(c, s, t.replace(*change) if change else t) for c, s, t in block], errors, gaps))
+        begins, chroms = np.array([s for _, s, _ in block], dtype=np.int64), pa.array([c for c, _, _ in block])
+        for batch in batches:
+            kind = batch.schema.field(0).type if batch.num_rows else None
+            for numbers, letters in seeds.groups(batch.column(1)):
+                for strand, (change, held) in enumerate(zip(changes, sides, strict=True)):
+                    rows = letters if strand == 0 else seeds.reverse_complement(letters)
+                    if change:
+                        rows = np.where(rows == ord(change[0]), np.uint32(ord(change[1])), rows)
+                    for row, place, *more in held.edits(rows) if gaps else held.mismatches(rows):
+                        texts = pa.array([rows[i].tobytes().decode("utf-32-le") for i in row.tolist()], pa.string())
+                        if gaps:
+                            ends = np.minimum(place + rows.shape[1] + errors, held.end[held.owner[place]])
+                            stretches = [held.text[a:b].tobytes().decode("utf-32-le").encode() for a, b in zip(place.tolist(), ends.tolist(), strict=True)]
+                            found, cigars = fits([t.encode() for t in texts.to_pylist()], stretches, errors)
+                            more = [found, cigars]
+                        owner = held.owner[place]
+                        columns = [
+                            batch.column(0).take(pa.array(numbers[row])).cast(kind),
+                            texts,
+                            chroms.take(pa.array(owner)),
+                            pa.array(begins[owner]),
+                            pa.array(begins[owner] + place - held.begin[owner]),
+                            pa.array(np.full(len(row), strand, dtype=np.int32)),
+                            pa.array(more[0], pa.int32()),
+                            *[pa.array(x, pa.string()) for x in more[1:]],
+                        ]
+                        out = pa.RecordBatch.from_arrays(columns, names=names)
+                        yield out.filter(pa.array(np.asarray(more[0]) <= errors)) if len(row) else out.slice(0, 0)
+
+    return reads.select("id", "sequence").mapInArrow(run, schema).distinct()
+
+
+def _held(reads: DataFrame, contigs: DataFrame, errors: int, bisulfite: bool, gaps: bool, held: int) -> DataFrame | None:
+    """Hits of reads in few contigs, or None if there are too many."""
+    blocks = _blocks(contigs, held)
+    if not blocks:
+        return None
+    kinds = {"id": dict(reads.dtypes)["id"], "chrom": dict(contigs.dtypes)["chrom"]}
+    found = None
+    for block in blocks:
+        part = _map_held(reads, kinds, block, errors, bisulfite, gaps)
+        found = part if found is None else found.unionByName(part)
+    return found.distinct() if len(blocks) > 1 else found
+
+
+def map_mismatches(reads: DataFrame, contigs: DataFrame, errors: int, k: int = 16, longest: int = 1 << 12, bisulfite: bool = False, held: int = HELD) -> DataFrame:
     """id, chrom, pos, strand and mismatches of every place where a read fits with at most `errors` differing letters.
 
     A read is cut into errors + 1 stretches; where it fits, one of them stands without a difference, so its first k
     letters are a seed there (reads with a stretch shorter than k aren't mapped).  With bisulfite, letters are compared
     after C became T on both sides (G became A on the reverse strand of the read, which is the same there).  Reads of up
     to `longest` letters are compared in one piece of the contig, longer ones in all pieces that they touch.
+
+    Contigs of up to `held` letters in all go to the tasks that hold the reads; of more, seeds and places are joined.
     """
+    usable = reads.filter(F.floor(F.length("sequence") / (errors + 1)) >= k)
+    if (found := _held(usable, contigs, errors, bisulfite, False, held)) is not None:
+        return found.select("id", "chrom", "pos", "strand", "mismatches")
     turn = (lambda c: F.translate(c, "C", "T")) if bisulfite else (lambda c: c)
     back = (lambda c: F.translate(c, "G", "A")) if bisulfite else (lambda c: c)
     step = F.floor(F.length("sequence") / (errors + 1)).cast("int")
@@ -134,7 +217,7 @@ def map_mismatches(reads: DataFrame, contigs: DataFrame, errors: int, k: int = 1
     return found
 
 
-def map_edits(reads: DataFrame, contigs: DataFrame, errors: int, k: int = 16, bisulfite: bool = False) -> DataFrame:
+def map_edits(reads: DataFrame, contigs: DataFrame, errors: int, k: int = 16, bisulfite: bool = False, held: int = HELD) -> DataFrame:
     """id, chrom, pos, strand, mismatches (edits) and cigar of every place where a read fits with at most `errors` letters
     changed, inserted or deleted.
 
@@ -142,7 +225,12 @@ def map_edits(reads: DataFrame, contigs: DataFrame, errors: int, k: int = 16, bi
     apart the one with fewest edits stays, and the first of equal ones.  A read is cut into errors + 1 stretches, one of
     which stands unchanged wherever it fits, at most `errors` letters beside its place; its first k letters are the seed
     (reads with a stretch shorter than k aren't mapped).  Every place near a seed is measured, whole batches at once.
+
+    Contigs of up to `held` letters in all go to the tasks that hold the reads; of more, seeds and places are joined.
     """
+    usable = reads.filter(F.floor(F.length("sequence") / (errors + 1)) >= k)
+    if (found := _held(usable, contigs, errors, bisulfite, True, held)) is not None:
+        return _fewest(found.select("id", "chrom", "pos", "strand", "mismatches", "cigar"), errors)
     turn = (lambda c: F.translate(c, "C", "T")) if bisulfite else (lambda c: c)
     back = (lambda c: F.translate(c, "G", "A")) if bisulfite else (lambda c: c)
     step = F.floor(F.length("sequence") / (errors + 1)).cast("int")
@@ -178,6 +266,11 @@ def map_edits(reads: DataFrame, contigs: DataFrame, errors: int, k: int = 16, bi
             yield pa.RecordBatch.from_arrays([c.filter(good) for c in columns], names=["id", "chrom", "pos", "strand", "mismatches", "cigar"])
 
     hits = found.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in ("id", "chrom", "pos", "strand")) + ", mismatches int, cigar string")
+    return _fewest(hits, errors)
+
+
+def _fewest(hits: DataFrame, errors: int) -> DataFrame:
+    """Of places at most `errors` apart the one with fewest edits, and the first of equal ones."""
     beside = Window.partitionBy("id", "chrom", "strand").orderBy("pos").rangeBetween(-errors, errors)
     best = F.min(F.struct("mismatches", "pos")).over(beside)
     return hits.withColumn("_best", best).filter((F.col("_best.pos") == F.col("pos"))).drop("_best")

@@ -111,3 +111,24 @@ def test_long_reads_and_none(spark):
     got = rr.map_edits(spark.createDataFrame([("long", read)], "id string, sequence string"), contigs, 2).collect()
     assert [(r.pos, r.strand, r.mismatches) for r in got] == [(1_007, 0, 2)] and replay(got[0].cigar, read, text[1_000:])[2] == 2
     assert rr.map_edits(spark.createDataFrame([], "id string, sequence string"), contigs, 1).collect() == []
+
+
+@pytest.mark.parametrize(("errors", "bisulfite"), [(0, True), (1, False), (1, True), (2, False)])
+def test_few_contigs_without_a_join(spark, errors, bisulfite):
+    """Seeds of common letters meet many places; none of those pairs is shuffled, and the hits are those of the join."""
+    rng = random.Random(40 + errors)
+    texts = ["".join(rng.choices("ACGTNé", (5, 5, 2, 2, 0.2, 0.2), k=300)), "A" * 60 + "ACACAC" * 5, "GATTACA" * 9]
+    contigs = spark.createDataFrame([(f"c{i}", i * 10, t) for i, t in enumerate(texts)], "chrom string, start long, sequence string")
+    reads = [("a", "A" * 18), ("b", "AC" * 9), ("twice", texts[0][40:58]), ("twice", texts[0][40:58]), ("ends", texts[0][-18:])]
+    for i in range(60):
+        t = texts[i % 3]
+        at = rng.randrange(len(t) - 20)
+        read = t[at : at + rng.randrange(18, 21)]
+        p = rng.randrange(len(read))
+        read = read[:p] + rng.choice(["", "A", "CG", read[p]]) + read[p + 1 :]
+        reads.append((f"r{i}", read if i % 2 else read.translate(str.maketrans("ACGT", "TGCA"))[::-1]))
+    table = spark.createDataFrame(reads, "id string, sequence string")
+    for find in (rr.map_mismatches, rr.map_edits):
+        held = find(table, contigs, errors, 6, bisulfite=bisulfite)
+        assert "Join" not in held._jdf.queryExecution().executedPlan().toString()
+        assert sorted(held.collect()) == sorted(find(table, contigs, errors, 6, bisulfite=bisulfite, held=0).collect())
