@@ -6,6 +6,11 @@ positions of a span are put together in the same stage.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +23,10 @@ from .regions import contained
 MASK = dna.UNMAPPED | dna.SECONDARY | dna.QC_FAIL | dna.DUPLICATE
 #: Positions of a span.
 SPAN = 256
+_OP = re.compile(r"(\d+)([MIDNSHP=X])")
+_LETTERS = np.array(list("ACGT"), dtype=object)
+_NUMBER = np.full(256, 4, dtype=np.int64)
+_NUMBER[list(b"ACGT")] = range(4)
 
 
 def pileup(reads: DataFrame, min_mapq: int = 0, mask: int = MASK, contigs: DataFrame | None = None, min_quality: int = 0, keep: tuple[str, ...] = (), span: int = SPAN, baq: str | None = None, beds: DataFrame | None = None, without: tuple[str, list] | None = None) -> DataFrame:
@@ -124,6 +133,106 @@ def depth_of_files(reads: DataFrame, file: str, min_mapq: int = 0, min_quality:
     return rows.groupBy("tid", "span", "pos", file).agg(F.count(F.lit(1)).alias("depth")).drop("span")
 
 
+def _aligned(cigar: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each aligned letter how far it is from the alignment's start, and which letter of the read it is."""
+    r, q, there, own = 0, 0, [], []
+    for size, op in _OP.findall(cigar or ""):
+        n = int(size)
+        if op in "M=X":
+            there.append(np.arange(r, r + n))
+            own.append(np.arange(q, q + n))
+        r, q = r + n * (op in "MDN=X"), q + n * (op in "MIS=X")
+    return (np.concatenate(there), np.concatenate(own)) if there else (np.zeros(0, dtype=np.int64),) * 2
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All letters of a column of texts, where each text begins and how long it is."""
+    held = column.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = held.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[held.offset : held.offset + len(held) + 1]
+    return np.frombuffer(data or b"", dtype=np.uint8), ends[:-1], np.diff(ends)
+
+
+def _shown(batch: pa.RecordBatch, min_quality: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and cells (place in the span, letter, quality) of all letters in a batch of span, pos, cigar, seq and qual."""
+    at, pos = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    cigars = batch.column(2).dictionary_encode()
+    kind = cigars.indices.to_numpy(zero_copy_only=False)
+    tables = [_aligned(c) for c in cigars.dictionary.to_pylist()]
+    begin = np.cumsum([0, *[len(t[0]) for t in tables]])
+    there, own = (np.concatenate([t[k] for t in tables]) if tables else np.zeros(0, dtype=np.int64) for k in (0, 1))
+    low, high = np.zeros(len(pos), dtype=np.int64), np.zeros(len(pos), dtype=np.int64)
+    order = np.argsort(kind, kind="stable")
+    edge = np.searchsorted(kind[order], np.arange(len(tables) + 1))
+    for k, (mine, _) in enumerate(tables):  # only what lies inside the span
+        rows = order[edge[k] : edge[k + 1]]
+        low[rows] = begin[k] + np.searchsorted(mine, at[rows] * span - pos[rows])
+        high[rows] = begin[k] + np.searchsorted(mine, (at[rows] + 1) * span - pos[rows])
+    count = high - low
+    row = np.repeat(np.arange(len(pos)), count)
+    cell = np.arange(len(row)) + np.repeat(low - (np.cumsum(count) - count), count)
+    (seq, seq_at, seq_size), (qual, qual_at, qual_size) = _bytes(batch.column(3)), _bytes(batch.column(4))
+    letter = own[cell]
+    there = (pos - at * span)[row] + there[cell]
+    good = (letter < seq_size[row]) & (letter < qual_size[row])
+    row, letter, there = row[good], letter[good], there[good]
+    number, quality = _NUMBER[seq[seq_at[row] + letter]], qual[qual_at[row] + letter].astype(np.int64)
+    good = (number < 4) & ((quality - 33 >= min_quality) if min_quality else True)
+    return row[good], ((there * 4 + number) * 256 + quality)[good]
+
+
+def letter_counts(reads: DataFrame, contigs: DataFrame, keep: tuple[str, ...], min_mapq: int = 0, min_quality: int = 13, mask: int = MASK, span: int = SPAN) -> DataFrame:
+    """tid, span, pos, the columns of `keep`, ref, letter, quality and n: how often a known letter of each quality stands on
+    a known letter of the reference.
+
+    Reads go to their spans, ordered by the columns of `keep`; a task counts one group of a span after the other in an array
+    of one size, so neither its memory nor its rows grow with depth.
+    """
+    reach = dna.reference_length(F.col("cigar"))
+    good = reads.filter(dna.lacks(F.col("flag"), mask) & (F.col("tid") >= 0) & (F.col("mapq") >= min_mapq)).withColumn("reach", reach).filter("reach > 0")
+    touched = F.explode(F.sequence(F.floor(F.col("pos") / span), F.floor((F.col("pos") + F.col("reach") - 1) / span))).alias("span")
+    group = ["tid", "span", *keep]
+    rows = good.select("pos", "cigar", "seq", "qual", "tid", *keep, touched).select("span", "pos", "cigar", "seq", "qual", "tid", *keep)
+    # a stated number of partitions: rows multiply behind this shuffle, so its size in bytes says nothing
+    rows = rows.repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tid", "span").sortWithinPartitions(*group)
+    kinds = dict(rows.dtypes)
+    cells = span * 4 * 256
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, names = None, np.zeros(cells, dtype=np.int64), None
+
+        def out() -> pa.RecordBatch:
+            cell = np.flatnonzero(held)
+            repeated = [v.take(pa.array(np.zeros(len(cell), dtype=np.int64))) for v in now[1]]
+            columns = [*repeated, pa.array(now[0][1] * span + cell // 1024), pa.array(_LETTERS[cell // 256 % 4], pa.string()), pa.array((cell % 256 - 33).astype(np.int32)), pa.array(held[cell])]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = [*group, "pos", "letter", "quality", "n"]
+            keys = [batch.column(i) for i in (5, 0, *range(6, 6 + len(keep)))]
+            codes = [k.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for k in keys]
+            first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in codes], axis=0)]))
+            row, cell = _shown(batch, min_quality, span)
+            edge = np.searchsorted(row, np.append(first, batch.num_rows))
+            for k, a in enumerate(first.tolist()):
+                values = [x.slice(a, 1) for x in keys]
+                key = [v[0].as_py() for v in values]
+                if now is None or now[0] != key:
+                    if now is not None:
+                        yield out()
+                    now, held = (key, values), np.zeros(cells, dtype=np.int64)
+                held += np.bincount(cell[edge[k] : edge[k + 1]], minlength=cells)
+        if now is not None:
+            yield out()
+
+    counted = rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in group) + ", pos long, letter string, quality int, n long")
+    counted = counted.join(pieces(contigs, span, span).select("tid", F.col("piece").alias("span"), "letters"), ["tid", "span"])
+    ref = F.substr("letters", (F.col("pos") - F.col("span") * span + 1).cast("int"), F.lit(1))
+    return counted.withColumn("ref", ref).filter("ref IN ('A', 'C', 'G', 'T')").select("tid", "span", "pos", *keep, "ref", "letter", "quality", "n")
+
+
 def genotype_likelihoods(reads: DataFrame, contigs: DataFrame, sample: str, min_mapq: int = 0, min_quality: int = 13) -> DataFrame:
     """tid, pos, sample, ref, alt, n and pl0 to pl2 of every position and sample that shows a letter beside the reference's.
 
@@ -131,17 +240,21 @@ def genotype_likelihoods(reads: DataFrame, contigs: DataFrame, sample: str, min_
     read with error e has the chance 1 - e under its own allele and e / 3 under another; a heterozygote shows either by
     half.  Likelihoods are phred-scaled against the best of the three.  Everything is summed, nothing is collected.
     """
-    rows = pileup(reads, min_mapq, contigs=contigs, min_quality=min_quality, keep=(sample,)).filter("letter IN ('A', 'C', 'G', 'T') AND ref IN ('A', 'C', 'G', 'T')")
-    e = F.pow(F.lit(10.0), -(F.ascii("quality") - 33) / 10)
+    return likelihoods_of(letter_counts(reads, contigs, (sample,), min_mapq, min_quality), sample)
+
+
+def likelihoods_of(counts: DataFrame, sample: str) -> DataFrame:
+    """The genotype likelihoods of `letter_counts`, which may hold more columns than `sample`."""
     bases = "ACGT"
-    rows = rows.withColumns({"e": e, "q": F.ascii("quality") - 33})
-    same, other = F.log10(1 - F.col("e")), F.log10(F.col("e") / 3)
-    half = F.log10((1 - F.col("e") + F.col("e") / 3) / 2)
-    sums = [F.count(F.lit(1)).alias("n"), F.sum(other).alias("other"), F.max("ref").alias("ref")]
+    rows = counts.withColumns({"e": F.pow(F.lit(10.0), -F.col("quality") / 10), "q": F.col("quality")})
+    times = F.col("n")
+    same, other = times * F.log10(1 - F.col("e")), times * F.log10(F.col("e") / 3)
+    half = times * F.log10((1 - F.col("e") + F.col("e") / 3) / 2)
+    sums = [F.sum(times).alias("n"), F.sum(other).alias("other"), F.max("ref").alias("ref")]
     for b in bases:
         mine = F.col("letter") == b
         sums += [F.coalesce(F.sum(F.when(mine, c)), F.lit(0.0)).alias(f"{k}_{b}") for k, c in (("same", same), ("half", half), ("diff", other))]
-        sums += [F.coalesce(F.sum(F.when(mine, F.col("q"))), F.lit(0)).alias(f"q_{b}")]
+        sums += [F.coalesce(F.sum(F.when(mine, times * F.col("q"))), F.lit(0)).alias(f"q_{b}")]
     by_sample = rows.groupBy("tid", "span", "pos", sample).agg(*sums)
     whole = by_sample.groupBy("tid", "span", "pos").agg(*[F.sum(f"q_{b}").alias(f"t_{b}") for b in bases])
     both = by_sample.join(whole, ["tid", "span", "pos"])

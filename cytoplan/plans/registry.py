@@ -992,8 +992,10 @@ def spectrum_calls(spark, sf_dir):
 @query()
 def afs_contrast(spark, sf_dir):
     """Two groups of samples compared at every variant, with permutations (tests/test_spectrum.py has the sums by hand)."""
-    likely = pl.genotype_likelihoods(*_with_contigs(spark, sf_dir), "ds", min_mapq=10)
-    mixed = likely.unionByName(_likelihoods(spark, sf_dir, True).withColumn("ds", F.concat(F.lit("s"), F.col("lib").cast("string"))).drop("lib"))
+    reads, contigs = _with_contigs(spark, sf_dir)
+    third = F.concat(F.lit("s"), (F.col("read_id") % 3).cast("string"))
+    counts = kept(pl.letter_counts(reads.withColumn("third", third), contigs, ("ds", "third"), min_mapq=10))  # one pileup for both ways to name samples
+    mixed = pl.likelihoods_of(counts, "ds").unionByName(pl.likelihoods_of(counts, "third").withColumnRenamed("third", "ds"))
     out = sp.afs_contrast(mixed, "ds", ["s0", "s1"], ["s2", "mc", "hmc"], permutations=9)
     return out.select("tid", "pos", *[F.round(c, 6).alias(c) for c in ("p_contrast", "equal", "lower", "higher", "p_ratio")], "as_uneven")
 
